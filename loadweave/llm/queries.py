@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, substring, suffixes
+from . import decontaminate, language_model, licenses, neardup, neighbours, packing, secret_scan, substring, suffixes, toxicity
 
 QUERIES = {
     "op1_license": licenses.op1_license,
     "op2_pack": packing.op2_pack,
     "op3_substring": substring.op3_substring,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_suffix": suffixes.op5_suffix,
+    "op6_language_model": language_model.op6_language_model,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_minhash": neardup.op8_minhash,
+    "op9_secrets": secret_scan.op9_secrets,
+    "op10_permutation": neighbours.op10_permutation,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": decontaminate.OP4_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
