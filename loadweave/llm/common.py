@@ -49,8 +49,9 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of df as the optimizer estimates them (file sizes, for a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of df as the optimizer estimates them (file sizes, for a scan); measured where it has no statistics."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return estimate if estimate < 1 << 50 else df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def spread(df: DataFrame, bytes_each: int, least: int = 64) -> int:

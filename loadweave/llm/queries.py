@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontaminate, language_model, licenses, neardup, neighbours, packing, secret_scan, substring, suffixes, toxicity
+from .sql import ORACLE_SQL as ORACLE_SQL
 
 QUERIES = {
     "op1_license": licenses.op1_license,
@@ -16,6 +17,3 @@ QUERIES = {
     "op9_secrets": secret_scan.op9_secrets,
     "op10_permutation": neighbours.op10_permutation,
 }
-ORACLE_SQL: dict[str, str] = {
-    "op4_decontaminate": decontaminate.OP4_SQL,
-}

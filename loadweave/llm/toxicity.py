@@ -195,6 +195,17 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return columns(docs, doc_id="long", text="string").mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows that the model predicts to be toxic; all columns stay."""
+
+    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        info = WordInfo(model.lexicon)
+        for frame in frames:
+            yield frame[model.scores(info, frame["text"].tolist()) < THRESHOLD]
+
+    return docs.mapInPandas(keep, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scored(docs, learn(docs, table(spark, sf_dir, "labels")))
