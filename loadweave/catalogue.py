@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import load, logs, series, space
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = load.QUERIES
+ORACLE_SQL = load.SQL
+_MODULES = (series, space, logs)  # they add their queries to the same tables
