@@ -172,3 +172,32 @@ def added_load_risk(spark, d):
     _, calib, mu = _peaks(spark, d)
     added = spark.sql("select n_new, hour, n_new * hour / cast(24 as double) as delta_kw from (select explode(array(1, 3)) as n_new) cross join (select explode(sequence(0, 23)) as hour)")
     return rounded(risk.added_load_risk(_predictions(spark, d).where("date > date'2024-01-12'"), calib, mu, added))
+
+
+@query("quantile_forecast")
+def quantile_forecast(spark, d):
+    from ..operators import models
+
+    panel = ts.panel_features(hourly(spark, d, 3)).withColumn("dow", F.weekday("date"))
+    out = models.quantile_forecast(panel, ["lag1", "lag7", "roll7", "level", "trend", "hour", "dow"], "2024-01-20", "2024-01-25", rounds=5, depth=3)
+    return rounded(out.select("code", "date", "hour", "kw", "q50", "q90"))
+
+
+@query("charge_types")
+def charge_types(spark, d):
+    from ..operators import models
+
+    h = hourly(spark, d, 30)
+    days = h.select("code").distinct().crossJoin(spark.sql("select explode(sequence(date'2024-01-01', date'2024-01-15')) as date")).crossJoin(spark.range(24).select(F.col("id").cast("int").alias("hour")))
+    dense = days.join(h, ["code", "date", "hour"], "left").fillna(0.1, ["kw"])
+    return models.charge_types(dense, 4)
+
+
+@query("scaled_target", f"""WITH {H3}, mn AS (SELECT code, avg(kw) AS m FROM h GROUP BY 1), al AS (SELECT median(m) AS a FROM mn),
+x AS (SELECT h.code, CAST(date AS VARCHAR) AS date, hour, kw, CASE WHEN hour % 3 = 0 THEN 0.0 ELSE hour * 10.0 END AS level, m, a FROM h JOIN mn USING (code), al)
+SELECT code, date, hour, round(CASE WHEN level > 0 THEN level WHEN m > 0 THEN m ELSE a END, 9) AS scale, round((kw - 50) / CASE WHEN level > 0 THEN level WHEN m > 0 THEN m ELSE a END, 9) AS residual_target FROM x""")
+def scaled_target(spark, d):
+    from ..operators import models
+
+    rows = hourly(spark, d, 3).withColumns({"reference": F.lit(50.0), "level": F.when(F.col("hour") % 3 == 0, 0.0).otherwise(F.col("hour") * 10.0)})
+    return rounded(models.scaled_target(rows).select("code", "date", "hour", "scale", "residual_target"), 9)
