@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         lower = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(lower, "b")
         small = small.selectExpr("m as a", "a as b").unionByName(small.selectExpr("m as a", "b")).where("a <> b").distinct()
-        edges = written(small, "links")
+        last, edges = edges, written(small, "links")
+        discard(last)
         now = tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)), F.coalesce(F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")), F.lit(0))).first())
         if now == before:
             break

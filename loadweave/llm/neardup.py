@@ -5,14 +5,18 @@
 2. A SetSketch has M registers: floor(1 - log_b x), the truncated exponential minimum of the
    set's values under the register's hash.  Registers merge by maximum and agree between two
    sets about as often as the sets overlap.  Runs of ``ROWS`` registers are band keys.
-3. Classes that share a band key meet the smallest class of that key first (a star, linear in
-   the key's members).  Only where a key's members fall into several components afterwards do
-   the members outside its largest component meet the others, so no group is expanded
-   into all pairs and yet no pair of different components goes unexamined.
-4. For each candidate pair the Jaccard similarity is estimated by maximum likelihood from the
-   counts of larger, smaller and equal registers, jointly with the known set sizes.  Pairs
-   within ``SLACK`` standard errors of the threshold or above are verified on full sets.
-5. Verified links form components (``graphs``).
+3. Classes that share a band key belong to one family: components of the star from each key's
+   smallest class to its others, linear in the members.  All candidate pairs lie within
+   families, and each class is in one, so its full set travels once.
+4. A family of up to ``FAMILY_SHINGLES`` shingles in all is joined exactly in one task: shingles in
+   the family's frequency order, prefix and size filters, verification of pairs that are
+   not yet in one component.
+5. Wider families are joined by pairs: star pairs of the band keys first, then, where a key's
+   members still fall into several components, those outside its largest one meet the
+   others.  Pairs pass a maximum-likelihood estimate of their similarity from the counts
+   of larger, smaller and equal registers, jointly with the known set sizes (``SLACK``
+   standard errors below the threshold), before their full sets are compared.
+6. Verified links form components (``graphs``).
 
 A pair at the threshold misses all bands with a probability of (1 - 0.85**4)**32 < 1e-10.
 
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, columns, mixed, run_hashes, table, written
+from .common import LOWER, WordHashes, columns, discard, mixed, run_hashes, table, written
 from .graphs import components
 
 SHINGLE = 5
@@ -40,6 +44,7 @@ ROWS = 4
 BASE = 1.001
 RATE = 20.0
 SLACK = 6.0
+FAMILY_SHINGLES = 8_000_000
 
 
 def shingle_set(hashes: WordHashes, text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -135,17 +140,73 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").mapInPandas(estimate, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose full sets meet the threshold exactly."""
-    pairs = written(pairs, "pairs")
-    wanted = pairs.selectExpr("explode(array(a, b)) as doc_id").distinct()
+def _sets(docs: DataFrame, families: DataFrame) -> DataFrame:
+    """family, rep, n and the sorted shingles of every class that is in a family."""
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "shingles": [shingle_set(hashes, t).tobytes() for t in frame["text"]]})
-
-    held = written(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]).mapInPandas(sets, "doc_id long, shingles binary"), "sets")
+            held = [shingle_set(hashes, t) for t in frame["text"]]
+            yield pd.DataFrame({"family": frame["family"], "rep": frame["doc_id"], "n": [len(s) for s in held], "shingles": [s.tobytes() for s in held]})
+
+    # A shuffled join at every size: the ids are no small side of a large corpus.
+    joined = docs.join(families.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+    return written(joined.mapInPandas(sets, "family long, rep long, n long, shingles binary"), "sets")
+
+
+def linked(ids: list[int], sets: list[np.ndarray], threshold: tuple[int, int] = THRESHOLD) -> list[int]:
+    """Smallest member of each set's component, by an exact join of one family.
+
+    Sets go by size; rare shingles first, a pair at the threshold shares one among the first
+    n - ceil(t n) + 1 of either set.  Shingles of one set only can't be shared.
+    """
+    num, den = threshold
+    _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.empty(len(count), np.int64)
+    order[np.argsort(count, kind="stable")] = np.arange(len(count))
+    single = int((count == 1).sum())
+    ranks = np.split(order[inverse], np.cumsum([len(s) for s in sets])[:-1])
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    posted: dict[int, list[int]] = {}
+    for i in sorted(range(len(sets)), key=lambda k: len(sets[k])):
+        n = len(sets[i])
+        prefix = n - -(-num * n // den) + 1
+        head = np.sort(ranks[i])[:prefix] if prefix < n else np.sort(ranks[i])
+        met: set[int] = set()
+        for rank in head[head >= single].tolist():
+            others = posted.setdefault(rank, [])
+            met.update(others)
+            others.append(i)
+        for j in met:
+            if den * len(sets[j]) < num * n or root(i) == root(j):
+                continue
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if den * common >= num * (n + len(sets[j]) - common):
+                a, b = root(i), root(j)
+                parent[max(a, b, key=lambda k: ids[k])] = min(a, b, key=lambda k: ids[k])
+    return [ids[root(i)] for i in range(len(sets))]
+
+
+def _narrow(sets: DataFrame) -> DataFrame:
+    """node, component of the members of families that one task joins."""
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        held = [np.frombuffer(s, np.uint64) for s in frame["shingles"]]
+        return pd.DataFrame({"node": frame["rep"], "component": linked(frame["rep"].tolist(), held)})
+
+    return sets.groupBy("family").applyInPandas(join, "node long, component long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose full sets meet the threshold exactly."""
+    held = sets.select(F.col("rep").alias("doc_id"), "shingles")
     num, den = THRESHOLD
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,19 +222,10 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return written(joined.mapInPandas(verify, "a long, b long"), "verified")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: n_shingles, component_id and kept (the smallest doc_id of its component)."""
-    docs = columns(docs, doc_id="long", text="string")
-    held = written(sketches(docs), "sketches")
-    sets = held.where("digest is not null and doc_id is not null")
-    classes = written(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
-
-    keyed = written(_band_keys(classes), "bands")
-    leaders = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    met = written(keyed.join(leaders, "key").select("key", "rep", "leader"), "met")
+def _wide(met: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, component of the members of families too wide for one task."""
     stars = met.where("rep <> leader").selectExpr("leader as a", "rep as b").distinct()
-    first = _verified(_estimated(stars, classes), docs)
-
+    first = _verified(_estimated(stars, classes), sets)
     found = components(first)
     # Keys whose members are still in several components: the members outside the largest one meet all others.
     placed = met.join(found.selectExpr("node as rep", "component"), "rep", "left").selectExpr("key", "rep", "coalesce(component, rep) as component")
@@ -183,9 +235,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     outside = open_.where("component <> main").selectExpr("key", "rep as x", "component as cx")
     rest = open_.selectExpr("key", "rep as y", "component as cy", "main")
     pairs = outside.join(rest, "key").where("cx <> cy and (cy = main or x < y)").selectExpr("least(x, y) as a", "greatest(x, y) as b").distinct()
-    second = _verified(_estimated(pairs.join(stars, ["a", "b"], "left_anti"), classes), docs)
+    second = _verified(_estimated(pairs.join(stars, ["a", "b"], "left_anti"), classes), sets)
+    return components(first.unionByName(second))
+
 
-    found = written(components(first.unionByName(second)), "components")
+def near_duplicates(docs: DataFrame, family_shingles: int = FAMILY_SHINGLES) -> DataFrame:
+    """Per document: n_shingles, component_id and kept (the smallest doc_id of its component)."""
+    docs = columns(docs, doc_id="long", text="string")
+    held = written(sketches(docs), "sketches")
+    sets = held.where("digest is not null and doc_id is not null")
+    classes = written(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
+
+    keyed = written(_band_keys(classes), "bands")
+    leaders = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1")
+    met = written(keyed.join(leaders, "key").select("key", "rep", "leader"), "met")
+    families = components(met.where("rep <> leader").selectExpr("leader as a", "rep as b")).selectExpr("node as rep", "component as family")
+    families = written(families, "families")
+    full = _sets(docs, families)
+    sizes = full.groupBy("family").agg(F.sum("n").alias("n"))
+    narrow = sizes.where(F.col("n") <= family_shingles).select("family")
+    found = _narrow(full.join(narrow, "family"))
+    wide = sizes.where(F.col("n") > family_shingles).select("family")
+    if not wide.isEmpty():
+        of_wide = families.join(wide, "family").select("rep")
+        found = found.unionByName(_wide(met.join(of_wide, "rep"), full.join(of_wide, "rep"), classes))
+    found = written(found, "components")
+    discard(keyed, met, families, full)
     member = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.selectExpr("digest", "coalesce(component, rep) as component")
     out = held.select("doc_id", "n_shingles", "digest").join(member, "digest", "left")

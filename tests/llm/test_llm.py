@@ -297,12 +297,13 @@ def near_truth(rows):
     return {d: (len(s), label[d]) for d, s in sets.items()}
 
 
-def test_near_duplicates(spark, docs, rows, none):
+@pytest.mark.parametrize("family_shingles", [neardup.FAMILY_SHINGLES, 1000])
+def test_near_duplicates(spark, docs, rows, none, family_shingles):
     # A chain: neighbours link, the ends don't; its smallest member isn't its hub.
     base = [f"t{i}" for i in range(200)]
     chain = [(3000 + k, " ".join(base[k * 6 :] + [f"u{j}" for j in range(k * 6)])) for k in range(8)]
     more = [*rows, *chain]
-    got = neardup.near_duplicates(docs.select("doc_id", "text").union(spark.createDataFrame(chain, "doc_id long, text string"))).collect()
+    got = neardup.near_duplicates(docs.select("doc_id", "text").union(spark.createDataFrame(chain, "doc_id long, text string")), family_shingles).collect()
     want = near_truth(more)
     assert len(got) == len(more)
     for r in got:
