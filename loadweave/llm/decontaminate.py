@@ -46,7 +46,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, words, hit (sorted places of hit words) and items (sorted ids)."""
+    """Per document: doc_id, n_words, hit (sorted places of hit words) and items (sorted ids)."""
     # Rows are told apart by doc_id alone, so repeated rows share their findings.
     docs = columns(docs, doc_id="long", text="string")
     windows = written(item_windows(items, window), "windows")
@@ -70,7 +70,6 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     found = found.withColumn("found", F.expr("filter(coalesce(proposed, array()), p -> array_join(slice(w, p.start + 1, p.size), ' ') = p.key)"))
     found = found.select(
         "doc_id",
-        "text",
         F.size("w").alias("n_words"),
         F.expr("array_sort(array_distinct(flatten(transform(found, p -> sequence(p.start, p.start + p.size - 1)))))").alias("hit"),
         F.expr("array_distinct(transform(found, p -> p.key))").alias("keys"),
