@@ -409,3 +409,42 @@ def geo_cells(spark, d):
     return points(spark, d).select("code", expr.geo_cell("lat", "lon", 300).alias("cell"))
 
 
+
+
+@query("snapshots", """SELECT CASE WHEN GROUPING(o_orderstatus) = 1 THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_orderpriority, CAST(GROUPING(o_orderstatus) * 2 + GROUPING(o_orderpriority) AS INTEGER) AS which, round(sum(o_totalprice), 2) AS o_totalprice, CAST(count(*) AS BIGINT) AS n
+FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), (o_orderstatus, o_orderpriority), ())""")
+def snapshots(spark, d):
+    from ..operators.inputs import snapshots as op
+
+    return rounded(op(table(spark, d, "orders"), [["o_orderstatus"], ["o_orderpriority"], ["o_orderstatus", "o_orderpriority"], []], "o_totalprice"), 2)
+
+
+@query("shares_within", """WITH s AS (SELECT c_nationkey, c_mktsegment, sum(greatest(c_acctbal, 0)) AS v FROM customer GROUP BY 1, 2) SELECT c_nationkey, c_mktsegment, round(v / nullif(sum(v) OVER (PARTITION BY c_nationkey), 0), 6) AS share FROM s""")
+def shares_within(spark, d):
+    from ..operators.inputs import shares_within as op
+
+    rows = table(spark, d, "customer").withColumn("c_acctbal", F.greatest("c_acctbal", F.lit(0.0)))
+    return rounded(op(rows, "c_nationkey", "c_mktsegment", "c_acctbal"))
+
+
+@query("concentrated_targets", f"""WITH {hourly_sql(3)}, w AS (SELECT * FROM h WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-06'), dd AS (SELECT code, date FROM w GROUP BY 1, 2 HAVING count(kw) = 24), ok AS (SELECT code FROM dd GROUP BY 1 HAVING count(*) = 2),
+m AS (SELECT code, hour, avg(kw) AS m FROM w JOIN ok USING (code) GROUP BY 1, 2), s AS (SELECT code, coalesce(max(m) / nullif(sum(m), 0), 0) AS c FROM m GROUP BY 1)
+SELECT code, round(c, 6) AS concentration, CAST(row_number() OVER (ORDER BY c DESC, code) AS INTEGER) AS place FROM s WHERE c > (SELECT median(c) FROM s)""")
+def concentrated_targets(spark, d):
+    from ..operators.inputs import concentrated_targets as op
+
+    return rounded(op(hourly(spark, d, 3), "2024-01-05", "2024-01-06"))
+
+
+@query("region_stock", "SELECT s_nationkey AS code, CAST(count(*) AS BIGINT) AS n_stations, CAST(sum(s_suppkey % 7 + 1) AS DOUBLE) AS chargers FROM supplier GROUP BY 1")
+def region_stock(spark, d):
+    from ..operators.inputs import region_stock as op
+
+    return op(table(spark, d, "supplier").select(F.col("s_nationkey").alias("code"), (F.col("s_suppkey") % 7 + 1).cast("double").alias("chargers")))
+
+
+@query("labelled_scalars", """WITH o AS (SELECT avg(o_totalprice) AS mean, CAST(count(*) AS DOUBLE) AS n FROM orders) SELECT 'orders n' AS item, CAST(CAST(n AS DECIMAL(18, 1)) AS VARCHAR) AS value FROM o UNION ALL SELECT 'orders missing', 'not computed'""")
+def labelled_scalars(spark, d):
+    from ..operators.inputs import labelled_scalars as op
+
+    return op({"orders": table(spark, d, "orders").agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("missing"))})
