@@ -3,10 +3,30 @@
 from __future__ import annotations
 
 from .decontaminate import OP4_SQL
+from .licenses import PHRASES, TEMPLATES, THRESHOLD
 
 _SPACE = r"[\x09-\x0D\x20]+"
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_PHRASE_ROWS = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in PHRASES.items())
+_TEMPLATE_ROWS = ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES.items())
+
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array({_ASCII_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+ph(phrase, k, label) AS (VALUES {_PHRASE_ROWS}), tp(label, body) AS (VALUES {_TEMPLATE_ROWS}),
+tw AS (SELECT label, len(string_split(body, ' ')) AS span, len(list_distinct(string_split(body, ' '))) AS size, unnest(list_distinct(string_split(body, ' '))) AS word FROM tp),
+pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+base AS (SELECT doc_id, i - 1 AS i, label FROM pos, ph WHERE array_to_string(w[i:i + k - 1], ' ') = phrase),
+hit AS (SELECT doc_id, label, span, size, i, w[i] AS word FROM pos JOIN tw ON w[i] = tw.word),
+win AS (SELECT a.doc_id, a.label, a.size, a.i, count(DISTINCT b.word) AS n FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.label = b.label AND b.i BETWEEN a.i AND a.i + a.span - 1 GROUP BY 1, 2, 3, 4),
+found AS (SELECT doc_id, label, max(n) / any_value(size) AS score FROM win GROUP BY 1, 2 HAVING max(n) >= ceil({THRESHOLD} * any_value(size) - 1e-9)),
+b AS (SELECT doc_id, count(*) AS n_base, min(i) AS f, max(i) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY 1),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM (SELECT doc_id, label, 1.0 AS score FROM base UNION ALL SELECT * FROM found) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(f AS BIGINT) AS first_word, CAST(l AS BIGINT) AS last_word,
+       coalesce(b.labels, '') AS base_labels, coalesce(a.labels, '') AS labels, CAST(coalesce(a.score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
 OP3_SQL = rf"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
@@ -53,6 +73,7 @@ FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = c.doc_id
 """
 
 ORACLE_SQL = {
+    "op1_license": OP1_SQL,
     "op3_substring": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
     "op6_language_model": OP6_SQL,
