@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by a permutation index.
 
-``PIVOTS`` distinct vectors (of the smallest hashes of vec_id, a bounded sample) are pivots.  A
+``PIVOTS`` vectors apart from one another (of the 4 * ``PIVOTS`` smallest hashes of vec_id, a
+bounded sample) are pivots.  A
 vector is represented by its ``PREFIX`` nearest pivots in order.  Index blocks hold vectors of
 a hash of vec_id and, for each pivot, an inverted file of the block's vectors with the
 pivot's place in their order.  A query adds, over its own pivots, the footrule distance
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import columns, table
 
 PIVOTS, PREFIX, SHARE, LEAST = 256, 128, 0.12, 256
+#: Cosine from which two sampled vectors are too alike to be pivots both.
+APART = 0.9
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 1024
 
 
@@ -39,8 +42,14 @@ def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
         return np.zeros((0, 0))
     sizes = [len(r["embedding"]) for r in rows]
     size = max(set(sizes), key=lambda s: (sizes.count(s), s))
-    distinct = list(dict.fromkeys(tuple(r["embedding"]) for r in rows if len(r["embedding"]) == size))[:pivots]
-    return unit(np.array(distinct))
+    sample = unit(np.array(list(dict.fromkeys(tuple(r["embedding"]) for r in rows if len(r["embedding"]) == size))))
+    # Pivots apart from one another first: a large group of near copies would otherwise fill the order with one place.
+    chosen: list[int] = []
+    for i, x in enumerate(sample):
+        if len(chosen) < pivots and (not chosen or (sample[chosen] @ x).max() < APART):
+            chosen.append(i)
+    rest = [i for i in range(len(sample)) if i not in set(chosen)]
+    return sample[sorted(chosen + rest[: pivots - len(chosen)])]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
