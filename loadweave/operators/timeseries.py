@@ -136,7 +136,7 @@ def pinball(actual: str, quantile: str, tau: float) -> Column:
 
 
 def forecast_metrics(pred: DataFrame, code: str = "code") -> DataFrame:
-    """Errors over all and by region (NULL code: all), on rows where actual, baseline, yesterday, q50 and q90 exist."""
+    """Errors over all and by region (NULL code: all), on rows where actual, baseline, yesterday, q50 and q90 exist; none without such rows."""
     full = pred.where("actual_kw is not null and baseline_kw is not null and lag1 is not null and q50 is not null and q90 is not null")
     day = Window.partitionBy(code, "date")
     first_peak = F.row_number().over(day.orderBy(F.desc("actual_kw"), "hour")) == 1

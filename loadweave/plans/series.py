@@ -105,7 +105,7 @@ _PRED = f"{_BASE}, pd AS (SELECT b.code, b.date, b.hour, b.kw AS actual_kw, b.ba
 SELECT code, CAST(count(*) AS BIGINT) AS n, round(avg(abs(actual_kw - lag1)), 6) AS mae_yesterday, round(avg(abs(actual_kw - baseline_kw)), 6) AS mae_baseline, round(avg(abs(actual_kw - q50)), 6) AS mae_ai,
 round(avg(CASE WHEN grows THEN actual_kw - baseline_kw END), 6) AS growth_bias_baseline, round(avg(CASE WHEN grows THEN actual_kw - q50 END), 6) AS growth_bias_ai, round(avg(CASE WHEN pk THEN abs(actual_kw - baseline_kw) END), 6) AS peak_mae_baseline, round(avg(CASE WHEN pk THEN abs(actual_kw - q50) END), 6) AS peak_mae_ai,
 round(avg(CASE WHEN actual_kw <= q90 THEN 1 ELSE 0 END), 6) AS coverage, round(avg(greatest(0.5 * (actual_kw - q50), -0.5 * (actual_kw - q50))), 6) AS pinball50, round(avg(greatest(0.9 * (actual_kw - q90), -0.1 * (actual_kw - q90))), 6) AS pinball90,
-round(avg(abs(actual_kw - q50)), 6) <= round(avg(abs(actual_kw - baseline_kw)), 6) AND avg(CASE WHEN actual_kw <= q90 THEN 1 ELSE 0 END) >= 0.8 AS passes FROM f GROUP BY GROUPING SETS ((), (code))""")
+round(avg(abs(actual_kw - q50)), 6) <= round(avg(abs(actual_kw - baseline_kw)), 6) AND avg(CASE WHEN actual_kw <= q90 THEN 1 ELSE 0 END) >= 0.8 AS passes FROM f GROUP BY GROUPING SETS ((), (code)) HAVING count(*) > 0""")
 def forecast_metrics(spark, d):
     return ts.ai_improvement(rounded(ts.forecast_metrics(_predictions(spark, d))))
 
