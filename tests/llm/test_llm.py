@@ -372,6 +372,20 @@ def test_neighbours(spark):
     assert neighbours.nearest(few, few.where("vec_id = 0")).count() == 2
 
 
+def test_neighbours_within_near_copies(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 32))
+    x[::3] = x[0] + 0.01 * rng.normal(size=(500, 32))  # a third of all rows
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0")).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = unit[::50] @ unit.T
+    score[np.arange(30), np.arange(0, 1500, 50)] = -9
+    best = np.argsort(-score, axis=1)[:, :5]
+    found = sum(len(set(b.tolist()) & set(got[got["query_id"] == 50 * i]["vec_id"])) for i, b in enumerate(best))
+    assert found >= 0.9 * best.size
+
+
 # pipeline
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
