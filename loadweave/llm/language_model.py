@@ -1,7 +1,7 @@
 """Stupid-backoff language-model scores of every document, from counts over all documents.
 
-A document goes to a batch by a hash.  A batch lists its distinct n-grams once (64-bit
-hashes, sorted) with their counts, so the frequent ones are summed before they travel.  The
+A document goes to a batch by a hash.  A batch lists its distinct n-grams once (hashes,
+sorted) with their counts, so the frequent ones are summed before they travel.  The
 lists are dealt by n-gram hash: each bucket of the count tables sums its part and answers
 every batch with the corpus counts in the batch's own order.  The batch joins the answers
 to its exploded n-grams and sums a score for each document.  Only lists, answers and the
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import ALNUM_FOLD, WordHashes, columns, input_bytes, run_hashes, spread, table, written
 
 ORDER, ALPHA, CUTOFF = 3, 0.4, 2
-BATCH_BYTES = 10 << 20
+BATCH_BYTES = 5 << 20
+#: Bits of an n-gram's hash.  A shared hash adds two counts; with 1e13 distinct n-grams one in 10 000 would.
+HASH_BITS = 56
 
 
 def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -39,21 +41,24 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
 
 def _grams(tokens: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams within documents and the positions of their last words."""
-    hashes = run_hashes(tokens, n)
+    hashes = run_hashes(tokens, n) >> np.uint64(64 - HASH_BITS)
     inside = doc[: len(hashes)] == doc[n - 1 : n - 1 + len(hashes)]
     first = np.flatnonzero(inside)
     return hashes[first], first + n - 1
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Ascending 64-bit values as differences, byte plane by byte plane; the high planes compress to nothing."""
+    """Ascending values as differences, byte plane by byte plane, without the planes that are all zero."""
     steps = np.diff(values, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes() + bytes([width])
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    width = blob[-1]
+    planes = np.zeros(((len(blob) - 1) // width, 8), np.uint8)
+    planes[:, :width] = np.frombuffer(blob, np.uint8, len(blob) - 1).reshape(width, -1).T
+    return np.cumsum(planes.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, cutoff: int = CUTOFF) -> DataFrame:
@@ -61,8 +66,8 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, cutoff: in
     docs = columns(docs, doc_id="long", text="string")
     count = max(1, -(-input_bytes(docs) // BATCH_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.withColumn("batch", F.expr(f"cast(pmod(xxhash64(doc_id, length(text)), {count}) as int)"))
-    groups = spread(docs, 8 << 20, 32)
-    shift = np.uint64(64 - groups.bit_length() + 1)
+    groups = spread(docs, 4 << 20, 32)
+    shift = np.uint64(HASH_BITS - groups.bit_length() + 1)
 
     def list_grams(frame: pd.DataFrame) -> pd.DataFrame:
         tokens, lengths = _tokens(frame["text"])
@@ -117,9 +122,8 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, cutoff: in
             seen[n] = np.zeros(len(tokens), np.int64)
             grams, last = _grams(tokens, doc, n)
             if len(grams):
-                _, inverse = np.unique(grams, return_inverse=True)
                 totals = np.concatenate([np.frombuffer(zlib.decompress(b), "<u8") for b in answer[answer["n"] == n].sort_values("bucket")["totals"]])
-                seen[n][last] = totals.astype(np.int64)[inverse]
+                seen[n][last] = totals.astype(np.int64)[np.unique(grams, return_inverse=True)[1]]
         top = np.zeros(len(tokens), bool)
         for n in range(order, 0, -1):
             if n > 1:
