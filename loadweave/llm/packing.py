@@ -15,8 +15,11 @@ on its own; an empty table gives no rows; longer documents are cut into full pie
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -35,44 +38,110 @@ class ChunkEncoder:
     """Ids of whole texts, from ids of the pieces between plain spaces and newlines.
 
     The pre-tokenizer's pattern matches no white space and the normalizer doesn't join
-    characters over it, so pieces encode independently.  Texts that contain the start of
-    an added token go to the tokenizer whole.  Up to ``most`` pieces are remembered.
+    characters over it, so pieces encode independently.  A new piece of printable ASCII
+    without an apostrophe is lower-cased and cut where the pattern cuts it (runs of letters,
+    single digits, runs of signs).  Unknown words go to the tokenizer together and are told
+    apart by the tokens that end a word; other pieces go one by one.  Texts that
+    contain the start of an added token go there whole.  Up to ``most`` pieces are remembered.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    _PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most, self.known = most, {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words (each one match of the pattern): encoded together, cut after word ends."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cuts) != len(words):  # a word that the tokenizer cuts otherwise
+            return self._raw(words)
+        data, starts = ids.tobytes(), [0, *cuts[:-1].tolist()]
+        return [data[a:b] for a, b in zip(starts, cuts.tolist(), strict=True)]
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of new pieces: short ones are remembered, long ones only returned."""
+        known, words, new = self.known, set(), []
+        same: list[tuple[str, str]] = []
+        cut: list[tuple[str, list[str]]] = []
+        for chunk in chunks:
+            if chunk.isalpha():
+                if chunk.isascii():
+                    low = chunk.lower()
+                    if low not in known:
+                        words.add(low)
+                    if low != chunk:
+                        same.append((chunk, low))
+                elif "Σ" not in chunk and chunk.lower().isalpha() and is_normalized("NFC", chunk):
+                    words.add(chunk)
+                else:
+                    new.append(chunk)
+            elif chunk.isascii() and chunk.isprintable() and "'" not in chunk:
+                parts = self._PARTS.findall(chunk.lower())
+                cut.append((chunk, parts))
+                for part in parts:
+                    if part not in known:
+                        words.add(part)
+            else:
+                new.append(chunk)
+        ordered = list(words)
+        found = dict(zip(ordered, self._words(ordered), strict=True))
+        found.update(zip(new, self._raw(new) if new else (), strict=True))
+        extra: dict[str, bytes] = {}
+        if found and max(map(len, found)) > _LONG_CHUNK:
+            extra = {piece: ids for piece, ids in found.items() if len(piece) > _LONG_CHUNK}
+            for piece in extra:
+                del found[piece]
+        known.update(found)
+        for chunk, low in same:
+            (known if len(chunk) <= _LONG_CHUNK else extra)[chunk] = known[low] if low in known else extra[low]
+        for chunk, parts in cut:
+            ids = b"".join([known[p] if p in known else extra[p] for p in parts])
+            (known if len(chunk) <= _LONG_CHUNK else extra)[chunk] = ids
+        return extra
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.known) > self.most:
+            self.known.clear()
+            self.known[""] = b""
+        split = [None if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
+        known = self.known
+        extra = self._learn({c for chunks in split if chunks for c in chunks if c not in known})
         out: list[bytes] = []
-        for text in texts:
-            if "<|" in text:
+        for text, chunks in zip(texts, split, strict=True):
+            if chunks is None:
                 out += self._raw([text])
-                continue
-            chunks = text.replace("\n", " ").split(" ")
-            known = self.known
-            if len(known) > self.most:
-                known.clear()
-                known[""] = b""
-            missing = list({c for c in chunks if c not in known})
-            extra: dict[str, bytes] = {}
-            if missing:
-                for chunk, ids in zip(missing, self._raw(missing), strict=True):
-                    (known if len(chunk) <= _LONG_CHUNK else extra)[chunk] = ids
-            if extra:
+            elif extra:
                 out.append(b"".join([known[c] if c in known else extra[c] for c in chunks]))
             else:
                 out.append(b"".join(map(known.__getitem__, chunks)))
         return out
 
 
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder for all tasks of a worker process, so that what one has learned serves the next."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Best-fit decreasing over counts: rows (length, first rank, ranks, first sequence, offset).
 
@@ -134,7 +203,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = END_ID)
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, task = ChunkEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, task = encoder_of(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for frame in frames:
             out: list[tuple] = []
