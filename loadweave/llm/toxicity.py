@@ -3,7 +3,8 @@
 Learning uses a bounded sample of labelled rows (``SAMPLE`` at most, the smallest hashes of
 their doc_id, a documented parameter), never rows whose crc32(doc_id) mod 4 is 2.
 
-* Lexicon: log-odds weights of words and of word beginnings by documents of either label.
+* Lexicon: log-odds weights of words and of word beginnings by their occurrences in documents of
+  either label (up to ``MOST_TIMES`` in one).
   Copies would repeat their rare words, so texts with one minimal five-word-shingle hash
   count once.  Only entries above a support go on; at most ``ENTRIES`` reach the driver.
 * Features: lexicon densities at several strengths, the strongest and the summed weight,
@@ -20,6 +21,7 @@ without words; no usable labels (none, or of one kind) give every text their mea
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, Isotonic
-from .common import LOWER, WordHashes, columns, run_hashes, table, written
+from .common import LOWER, WordHashes, batches, columns, run_hashes, table, written
 
 SAMPLE = 16_000
 ENTRIES = 6_000
 THRESHOLD = 0.3
+#: Occurrences of an entry in one document that count.
+MOST_TIMES = 5
 #: Second-person words of the four languages of the corpus.
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch eure usted ustedes vosotros ti tus".split()
@@ -126,9 +130,9 @@ def _lexicon(sample: DataFrame, folds: tuple[int, ...], counts: dict[tuple[int,
     if not toxic or not clean:
         return {}
     support = max(3, round(0.002 * (toxic + clean)))
-    rows = sample.where(F.col("fold").isin(*folds)).groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    rows = sample.where(F.col("fold").isin(*folds)).groupBy("entry").agg(F.sum("docs").alias("d"), F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    rows = rows.where(F.col("t") >= support).select("entry", odds.alias("w")).where("w >= 0.7").orderBy(F.desc("w"), "entry").limit(ENTRIES)
+    rows = rows.where(F.col("d") >= support).select("entry", odds.alias("w")).where("w >= 0.7").orderBy(F.desc("w"), "entry").limit(ENTRIES)
     return {r["entry"]: r["w"] for r in rows.collect()}
 
 
@@ -143,20 +147,23 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
     def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for frame in frames:
+        for frame in batches(frames, "text", 2 << 20):  # the entries take many times the text's room
             keys, entries = [], []
             for text in frame["text"]:
                 units = hashes.array((text or "").encode("utf-8", "surrogatepass").translate(LOWER).split())
                 keys.append(int(run_hashes(units, min(5, len(units))).min().view(np.int64)) if len(units) else 0)
-                entries.append(sorted({e for t in set((text or "").split()) for e in entries_of(plain(t)[0]) if len(e) <= 40}))
+                seen = Counter(e for t, k in Counter((text or "").split()).items() for e in entries_of(plain(t)[0]) * min(k, MOST_TIMES) if len(e) <= 40)
+                entries.append(sorted(f"{e} {min(k, MOST_TIMES)}" for e, k in seen.items() if e))
             # Likely copies share their key, so they share their fold too.
             yield frame.assign(key=keys, fold=np.array(keys, np.int64) >> 8 & 1, entries=entries)
 
     held = written(sample.mapInPandas(spell, "doc_id long, text string, toxic int, key long, fold int, entries array<string>"), "labelled")
     single = held.groupBy("key", F.col("toxic").alias("label")).agg(F.max("fold").alias("fold"), F.max("entries").alias("entries"))
     counts = {(r["fold"], r["label"]): r["n"] for r in single.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
-    entries = single.select("fold", F.explode("entries").alias("entry"), F.col("label").alias("toxic"), (1 - F.col("label")).alias("clean"))
-    sums = entries.groupBy("entry", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > 0")
+    pairs = single.select("fold", "label", F.explode("entries").alias("e")).withColumn("e", F.split("e", " "))
+    entries = pairs.select("fold", F.col("e")[0].alias("entry"), (F.col("label") == 1).alias("is_toxic"), F.col("e")[1].cast("int").alias("times"))
+    times = lambda kind: F.sum(F.when(kind, F.col("times")).otherwise(0))
+    sums = entries.groupBy("entry", "fold").agg(F.count_if("is_toxic").alias("docs"), times(F.col("is_toxic")).alias("toxic"), times(~F.col("is_toxic")).alias("clean")).where("docs > 0")
     sums = written(sums, "entries")
     lexicons = [_lexicon(sums, (1,), counts), _lexicon(sums, (0,), counts), _lexicon(sums, (0, 1), counts)]
 
