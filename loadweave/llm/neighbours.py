@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import columns, table
 
-PIVOTS, PREFIX, SHARE, LEAST = 256, 128, 0.12, 256
+PIVOTS, PREFIX, SHARE, LEAST = 256, 128, 0.12, 256  # places fit one byte, their sums two
 #: Cosine from which two sampled vectors are too alike to be pivots both.
 APART = 0.9
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 1024
@@ -85,14 +85,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = S
         block = block.sort_values("vec_id")
         ids = block["vec_id"].to_numpy(np.int64)
         x, wanted = unit(np.stack(block["embedding"])), unit(np.stack(asked["embedding"]))
-        files = np.ascontiguousarray(places(x, pivots, prefix).T)  # one inverted file for each pivot
+        files = np.ascontiguousarray(places(x, pivots, prefix).T.astype(np.uint8))  # one inverted file for each pivot
         keep = min(len(ids), max(LEAST, int(np.ceil(share * len(ids)))))
         out = []
         for query_id, y, order in zip(asked["vec_id"].to_numpy(np.int64), wanted, places(wanted, pivots, prefix), strict=True):
             own = np.flatnonzero(order < prefix)
-            posted = files[own]
-            distance = (np.abs(posted - order[own][:, None]) + posted).sum(axis=0, dtype=np.int64)
-            near = np.argsort(distance, kind="stable")[: keep + 1]
+            # |place - own place|, and the same against the prefix for pivots the query lacks, up to a constant of the query.
+            distance = np.maximum(files[own], order[own].astype(np.uint8)[:, None]).sum(axis=0, dtype=np.uint16)
+            near = np.argpartition(distance, keep)[: keep + 1] if keep < len(ids) else np.arange(len(ids))
             near = near[ids[near] != query_id]
             score = x[near] @ y
             best = near[np.lexsort((ids[near], -score))[: k + 8]]
