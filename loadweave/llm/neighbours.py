@@ -6,9 +6,11 @@ vector is represented by its ``PREFIX`` nearest pivots in order.  Index blocks h
 a hash of vec_id and, for each pivot, an inverted file of the block's vectors with the
 pivot's place in their order.  A query adds, over its own pivots, the footrule distance
 |place in the query - place in the vector| (a pivot beyond the prefix counts as ``PREFIX``),
-keeps the nearest ``SHARE`` of each block and ranks these again by exact cosine.  All
-vectors are indexed; blocks of queries meet blocks of vectors, and each such pair returns
-only its best few.  A group of copies, however large, is spread by its hash.
+keeps the nearest ``SHARE`` of each block, with all that tie with the last of them, and ranks
+these again by exact cosine.  All vectors are indexed; blocks of queries meet blocks of
+vectors, and each such pair returns only its best few.  A group of copies, however large, is
+spread by its hash; within a block its equal vectors are one candidate, which stands for their
+smallest vec_ids.
 
 Defined results: rows whose vec_id or vector is null, whose vector is all zero, holds a null or
 a non-finite component, or differs in size from the pivots take no part; ties in score go
@@ -65,6 +67,17 @@ def places(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return out
 
 
+def copies(x: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, list[list[int]]]:
+    """First row of each group of equal rows of x, and the group's ``most`` smallest ids (ids ascend)."""
+    rows = np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel()
+    _, first, group = np.unique(rows, return_index=True, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    fresh = np.append(True, (np.diff(group[order]) != 0) | (np.diff(ids[order]) != 0))  # repeated rows count once
+    order = order[fresh]
+    starts = np.searchsorted(group[order], np.arange(len(first) + 1))
+    return first, [ids[order[lo : min(lo + most, hi)]].tolist() for lo, hi in zip(starts[:-1], starts[1:], strict=True)]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, but itself."""
     vectors, queries = usable(vectors), usable(queries)
@@ -82,24 +95,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = S
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(block) or not len(asked):
             return empty
-        block = block.sort_values("vec_id")
+        # Sorted by vec_id, so the first row of equal vectors has the smallest.
+        block = block.sort_values("vec_id", kind="stable")
         ids = block["vec_id"].to_numpy(np.int64)
-        x, wanted = unit(np.stack(block["embedding"])), unit(np.stack(asked["embedding"]))
+        x, wanted = unit(np.stack(block["embedding"])) + 0.0, unit(np.stack(asked["embedding"]))  # + 0.0: no negative zeros
+        keep = max(LEAST, int(np.ceil(share * len(ids))))
+        first, members = copies(x, ids, k + 1)
+        x, lone = x[first], np.array([m[0] if len(m) == 1 else None for m in members], object)
         files = np.ascontiguousarray(places(x, pivots, prefix).T.astype(np.uint8))  # one inverted file for each pivot
-        keep = min(len(ids), max(LEAST, int(np.ceil(share * len(ids)))))
         out = []
         for query_id, y, order in zip(asked["vec_id"].to_numpy(np.int64), wanted, places(wanted, pivots, prefix), strict=True):
             own = np.flatnonzero(order < prefix)
             # |place - own place|, and the same against the prefix for pivots the query lacks, up to a constant of the query.
             distance = np.maximum(files[own], order[own].astype(np.uint8)[:, None]).sum(axis=0, dtype=np.uint16)
-            near = np.argpartition(distance, keep)[: keep + 1] if keep < len(ids) else np.arange(len(ids))
-            near = near[ids[near] != query_id]
+            near = np.flatnonzero(distance <= np.partition(distance, keep)[keep]) if keep < len(x) else np.arange(len(x))
+            near = near[lone[near] != query_id]
             score = x[near] @ y
-            best = near[np.lexsort((ids[near], -score))[: k + 8]]
+            if len(near) > k:  # every candidate left has a member to return, so none below the k-th can be among the best
+                near = near[score >= np.partition(score, len(near) - k)[len(near) - k] - 1e-9]
             # The few best once more, each by the same order of operations wherever its block is.
-            exact = np.array([float(np.dot(x[i], y)) for i in best])
-            first = np.lexsort((ids[best], -exact))[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best][first], "score": np.clip(exact[first], -1.0, 1.0)}))
+            found = [(-float(np.dot(x[i], y)), vec_id) for i in near for vec_id in members[i] if vec_id != query_id]
+            best = sorted(set(found))[:k]
+            out.append(pd.DataFrame({"query_id": query_id, "vec_id": np.array([v for _, v in best], np.int64), "score": np.clip(np.array([-s for s, _ in best]), -1.0, 1.0)}))
         return pd.concat(out, ignore_index=True)
 
     found = held.groupBy("v", "q").cogroup(sought.groupBy("v", "q")).applyInPandas(search, "query_id long, vec_id long, score double")

@@ -386,6 +386,23 @@ def test_neighbours_within_near_copies(spark):
     assert found >= 0.9 * best.size
 
 
+@pytest.mark.parametrize("block", [neighbours.VECTOR_BLOCK, 1000])
+def test_neighbours_within_exact_copies(spark, block, monkeypatch):
+    monkeypatch.setattr(neighbours, "VECTOR_BLOCK", block)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2400, 64))
+    x[::3] = x[0]  # a third of all rows, more than a block's share of candidates
+    x[4::200] = x[0] + 0.5 * rng.normal(size=(12, 64))  # beside the group, which must not fill their candidates
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = [*range(0, 2400, 60), *range(4, 2400, 200)]
+    got = neighbours.nearest(vectors, vectors.where("vec_id % 60 = 0 or vec_id % 200 = 4")).toPandas().sort_values("rank")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in asked:
+        score = np.round(unit @ unit[q], 12)
+        order = [i for i in np.lexsort((np.arange(2400), -score)) if i != q][:5]
+        assert got[got["query_id"] == q]["vec_id"].tolist() == order
+
+
 # pipeline
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
