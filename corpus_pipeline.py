@@ -19,9 +19,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+#: Jaccard similarity of five-word shingles from which the stage links two documents.
+NEAR = (80, 100)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a doc_id stay; of rows equal in doc_id and text one stays."""
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = neardup.near_duplicates(docs, threshold=NEAR).where("kept and doc_id is not null").select("doc_id").distinct()
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 

@@ -18,7 +18,8 @@
    standard errors below the threshold), before their full sets are compared.
 6. Verified links form components (``graphs``).
 
-A pair at the threshold misses all bands with a probability of (1 - 0.85**4)**32 < 1e-10.
+A pair at op8's threshold misses all bands with a probability of (1 - 0.85**4)**32 < 1e-10,
+one at 0.80 with (1 - 0.8**4)**32 < 1e-7.
 
 Defined results: texts without words have an empty set and link with nothing; repeated rows
 share one class; rows with a null doc_id come back with a null component and are kept.
@@ -38,7 +39,7 @@ from .common import LOWER, WordHashes, columns, discard, mixed, run_hashes, tabl
 from .graphs import components
 
 SHINGLE = 5
-THRESHOLD = (85, 100)
+THRESHOLD = (85, 100)  # op8's contract; other callers pass their own
 REGISTERS = 128
 ROWS = 4
 BASE = 1.001
@@ -122,9 +123,9 @@ def _band_keys(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "registers").mapInPandas(keys, "key long, rep long")
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Candidate pairs (a, b) whose likelihood estimate doesn't rule the threshold out."""
-    least = THRESHOLD[0] / THRESHOLD[1]
+    least = threshold[0] / threshold[1]
     floor = least - SLACK * (least * (1 - least) / REGISTERS) ** 0.5
     one = classes.selectExpr("rep as a", "n as n_a", "registers as r_a")
     two = classes.selectExpr("rep as b", "n as n_b", "registers as r_b")
@@ -194,20 +195,20 @@ def linked(ids: list[int], sets: list[np.ndarray], threshold: tuple[int, int] =
     return [ids[root(i)] for i in range(len(sets))]
 
 
-def _narrow(sets: DataFrame) -> DataFrame:
+def _narrow(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """node, component of the members of families that one task joins."""
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         held = [np.frombuffer(s, np.uint64) for s in frame["shingles"]]
-        return pd.DataFrame({"node": frame["rep"], "component": linked(frame["rep"].tolist(), held)})
+        return pd.DataFrame({"node": frame["rep"], "component": linked(frame["rep"].tolist(), held, threshold)})
 
     return sets.groupBy("family").applyInPandas(join, "node long, component long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Pairs whose full sets meet the threshold exactly."""
     held = sets.select(F.col("rep").alias("doc_id"), "shingles")
-    num, den = THRESHOLD
+    num, den = threshold
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -222,10 +223,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(joined.mapInPandas(verify, "a long, b long"), "verified")
 
 
-def _wide(met: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+def _wide(met: DataFrame, sets: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """node, component of the members of families too wide for one task."""
     stars = met.where("rep <> leader").selectExpr("leader as a", "rep as b").distinct()
-    first = _verified(_estimated(stars, classes), sets)
+    first = _verified(_estimated(stars, classes, threshold), sets, threshold)
     found = components(first)
     # Keys whose members are still in several components: the members outside the largest one meet all others.
     placed = met.join(found.selectExpr("node as rep", "component"), "rep", "left").selectExpr("key", "rep", "coalesce(component, rep) as component")
@@ -235,11 +236,11 @@ def _wide(met: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     outside = open_.where("component <> main").selectExpr("key", "rep as x", "component as cx")
     rest = open_.selectExpr("key", "rep as y", "component as cy", "main")
     pairs = outside.join(rest, "key").where("cx <> cy and (cy = main or x < y)").selectExpr("least(x, y) as a", "greatest(x, y) as b").distinct()
-    second = _verified(_estimated(pairs.join(stars, ["a", "b"], "left_anti"), classes), sets)
+    second = _verified(_estimated(pairs.join(stars, ["a", "b"], "left_anti"), classes, threshold), sets, threshold)
     return components(first.unionByName(second))
 
 
-def near_duplicates(docs: DataFrame, family_shingles: int = FAMILY_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, family_shingles: int = FAMILY_SHINGLES, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Per document: n_shingles, component_id and kept (the smallest doc_id of its component)."""
     docs = columns(docs, doc_id="long", text="string")
     held = written(sketches(docs), "sketches")
@@ -254,11 +255,11 @@ def near_duplicates(docs: DataFrame, family_shingles: int = FAMILY_SHINGLES) ->
     full = _sets(docs, families)
     sizes = full.groupBy("family").agg(F.sum("n").alias("n"))
     narrow = sizes.where(F.col("n") <= family_shingles).select("family")
-    found = _narrow(full.join(narrow, "family"))
+    found = _narrow(full.join(narrow, "family"), threshold)
     wide = sizes.where(F.col("n") > family_shingles).select("family")
     if not wide.isEmpty():
         of_wide = families.join(wide, "family").select("rep")
-        found = found.unionByName(_wide(met.join(of_wide, "rep"), full.join(of_wide, "rep"), classes))
+        found = found.unionByName(_wide(met.join(of_wide, "rep"), full.join(of_wide, "rep"), classes, threshold))
     found = written(found, "components")
     discard(keyed, met, families, full)
     member = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
@@ -269,4 +270,4 @@ def near_duplicates(docs: DataFrame, family_shingles: int = FAMILY_SHINGLES) ->
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=THRESHOLD)

@@ -312,6 +312,23 @@ def test_near_duplicates(spark, docs, rows, none, family_shingles):
     assert neardup.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("family_shingles", [neardup.FAMILY_SHINGLES, 1])
+def test_near_duplicates_from_080_in_the_stage(spark, family_shingles, monkeypatch):
+    import corpus_pipeline
+
+    def pair(at, name, shingles, changed):  # Jaccard (shingles - changed) / (shingles + changed)
+        words = [f"{name}{i}" for i in range(shingles + 4)]
+        return [(at, " ".join(words)), (at + 1, " ".join(words[: len(words) - changed] + [f"{name}x{i}" for i in range(changed)]))]
+
+    data = [*pair(0, "a", 90, 10), *pair(10, "b", 100, 10), *pair(20, "c", 100, 12), *pair(30, "d", 100, 5)]  # 0.80, 0.818, 0.786, 0.905
+    made = spark.createDataFrame(data, "doc_id long, text string")
+    monkeypatch.setattr(neardup.near_duplicates, "__defaults__", (family_shingles, neardup.THRESHOLD))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, made, DATA).collect()}
+    assert kept == {0, 10, 20, 21, 30}
+    op8 = {r["doc_id"] for r in neardup.near_duplicates(made).where("kept").collect()}
+    assert op8 == {0, 1, 10, 11, 20, 21, 30}
+
+
 def test_likelihood_estimates():
     rng = np.random.default_rng(5)
     seeds = neardup._seeds(neardup.REGISTERS)
