@@ -1,8 +1,10 @@
 """Secret scans: candidate strings judged by a random forest, in DataFrame operations alone.
 
-A candidate is a token (between white space) that holds a run of at least ``LEAST``
-characters from the alphabets of keys with a digit or both letter cases, or any run after a
-word that announces a secret.  A document-level pattern leaves documents without any at
+A token (between white space) is cut into parts at quotes, brackets, assignment signs and other
+separators; each part is a candidate of its own, with the key name before it, if it holds a run
+of at least ``LEAST`` characters from the alphabets of keys with a digit or both letter cases, or
+follows a word that announces a secret.  What follows the token's last assignment sign is one as
+well, as a secret may hold separators.  A document-level pattern leaves documents without any at
 once.  The forest (MLlib) removes false positives by the candidate's length, its transitions
 between character classes, its coverage by dictionary words, signs of paths and the
 neighbouring words.  It is trained on labelled findings: real-looking keys of known providers
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import columns, table
 
 LEAST = 16
+#: Characters of a value that the tokens before it announce.
+TOLD = 8
 THRESHOLD = 0.5
 #: Words that announce a secret, beginnings of providers' keys, dictionary words.
 ANNOUNCED = r"(?i)(secret|token|passw|pwd|api.?key|apikey|access.?key|private.?key|credential|auth|bearer)"
@@ -33,30 +37,75 @@ PROVIDERS = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk-|sk_live_|rk
 DICTIONARY = r"(?i)(home|users?|usr|var|lib|local|src|main|test|data|file|index|page|image|http|https|www|com|org|net|html|example|sample|token|version|release|build|config|class|name|your|here|value|string|python|java|node|module|static|public|the|and|for|with|this|that)"
 _RUN = r"[A-Za-z0-9+/_=\-.]"
 _CORE = rf"{_RUN}{{{LEAST},}}"
-#: Documents without this hold no candidate: a long run with a digit in it, or a short announced one.
-_MAYBE = rf"(?=[A-Za-z0-9+/_=\-.]{{{LEAST},}})[A-Za-z+/_=\-.]*[0-9]|{ANNOUNCED}[\w\"']*\s*[:=]|PRIVATE KEY"
+#: Between the parts of a token; an assignment sign that pads a value's end is no separator.
+_SEPARATORS = r"[\"'`,;&=:@?{}()\[\]<>|]+"
+_PADDING = r"=(?==*+[\"'`]*+(?:$|[,;&:{}()\[\]<>|]))"
+_PAD = "￾"
+#: A user's password in an address.
+_LOGIN = r"://[^/@\s]*:[^@\s]{6,}@"
+#: Tokens with a long run (and what else it takes), as they stand between white space.
+_LONG = [rf"(?=\S*[0-9])\S*?{_CORE}"]
+#: What a part with a long run needs besides.
+PART_LONG = "token rlike '[0-9]'"
+#: Documents without any of these hold no candidate.
+_MAYBE = "|".join([rf"(?<!\S){long}" for long in _LONG] + [_LOGIN, rf"(?:{ANNOUNCED}\S*\s*[:=])"])
 FEATURES = ["length", "digits", "uppers", "transitions", "distinct", "coverage", "slashes", "dots", "dashes", "hex", "uuid", "provider", "announced", "assigned", "quoted", "placeholder", "in_path"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, position, token, core and the two tokens before it."""
+    """doc_id, position, token (the key name and the part, for one of several parts), core and the two tokens before it."""
     docs = columns(docs, doc_id="long", text="string").where(F.col("text").rlike(_MAYBE))
     tokens = docs.select("doc_id", F.split(F.col("text"), r"[\s]+").alias("t"))
-    picked = F.expr(f"""filter(transform(t, (x, i) -> struct(i as position, x as token)), c ->
-        (length(c.token) >= {LEAST} and c.token rlike '(?=.*[0-9])' and c.token rlike r'{_CORE}')
-        or (length(c.token) >= 8 and c.position > 1 and t[c.position - 1] rlike '^[:=]+$' and t[c.position - 2] rlike r'{ANNOUNCED}')
-        or (length(c.token) >= 8 and c.position > 0 and t[c.position - 1] rlike r'{ANNOUNCED}[^ ]*[:=]+$')
-        or c.token rlike r'{ANNOUNCED}[^ ]*[:=][^ ]{{6,}}')""")
+    told = f"""(length(x) >= {TOLD} and ((i > 1 and t[i - 1] rlike '^[:=]+$' and t[i - 2] rlike r'{ANNOUNCED}')
+        or (i > 0 and t[i - 1] rlike r'{ANNOUNCED}[^ ]*[:=]+$')))"""
+    long = " or ".join(f"x rlike r'^{p}'" for p in _LONG)
+    picked = F.expr(f"""filter(transform(t, (x, i) -> struct(i as position, x as token, {told} as told, ({long}) as long,
+        x rlike r'{ANNOUNCED}[^ ]*[:=][^ ]{{6,}}' as named)), c -> c.told or c.long or c.named or c.token rlike r'{_LOGIN}')""")
     rows = tokens.select("doc_id", "t", picked.alias("picked"))
-    rows = rows.select("doc_id", F.explode(F.expr("transform(picked, c -> struct(c.position as position, c.token as token, array_join(slice(t, greatest(c.position - 1, 1), least(c.position, 2)), ' ') as before))")).alias("c"))
-    rows = rows.select("doc_id", F.col("c.position").cast("long").alias("position"), "c.token", "c.before")
-    return rows.withColumn("core", _core(F.col("token")))
+    before = "array_join(slice(t, greatest(c.position - 1, 1), least(c.position, 2)), ' ') as before"
+    rows = rows.select("doc_id", F.explode(F.expr(f"transform(picked, c -> struct(c.position, c.token, c.told, c.long, c.named, {before}))")).alias("c"))
+    return _parts(rows.select("doc_id", "c.*")).select("doc_id", F.col("position").cast("long").alias("position"), "token", "before", "core")
+
+
+def _parts(tokens: DataFrame) -> DataFrame:
+    """A row for each candidate in a token: its parts between separators, and what follows the last assignment sign if that is no part."""
+    marked = F.regexp_replace("token", _PADDING, _PAD)
+    held = tokens.withColumns({"parts": F.split(marked, _SEPARATORS), "seps": F.regexp_extract_all(marked, F.lit(_SEPARATORS), F.lit(0))})
+    held = held.withColumn("parts", F.transform("parts", lambda x: F.replace(x, F.lit(_PAD), F.lit("="))))
+    held = held.withColumn("parts", F.expr(r"""transform(parts, (x, i) -> struct(x as part, if(i > 0, seps[i - 1], '') as left, coalesce(get(seps, i), '') as right,
+        if(i > 0 and seps[i - 1] rlike '[=:]', parts[i - 1], '') as key))"""))
+    held = held.withColumn("parts", F.expr(r"""transform(parts, x -> struct(x.part, x.left, x.right,
+        if(x.left = ':' and x.right like '@%' and x.key like '//%', 'password', regexp_replace(x.key, '^[^A-Za-z_]+', '')) as key))"""))
+    single = F.expr("size(filter(parts, x -> x.part <> '')) = 1")
+    # As an assignment of its own: name, sign, the quotes and the value.
+    spelt = F.transform(
+        "parts",
+        lambda x: F.struct(
+            F.when(single, F.col("token")).otherwise(
+                F.concat(
+                    F.when(x["left"].contains("@"), "@").otherwise(""),
+                    F.when(x["key"] != "", F.concat(x["key"], F.regexp_extract(x["left"], "[=:]", 0))).otherwise(""),
+                    F.regexp_extract(x["left"], "[\"'`]$", 0), x["part"], F.regexp_extract(x["right"], "^[\"'`]", 0),
+                    F.when(x["right"].startswith("@") & (x["key"] != "password"), "@").otherwise(""),
+                )
+            ).alias("token"),
+            _trimmed(x["part"]).alias("core"), x["part"].alias("part"), x["key"].alias("key"),
+        ),
+    )
+    held = held.withColumn("parts", spelt).withColumn("rest", _core(F.col("token")))
+    parts = F.expr(f"""filter(parts, x -> length(x.core) >= 6 and (told or x.key rlike r'{ANNOUNCED}' or (long and x.part rlike r'{_CORE}' and {PART_LONG})))""")
+    rest = F.expr("if((told or long or named) and not exists(parts, x -> x.core = rest), array(struct(token, rest as core)), array())")
+    both = F.concat(F.transform(parts, lambda x: F.struct(x["token"].alias("token"), x["core"].alias("core"))), rest)
+    return held.select("doc_id", "position", "before", F.explode(both).alias("p")).select("doc_id", "position", "before", "p.token", "p.core")
 
 
 def _core(token: Column) -> Column:
-    """The longest-run part of a token: after an assignment sign, without quotes and outer punctuation."""
-    bare = F.regexp_replace(token, r"^.*[=:][\"']?(?=[^\"'=:]{6})", "")
-    return F.regexp_replace(bare, r"^[^A-Za-z0-9]+|[^A-Za-z0-9=]+$", "")
+    """What follows the last assignment sign of a token, whatever separators stand in it, without quotes and outer punctuation."""
+    return _trimmed(F.regexp_replace(token, r"^.*[=:][\"']?(?=[^\"'=:]{6})", ""))
+
+
+def _trimmed(part: Column) -> Column:
+    return F.regexp_replace(part, r"^[^A-Za-z0-9]+|[^A-Za-z0-9=]+$", "")
 
 
 def measured(found: DataFrame) -> DataFrame:
