@@ -3,7 +3,8 @@
 A token (between white space) is cut into parts at quotes, brackets, assignment signs and other
 separators; each part is a candidate of its own, with the key name before it, if it holds a run
 of at least ``LEAST`` characters from the alphabets of keys with a digit or both letter cases, or
-follows a word that announces a secret.  What follows the token's last assignment sign is one as
+follows a word that announces a secret, begins as a provider's keys do or stands in a private key
+in PEM form.  What follows the token's last assignment sign is one as
 well, as a secret may hold separators.  A document-level pattern leaves documents without any at
 once.  The forest (MLlib) removes false positives by the candidate's length, its transitions
 between character classes, its coverage by dictionary words, signs of paths and the
@@ -29,7 +30,7 @@ from .common import columns, table
 
 LEAST = 16
 #: Characters of a value that the tokens before it announce.
-TOLD = 8
+TOLD = 6
 THRESHOLD = 0.5
 #: Words that announce a secret, beginnings of providers' keys, dictionary words.
 ANNOUNCED = r"(?i)(secret|token|passw|pwd|api.?key|apikey|access.?key|private.?key|credential|auth|bearer)"
@@ -44,26 +45,30 @@ _PAD = "
 #: A user's password in an address.
 _LOGIN = r"://[^/@\s]*:[^@\s]{6,}@"
 #: Tokens with a long run (and what else it takes), as they stand between white space.
-_LONG = [rf"(?=\S*[0-9])\S*?{_CORE}"]
+_LONG = [rf"(?=\S*[0-9])\S*?{_CORE}", rf"(?=\S*[a-z])(?=\S*[A-Z])\S*?{_CORE}", rf"(?=\S*?{PROVIDERS[1:]})\S*?{_CORE}"]
 #: What a part with a long run needs besides.
-PART_LONG = "token rlike '[0-9]'"
+PART_LONG = f"(token rlike '[0-9]' or (x.part rlike '[a-z]' and x.part rlike '[A-Z]') or x.core rlike r'{PROVIDERS}')"
+#: What stands between the lines of a private key in PEM form.
+_PEM = r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END|$)"
 #: Documents without any of these hold no candidate.
-_MAYBE = "|".join([rf"(?<!\S){long}" for long in _LONG] + [_LOGIN, rf"(?:{ANNOUNCED}\S*\s*[:=])"])
+_MAYBE = "|".join([rf"(?<!\S){long}" for long in _LONG] + [_LOGIN, rf"(?:{ANNOUNCED}\S*\s*[:=])", "PRIVATE KEY"])
 FEATURES = ["length", "digits", "uppers", "transitions", "distinct", "coverage", "slashes", "dots", "dashes", "hex", "uuid", "provider", "announced", "assigned", "quoted", "placeholder", "in_path"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, position, token (the key name and the part, for one of several parts), core and the two tokens before it."""
     docs = columns(docs, doc_id="long", text="string").where(F.col("text").rlike(_MAYBE))
-    tokens = docs.select("doc_id", F.split(F.col("text"), r"[\s]+").alias("t"))
+    pem = F.split(F.array_join(F.regexp_extract_all("text", F.lit(_PEM), F.lit(1)), " "), r"\s+")
+    tokens = docs.select("doc_id", F.split(F.col("text"), r"[\s]+").alias("t"), F.array_remove(pem, "").alias("pem"))
     told = f"""(length(x) >= {TOLD} and ((i > 1 and t[i - 1] rlike '^[:=]+$' and t[i - 2] rlike r'{ANNOUNCED}')
         or (i > 0 and t[i - 1] rlike r'{ANNOUNCED}[^ ]*[:=]+$')))"""
     long = " or ".join(f"x rlike r'^{p}'" for p in _LONG)
-    picked = F.expr(f"""filter(transform(t, (x, i) -> struct(i as position, x as token, {told} as told, ({long}) as long,
-        x rlike r'{ANNOUNCED}[^ ]*[:=][^ ]{{6,}}' as named)), c -> c.told or c.long or c.named or c.token rlike r'{_LOGIN}')""")
+    # The private keys are bound once for a row; as a column they might be sought again for each token.
+    picked = F.expr(f"""transform(array(pem), p -> filter(transform(t, (x, i) -> struct(i as position, x as token, {told} as told, array_contains(p, x) as pem, ({long}) as long,
+        x rlike r'{ANNOUNCED}[^ ]*[:=][^ ]{{6,}}' as named)), c -> c.told or c.pem or c.long or c.named or c.token rlike r'{_LOGIN}'))[0]""")
     rows = tokens.select("doc_id", "t", picked.alias("picked"))
-    before = "array_join(slice(t, greatest(c.position - 1, 1), least(c.position, 2)), ' ') as before"
-    rows = rows.select("doc_id", F.explode(F.expr(f"transform(picked, c -> struct(c.position, c.token, c.told, c.long, c.named, {before}))")).alias("c"))
+    before = "if(c.pem, 'PRIVATE KEY:', array_join(slice(t, greatest(c.position - 1, 1), least(c.position, 2)), ' ')) as before"
+    rows = rows.select("doc_id", F.explode(F.expr(f"transform(picked, c -> struct(c.position, c.token, c.told or c.pem as told, c.long, c.named, {before}))")).alias("c"))
     return _parts(rows.select("doc_id", "c.*")).select("doc_id", F.col("position").cast("long").alias("position"), "token", "before", "core")
 
 
