@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadweave.llm import decontaminate, neardup, packing, secret_scan, toxicity
-from loadweave.llm.common import table, written
+from loadweave.llm.common import row_key, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark")).where("size(hit) > 0")
+    gone = found.select(F.col("row_key").alias("__row_key")).distinct()
+    return docs.withColumn("__row_key", row_key()).join(gone, "__row_key", "left_anti").select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z, every other ASCII byte that is no letter or digit to a space; bytes of other characters stay.
@@ -29,6 +29,11 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in wanted.items()])
 
 
+def row_key() -> Column:
+    """The doc_id as a string; rows without one are told apart by a digest of their text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.col("text").cast("binary"), 256)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a temporary folder only where that is unset (local runs)."""
     conf = spark.sparkContext.getConf()

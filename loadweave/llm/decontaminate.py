@@ -12,7 +12,8 @@ broadcast while they number at most ``BROADCAST_ROWS``; beyond, the joins shuffl
 
 Defined results: null and empty texts and items have no words and hit nothing; repeated
 items count each by its item_id (repeated ids once); repeated rows each give a row;
-a null item_id counts as no item, though its windows hit.
+a null item_id counts as no item, though its windows hit; rows with a null doc_id are examined
+as others are, told apart by their texts.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_SEPARATORS, columns, table, written
+from .common import ALNUM_SEPARATORS, columns, row_key, table, written
 
 WINDOW = 10
 BROADCAST_ROWS = 200_000
@@ -46,9 +47,9 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, hit (sorted places of hit words) and items (sorted ids)."""
-    # Rows are told apart by doc_id alone, so repeated rows share their findings.
-    docs = columns(docs, doc_id="long", text="string")
+    """Per document: doc_id, row_key, n_words, hit (sorted places of hit words) and items (sorted ids)."""
+    # Rows are told apart by row_key alone, so repeated rows share their findings.
+    docs = columns(docs, doc_id="long", text="string").withColumn("row_key", row_key())
     windows = written(item_windows(items, window), "windows")
     distinct = windows.select("key", "size").distinct()
     n_windows = distinct.count()
@@ -61,15 +62,16 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     rarest = spelt.groupBy("key", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("r"))
     prefixes = written(rarest.select("key", "size", F.col("r.word").alias("word"), F.col("r.offset").alias("offset")), "prefixes")
 
-    placed = docs.where("doc_id is not null").withColumn("w", words()).select("doc_id", F.size("w").alias("n_words"), F.posexplode("w").alias("at", "word"))
+    placed = docs.where("row_key is not null").withColumn("w", words()).select("row_key", F.size("w").alias("n_words"), F.posexplode("w").alias("at", "word"))
     proposed = placed.join(_small(prefixes, n_windows), "word").where("at >= offset and at - offset + size <= n_words")
-    proposed = proposed.select("doc_id", (F.col("at") - F.col("offset")).alias("start"), "size", "key").distinct()
-    proposed = proposed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "key")).alias("proposed"))
+    proposed = proposed.select("row_key", (F.col("at") - F.col("offset")).alias("start"), "size", "key").distinct()
+    proposed = proposed.groupBy("row_key").agg(F.collect_list(F.struct("start", "size", "key")).alias("proposed"))
 
-    found = docs.join(proposed, "doc_id", "left").withColumn("w", words())
+    found = docs.join(proposed, "row_key", "left").withColumn("w", words())
     found = found.withColumn("found", F.expr("filter(coalesce(proposed, array()), p -> array_join(slice(w, p.start + 1, p.size), ' ') = p.key)"))
     found = found.select(
         "doc_id",
+        "row_key",
         F.size("w").alias("n_words"),
         F.expr("array_sort(array_distinct(flatten(transform(found, p -> sequence(p.start, p.start + p.size - 1)))))").alias("hit"),
         F.expr("array_distinct(transform(found, p -> p.key))").alias("keys"),
@@ -78,10 +80,10 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _with_items(found: DataFrame, windows: DataFrame, n_windows: int) -> DataFrame:
-    pairs = found.where("size(keys) > 0").select("doc_id", F.explode("keys").alias("key")).distinct()
+    pairs = found.where("size(keys) > 0").select("row_key", F.explode("keys").alias("key")).distinct()
     named = pairs.join(_small(windows.select("key", "item_id"), n_windows), "key").where("item_id is not null")
-    named = named.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    out = found.drop("keys").join(named, "doc_id", "left")
+    named = named.groupBy("row_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    out = found.drop("keys").join(named, "row_key", "left")
     return out.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
 
 

@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, table
+from .common import columns, row_key, table
 
 LEAST = 16
 #: Characters of a value that the tokens before it announce.
@@ -55,9 +55,9 @@ _MAYBE = "|".join([rf"(?<!\S){long}" for long in _LONG] + [_LOGIN, rf"(?:{ANNOUN
 FEATURES = ["length", "digits", "uppers", "transitions", "distinct", "coverage", "slashes", "dots", "dashes", "hex", "uuid", "provider", "announced", "assigned", "quoted", "placeholder", "in_path"]
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, id_type: str = "long") -> DataFrame:
     """doc_id, position, token (the key name and the part, for one of several parts), core and the two tokens before it."""
-    docs = columns(docs, doc_id="long", text="string").where(F.col("text").rlike(_MAYBE))
+    docs = columns(docs, doc_id=id_type, text="string").where(F.col("text").rlike(_MAYBE))
     pem = F.split(F.array_join(F.regexp_extract_all("text", F.lit(_PEM), F.lit(1)), " "), r"\s+")
     tokens = docs.select("doc_id", F.split(F.col("text"), r"[\s]+").alias("t"), F.array_remove(pem, "").alias("pem"))
     told = f"""(length(x) >= {TOLD} and ((i > 1 and t[i - 1] rlike '^[:=]+$' and t[i - 2] rlike r'{ANNOUNCED}')
@@ -170,20 +170,20 @@ def forest(findings: DataFrame):
     return Pipeline(stages=[assembler, trees]).fit(measured(findings))
 
 
-def findings(docs: DataFrame, model=None, threshold: float = THRESHOLD) -> DataFrame:
+def findings(docs: DataFrame, model=None, threshold: float = THRESHOLD, id_type: str = "long") -> DataFrame:
     """doc_id, position, core, score and is_secret of every candidate."""
     model = model or forest(labelled_findings(docs.sparkSession))
-    judged = model.transform(measured(candidates(docs)))
+    judged = model.transform(measured(candidates(docs, id_type)))
     judged = judged.withColumn("score", vector_to_array("probability")[1])
     return judged.select("doc_id", "position", "core", F.length("core").cast("long").alias("core_length"), "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
 def redacted(docs: DataFrame, model=None, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret replaced by a mark; all columns and rows stay."""
-    found = findings(docs.where("doc_id is not null"), model).where("is_secret and length(core) > 0")
-    found = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("core"), lambda x, y: F.length(y) - F.length(x)).alias("__cores"))
+    found = findings(docs.select(row_key().alias("doc_id"), "text").where("doc_id is not null"), model, id_type="string").where("is_secret and length(core) > 0")
+    found = found.groupBy(F.col("doc_id").alias("__row_key")).agg(F.array_sort(F.collect_set("core"), lambda x, y: F.length(y) - F.length(x)).alias("__cores"))
     text = F.aggregate("__cores", F.col("text"), lambda held, core: F.replace(held, core, F.lit(mark)))
-    out = docs.join(found, "doc_id", "left")
+    out = docs.withColumn("__row_key", row_key()).join(found, "__row_key", "left")
     return out.withColumn("text", F.when(F.col("__cores").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
 
 

@@ -452,6 +452,22 @@ def test_neighbours_within_exact_copies(spark, block, monkeypatch):
         assert got[got["query_id"] == q]["vec_id"].tolist() == order
 
 
+def test_rows_without_an_id(spark):
+    import corpus_pipeline
+
+    passage = spark.read.parquet(f"{DATA}/benchmark.parquet").where("size(split(text, ' ')) >= 15").orderBy("item_id").first()["text"]
+    key = "ghp_a8Kd93jfLq0Zx7Vb2Nm5Rt1Yw6Uc4Ie8Op0S"
+    data = [(None, passage), (None, "plain words alone"), (None, f"token: {key} here"), (1, passage), (2, "plain words alone"), (None, None)]
+    made = spark.createDataFrame(data, "doc_id long, text string")
+    got = decontaminate.decontaminated(made, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()
+    hit = [(r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in got if r["contaminated"]]
+    assert len(got) == 6 and len(hit) == 2 and hit[0] == hit[1] and hit[0][0] == hit[0][1] > 0
+    clean = corpus_pipeline.drop_contaminated(spark, made, DATA)
+    assert clean.count() == 4 and not clean.where(clean.text == passage).count()
+    hidden = corpus_pipeline.hide_secrets(spark, clean, DATA)
+    assert hidden.columns == made.columns and sorted(str(r["text"]) for r in hidden.collect()) == ["None", "plain words alone", "plain words alone", "token: [SECRET] here"]
+
+
 # pipeline
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
