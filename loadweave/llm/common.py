@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -24,14 +25,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch between Spark and Python: bounded by size, not by rows, as texts differ by orders of magnitude.
+BATCH_BYTES = 2 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session's Arrow batches are held to ``BATCH_BYTES``, unless a smaller bound is set already."""
+    conf = df.sparkSession.conf
+    held = str(conf.get(_BATCH_CONF))
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df
+
+
 def columns(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns, cast; whatever else the table holds can't clash later."""
-    return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in wanted.items()])
+    return small_batches(df).select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in wanted.items()])
 
 
 def row_key() -> Column:
-    """The doc_id as a string; rows without one are told apart by a digest of their text."""
-    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.col("text").cast("binary"), 256)))
+    """Tells rows apart by their doc_id and 128 hash bits of their text: rows without an id, or of one id, too.
+
+    Rows equal in both share a key, and so what is found in their text.
+    """
+    return F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), "text")))
+
+
+def key_columns() -> tuple[Column, Column]:
+    """(id, tag) of a row: its doc_id and 30 hash bits of its text, or 94 of its text alone."""
+    text = F.col("text").cast("string")
+    tag = F.xxhash64(F.lit(1), text).bitwiseAND(F.lit((1 << 30) - 1)) * 2 + F.when(F.col("doc_id").isNull(), 1).otherwise(0)
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("id"), tag.alias("tag")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the key of each row; rows equal in both columns share one."""
+    return docs.select("doc_id", "text", *key_columns())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,7 +114,7 @@ def partitions(df: DataFrame, bytes_each: int = 16 << 20) -> int:
 class WordHashes(dict):
     """64-bit hashes of words, kept up to ``most`` words at a time (then begun anew)."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -103,9 +133,13 @@ _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9),
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finalizer on 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    out = x >> np.uint64(30)
+    out ^= x
+    out *= _M1
+    out ^= out >> np.uint64(27)
+    out *= _M2
+    out ^= out >> np.uint64(31)
+    return out
 
 
 def run_hashes(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -142,9 +176,38 @@ def window_argmin(hashes: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & low).astype(np.int64)
 
 
+def _trim():
+    """malloc_trim of the C library, where it has one."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: None
+
+
+def gathered(frames, text: str, most: int):
+    """Consecutive frames as one, up to ``most`` characters of text or a single frame."""
+    import pandas as pd
+
+    held, size = [], 0
+    for frame in frames:
+        own = int(frame[text].str.len().sum())
+        if held and size + own > most:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+        held.append(frame)
+        size += own
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def batches(frames, text: str, most: int):
-    """Slices of pandas frames, each of up to ``most`` characters of text or a single row."""
+    """Slices of pandas frames, each of up to ``most`` characters of text or a single row.
+
+    Freed memory goes back to the system between frames, so that a worker's room is that of a batch.
+    """
+    trim = _trim()
     for frame in frames:
+        trim(0)
         sizes = frame[text].str.len().fillna(0).to_numpy()
         first, held = 0, 0
         for i, size in enumerate(sizes):

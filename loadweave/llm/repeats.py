@@ -6,19 +6,25 @@ The two substring operators share this exchange; they differ in how a group is s
    smallest hash (leftmost on ties) is its anchor.  Equal windows have equal anchors at
    equal distances, so only suffixes that begin at anchors need to meet.  Consecutive
    windows with one anchor form a run: about one in (L - k + 2) / 2 positions.
-2. *Prefix partitioning.*  A run goes to the group of its anchor's k-gram (the prefix) with a
-   hash of its whole context (all its windows).  Runs whose contexts repeat are settled at
-   once; equal contexts of one batch are merged before the shuffle, so a passage that a third
-   of all documents share arrives once for each batch.
+2. *Prefix partitioning.*  A run goes to the group of its anchor's k-gram (the prefix) with
+   two independent hashes, 96 bits in all, of its whole context (all its windows).  Runs whose
+   contexts repeat are settled at once; equal contexts of one batch are merged before the
+   shuffle, so a passage that a third of all documents share arrives once for each batch.
+   Unequal contexts with equal hashes (1e12 contexts hold such a pair with a chance of about
+   1 in 100 000) would be taken for copies; nothing else rests on hashes alone.
 3. *Searched groups.*  Where contexts with one prefix differ, one run for each context (the
    rest is settled) fetches its units from its document, and ``search`` finds the windows
    that repeat.  A prefix with more than ``wide`` contexts is made longer: each of its windows
    then travels alone, grouped by all its L units, so that no group outgrows a task.
-4. Spans of repeated window starts return to their documents by a join on doc_id.
+4. Spans of repeated window starts return to their documents by a join on their keys.
+
+A row's key is its doc_id and a tag of 31 bits of a hash of its text, so rows that share a
+doc_id keep apart; a row without a doc_id has 64 more bits of its text instead.
 
 The rule ``anywhere`` calls a window repeated if its units also start anywhere else; the rule
 ``earlier`` if they also start in a document with a smaller doc_id.
-Null doc_ids take part as no document: their rows come back without spans.
+Null doc_ids are neither smaller nor larger than others: under ``earlier`` their rows come back
+without spans and serve as no witness; under ``anywhere`` they are texts like any other.
 """
 
 from __future__ import annotations
@@ -31,13 +37,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, columns, mixed, run_hashes, spread, window_argmin, written
+from .common import batches, columns, gathered, keyed, mixed, run_hashes, spread, window_argmin, written
 
 #: Characters of text in a batch within which equal contexts merge.
 BATCH_CHARS = 6 << 20
+#: Units whose windows are hashed at once (so much that the arrays stay in a cache); longer texts are cut with an overlap, which only cuts runs.
+SLICE = 1 << 16
 #: Contexts of one prefix beyond which it is made longer.
 WIDE = 20_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.uint64(0x2545F4914F6CDD1D)
+_INVERSE = np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
 
 
 @dataclass(frozen=True)
@@ -45,13 +55,13 @@ class Rule:
     length: int  # units of a window
     gram: int  # units of an anchor
     earlier: bool  # a smaller doc_id is needed; else any other place
-    units: Callable[[object, str | None], np.ndarray]  # (worker state, text) to uint64 units
+    units: Callable[[object, str | None], np.ndarray]  # (worker state, text) to unsigned units
     state: Callable[[], object]  # made once for each task
     unit_dtype: str  # of contexts as they travel
 
 
 def runs_of(units: np.ndarray, lengths: np.ndarray, rule: Rule):
-    """(anchor hash, context hash, document, start, windows, anchor place in the run) of every run.
+    """(anchor hash, context hash, more of it, document, start, windows, anchor place in the run) of every run.
 
     units: the units of several documents end to end; lengths: units of each.
     """
@@ -61,7 +71,7 @@ def runs_of(units: np.ndarray, lengths: np.ndarray, rule: Rule):
     n = len(windows)
     if not n:
         none = np.zeros(0, np.uint64)
-        return none, none, *[np.zeros(0, np.int64)] * 4
+        return none, none, none.astype(np.uint32), *[np.zeros(0, np.int64)] * 4
     ends = np.cumsum(lengths)
     begins = ends - lengths
     doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -75,11 +85,58 @@ def runs_of(units: np.ndarray, lengths: np.ndarray, rule: Rule):
     after = np.append(starts_or_gaps, n)[np.searchsorted(starts_or_gaps, first) + 1]
     count = after - first
     context = mixed((windows[first] * _GOLD + windows[first + count - 1]) ^ count.astype(np.uint64))
+    # The context's polynomial hash, from sums over prefixes.
+    scaled = mixed(units + _GOLD) * _powers(_INVERSE, len(units))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scaled, dtype=np.uint64)])
+    whole = (sums[after + rule.length - 1] - sums[first]) * _powers(_BASE, len(units))[first]
     where = doc[first]
-    return grams[at[first]], context, where, first - begins[where], count, at[first] - first
+    return grams[at[first]], context, (mixed(whole) >> np.uint64(32)).astype(np.uint32), where, first - begins[where], count, at[first] - first
+
+
+_KEPT: dict[int, np.ndarray] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1); up to a slice's they are kept."""
+    found = _KEPT.get(int(base))
+    if found is None or len(found) < n:
+        found = np.full(max(n, SLICE + 4096), base, np.uint64)
+        found[:1] = 1
+        found = np.multiply.accumulate(found)
+        if n <= SLICE + 4096:
+            _KEPT[int(base)] = found
+    return found[:n]
+
+
+def _slices(units: list[np.ndarray], length: int) -> Iterator[tuple[list[np.ndarray], list[int], list[int]]]:
+    """(parts, document of each, its first unit there), up to ``SLICE`` units or one part at a time; every window is in one part."""
+    parts, docs, firsts, held = [], [], [], 0
+    for doc, u in enumerate(units):
+        step = max(SLICE, length)
+        for first in range(0, max(len(u) - length + 1, 0), step):
+            part = u[first : first + step + length - 1]
+            if held and held + len(part) > SLICE:
+                yield parts, docs, firsts
+                parts, docs, firsts, held = [], [], [], 0
+            parts.append(part)
+            docs.append(doc)
+            firsts.append(first)
+            held += len(part)
+    if parts:
+        yield parts, docs, firsts
 
 
-_FIELDS = (("a", "<u8"), ("c", "<u8"), ("d", "<i8"), ("s", "<i4"), ("n", "u1"), ("r", "u1"), ("f", "u1"))
+def _all_runs(units: list[np.ndarray], rule: Rule):
+    """``runs_of`` whole documents, slice by slice."""
+    out = []
+    for parts, docs, firsts in _slices(units, rule.length):
+        found = runs_of(np.concatenate(parts).astype(np.uint64), np.array([len(p) for p in parts], np.int64), rule)
+        where = found[3]
+        out.append((*found[:3], np.array(docs)[where], found[4] + np.array(firsts)[where], *found[5:]))
+    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else runs_of(np.zeros(0, np.uint64), np.zeros(0, np.int64), rule)
+
+
+_FIELDS = (("a", "<u8"), ("c", "<u8"), ("e", "<u4"), ("d", "<i8"), ("t", "<u4"), ("s", "<i4"), ("n", "u1"), ("r", "u1"), ("f", "u1"))
 
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
@@ -102,17 +159,15 @@ def _sampled(docs: DataFrame, rule: Rule, groups: int) -> DataFrame:
 
     def sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = rule.state()
-        for frame in batches(frames, "text", BATCH_CHARS):
-            units = [rule.units(state, t) for t in frame["text"]]
-            lengths = np.array([len(u) for u in units], np.int64)
-            anchor, context, doc, start, count, place = runs_of(np.concatenate(units), lengths, rule)
+        for frame in batches(gathered(frames, "text", BATCH_CHARS), "text", BATCH_CHARS):
+            anchor, context, more, doc, start, count, place = _all_runs([rule.units(state, t) for t in frame["text"]], rule)
             if not len(anchor):
                 continue
-            ids = frame["doc_id"].to_numpy(np.int64)[doc]
-            order = np.lexsort((start, ids, context))
-            anchor, context, ids, start, count, place = (x[order] for x in (anchor, context, ids, start, count, place))
+            ids, tags = frame["id"].to_numpy(np.int64)[doc], frame["tag"].to_numpy(np.int64)[doc].astype(np.uint32)
+            order = np.lexsort((start, tags, ids, more, context))
+            anchor, context, more, ids, tags, start, count, place = (x[order] for x in (anchor, context, more, ids, tags, start, count, place))
             head = np.ones(len(context), bool)
-            head[1:] = context[1:] != context[:-1]
+            head[1:] = (context[1:] != context[:-1]) | (more[1:] != more[:-1])
             group = np.cumsum(head) - 1
             size = np.bincount(group)[group]
             if rule.earlier:  # all that the smallest document of a context has goes on, the rest is settled here
@@ -123,7 +178,7 @@ def _sampled(docs: DataFrame, rule: Rule, groups: int) -> DataFrame:
                 settled = flag = size > 1
                 keep = head
             bucket = (mixed(anchor) >> shift).astype(np.int64)
-            arrays = (anchor, context, ids, start, count, place, flag)
+            arrays = (anchor, context, more, ids, tags, start, count, place, flag)
             chosen = keep | settled
             order = np.flatnonzero(chosen)
             order = order[np.lexsort((start[order], ids[order], bucket[order]))]
@@ -131,43 +186,44 @@ def _sampled(docs: DataFrame, rule: Rule, groups: int) -> DataFrame:
             rows = []
             for part in np.split(order, cuts):
                 kept, done = part[keep[part]], part[settled[part]]
-                rows.append((int(bucket[part[0]]), _pack([x[kept] for x in arrays]), _spans(ids[done], start[done], count[done])))
+                rows.append((int(bucket[part[0]]), _pack([x[kept] for x in arrays]), _spans(ids[done], tags[done], start[done], count[done])))
             yield pd.DataFrame(rows, columns=["bucket", "runs", "settled"])
 
     return docs.mapInPandas(sample, "bucket int, runs binary, settled binary")
 
 
-def _spans(ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> bytes:
-    return np.int64(len(ids)).tobytes() + ids.astype("<i8").tobytes() + start.astype("<i4").tobytes() + count.astype("u1").tobytes()
+def _spans(ids: np.ndarray, tags: np.ndarray, start: np.ndarray, count: np.ndarray) -> bytes:
+    return np.int64(len(ids)).tobytes() + ids.astype("<i8").tobytes() + tags.astype("<u4").tobytes() + start.astype("<i4").tobytes() + count.astype("u1").tobytes()
 
 
-def _spans_of(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    out: list[list[np.ndarray]] = [[], [], []]
+def _spans_of(blobs: list[bytes]) -> list[np.ndarray]:
+    out: list[list[np.ndarray]] = [[], [], [], []]
     for blob in blobs:
         n = int(np.frombuffer(blob, "<i8", 1)[0])
-        out[0].append(np.frombuffer(blob, "<i8", n, 8))
-        out[1].append(np.frombuffer(blob, "<i4", n, 8 + 8 * n))
-        out[2].append(np.frombuffer(blob, "u1", n, 8 + 12 * n))
-    return tuple(np.concatenate(x) for x in out)
+        for held, kind, at in zip(out, ("<i8", "<u4", "<i4", "u1"), (0, 8, 12, 16), strict=True):
+            held.append(np.frombuffer(blob, kind, n, 8 + at * n))
+    return [np.concatenate(x) for x in out]
 
 
 #: kind 0: settled windows, place s << 8 | n; kind 1 and 2: runs to search, by their prefix or window by window.
-_FOUND = "kind int, doc_id long, place long, anchor long, extra int"
+_FOUND = "kind int, id long, tag long, place long, anchor long, extra int"
 
 
 def _settled(sampled: DataFrame, rule: Rule) -> DataFrame:
+    def rows(kind, ids, tags, start, count, anchor=0, extra=0) -> pd.DataFrame:
+        return pd.DataFrame({"kind": kind, "id": ids, "tag": tags.astype(np.int64), "place": start.astype(np.int64) << 8 | count, "anchor": anchor, "extra": extra})
+
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, start, count = _spans_of(frame["settled"].tolist())
-        known = pd.DataFrame({"kind": 0, "doc_id": ids, "place": start.astype(np.int64) << 8 | count, "anchor": 0, "extra": 0})
-        a, c, d, s, n, r, f = _unpack(frame["runs"].tolist())
+        known = rows(0, *_spans_of(frame["settled"].tolist()))
+        a, c, e, d, t, s, n, r, f = _unpack(frame["runs"].tolist())
         if not len(a):
             return known
-        order = np.lexsort((s, d, c, a))
-        a, c, d, s, n, r, f = (x[order] for x in (a, c, d, s, n, r, f))
-        new_context = np.ones(len(a), bool)
-        new_context[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+        order = np.lexsort((s, t, d, e, c, a))
+        a, c, e, d, t, s, n, r, f = (x[order] for x in (a, c, e, d, t, s, n, r, f))
         new_anchor = np.ones(len(a), bool)
         new_anchor[1:] = a[1:] != a[:-1]
+        new_context = new_anchor.copy()
+        new_context[1:] |= (c[1:] != c[:-1]) | (e[1:] != e[:-1])
         context, anchor = np.cumsum(new_context) - 1, np.cumsum(new_anchor) - 1
         contexts = np.bincount(anchor, weights=new_context)[anchor]
         if rule.earlier:
@@ -182,10 +238,10 @@ def _settled(sampled: DataFrame, rule: Rule) -> DataFrame:
             settled = repeated & (f == 0)
             search = new_context & (contexts > 1)
             extra = (repeated | (f > 0)).astype(np.int64)  # such a run only serves as a witness
-        out = [known, pd.DataFrame({"kind": 0, "doc_id": d[settled], "place": s[settled].astype(np.int64) << 8 | n[settled], "anchor": 0, "extra": 0})]
+        out = [known, rows(0, d[settled], t[settled], s[settled], n[settled])]
         if search.any():
             kind = np.where(contexts[search] > WIDE, 2, 1)
-            out.append(pd.DataFrame({"kind": kind, "doc_id": d[search], "place": s[search].astype(np.int64) << 8 | n[search], "anchor": a[search].view(np.int64), "extra": extra[search] << 8 | r[search]}))
+            out.append(rows(kind, d[search], t[search], s[search], n[search], a[search].view(np.int64), extra[search] << 8 | r[search]))
         return pd.concat(out, ignore_index=True)
 
     return sampled.groupBy("bucket").applyInPandas(settle, _FOUND)
@@ -193,50 +249,52 @@ def _settled(sampled: DataFrame, rule: Rule) -> DataFrame:
 
 def _contexts(docs: DataFrame, found: DataFrame, rule: Rule, groups: int) -> DataFrame:
     """The units of the runs to search, by the bucket of their prefix."""
-    wanted = found.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "place", "anchor", "extra")).alias("runs"))
-    wanted = wanted.selectExpr("doc_id", "runs.kind as kinds", "runs.place as places", "runs.anchor as anchors", "runs.extra as extras")
+    wanted = found.where("kind > 0").groupBy("id", "tag").agg(F.collect_list(F.struct("kind", "place", "anchor", "extra")).alias("runs"))
+    wanted = wanted.selectExpr("id", "tag", "runs.kind as kinds", "runs.place as places", "runs.anchor as anchors", "runs.extra as extras")
     shift = np.uint64(64 - groups.bit_length() + 1)
 
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, names = rule.state(), ["bucket", "anchor", "doc_id", "place", "extra", "units"]
-        for frame in frames:
+        state, names = rule.state(), ["bucket", "anchor", "id", "tag", "place", "extra", "units"]
+        for frame in batches(frames, "text", BATCH_CHARS):
             rows: list[tuple] = []
-            for doc_id, text, kinds, places, anchors, extras in zip(frame["doc_id"], frame["text"], frame["kinds"], frame["places"], frame["anchors"], frame["extras"], strict=True):
+            held = 0
+            for key, tag, text, kinds, places, anchors, extras in zip(*(frame[c] for c in ("id", "tag", "text", "kinds", "places", "anchors", "extras")), strict=True):
                 units = rule.units(state, text)
                 plain = np.ascontiguousarray(units, rule.unit_dtype)
                 for kind, place, anchor, extra in zip(kinds, places, anchors, extras, strict=True):
                     start, count = int(place) >> 8, int(place) & 255
                     if kind == 1:
                         bucket = int(mixed(np.array([anchor], np.int64).view(np.uint64))[0] >> shift)
-                        rows.append((bucket, anchor, doc_id, place, extra, plain[start : start + count - 1 + rule.length].tobytes()))
-                        continue
-                    keys = mixed(run_hashes(units[start : start + count - 1 + rule.length], rule.length) + _GOLD)
-                    for i in range(count):
-                        bucket = int(mixed(keys[i : i + 1])[0] >> shift)
-                        rows.append((bucket, int(keys[i].astype(np.int64)), doc_id, (start + i) << 8 | 1, extra & ~255, plain[start + i : start + i + rule.length].tobytes()))
-                if len(rows) >= 20_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
+                        rows.append((bucket, anchor, key, tag, place, extra, plain[start : start + count - 1 + rule.length].tobytes()))
+                    else:
+                        keys = mixed(run_hashes(units[start : start + count - 1 + rule.length].astype(np.uint64), rule.length) + _GOLD)
+                        for i in range(count):
+                            bucket = int(mixed(keys[i : i + 1])[0] >> shift)
+                            rows.append((bucket, int(keys[i].astype(np.int64)), key, tag, (start + i) << 8 | 1, extra & ~255, plain[start + i : start + i + rule.length].tobytes()))
+                    held += count + rule.length
+                    if held * np.dtype(rule.unit_dtype).itemsize > 4 << 20 or len(rows) >= 20_000:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
-    return docs.join(wanted, "doc_id").mapInPandas(fetch, "bucket int, anchor long, doc_id long, place long, extra int, units binary")
+    return docs.join(wanted, ["id", "tag"]).mapInPandas(fetch, "bucket int, anchor long, id long, tag long, place long, extra int, units binary")
 
 
 def repeated_windows(docs: DataFrame, rule: Rule, search: Callable) -> DataFrame:
-    """doc_id and places: array of start << 8 | count, the starts of repeated windows.
+    """id, tag (``keyed`` rows) and places: array of start << 8 | count, the starts of repeated windows.
 
     search(anchor, doc, start, count, place, witness, contexts) gets the runs of one group of
     prefixes as arrays and returns, for each window of the runs end to end, whether it repeats.
     """
     groups = spread(docs, 4 << 20)
-    clean = docs.where("doc_id is not null")
-    found = written(_settled(_sampled(clean, rule, groups), rule), "repeats", "kind")
+    rows = (docs.where("doc_id is not null") if rule.earlier else docs).select("id", "tag", "text")
+    found = written(_settled(_sampled(rows, rule, groups), rule), "repeats", "kind")
 
     def look(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["anchor", "doc_id", "place"])
+        frame = frame.drop_duplicates(["anchor", "id", "tag", "place"])
         place, extra = frame["place"].to_numpy(np.int64), frame["extra"].to_numpy(np.int64)
-        start, count, doc = place >> 8, place & 255, frame["doc_id"].to_numpy(np.int64)
+        start, count, doc, tag = place >> 8, place & 255, frame["id"].to_numpy(np.int64), frame["tag"].to_numpy(np.int64)
         contexts = [np.frombuffer(u, rule.unit_dtype) for u in frame["units"]]
         hit = search(frame["anchor"].to_numpy(np.int64).view(np.uint64), doc, start, count, extra & 255, extra >> 8 > 0, contexts)
         run = np.repeat(np.arange(len(count)), count)[hit]
@@ -245,11 +303,11 @@ def repeated_windows(docs: DataFrame, rule: Rule, search: Callable) -> DataFrame
         fresh[1:] = (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1)
         begin = np.flatnonzero(fresh)
         long = np.diff(np.append(begin, len(at)))
-        return pd.DataFrame({"doc_id": doc[run[begin]], "place": at[begin] << 8 | long})
+        return pd.DataFrame({"id": doc[run[begin]], "tag": tag[run[begin]], "place": at[begin] << 8 | long})
 
-    more = _contexts(clean, found, rule, groups).groupBy("bucket").applyInPandas(look, "doc_id long, place long")
-    spans = found.where("kind = 0").select("doc_id", "place").unionByName(more)
-    return spans.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    more = _contexts(rows, found, rule, groups).groupBy("bucket").applyInPandas(look, "id long, tag long, place long")
+    spans = found.where("kind = 0").select("id", "tag", "place").unionByName(more)
+    return spans.groupBy("id", "tag").agg(F.collect_list("place").alias("places"))
 
 
 def covered(places, units: int, length: int) -> np.ndarray:
@@ -267,12 +325,13 @@ def reported(docs: DataFrame, windows: DataFrame, finish: Callable, schema: str)
 
     def report(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.strip().split()[0] for c in schema.split(",")]
-        for frame in frames:
+        for frame in batches(frames, "text", BATCH_CHARS):
             rows = [finish(d, t, p) for d, t, p in zip(frame["doc_id"].astype("Int64"), frame["text"], frame["places"], strict=True)]
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    return docs.join(windows, "doc_id", "left").mapInPandas(report, schema)
+    joined = docs.join(windows, ["id", "tag"], "left").select("doc_id", "text", "places")
+    return joined.mapInPandas(report, schema)
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    return columns(docs, doc_id="long", text="string")
+    return keyed(columns(docs, doc_id="long", text="string"))

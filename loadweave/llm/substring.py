@@ -9,7 +9,8 @@ below one, except those of its smallest doc_id, starts a window to remove.  Adja
 join to the maximal repeats.
 
 Defined results: a null or empty text has no words and the digest of the empty string;
-whole texts count; repeated rows with one doc_id never remove one another.
+whole texts count; rows with one doc_id, equal or not, never remove one another; rows without
+a doc_id have no smaller one, so they keep all words and remove none.
 """
 
 from __future__ import annotations

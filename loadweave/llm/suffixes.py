@@ -9,7 +9,9 @@ run plus its rank in the sibling run.  Neighbours in sorted order whose common e
 reaches ``BYTES`` are compared byte by byte before they count (collision verification).
 
 Defined results: a null or empty text has no bytes and the digest of no bytes; repeated rows
-are places of their own, so both lose what they share; matches never cross documents.
+are places of their own, so both lose what they share, and so are rows without a doc_id and
+rows of one doc_id with different texts; matches never cross documents.  ``repeats`` says how
+surely contexts that repeat as a whole are equal.
 """
 
 from __future__ import annotations
@@ -20,12 +22,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import mixed, table
-from .repeats import Rule, covered, repeated_windows, reported, texts
+from .repeats import _BASE, _INVERSE, Rule, _powers, covered, repeated_windows, reported, texts
 
 BYTES = 200
 ANCHOR_BYTES = 64
-_BASE = np.uint64(0x2545F4914F6CDD1D)
-_INVERSE = np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
 
 
 def raw(text: str | None) -> bytes:
@@ -33,19 +33,13 @@ def raw(text: str | None) -> bytes:
 
 
 def _units(_, text: str | None) -> np.ndarray:
-    return np.frombuffer(raw(text), np.uint8).astype(np.uint64)
+    return np.frombuffer(raw(text), np.uint8)
 
 
 def byte_rule(length: int = BYTES) -> Rule:
     return Rule(length, min(ANCHOR_BYTES, length), False, _units, lambda: None, "u1")
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 class Contexts:
     """Contexts end to end, with prefix polynomial hashes."""
 
