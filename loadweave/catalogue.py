@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import load, logs, series, space
+from .plans import load, logs, series, side, space
 
 QUERIES = load.QUERIES
 ORACLE_SQL = load.SQL
-_MODULES = (series, space, logs)  # they add their queries to the same tables
+_MODULES = (series, space, logs, side)  # they add their queries to the same tables

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import ratio
+from ..functions.numbering import numbered
 
 
 def sales_cells(rows: DataFrame, by: list[str], value: Column, masked: Column) -> DataFrame:
@@ -57,15 +58,8 @@ def att_gt(panel: DataFrame, units: DataFrame, k_min: int = -6, k_max: int = 6,
     panel: code, mi, y (NULL: not observed); units: code, g (NULL: never treated).  Weights by
     cohort and month are broadcast-free joins on the base month; no unit x month matrix is built.
     """
-    obs = panel.where("y is not null").select(code, "mi", "y").join(units.select(code, "g"), code)
-    cohorts = units.where("g is not null").select(F.col("g").alias("cohort")).distinct()
-    base = obs.select(code, F.col("mi").alias("__b"), F.col("y").alias("y0"))
-    grid = obs.crossJoin(F.broadcast(cohorts)).withColumn("k", F.col("mi") - F.col("cohort")).where(F.col("k").between(k_min, k_max) & (F.col("k") != -1))
-    treated = F.col("g") == F.col("cohort")
-    control = F.col("g").isNull() | (F.col("g") > F.greatest("mi", F.col("cohort") - 1)) if not_yet else F.col("g").isNull()
-    used = grid.where(F.coalesce(treated, F.lit(False)) | control).withColumn("__b", F.col("cohort") - 1).join(base, [code, "__b"])
-    change = F.col("y") - F.col("y0")
-    own = F.coalesce(treated, F.lit(False))
+    used = _changes(panel, units, k_min, k_max, not_yet, code)
+    own, change = F.col("own"), F.col("change")
     out = used.groupBy("cohort", "mi", "k").agg(F.avg(F.when(own, change)).alias("t"), F.avg(F.when(~own, change)).alias("c"), F.count_if(own).alias("n_treated"), F.count_if(~own).alias("n_control"))
     return out.where("n_treated > 0 and n_control > 0").select("cohort", "mi", "k", (F.col("t") - F.col("c")).alias("att"), "n_treated", "n_control")
 
@@ -76,24 +70,142 @@ def event_study(effects: DataFrame, least: int = 1) -> DataFrame:
     return out.where(F.col("n_units") >= least)
 
 
-def event_study_bootstrap(panel: DataFrame, units: DataFrame, draws: int = 50, seed: int = 0, code: str = "code", **options) -> DataFrame:
-    """tau with a standard error by resampling units: Poisson(1) weights from a hash of (unit, draw)."""
-    u = F.pmod(F.xxhash64(code, "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    times = sum(((u >= c).cast("int") for c in (0.36788, 0.73576, 0.9197, 0.98101, 0.99634)), F.lit(0))
-    drawn = units.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("w", F.when(F.col("draw") == 0, 1).otherwise(times))
-    k_min, k_max = options.get("k_min", -6), options.get("k_max", 6)
+def resampled(units: DataFrame, draws: int, seed: int = 0, code: str = "code") -> DataFrame:
+    """code, draw, w: how often each unit is picked when as many units as there are, are drawn with
+    replacement; draw 0 holds every unit once."""
+    listed = numbered(units.select(code).distinct(), [code], "__n", seed)
+    total = listed.agg(F.count("*").alias("__of"))  # one row
+    picks = listed.crossJoin(F.broadcast(total)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    picks = picks.select("draw", F.pmod(F.xxhash64("__n", "draw", F.lit(seed)), F.col("__of")).alias("__n"))
+    drawn = picks.groupBy("draw", "__n").agg(F.count("*").alias("w")).join(listed, "__n").select(code, F.col("draw").cast("int").alias("draw"), "w")
+    return drawn.unionByName(units.select(code).distinct().select(code, F.lit(0).alias("draw"), F.lit(1).cast("long").alias("w")))
+
+
+def _changes(panel: DataFrame, units: DataFrame, k_min: int, k_max: int, not_yet: bool, code: str) -> DataFrame:
+    """code, cohort, mi, k, own (of the cohort, or else a control) and the change since the month before adoption."""
     obs = panel.where("y is not null").select(code, "mi", "y").join(units.select(code, "g"), code)
-    cohorts = units.where("g is not null").select(F.col("g").alias("cohort")).distinct()
+    cohorts = units.where("g is not null").select(F.col("g").alias("cohort")).distinct()  # months: a bounded set
     base = obs.select(code, F.col("mi").alias("__b"), F.col("y").alias("y0"))
-    grid = obs.crossJoin(F.broadcast(cohorts)).withColumn("k", F.col("mi") - F.col("cohort")).where(F.col("k").between(k_min, k_max) & (F.col("k") != -1)).where("g is null or g = cohort")
-    used = grid.withColumn("__b", F.col("cohort") - 1).join(base, [code, "__b"]).join(drawn.select(code, "draw", "w").where("w > 0"), code)
-    own, change = F.col("g").isNotNull(), (F.col("y") - F.col("y0")) * F.col("w")
-    mean = lambda c: F.sum(F.when(c, change)) / F.nullif(F.sum(F.when(c, F.col("w"))), F.lit(0))
+    grid = obs.crossJoin(F.broadcast(cohorts)).withColumn("k", F.col("mi") - F.col("cohort")).where(F.col("k").between(k_min, k_max) & (F.col("k") != -1))
+    own = F.coalesce(F.col("g") == F.col("cohort"), F.lit(False))
+    control = F.col("g").isNull() | (F.col("g") > F.greatest("mi", F.col("cohort") - 1)) if not_yet else F.col("g").isNull()
+    used = grid.where(own | control).withColumn("__b", F.col("cohort") - 1).join(base, [code, "__b"])
+    return used.select(code, "cohort", "mi", "k", own.alias("own"), (F.col("y") - F.col("y0")).alias("change"))
+
+
+def event_study_draws(panel: DataFrame, units: DataFrame, draws: int, seed: int = 0, k_min: int = -6, k_max: int = 6, not_yet: bool = False, least: int = 1, code: str = "code") -> DataFrame:
+    """draw, k, tau: the event study of the whole sample (draw 0) and of each resampled one."""
+    used = _changes(panel, units, k_min, k_max, not_yet, code).join(resampled(units, draws, seed, code), code)
+    own, weighted = F.col("own"), F.col("change") * F.col("w")
+    mean = lambda c: F.sum(F.when(c, weighted)) / F.nullif(F.sum(F.when(c, F.col("w"))), F.lit(0))
     cells = used.groupBy("draw", "cohort", "mi", "k").agg((mean(own) - mean(~own)).alias("att"), F.sum(F.when(own, F.col("w"))).alias("n"))
-    taus = cells.where("att is not null").groupBy("draw", "k").agg((F.sum(F.col("att") * F.col("n")) / F.sum("n")).alias("tau"))
+    taus = cells.where("att is not null").groupBy("draw", "k").agg((F.sum(F.col("att") * F.col("n")) / F.sum("n")).alias("tau"), F.sum("n").alias("n"))
+    return taus.where(F.col("n") >= least).drop("n")
+
+
+def event_study_bootstrap(panel: DataFrame, units: DataFrame, draws: int = 50, seed: int = 0, code: str = "code", **options) -> DataFrame:
+    """k, tau and a standard error by drawing units with replacement (``resampled``); options as of ``event_study_draws``."""
+    taus = event_study_draws(panel, units, draws, seed, code=code, **options)
     return taus.groupBy("k").agg(F.max(F.when(F.col("draw") == 0, F.col("tau"))).alias("tau"), F.stddev_samp(F.when(F.col("draw") > 0, F.col("tau"))).alias("se"))
 
 
+def post_mean(taus: DataFrame, by: list[str], k_max: int = 6) -> DataFrame:
+    """Mean effect of the months from adoption on, by draw."""
+    return taus.where(F.col("k").between(0, k_max)).groupBy(*by).agg(F.avg("tau").alias("post"))
+
+
+def discounted(real: DataFrame, placebo: DataFrame, paired: bool = True) -> DataFrame:
+    """k, tau, placebo, their difference, its standard error and 95 % bounds.
+
+    real, placebo: draw, k, tau, draw 0 the whole sample.  Paired draws resample the same units, so the
+    difference is taken draw by draw; else the two variances add.
+    """
+    both = real.select("draw", "k", F.col("tau").alias("a")).join(placebo.select("draw", "k", F.col("tau").alias("b")), ["draw", "k"], "full_outer")
+    drawn = lambda c: F.when(F.col("draw") > 0, c)
+    gap = F.col("a") - F.col("b")
+    out = both.groupBy("k").agg(
+        F.max(F.when(F.col("draw") == 0, F.col("a"))).alias("tau"), F.max(F.when(F.col("draw") == 0, F.col("b"))).alias("placebo"),
+        F.stddev_samp(drawn(gap)).alias("together"), F.sqrt(F.var_samp(drawn(F.col("a"))) + F.var_samp(drawn(F.col("b")))).alias("apart"),
+        F.percentile(drawn(gap), F.array(F.lit(0.025), F.lit(0.975))).alias("q"),
+    )
+    difference, se = F.col("tau") - F.col("placebo"), F.col("together" if paired else "apart")
+    bounds = (F.col("q")[0], F.col("q")[1]) if paired else (difference - 1.96 * se, difference + 1.96 * se)
+    return out.select("k", "tau", "placebo", difference.alias("discounted"), se.alias("se"), bounds[0].alias("low"), bounds[1].alias("high"))
+
+
+def placebo_samples(units: DataFrame, repetitions: int, seed: int = 0, code: str = "code") -> DataFrame:
+    """run, unit, code, g: for each repetition as many units as there are, drawn with replacement from the never
+    treated, of which as many as are treated get an adoption month drawn from the real ones.
+
+    A drawn unit has a name of its own, so one that is drawn twice counts twice.
+    """
+    never = numbered(units.where("g is null").select(code).distinct(), [code], "__u", seed)
+    months = numbered(units.where("g is not null").select("g", F.col(code).alias("__c")), ["__c", "g"], "__m", seed).select("__m", "g")
+    sizes = never.agg(F.count("*").alias("__never")).crossJoin(months.agg(F.count("*").alias("__treated")))  # one row
+    runs = units.sparkSession.range(1, repetitions + 1).select(F.col("id").cast("int").alias("run")).crossJoin(F.broadcast(sizes))
+    drawn = runs.where("__never > 0").withColumn("i", F.explode(F.expr("sequence(0L, __never + __treated - 1)")))
+    pick = lambda salt, of: F.pmod(F.xxhash64("run", "i", F.lit(seed), F.lit(salt)), F.col(of))
+    drawn = drawn.select("run", F.concat_ws(" ", "run", "i").alias("unit"), pick(1, "__never").alias("__u"), F.when(F.col("i") < F.col("__treated"), pick(2, "__treated")).alias("__m"))
+    return drawn.join(never, "__u").join(months, "__m", "left").select("run", "unit", code, "g")
+
+
+def least_detectable(panel: DataFrame, units: DataFrame, repetitions: int = 50, seed: int = 0, k_max: int = 6, factor: float = 2.8, code: str = "code") -> DataFrame:
+    """One row: repetitions that gave an effect, their mean, spread and ``factor`` times that, the least effect that would show.
+
+    A repetition estimates the mean effect from adoption on, on a placebo sample.  Repetitions are
+    a key of one plan, not a loop.
+    """
+    sample = placebo_samples(units, repetitions, seed, code)
+    obs = panel.where("y is not null").select(code, "mi", "y").join(sample, code)
+    cohorts = sample.where("g is not null").select("run", F.col("g").alias("cohort")).distinct()
+    base = obs.select("unit", F.col("mi").alias("__b"), F.col("y").alias("y0"))
+    met = obs.join(cohorts, "run").withColumn("k", F.col("mi") - F.col("cohort")).where(F.col("k").between(0, k_max)).where("g is null or g = cohort")
+    met = met.withColumn("__b", F.col("cohort") - 1).join(base, ["unit", "__b"])
+    own, change = F.col("g").isNotNull(), F.col("y") - F.col("y0")
+    cells = met.groupBy("run", "cohort", "k").agg((F.avg(F.when(own, change)) - F.avg(F.when(~own, change))).alias("att"), F.count_if(own).alias("n"))
+    taus = cells.where("att is not null").groupBy("run", "k").agg((F.sum(F.col("att") * F.col("n")) / F.sum("n")).alias("tau"))
+    posts = post_mean(taus, ["run"], k_max)
+    return posts.agg(F.count("post").alias("n_runs"), F.avg("post").alias("mean"), F.stddev_samp("post").alias("se"), (factor * F.stddev_samp("post")).alias("mde"))
+
+
+def binned_event_study(panel: DataFrame, units: DataFrame, k_min: int = -6, k_max: int = 6, rounds: int = 50, code: str = "code") -> DataFrame:
+    """k, tau, se: two-way fixed-effects regression on distances from adoption, both ends binned, -1 the reference.
+
+    The outcome and every distance's indicator are demeaned by unit and month; normal equations and
+    the units' scores (for errors clustered by unit) are sums of products, so only a matrix of the
+    number of distances reaches the driver.
+    """
+    import numpy as np
+
+    steps = [k for k in range(k_min, k_max + 1) if k != -1]
+    rows = panel.where("y is not null").join(units.select(code, "g"), code)
+    distance = F.least(F.greatest(F.col("mi") - F.col("g"), F.lit(k_min)), F.lit(k_max))
+    names = [f"d{i}" for i in range(len(steps))]
+    rows = rows.select(code, "mi", F.col("y").cast("double").alias("y"), *[F.coalesce((distance == k).cast("double"), F.lit(0.0)).alias(n) for n, k in zip(names, steps, strict=True)])
+    held = demeaned(rows, ["y", *names], rounds, code)
+    products = held.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i:]], *[F.sum(F.col(a) * F.col("y")).alias(f"{a}_y") for a in names], F.count("*").alias("n"), F.countDistinct(code).alias("units")).first()
+    m = len(names)
+    xx, xy = np.zeros((m, m)), np.array([products[f"{a}_y"] or 0.0 for a in names])
+    for i, a in enumerate(names):
+        for j in range(i, m):
+            xx[i, j] = xx[j, i] = products[f"{a}_{names[j]}"] or 0.0
+    inverse = np.linalg.pinv(xx, rcond=1e-10)
+    beta = inverse @ xy
+    resid = F.col("y") - sum((F.lit(float(v)) * F.col(a) for v, a in zip(beta, names, strict=True)), F.lit(0.0))
+    scores = held.withColumn("__e", resid).groupBy(code).agg(*[F.sum(F.col(a) * F.col("__e")).alias(a) for a in names])
+    meat = scores.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i:]]).first()
+    middle = np.zeros((m, m))
+    for i, a in enumerate(names):
+        for j in range(i, m):
+            middle[i, j] = middle[j, i] = meat[f"{a}_{names[j]}"] or 0.0
+    n, g = products["n"], products["units"]
+    scale = g / max(g - 1, 1) * (n - 1) / max(n - m, 1)
+    errors = np.sqrt(np.maximum(np.diag(inverse @ middle @ inverse) * scale, 0))
+    seen = np.diag(xx) > 1e-12
+    found = [(k, float(b), float(s)) for k, b, s, ok in zip(steps, beta, errors, seen, strict=True) if ok]
+    return panel.sparkSession.createDataFrame(found, "k int, tau double, se double")
+
+
 def unit_outcomes(panel: DataFrame, units: DataFrame, post: int, code: str = "code") -> DataFrame:
     """Mean of the post months less the mean of all earlier ones; controls are mixed by cohort sizes over what exists."""
     sizes = units.where("g is not null").groupBy(F.col("g").alias("cohort")).agg(F.count("*").alias("n"))
@@ -214,12 +326,33 @@ def activations(daily: DataFrame, window: tuple[int, int], lookback: int, r: int
     return out.select(F.col("code").alias(code), "n_months", status.alias("status"), chosen["rise"].alias("t_mi"), chosen["ratio"].alias("ratio"))
 
 
-def two_way_demeaned(panel: DataFrame, value: str = "y", rounds: int = 20, code: str = "code", time: str = "mi") -> DataFrame:
-    """Alternating demeaning by unit and time; each round is two windows, lineage is cut every few."""
-    out = panel.withColumn("resid", F.col(value).cast("double"))
-    for i in range(rounds):
+def demeaned(rows: DataFrame, values: list[str], rounds: int = 50, code: str = "code", time: str = "mi", tolerance: float = 1e-10) -> DataFrame:
+    """values less their unit and month means, by alternating projections until no value moves by more than
+    the tolerance (relative to the largest one), ``rounds`` at most.
+
+    A round aggregates to one row a unit or month and joins it back; every few rounds the table is
+    written to the checkpoint folder, which cuts the lineage, and the largest move is read.
+    """
+    out, every = rows, 4
+    scale = max([abs(v) for v in rows.agg(*[F.max(F.abs(c)) for c in values]).first() if v is not None] or [0.0]) or 1.0
+    for done in range(1, rounds + 1):
+        before = {c: f"__b{i}" for i, c in enumerate(values)}
+        out = out.withColumns({b: F.col(c) for c, b in before.items()})
         for key in (code, time):
-            out = out.withColumn("resid", F.col("resid") - F.avg("resid").over(Window.partitionBy(key)))
-        if i % 5 == 4 and out.sparkSession.sparkContext.getCheckpointDir():
-            out = out.checkpoint()
-    return out
+            means = out.groupBy(key).agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(values)])
+            out = out.join(means, key).withColumns({c: F.col(c) - F.col(f"__m{i}") for i, c in enumerate(values)}).drop(*[f"__m{i}" for i in range(len(values))])
+        if done % every == 0 or done == rounds:
+            out = out.checkpoint() if out.sparkSession.sparkContext.getCheckpointDir() else out
+            moved = max(v or 0.0 for v in out.agg(*[F.max(F.abs(F.col(c) - F.col(b))) for c, b in before.items()]).first())
+            if moved <= tolerance * scale:
+                out = out.drop(*before.values())
+                break
+        out = out.drop(*before.values())
+    return out.select(*rows.columns)
+
+
+def two_way_demeaned(panel: DataFrame, value: str = "y", rounds: int = 50, code: str = "code", time: str = "mi") -> DataFrame:
+    """panel with resid: the value less unit and month means, to convergence (``demeaned``); NULL values have none."""
+    known = panel.where(F.col(value).isNotNull()).withColumn("resid", F.col(value).cast("double"))
+    done = demeaned(known, ["resid"], rounds, code, time)
+    return done.unionByName(panel.where(F.col(value).isNull()).withColumn("resid", F.lit(None).cast("double")))

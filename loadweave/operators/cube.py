@@ -21,9 +21,9 @@ def attach_codes(cube: DataFrame, codes: DataFrame, on: str, code: str = "code")
 
 
 def merge_units(cube: DataFrame, heads: DataFrame, code: str = "code") -> DataFrame:
-    """Small units counted with their head (heads: code, head)."""
+    """Small units counted with their head (heads: code, head); the least customers of the units add up, as their sums do."""
     moved = cube.join(F.broadcast(heads), code, "left").withColumn(code, F.coalesce("head", code)).drop("head")
-    return moved.groupBy(code, "mi", "hour").agg(F.sum("kwh").alias("kwh"), F.max("n_days").alias("n_days"), F.sum("cust_sum").alias("cust_sum"))
+    return moved.groupBy(code, "mi", "hour").agg(F.sum("kwh").alias("kwh"), F.max("n_days").alias("n_days"), F.sum("cust_sum").alias("cust_sum"), F.sum("cust_min").alias("cust_min"))
 
 
 def daily_series(cube: DataFrame, code: str = "code") -> DataFrame:
@@ -69,11 +69,16 @@ def containment(part: DataFrame, whole: DataFrame, keys: list[str], value: str =
     return joined.agg(F.count("*").alias("n"), F.avg(F.col("whole").isNotNull().cast("int")).alias("matched"), F.avg(inside).alias("not_above"))
 
 
-def concentration(cube: DataFrame, code: str = "code") -> DataFrame:
-    """Peak hour over the sum of the mean day, the peak hour (smallest on ties) and the hours present."""
-    means = cube.groupBy(code, "hour").agg(ratio(F.sum("kwh"), F.sum("n_days")).alias("avg_kw"))
+def concentration(cube: DataFrame, code: str = "code", period: tuple[int, int] | None = None) -> DataFrame:
+    """Peak hour over the sum of the mean day, both, the peak hour (smallest on ties) and the hours present.
+
+    period: first and last month index that count.
+    """
+    means = (cube if period is None else cube.where(F.col("mi").between(*period))).groupBy(code, "hour").agg(ratio(F.sum("kwh"), F.sum("n_days")).alias("avg_kw"))
     out = means.groupBy(code).agg(
         ratio(F.max("avg_kw"), F.sum("avg_kw")).alias("concentration"),
+        F.sum("avg_kw").alias("daily_kwh"),
+        F.max("avg_kw").alias("peak_avg_kw"),
         F.max_by("hour", F.struct("avg_kw", -F.col("hour"))).alias("peak_hour"),
         F.count("avg_kw").alias("n_hours"),
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import ratio
+from ..functions.numbering import numbered
 from .timeseries import conformal_offset
 
 LEAST_ROWS = 100
@@ -80,16 +81,16 @@ def scaled_target(panel: DataFrame, target: str = "kw", reference: str = "refere
 def permutation_importance(model, rows: DataFrame, target: str, features: list[str], repeats: int = 3) -> DataFrame:
     """Share of the increase in absolute error when a feature's values are dealt anew among rows, negative ones as 0.
 
-    A permutation joins rows on their rank by two hashes; ranks come from partition-wise numbering.
+    A permutation joins rows on their numbers by two hashes, given slice by slice (``numbered``).
     """
-    base = rows.select(target, *[F.col(c).cast("double").alias(c) for c in features]).withColumn("__id", F.monotonically_increasing_id())
+    base = rows.select(target, *[F.col(c).cast("double").alias(c) for c in features])
     error = lambda df: model.transform(df).agg(F.avg(F.abs(F.col("prediction") - F.col(target)))).first()[0]
     before, lines = error(base), []
     for c in features:
         rises = []
         for k in range(repeats):
-            own = base.withColumn("__r", F.row_number().over(Window.orderBy(F.xxhash64("__id", F.lit(0)))))
-            other = base.select(F.col(c).alias("__v"), F.row_number().over(Window.orderBy(F.xxhash64("__id", F.lit(k + 1)))).alias("__r"))
+            own = numbered(base, [target, *features], "__r")
+            other = numbered(base, [target, *features], "__r", k + 1).select(F.col(c).alias("__v"), "__r")
             rises.append(error(own.join(other, "__r").withColumn(c, F.col("__v"))) - before)
         lines.append((c, max(sum(rises) / repeats, 0.0)))
     total = sum(v for _, v in lines) or 1.0
@@ -136,7 +137,8 @@ def blp_slope(outcomes: DataFrame, predicted: str) -> DataFrame:
     return sums.select("slope", F.sqrt(F.col("num") * F.col("n") / (F.col("n") - 2)).alias("__s"), "den", "n").select("slope", (F.col("__s") / F.nullif("den", F.lit(0.0))).alias("se"), "n")
 
 
-def effect_groups(outcomes: DataFrame, predicted: str, groups: int = 4) -> DataFrame:
-    """Treated minus control means by quantile group of a predicted effect."""
-    held = outcomes.where(F.col(predicted).isNotNull()).withColumn("group", F.ntile(groups).over(Window.orderBy(predicted)))
+def effect_groups(outcomes: DataFrame, predicted: str, groups: int = 4, tie: str | None = None) -> DataFrame:
+    """Treated minus control means by quantile group of a predicted effect (a row a unit), ties in the order of ``tie``."""
+    order = Window.orderBy(predicted, *([tie] if tie else []))
+    held = outcomes.where(F.col(predicted).isNotNull()).withColumn("group", F.ntile(groups).over(order))
     return held.groupBy("group").agg((F.avg(F.when(F.col("treated"), F.col("delta"))) - F.avg(F.when(~F.col("treated"), F.col("delta")))).alias("effect"), F.count("*").alias("n"))

@@ -93,3 +93,62 @@ def gates(metrics: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFra
         for i, (name, metric, warn, fail) in enumerate(rules)
     ]
     return metrics.select(F.explode(F.array(*cases)).alias("g")).select("g.*")
+
+
+def shown_number(x: Column, digits: int = 3) -> Column:
+    """A number as text: a dash for none or what isn't finite, thousands separated and whole from a thousand on."""
+    finite = x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
+    return F.when(~finite, "—").when(F.abs(x) >= 1000, F.format_number(x, 0)).otherwise(F.format_number(x, digits))
+
+
+def read_number(x: Column) -> Column:
+    """The number of such a text; a dash or anything else is NULL."""
+    return F.replace(F.trim(x), F.lit(","), F.lit("")).try_cast("double")
+
+
+def without_small_examples(examples: DataFrame, counts: DataFrame, least: int, code: str = "code") -> tuple[DataFrame, DataFrame]:
+    """(examples of regions with enough customers, one row: treated ones that went); no count means 0."""
+    held = examples.join(counts.select(code, F.col("n").alias("__n")), code, "left").withColumn("__small", F.coalesce("__n", F.lit(0)) < least)
+    gone = held.agg(F.count_if(F.col("__small") & (F.col("status") == "treated")).alias("n_treated_gone"))
+    return held.where("not __small").drop("__n", "__small"), gone
+
+
+#: The checks before a run: name, metric, condition of a warning, condition of a failure, on x.
+PREFLIGHT = [
+    ("packages", "missing_packages", "", "x > 0"),
+    ("activation candidates", "n_candidates", "x < 30", "x < 10"),
+    ("time bands", "n_bands", "x < 4", ""),
+    ("distance codes", "n_distance_codes", "", "x <= 1"),
+    ("unmatched towns", "unmatched_share", "x > 0.1", "x > 0.3"),
+    ("masked cells", "masked_share", "x > 0.3", ""),
+    ("one channel within the other", "contained_share", "x < 0.99", ""),
+    ("ids are vehicles", "individual_ids", "x < 1", ""),
+    ("schedules can be solved", "solver_works", "x < 1", ""),
+    ("least detectable effect", "mde", "x > 0.03", ""),
+    ("fonts", "fonts", "", "x < 1"),
+    ("regions matched with access", "access_matched", "x < 0.7", ""),
+    ("seasons covered", "seasons_covered", "x < 4", ""),
+    ("weights", "weight_error", "", "x > 0.000001"),
+    ("robust top group", "robust_share", "x < 0.05", ""),
+    ("months after activation", "missing_months", "x > 0", ""),
+    ("forecast model", "model_works", "x < 1", ""),
+    ("forecast against baseline", "ai_passes", "", "x < 1"),
+    ("usable forecasts", "usable_forecasts", "", "x < 0.5"),
+    ("split of districts", "unmapped_share", "x > 0.1", "x > 0.3"),
+    ("regions without risk", "zero_risk_share", "x >= 0.5", ""),
+]
+
+
+def preflight(metrics: DataFrame) -> DataFrame:
+    """The verdict on each of the ``PREFLIGHT`` checks for a one-row table of metrics: always all rows, 'n.a.' without the metric."""
+    named = metrics.select(*[F.col(m) if m in metrics.columns else F.lit(None).cast("double").alias(m) for _, m, _, _ in PREFLIGHT])
+    return gates(named, PREFLIGHT)
+
+
+def cross_checked(public: DataFrame, printed: DataFrame, value: str, digits: int = 3, code: str = "code") -> DataFrame:
+    """One row: regions in both, those whose recomputed value agrees with the printed one within its rounding, and the rank correlation."""
+    from .risk import correlations
+
+    both = public.select(code, F.col(value).alias("x")).join(printed.select(code, F.col(value).alias("y")), code)
+    agree = F.abs(F.col("x") - F.col("y")) <= 0.5 * 10**-digits + 1e-12
+    return both.agg(F.count("*").alias("n_both"), F.count_if(agree | (F.col("x").isNull() & F.col("y").isNull())).alias("n_agree")).crossJoin(correlations(both, "x", "y").select("spearman"))

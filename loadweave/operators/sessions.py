@@ -15,18 +15,21 @@ SECONDS = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6  # noqa: E73
 
 def vehicle_sample(log: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
     """Whole vehicles in hash order while their rows fit into ``most``; everything where it fits anyway."""
-    sizes = log.groupBy(key).agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.xxhash64(key, F.lit(seed)), key)
-    running = sizes.withColumns({"total": F.sum("n").over(Window.partitionBy()), "upto": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    return log.join(running.where(f"total <= {most} or upto <= {most}").select(key), key, "left_semi")
+    # Two levels of running sums: over slices of the hash, which are few, then within a slice.
+    sizes = log.groupBy(key).agg(F.count("*").alias("n")).withColumn("h", F.xxhash64(key, F.lit(seed))).withColumn("slice", F.shiftright("h", 52))
+    slices = sizes.groupBy("slice").agg(F.sum("n").alias("held"))
+    before = slices.select("slice", (F.sum("held").over(Window.orderBy("slice")) - F.col("held")).alias("before"), F.sum("held").over(Window.partitionBy()).alias("total"))
+    within = F.sum("n").over(Window.partitionBy("slice").orderBy("h", key).rowsBetween(Window.unboundedPreceding, 0))
+    running = sizes.withColumn("upto", within).join(F.broadcast(before), "slice")  # at most 4096 slices
+    return log.join(running.where(f"total <= {most} or before + upto <= {most}").select(key), key, "left_semi")
 
 
 def pair_speeds(log: DataFrame, key: str, time: str = "ts", max_minutes: float = 10.0) -> DataFrame:
-    """Consecutive rows of one vehicle up to max_minutes apart: minutes, km and km/h (infinite where time stands still and place doesn't)."""
+    """Consecutive rows of one vehicle up to max_minutes apart: minutes, km and km/h (infinite where time stands still and place doesn't, NULL without coordinates)."""
     over = Window.partitionBy(key).orderBy(time, *(["event_id"] if "event_id" in log.columns else []))
     rows = log.withColumns({"__t": F.lag(SECONDS(time)).over(over), "__lat": F.lag("lat").over(over), "__lon": F.lag("lon").over(over)})
     rows = rows.withColumns({"minutes": (SECONDS(time) - F.col("__t")) / 60, "km": haversine_km("__lat", "__lon", "lat", "lon")}).where(F.col("minutes").between(0, max_minutes))
-    speed = F.when(F.col("minutes") > 0, F.col("km") / F.nullif(F.col("minutes"), F.lit(0.0)) * 60).when(F.col("km") > 0.5, F.lit(float("inf"))).otherwise(F.lit(0.0))
+    speed = F.when(F.col("minutes") > 0, F.col("km") / F.nullif(F.col("minutes"), F.lit(0.0)) * 60).when(F.col("km") > 0.5, F.lit(float("inf"))).when(F.col("km").isNotNull(), F.lit(0.0))
     return rows.withColumn("kmh", speed).select(key, time, "minutes", "km", "kmh")
 
 
@@ -143,16 +146,30 @@ def low_access_contrast(regions: DataFrame, value: str = "away_ratio", access: s
 def base_sessions(found: DataFrame, key: str, eps_m: float = 150.0, least: int = 3, days: int = 3) -> DataFrame:
     """Density clusters of a vehicle's sessions (within eps, at least so many, the point included); a cluster seen on enough days is a base.
 
-    One vehicle's sessions are a group of bounded size; grid cells limit the distances compared.
+    Within a vehicle points meet those of their own and the neighbouring cells of a grid on the unit
+    sphere whose cells are eps wide, so memory and work follow the points that lie close.
     """
     cols = [key, "session", "lat", "lon", "start"]
+    chord = 2 * np.sin(min(eps_m / 6371008.8, np.pi) / 2)
+    around = [np.array((x, y, z)) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("session").reset_index(drop=True)
         lat, lon = np.radians(frame["lat"].to_numpy(float)), np.radians(frame["lon"].to_numpy(float))
-        a = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
-        near = 2 * 6371008.8 * np.arcsin(np.sqrt(np.clip(a, 0, 1))) <= eps_m
-        core = near.sum(axis=1) >= least
+        place = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=1)
+        cell = np.floor(place / max(chord * 1.001, 1e-12)).astype(np.int64)
+        found_in: dict[tuple, list[int]] = {}
+        for i, c in enumerate(map(tuple, cell.tolist())):
+            found_in.setdefault(c, []).append(i)
+        held = {c: np.array(rows) for c, rows in found_in.items()}
+        beside = {c: np.concatenate([held[n] for d in around if (n := tuple((np.array(c) + d).tolist())) in held]) for c in held}
+
+        def near(i: int) -> np.ndarray:
+            others = beside[tuple(cell[i].tolist())]
+            a = np.sin((lat[others] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[others]) * np.sin((lon[others] - lon[i]) / 2) ** 2
+            return np.sort(others[2 * 6371008.8 * np.arcsin(np.sqrt(np.clip(a, 0, 1))) <= eps_m])
+
+        core = np.array([len(near(i)) >= least for i in range(len(frame))], bool)
         label = np.full(len(frame), -1)
         for i in np.flatnonzero(core):
             if label[i] >= 0:
@@ -160,10 +177,11 @@ def base_sessions(found: DataFrame, key: str, eps_m: float = 150.0, least: int =
             stack, label[i] = [i], i
             while stack:
                 j = stack.pop()
-                for k in np.flatnonzero(near[j] & (label < 0)):
-                    label[k] = i
-                    if core[k]:
-                        stack.append(k)
+                for k in near(j):
+                    if label[k] < 0:
+                        label[k] = i
+                        if core[k]:
+                            stack.append(k)
         seen = pd.to_datetime(frame["start"]).dt.date.groupby(label).nunique()
         base = [c >= 0 and seen[c] >= days for c in label]
         return pd.DataFrame({key: frame[key], "session": frame["session"], "cluster": label, "is_base": base})
@@ -174,3 +192,9 @@ def base_sessions(found: DataFrame, key: str, eps_m: float = 150.0, least: int =
 
 def with_cell(log: DataFrame, metres: float) -> DataFrame:
     return log.withColumn("cell", geo_cell("lat", "lon", metres))
+
+
+def peak_hours(cube: DataFrame | None, n: int = 4) -> list[int]:
+    """The n hours with the largest energy (smaller hour on ties), ascending; the evening where there is no cube."""
+    rows = [] if cube is None else cube.groupBy("hour").agg(F.sum("kwh").alias("v")).where("v is not null").orderBy(F.desc("v"), "hour").limit(n).collect()
+    return sorted(r["hour"] for r in rows) or [18, 19, 20, 21]

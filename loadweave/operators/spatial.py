@@ -1,6 +1,6 @@
 """Radius joins, nearest neighbours and floating-catchment accessibility.
 
-A radius join buckets both sides by a grid at least a radius wide and meets the nine
+A radius join buckets both sides by a grid at least a radius wide and meets the
 neighbouring cells by an equi-join, so that no pair of distant rows is ever formed.
 """
 
@@ -12,60 +12,96 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.expr import haversine_km, ratio, slope_factor
+from ..functions.expr import EARTH_KM, haversine_km, ratio, slope_factor
 
-KM_PER_DEGREE = 111.0
+#: Places up to which a dimension is sent to every task, once counted.
+SMALL = 20_000
 
 
-def _cells(lat: Column, lon: Column, km: float, widest_lat: float) -> tuple[Column, Column]:
-    narrow = max(math.cos(math.radians(min(abs(widest_lat), 89.0))), 0.02)
-    return F.floor(lat / (km / KM_PER_DEGREE)), F.floor(lon / (km / (KM_PER_DEGREE * narrow)))
+def _sphere(lat: Column, lon: Column) -> list[Column]:
+    """Place on the unit sphere."""
+    a, o = F.radians(lat), F.radians(lon)
+    return [F.cos(a) * F.cos(o), F.cos(a) * F.sin(o), F.sin(a)]
 
 
-def radius_join(left: DataFrame, right: DataFrame, km: float, widest_lat: float = 60.0) -> DataFrame:
+def _chord(km: float) -> float:
+    """Straight distance on the unit sphere of two places km apart along it."""
+    return 2 * math.sin(min(km / EARTH_KM, math.pi) / 2)
+
+
+def _cells(lat: Column, lon: Column, side: float) -> list[Column]:
+    return [F.floor(x / side).cast("long") for x in _sphere(lat, lon)]
+
+
+def radius_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     """left x right within km (closed): columns of both, and dist_km.
 
-    left has lat, lon; right has lat2, lon2.  Cells use the largest latitude given, so that
-    longitude cells are never narrower than the radius.
+    left has lat, lon; right has lat2, lon2; rows without coordinates go.  Cells are cubes around the
+    unit sphere, a chord of the radius wide, so they serve any latitude and the date line alike;
+    of the neighbours only those that the sphere cuts are met.
     """
-    size = km * 1.01
-    a, b = _cells(F.col("lat"), F.col("lon"), size, widest_lat)
-    one = left.where("lat is not null and lon is not null").withColumns({"__y": a, "__x": b})
-    c, d = _cells(F.col("lat2"), F.col("lon2"), size, widest_lat)
-    two = right.where("lat2 is not null and lon2 is not null").withColumn("__y", F.explode(F.sequence(c - 1, c + 1))).withColumn("__x", F.explode(F.sequence(d - 1, d + 1)))
-    joined = one.join(two, ["__y", "__x"]).withColumn("dist_km", haversine_km("lat", "lon", "lat2", "lon2"))
-    return joined.where(F.col("dist_km") <= km).drop("__y", "__x")
+    side = max(_chord(km * 1.001), 1e-9)
+    names = ["__x", "__y", "__z"]
+    one = left.where("lat is not null and lon is not null").withColumns(dict(zip(names, _cells(F.col("lat"), F.col("lon"), side), strict=True)))
+    two = right.where("lat2 is not null and lon2 is not null").withColumns(dict(zip(names, _cells(F.col("lat2"), F.col("lon2"), side), strict=True)))
+    for n in names:
+        two = two.withColumn(n, F.explode(F.sequence(F.col(n) - 1, F.col(n) + 1)))
+    centre = F.sqrt(sum((F.pow((F.col(n) + 0.5) * side, 2) for n in names), F.lit(0.0)))
+    two = two.where(F.abs(centre - 1) <= side * 0.87)  # half a cube's diagonal
+    joined = one.join(two, names).withColumn("dist_km", haversine_km("lat", "lon", "lat2", "lon2"))
+    return joined.where(F.col("dist_km") <= km).drop(*names)
+
+
+def _best(near: DataFrame, key: str, code: str) -> DataFrame:
+    best = near.groupBy(key).agg(F.min(F.struct("dist_km", "__code")).alias("b"))
+    return best.select(key, F.col("b.__code").alias(code), F.col("b.dist_km").alias("dist_km"))
+
+
+def _far(rest: DataFrame, right: DataFrame, cell_km: float = 500.0) -> DataFrame:
+    """Pairs of points with the places that may be nearest, for points far from all: cells of points
+    meet cells of places (a few thousand at most, whatever the tables' sizes), and only those cells
+    whose least possible distance isn't above another's largest go on."""
+    side = _chord(cell_km)
+    names = ["x", "y", "z"]
+    cell = lambda lat, lon, p: [c.alias(f"{p}{n}") for n, c in zip(names, _cells(F.col(lat), F.col(lon), side), strict=True)]
+    points = rest.select("*", *cell("lat", "lon", "p"))
+    places = right.select("*", *cell("lat2", "lon2", "q"))
+    ps, qs = [f"p{n}" for n in names], [f"q{n}" for n in names]
+    gap = F.sqrt(sum((F.pow((F.col(a) - F.col(b)) * side, 2) for a, b in zip(ps, qs, strict=True)), F.lit(0.0)))
+    slack = 2 * side * math.sqrt(3) / 2
+    met = points.select(*ps).distinct().crossJoin(F.broadcast(places.select(*qs).distinct())).withColumn("gap", gap)
+    least = F.min("gap").over(Window.partitionBy(*ps))
+    met = met.withColumn("least", least).where(F.col("gap") - slack <= F.col("least") + slack).select(*ps, *qs)
+    return points.join(met, ps).join(places, qs)
 
 
 def nearest(points: DataFrame, places: DataFrame, key: str, code: str, max_km: float | None = None, rings: tuple[float, ...] = (2.0, 20.0, 200.0)) -> DataFrame:
     """key, code and dist_km of each point's nearest place (smaller code on ties).
 
-    Points are searched within growing radii, each round only those without a find yet; the
-    last round is a bound that covers the rest.  Beyond max_km the code is NULL, the distance
-    stays.  Points without coordinates come back with NULLs.
+    Points are searched within growing radii, each round only those without a find yet; what is
+    left meets the places of the cells that may hold its nearest.  Beyond max_km the code is
+    NULL, the distance stays.  Points without coordinates come back with NULLs; places without
+    coordinates are never found.
     """
-    right = places.selectExpr(f"{code} as __code", "lat as lat2", "lon as lon2")
-    rest, found = points.select(key, "lat", "lon"), None
-    for km in (*rings, 20_100.0):
-        if km > 2000:  # the few that lie farther from everything than the last ring
-            near = rest.where("lat is not null and lon is not null").join(F.broadcast(right), F.lit(True)).withColumn("dist_km", haversine_km("lat", "lon", "lat2", "lon2"))
-        else:
-            near = radius_join(rest, right, km)
-        best = near.groupBy(key).agg(F.min(F.struct("dist_km", "__code")).alias("b")).select(key, F.col("b.__code").alias(code), F.col("b.dist_km").alias("dist_km"))
+    right = places.selectExpr(f"{code} as __code", "lat as lat2", "lon as lon2").where("lat2 is not null and lon2 is not null")
+    rest, found = points.select(key, "lat", "lon").where("lat is not null and lon is not null"), None
+    for km in rings:
+        best = _best(radius_join(rest, right, km), key, code)
         found = best if found is None else found.unionByName(best)
         rest = rest.join(best.select(key), key, "left_anti")
+    last = _best(_far(rest, right).withColumn("dist_km", haversine_km("lat", "lon", "lat2", "lon2")), key, code)
+    found = last if found is None else found.unionByName(last)
     out = points.select(key).join(found, key, "left")
     return out.withColumn(code, F.when(F.col("dist_km") <= max_km, F.col(code))) if max_km is not None else out
 
 
 def nearest_small(points: DataFrame, places: DataFrame, key: str, code: str, max_km: float | None = None) -> DataFrame:
-    """As ``nearest`` for a dimension of places (checked: at most 20 000 rows), in one pass without rings."""
-    if places.count() > 20_000:
+    """As ``nearest`` for a dimension of places (checked: at most ``SMALL`` rows), in one pass without rings."""
+    if places.count() > SMALL:
         return nearest(points, places, key, code, max_km)
     right = places.selectExpr(f"{code} as __code", "lat as lat2", "lon as lon2").where("lat2 is not null and lon2 is not null")
     near = points.where("lat is not null and lon is not null").select(key, "lat", "lon").join(F.broadcast(right))
-    near = near.withColumn("dist_km", haversine_km("lat", "lon", "lat2", "lon2"))
-    best = near.groupBy(key).agg(F.min(F.struct("dist_km", "__code")).alias("b")).select(key, F.col("b.__code").alias(code), F.col("b.dist_km").alias("dist_km"))
+    best = _best(near.withColumn("dist_km", haversine_km("lat", "lon", "lat2", "lon2")), key, code)
     out = points.select(key).join(best, key, "left")
     return out.withColumn(code, F.when(F.col("dist_km") <= max_km, F.col(code))) if max_km is not None else out
 

@@ -57,17 +57,18 @@ def panel_features(hourly: DataFrame, code: str = "code", hours: int = 24) -> Da
     return rows.join(per_day.drop("mean7", "mean28"), [code, "date"], "left")
 
 
-def baseline(hourly: DataFrame, weeks: int = 4, code: str = "code", hours: int = 24) -> DataFrame:
+def baseline(hourly: DataFrame, weeks: int = 4, code: str = "code", hours: int = 24, coming: DataFrame | None = None) -> DataFrame:
     """Median of the same hour on the last so many same weekdays, only where all these days are complete.
 
     The source days are the row's day minus 7, 14, ... days, so the latest is a week before it.
+    Rows are those of ``hourly``, or of ``coming`` (code, date, hour; no load needed): days ahead.
     """
     complete = complete_days(hourly, code, hours).where("is_complete").select(code, "date")
     source = hourly.join(complete, [code, "date"], "left_semi").select(code, "hour", "kw", "date")
     shifted = source.select(code, "hour", "kw", F.explode(F.array(*[F.date_add("date", 7 * w) for w in range(1, weeks + 1)])).alias("date"))
     medians = shifted.groupBy(code, "date", "hour").agg(F.count("kw").alias("n"), F.median("kw").alias("m"))
     medians = medians.where(F.col("n") == weeks).select(code, "date", "hour", F.col("m").alias("baseline_kw"), F.date_sub("date", 7).alias("src_max_date"))
-    return hourly.join(medians, [code, "date", "hour"], "left")
+    return (hourly if coming is None else coming).join(medians, [code, "date", "hour"], "left")
 
 
 def holiday_baseline(hourly: DataFrame, holidays: DataFrame, weeks: int = 4, code: str = "code") -> DataFrame:
@@ -97,12 +98,24 @@ def level_ratio(series: DataFrame, code: str, mi: str, value: str, r: int) -> Da
 
 
 def asof_latest(rows: DataFrame, issues: DataFrame, keys: list[str], cutoff: Column, issued: str = "issued_at", value: str = "value", tie: str | None = None) -> DataFrame:
-    """For each row the value issued last at or before its cutoff (closed bound); ties by ``tie``, then value."""
-    joined = rows.withColumn("__cutoff", cutoff).join(issues, keys, "left")
-    usable = F.col(issued) <= F.col("__cutoff")
-    order = F.struct(*[F.col(c) for c in (issued, tie or value, value)])
-    latest = F.max_by(F.when(usable, F.col(value)), F.when(usable, order))
-    return joined.groupBy(*rows.columns).agg(latest.alias(value), F.max(F.when(usable, F.col(issued))).alias(issued))
+    """For each row the value issued last at or before its cutoff (closed bound); ties by ``tie``, then value.
+
+    Rows and issues of a key and day are sorted together by time, issues first, and each row takes
+    the last issue before it in that day, or else the last of the days before, which a second
+    window over one row a day carries forward.  No pair of a row and an older issue is made, and a
+    key with a large share of all rows is dealt by its days.  Every row comes back, repeated ones
+    too; null keys or cutoffs find nothing.
+    """
+    told = F.struct(F.col(issued).alias("t"), F.col(tie or value).alias("k"), F.col(value).alias("v"))
+    asked = rows.select(*keys, cutoff.alias("__at"), F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in rows.columns]).alias("__row"))
+    given = issues.where(F.col(issued).isNotNull()).select(*keys, F.col(issued).alias("__at"), told.alias("__told"), F.lit(0).alias("__side"))
+    both = asked.unionByName(given, allowMissingColumns=True).withColumn("__day", F.to_date("__at"))
+    earlier = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = both.groupBy(*keys, "__day").agg(F.max("__told").alias("__top")).withColumn("__carried", F.last("__top", ignorenulls=True).over(earlier)).drop("__top")
+    today = Window.partitionBy(*keys, "__day").orderBy("__at", "__side", "__told.k", "__told.v").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.join(days, [*keys, "__day"], "left").withColumn("__last", F.coalesce(F.last("__told", ignorenulls=True).over(today), "__carried"))
+    usable = F.col("__at").isNotNull() & ~F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    return found.where("__side = 1").select("__row.*", F.when(usable, F.col("__last.v")).alias(value), F.when(usable, F.col("__last.t")).alias(issued))
 
 
 def assert_no_leakage(df: DataFrame, source: str = "src_max_date", target: str = "date") -> None:
@@ -182,3 +195,39 @@ def backtest(pred: DataFrame, code: str = "code") -> DataFrame:
     days = pred.groupBy(code, "date").agg(F.count("baseline_kw").alias("b"), F.count("kw").alias("a"), F.avg(F.abs(F.col("kw") - F.col("baseline_kw"))).alias("mae"), F.avg(F.col("kw") - F.col("baseline_kw")).alias("bias"))
     fine = (F.col("b") == 24) & (F.col("a") == 24)
     return days.groupBy(code).agg(F.count_if(fine).alias("n_days"), F.count_if(~fine).alias("n_skipped"), F.avg(F.when(fine, F.col("mae"))).alias("mae"), F.avg(F.when(fine, F.col("bias"))).alias("bias"))
+
+
+# features beside the panel's own
+def district_hours(hourly: DataFrame, digits: int = 5, code: str = "code") -> DataFrame:
+    """Hourly sums of districts (leading digits of the code); an hour without a row counts nothing."""
+    return hourly.groupBy(F.substring(F.col(code).cast("string"), 1, digits).alias(code), "date", "hour").agg(F.sum("kw").alias("kw"))
+
+
+def group_mean(panel: DataFrame, value: str, group: str = "group") -> DataFrame:
+    """Mean of a value over the regions of a group at the same date and hour, the row's own included."""
+    return panel.withColumn(f"group_{value}", F.avg(value).over(Window.partitionBy(group, "date", "hour")))
+
+
+def temperature_features(weather: DataFrame, places: DataFrame, mode: str, cutoff_hour: int = 18, code: str = "code") -> DataFrame:
+    """code, date, hour, temp, issued_at for each hour of the station that a region belongs to.
+
+    weather: station, ts, observed, forecast, issued_at; places: station, code.  Forecast mode takes
+    what was issued last by the cutoff of the day before (closed), and what wasn't is no feature;
+    observed mode takes the observation and has no issue time.
+    """
+    if mode == "forecast":
+        cutoff = F.date_trunc("day", F.col("ts").cast("timestamp")) - F.make_dt_interval(F.lit(0), F.lit(24 - cutoff_hour))
+        usable = weather.where(F.col("forecast").isNotNull() & (F.col("issued_at").cast("timestamp") <= cutoff))
+        temps = usable.groupBy("station", "ts").agg(F.max_by("forecast", F.struct("issued_at", "forecast")).alias("temp"), F.max("issued_at").alias("issued_at"))
+    elif mode == "observed":
+        temps = weather.where("observed is not null").groupBy("station", "ts").agg(F.max("observed").alias("temp")).withColumn("issued_at", F.lit(None).cast(dict(weather.dtypes)["issued_at"]))
+    else:
+        raise ValueError(f"a mode is forecast or observed, not {mode!r}")
+    return temps.join(places.select("station", code), "station").select(code, F.to_date("ts").alias("date"), F.hour("ts").alias("hour"), "temp", "issued_at")
+
+
+def assert_issued_in_time(df: DataFrame, cutoff: Column, issued: str = "issued_at") -> None:
+    """An error if any issue lies after its cutoff: one aggregate."""
+    bad = df.agg(F.count_if(F.col(issued) > cutoff)).first()[0]
+    if bad:
+        raise ValueError(f"{bad} issues after their cutoff")

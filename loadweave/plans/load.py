@@ -30,9 +30,9 @@ _PROFILE = "pr AS (SELECT user_id AS code, CAST(hour(ts) AS INTEGER) AS hour, su
 
 
 @query("concentration", f"""WITH {_PROFILE}, m AS (SELECT code, hour, round(kwh / n_days, 9) AS v FROM pr),
-a AS (SELECT code, max(v) / sum(v) AS c, count(v) AS n_hours FROM m GROUP BY code),
+a AS (SELECT code, max(v) / sum(v) AS c, sum(v) AS daily_kwh, max(v) AS peak_avg_kw, count(v) AS n_hours FROM m GROUP BY code),
 r AS (SELECT code, hour, row_number() OVER (PARTITION BY code ORDER BY v DESC, hour) AS k FROM m),
-q AS (SELECT a.code, round(c, 6) AS concentration, CAST(hour AS INTEGER) AS peak_hour, CAST(n_hours AS BIGINT) AS n_hours FROM a JOIN r ON a.code = r.code AND k = 1)
+q AS (SELECT a.code, round(c, 6) AS concentration, round(daily_kwh, 6) AS daily_kwh, round(peak_avg_kw, 6) AS peak_avg_kw, CAST(hour AS INTEGER) AS peak_hour, CAST(n_hours AS BIGINT) AS n_hours FROM a JOIN r ON a.code = r.code AND k = 1)
 SELECT *, CASE WHEN concentration > (SELECT median(concentration) FROM q) THEN 'high' ELSE 'low' END AS load_type FROM q""")
 def concentration(spark, d):
     p = _profile(spark, d).withColumn("kwh", F.round(F.col("kwh") / F.col("n_days"), 9)).withColumn("n_days", F.lit(1))
@@ -54,7 +54,7 @@ def attach_codes(spark, d):
     return rounded(ops.attach_codes(cube(spark, d).withColumnRenamed("code", "name"), codes, "name"))
 
 
-@query("merge_units", f"""WITH {CUBE_SQL} SELECT CASE WHEN code % 4 = 1 THEN code - 1 ELSE code END AS code, mi, hour, sum(kwh) AS kwh, max(n_days) AS n_days, round(sum(cust_sum), 6) AS cust_sum FROM c GROUP BY 1, 2, 3""")
+@query("merge_units", f"""WITH {CUBE_SQL} SELECT CASE WHEN code % 4 = 1 THEN code - 1 ELSE code END AS code, mi, hour, sum(kwh) AS kwh, max(n_days) AS n_days, round(sum(cust_sum), 6) AS cust_sum, round(sum(cust_min), 6) AS cust_min FROM c GROUP BY 1, 2, 3""")
 def merge_units(spark, d):
     heads = table(spark, d, "supplier").where("s_suppkey % 4 = 1").select(F.col("s_suppkey").alias("code"), (F.col("s_suppkey") - 1).alias("head"))
     return rounded(ops.merge_units(cube(spark, d), heads))

@@ -33,31 +33,47 @@ def deduplicated(events: DataFrame, keys: list[str], late: str = "1 hour") -> Da
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def transition_sessions(events: DataFrame, key: str, gap_minutes: float = 15.0) -> DataFrame:
+def transition_sessions(events: DataFrame, key: str, gap_minutes: float = 15.0, late: str = "1 hour") -> DataFrame:
     """Sessions that begin where charging turns on or after a gap, held as state per key.
 
-    events: key (long), ts, charging.  Rows of a micro-batch are taken in time order; a closed session is emitted.
+    events: key (long), ts, charging.  Rows wait until the watermark has passed them, so those that
+    come late within it still stand in their order.  A session is emitted once it is closed: by a
+    row that doesn't charge, by a later start, or by the watermark passing its end by the gap;
+    then nothing is held for the key any longer.
     """
     import pandas as pd
 
+    gap = int(gap_minutes * 60_000_000)
+
     def step(found, frames, state):
-        start, last, n, on = state.get if state.exists else (0, 0, 0, False)
-        end = last
-        rows = pd.concat(list(frames)).sort_values("ts")
-        done = []
-        for at, charging in zip(rows["ts"].astype("int64") // 1000, rows["charging"].fillna(False), strict=True):
-            if charging and (not on or (at - last) / 60e6 > gap_minutes):
-                if n:
-                    done.append((found[0], pd.Timestamp(start, unit="us"), pd.Timestamp(end, unit="us"), n))
-                start, n = at, 0
+        start, last, n, on, waiting, flags = state.get if state.exists else (0, 0, 0, False, [], [])
+        rows = list(zip(waiting, flags, strict=True))
+        for frame in frames:
+            rows += zip((frame["ts"].astype("int64") // 1000).tolist(), frame["charging"].fillna(False).astype(bool).tolist(), strict=True)
+        passed, done = state.getCurrentWatermarkMs() * 1000, []
+
+        def close(end):
+            done.append((found[0], pd.Timestamp(start, unit="us"), pd.Timestamp(end, unit="us"), n))
+
+        rows.sort()
+        ahead = [r for r in rows if r[0] > passed]
+        for at, charging in rows[: len(rows) - len(ahead)]:
+            if on and (not charging or at - last > gap):
+                close(last)
+                on = False
             if charging:
-                end, n = at, n + 1
-            elif on and n:
-                done.append((found[0], pd.Timestamp(start, unit="us"), pd.Timestamp(last, unit="us"), n))
-                n = 0
-            last, on = at, bool(charging)
-        state.update((int(start), int(last), int(n), bool(on)))
+                start, n, on = (start, n + 1, True) if on else (at, 1, True)
+                last = at
+        if on and passed - last > gap:
+            close(last)
+            on = False
+        if on or ahead:
+            state.update((int(start), int(last), int(n), bool(on), [int(a) for a, _ in ahead], [bool(c) for _, c in ahead]))
+            wake = min([a for a, _ in ahead[:1]] + ([last + gap] if on else []))
+            state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        else:
+            state.remove()
         yield pd.DataFrame(done, columns=[key, "start", "end", "n"])
 
-    held = events.select(key, F.col("ts").cast("timestamp").alias("ts"), "charging")
-    return held.groupBy(key).applyInPandasWithState(step, f"{key} long, start timestamp, end timestamp, n int", "start long, last long, n int, on boolean", "append", "NoTimeout")
+    held = events.select(key, F.col("ts").cast("timestamp").alias("ts"), "charging").withWatermark("ts", late)
+    return held.groupBy(key).applyInPandasWithState(step, f"{key} long, start timestamp, end timestamp, n int", "start long, last long, n int, on boolean, waiting array<long>, flags array<boolean>", "append", "EventTimeTimeout")

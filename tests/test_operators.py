@@ -252,5 +252,187 @@ def test_streams(spark, tmp_path):
     assert run(twins.hourly_load(stream), "hours", "complete").agg(F.sum("kwh")).first()[0] == 19.0
     gaps = run(twins.gap_sessions(stream), "gaps", "complete").orderBy("start").collect()
     assert len(gaps) == 3 and gaps[0]["n"] == 2
-    moved = run(twins.transition_sessions(stream, "user_id"), "moved", "append").orderBy("start").collect()
-    assert [(r["n"], r["end"]) for r in moved] == [(2, at(15)), (1, at(40))]
+    q = twins.transition_sessions(stream, "user_id").writeStream.format("memory").queryName("moved").outputMode("append").option("checkpointLocation", f"{tmp_path}/moved").start()
+    q.processAllAvailable()
+    assert [(r["n"], r["end"]) for r in spark.table("moved").orderBy("start").collect()] == [(2, at(15)), (1, at(40))]
+    # A late row still stands in its order, and the watermark closes the last session of a key.
+    more = spark.createDataFrame([(1, at(590), True, 1.0), (2, at(900), True, 1.0)], "user_id long, ts timestamp, charging boolean, value double")
+    more.write.mode("append").parquet(f"{tmp_path}/in")
+    q.processAllAvailable()
+    q.stop()
+    last = spark.table("moved").orderBy("start").collect()[2:]
+    assert [(r["user_id"], r["n"], r["start"], r["end"]) for r in last] == [(1, 2, at(590), at(600))]
+
+
+def test_missing_coordinates(spark):
+    one = spark.createDataFrame([(37.5, 127.0, None, 127.0)], "a double, b double, c double, d double")
+    assert one.select(expr.haversine_km("a", "b", "c", "d")).first()[0] is None
+    log = spark.createDataFrame([("v", 0, 37.5, 127.0, 1), ("v", 60, None, None, 2), ("v", 60, 37.5, 127.0, 3)], "key string, s long, lat double, lon double, event_id int").withColumn("ts", F.timestamp_seconds("s"))
+    assert [r["kmh"] for r in sessions.pair_speeds(log, "key").orderBy("event_id" if "event_id" in log.columns else "ts").collect() if r["kmh"] is not None] == []
+    points = spark.createDataFrame([(1, 37.5, 127.0), (2, None, 127.0), (3, -33.9, 18.4), (4, 89.9, -170.0), (5, 37.5, -179.95)], "p int, lat double, lon double")
+    places = spark.createDataFrame([("a", None, 127.0), ("b", 37.6, 127.0), ("c", 35.0, 139.0), ("d", 89.95, 10.0), ("e", 37.5, 179.95)], "s string, lat double, lon double")
+    got = {r["p"]: (r["s"], r["dist_km"]) for r in spatial.nearest(points, places, "p", "s").collect()}
+    small = {r["p"]: (r["s"], r["dist_km"]) for r in spatial.nearest_small(points, places, "p", "s").collect()}
+    assert {p: v[0] for p, v in got.items()} == {1: "b", 2: None, 3: "b", 4: "d", 5: "e"} == {p: v[0] for p, v in small.items()}
+    assert got[5][1] == pytest.approx(small[5][1]) and got[3][1] == pytest.approx(small[3][1])
+    assert spatial.nearest(points, places.limit(0), "p", "s").where("s is not null").count() == 0
+
+
+def test_projection(spark):
+    lat0, lon0, k0, a, f = 38.0, 127.5, 0.9996, 6378137.0, 1 / 298.257222101
+    step = 1e-5
+    sites = [(36.0, 127.5), (38.0, 127.5), (37.5, 126.9), (37.5 + step, 126.9), (37.5, 126.9 + step)]
+    df = spark.createDataFrame(sites, "lat double, lon double")
+    e, n = expr.tm_forward("lat", "lon", lat0, lon0, k0, 1_000_000.0, 2_000_000.0, a, f)
+    got = [tuple(r) for r in df.select(e.alias("e"), n.alias("n")).collect()]
+    # On the central meridian the northing is the scaled arc of the ellipse.
+    phi = np.radians(np.linspace(36.0, 38.0, 20_001))
+    e2 = f * (2 - f)
+    arc = np.trapezoid(a * (1 - e2) / (1 - e2 * np.sin(phi) ** 2) ** 1.5, phi)
+    assert got[0] == pytest.approx((1_000_000.0, 2_000_000.0 - k0 * arc), abs=1e-3) and got[1] == pytest.approx((1_000_000.0, 2_000_000.0), abs=1e-6)
+    # Elsewhere it is conformal: steps north and east are orthogonal and of one scale.
+    north, east = np.subtract(got[3], got[2]), np.subtract(got[4], got[2])
+    p = np.radians(37.5)
+    m, r = a * (1 - e2) / (1 - e2 * np.sin(p) ** 2) ** 1.5, a / np.sqrt(1 - e2 * np.sin(p) ** 2)
+    scales = np.hypot(*north) / (m * np.radians(step)), np.hypot(*east) / (r * np.cos(p) * np.radians(step))
+    assert scales[0] == pytest.approx(scales[1], abs=1e-6) and k0 < scales[0] < 1.001 and abs(north @ east) < 1e-5
+
+
+def test_dense_numbers(spark):
+    from loadweave.functions.numbering import numbered
+
+    got = [r["number"] for r in numbered(spark.range(5000).withColumn("k", F.col("id") % 700), ["k"]).collect()]
+    assert sorted(got) == list(range(5000)) and numbered(spark.range(0), ["id"]).count() == 0
+
+
+def test_batteries_of_odd_days(spark):
+    b = battery.Battery()
+    load = np.full(24, 2.0)
+    load[18:20] = 6.0
+    charge, discharge = battery.greedy(np.stack([load, np.zeros(24)]), np.array([5.0, 0.0]), b)
+    assert discharge[0, 18:20].tolist() == [1.0, 1.0] and not charge[1].any() and not discharge[1].any()
+    assert charge[0].sum() * b.eta_c == pytest.approx(2 / b.eta_d)
+    assert battery.schedule(np.zeros(24), 0.0, b)["feasible"] and not battery.schedule(load, 0.0, b)["feasible"]
+    days = spark.createDataFrame([(1, load.tolist(), load.tolist(), 0.0, None), (2, [1.0] * 23, load.tolist(), 5.0, None), (3, None, load.tolist(), 5.0, None), (4, load.tolist(), load.tolist(), 5.0, None)], "code int, plan array<double>, actual array<double>, target double, price array<double>")
+    got = {r["code"]: (r["feasible"], r["method"]) for r in battery.schedules(days, b, ["code"]).collect()}
+    assert got == {1: (False, "greedy"), 2: (False, "invalid"), 3: (False, "unavailable"), 4: (True, "peak")}
+
+
+def test_battery_scenarios(spark):
+    load = [2.0] * 18 + [6.0, 6.0] + [2.0] * 4
+    days = spark.createDataFrame([("a", "d1", load, load, load, load), ("a", "d2", load, load, None, load)], "code string, date string, actual array<double>, base array<double>, p50 array<double>, p90 array<double>")
+    calibration = spark.createDataFrame([("a", 6.0)], "code string, peak double")
+    added = {0: battery.added_load(battery.utilization([1.0] * 24, 0.1), 0), 3: battery.added_load(battery.utilization([1.0] * 24, 0.1), 3, 1.0)}
+    rows_ = battery.scenario_days(days, calibration, [0.9, 1.1], added)
+    assert rows_.count() == 2 * 2 * (2 + 4)
+    sizes = battery.scenario_sizes(spark.createDataFrame([("a", [load, load])], "code string, loads array<array<double>>"), calibration, [0.9, 1.1], added, [1.0, 4.0], [4.0, 20.0], battery.Battery())
+    assert {(r["multiplier"], r["n_new"]): r["energy_kwh"] for r in sizes.collect()}[1.1, 0] == 4.0
+    out = battery.run_scenarios(rows_, sizes, battery.Battery())
+    got = {(r["date"], r["multiplier"], r["n_new"], r["mode"], r["input"]): r for r in out.collect()}
+    assert len(got) == 24 and got["d1", 0.9, 0, "oracle", "actual"]["over_kwh"] == pytest.approx(0, abs=1e-4)
+    assert got["d2", 0.9, 3, "compare", "p50"]["method"] == "unavailable" and got["d1", 0.9, 0, "forecast", "p90"]["baseline_over_kwh"] == pytest.approx(2 * 0.6)
+    assert battery.compared_runs(out).count() == 2 * (2 + 4)
+    with pytest.raises(ValueError):
+        battery.utilization([1.0] * 24, 1.5)
+
+
+def test_placebo_and_least_effect(spark):
+    rng = np.random.default_rng(4)
+    data, units, flat = [], [], []
+    for u in range(60):
+        g = 12 if u < 15 else None
+        units.append((u, g))
+        level = rng.normal()
+        for mi in range(24):
+            noise = float(rng.normal() * 0.05)
+            data.append((u, mi, level + 0.02 * mi + noise + (0.5 if g is not None and mi >= g else 0.0)))
+            flat.append((u, mi, level + 0.02 * mi + noise))
+    panel, placebo = (spark.createDataFrame(x, "code int, mi int, y double") for x in (data, flat))
+    who = spark.createDataFrame(units, "code int, g int")
+    real, none = (causal.event_study_draws(p, who, 20) for p in (panel, placebo))
+    got = {r["k"]: r for r in causal.discounted(real, none).collect()}
+    assert got[2]["discounted"] == pytest.approx(0.5, abs=1e-9) and got[2]["se"] == pytest.approx(0, abs=1e-9) and got[-3]["discounted"] == pytest.approx(0, abs=1e-9)
+    apart = {r["k"]: r for r in causal.discounted(real, none, paired=False).collect()}
+    assert apart[2]["se"] > 0.005 and apart[2]["low"] < 0.5 < apart[2]["high"]
+    assert causal.resampled(who, 3).groupBy("draw").agg(F.sum("w").alias("n")).where("n = 60").count() == 4
+    mde = causal.least_detectable(panel, who, 20).first()
+    assert mde["n_runs"] == 20 and abs(mde["mean"]) < 3 * mde["se"] and 0.005 < mde["mde"] < 0.3
+    study = {r["k"]: r for r in causal.binned_event_study(panel, who, -4, 4).collect()}
+    assert study[2]["tau"] == pytest.approx(0.5, abs=0.06) and abs(study[-3]["tau"]) < 0.06 and 0 < study[2]["se"] < 0.05
+    later = spark.createDataFrame([(u, 12 if u < 15 else 20 if u < 30 else None) for u in range(60)], "code int, g int")
+    one, two = ({r["k"]: r["n_control"] for r in causal.att_gt(panel, later, not_yet=n).where("cohort = 12 and k = 2").collect()} for n in (False, True))
+    assert one == {2: 30} and two == {2: 45}
+    assert causal.event_study_bootstrap(panel, later, 5, not_yet=True).count() > 8
+
+
+def test_demeaned_to_convergence(spark):
+    rng = np.random.default_rng(1)
+    data = [(u, t, float(rng.normal() + u + t * t)) for u in range(12) for t in range(10) if (u + t) % 4]
+    got = causal.two_way_demeaned(spark.createDataFrame([*data, (3, 99, None)], "code int, mi int, y double"))
+    means = [got.groupBy(k).agg(F.abs(F.avg("resid")).alias("m")).agg(F.max("m")).first()[0] for k in ("code", "mi")]
+    assert max(means) < 1e-7 and got.count() == len(data) + 1
+
+
+def test_as_of_rows(spark):
+    at = lambda d, h: dt.datetime(2025, 1, d, h)
+    asked = [("a", at(3, 12)), ("a", at(3, 12)), ("a", at(1, 1)), ("b", at(3, 0)), (None, at(3, 0)), ("a", None)]
+    given = [("a", at(1, 5), 1.0), ("a", at(3, 12), 2.0), ("a", at(3, 13), 3.0), ("b", at(1, 0), 4.0), (None, at(1, 0), 9.0), ("a", None, 8.0)]
+    r = spark.createDataFrame(asked, "k string, t timestamp")
+    i = spark.createDataFrame(given, "k string, issued_at timestamp, value double")
+    got = timeseries.asof_latest(r, i, ["k"], F.col("t")).collect()
+    key = lambda x: (x["k"] or "", x["t"] or at(31, 0), x["value"] or 0)
+    assert [(x["k"], x["t"], x["value"]) for x in sorted(got, key=key)] == [(None, at(3, 0), None), ("a", at(1, 1), None), ("a", at(3, 12), 2.0), ("a", at(3, 12), 2.0), ("a", None, None), ("b", at(3, 0), 4.0)]
+
+
+def test_base_places(spark):
+    stays = [("v", i, 37.5 + 1e-5 * i, 127.0, dt.datetime(2025, 1, 1 + i)) for i in range(5)] + [("v", 9, 38.0, 127.0, dt.datetime(2025, 1, 9))]
+    found = spark.createDataFrame(stays, "key string, session long, lat double, lon double, start timestamp")
+    got = {r["session"]: r["is_base"] for r in sessions.base_sessions(found, "key").collect()}
+    assert got == {0: True, 1: True, 2: True, 3: True, 4: True, 9: False}
+
+
+def test_files(spark, tmp_path):
+    from loadweave.sources import files
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "use.csv").write_text("period,hour,kwh,area,cust\n2025-01-01,24,\"1,000.5\",서울특별시,3\n2025-01-01,1,2,서울특별시,4\n2025-01-02,1,4,부산,4\n202513,1,4,서울특별시,4\n")
+    found = files.locate(spark, "use.csv", start=f"{tmp_path}/in/deep")
+    assert found.endswith("/in/use.csv") and files.locate(spark, "nowhere.csv", start=str(tmp_path)) == "nowhere.csv"
+    assert files.one_csv(spark, f"{tmp_path}/in").endswith("use.csv")
+    wanted = {"period": "period", "hour": "hour", "kwh": "kwh", "province": "area", "cust": "cust"}
+    got = files.cube_of_file(spark, f"{tmp_path}/in", wanted, provinces=["서울"], names={"서울특별시": "서울"}).collect()
+    assert {(r["hour"], r["kwh"], r["n_days"]) for r in got} == {(23, 1000.5, 1.0), (0, 2.0, 1.0)}
+    assert files.observed_dates(spark, f"{tmp_path}/in/use.csv", "period").count() == 2
+    (tmp_path / "in" / "b.csv").write_text("day,01시,02시\n20250101,1,2\n")
+    with pytest.raises(ValueError):
+        files.one_csv(spark, f"{tmp_path}/in")
+    wide = files.consumption(spark, f"{tmp_path}/in/b.csv", {"period": "day", "kwh": "nothing"})
+    assert sorted((r["hour"], r["kwh"]) for r in wide.collect()) == [(1, 1.0), (2, 2.0)]
+    listed = spark.createDataFrame([("2025-01-01", "holiday"), ("2025-10-06", None)], "date string, type string").withColumn("date", F.to_date("date"))
+    files.dump_holidays(listed, f"{tmp_path}/days")
+    assert rows(files.load_holidays(spark, f"{tmp_path}/days"), "date") == rows(listed, "date")
+    table = spark.createDataFrame([("a", 1.23456789, 5.0)], "code string, score double, kwh double")
+    inside, out = files.write_table(table, f"{tmp_path}/out", "t", "A table", digits=3)
+    assert spark.read.csv(inside, header=True).columns == ["code", "score", "kwh"] and rows(spark.read.csv(out, header=True)) == [("a", "1.235")]
+    with pytest.raises(ValueError):
+        files.write_table(table.withColumn("gps_lat", F.lit(1.0)), f"{tmp_path}/out", "t", "A table")
+
+
+def test_stories_and_seasons(spark):
+    from loadweave.operators import priority
+
+    assert priority.season_starts("2025-05-31") == ["2025-05-31", "2025-02-28", "2024-11-30", "2024-08-31"]
+    risk_ = spark.createDataFrame([("a", 1.2, "assessed", 0.7, 3, 4, 1, 4, 5)], "code string, multiplier double, status string, surge_risk double, tp_ai int, alerts_ai int, tp_base int, alerts_base int, actual_days int")
+    head = priority.headline_rows(risk=risk_)
+    story = {r["part"]: r for r in priority.story_rows(head).collect()}
+    assert "60%" in story["finding"]["text"] and story["recall"]["value"] == pytest.approx(0.6) and story["gap"]["value"] is None and story["intervention"]["text"] == "not computed"
+    told = {r["part"]: r for r in priority.story_rows(head, spark.createDataFrame([("first", 0.2), ("second", 0.1)], "strategy string, gain double"), skill=0.07).collect()}
+    assert "7%" in told["finding"]["text"] and told["intervention"]["value"] == pytest.approx(0.2)
+    with pytest.raises(ValueError):
+        priority.headline_rows()
+    axis = spark.createDataFrame([(i, "assessed", 0.0 if i < 6 else 0.4) for i in range(10)], "code int, status string, surge_risk double")
+    known = spark.createDataFrame([(i, 1.0 + i) for i in range(10)], "code int, access double")
+    assert priority.chosen_metric(axis, known) == ("peak_ratio", pytest.approx(0.6)) and priority.chosen_metric(axis, known, "surge_risk")[0] == "surge_risk"
+    full = axis.withColumns({"multiplier": F.lit(1.2), "peak_ratio": F.col("code") / 10})
+    table = priority.priority_table(full, known)
+    assert [r["code"] for r in table.where("rank <= 2").orderBy("rank").collect()] and table.where("robust_top is null").count() == 0
