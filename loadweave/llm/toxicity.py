@@ -14,23 +14,25 @@ their doc_id, a documented parameter), never rows whose crc32(doc_id) mod 4 is 2
 * Two folds: each half's features use the other half's lexicon, so that the trees see the
   lexicon as it will meet unknown texts; calibration fits out-of-fold scores.
 
-Scoring is one pass without a shuffle.  Defined results: null and empty texts score as a text
-without words; no usable labels (none, or of one kind) give every text their mean, or 0.
+Scoring is one pass without a shuffle; only texts and scores pass between Spark and Python.
+Defined results: null and empty texts score as a text without words; no usable labels (none, or
+of one kind) give every text their mean, or 0; of rows that share a labelled doc_id the smallest
+text learns; a null doc_id is never held out.  ``ENTRIES`` bounds the model (its weakest entries
+go), not what it reads.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, Isotonic
-from .common import LOWER, WordHashes, batches, columns, run_hashes, table, written
+from .common import LOWER, WordHashes, batches, columns, run_hashes, small_batches, table, written
 
 SAMPLE = 16_000
 ENTRIES = 6_000
@@ -67,7 +69,7 @@ def plain(token: str) -> tuple[str, bool]:
 class WordInfo(dict):
     """Weight and marks of tokens, remembered up to a bound."""
 
-    def __init__(self, lexicon: dict[str, float], most: int = 400_000):
+    def __init__(self, lexicon: dict[str, float], most: int = 200_000):
         super().__init__()
         self.lexicon, self.most = lexicon, most
 
@@ -95,9 +97,9 @@ def features(info: WordInfo, text: str | None) -> np.ndarray:
     out = [np.log1p(len(tokens))]
     for level in _LEVELS:
         hits = int((weight >= level).sum())
-        out += [hits / n, min(hits, 50)]
+        out += [hits / n, np.log1p(hits)]
     strong = np.flatnonzero(weight >= 3.0)
-    out += [weight.max(initial=0.0), weight.sum() / n, np.sort(weight)[-3:].sum() / 3 if len(weight) else 0.0, len({tokens[i].lower() for i in strong[:500]})]
+    out += [weight.max(initial=0.0), weight.sum() / n, np.sort(weight)[-3:].sum() / 3 if len(weight) else 0.0, len({tokens[i].lower() for i in strong})]
     second = np.flatnonzero(marks & 2)
     near = 0.0
     if len(strong) and len(second):
@@ -110,8 +112,8 @@ def features(info: WordInfo, text: str | None) -> np.ndarray:
     return np.array(out)
 
 
-def held_out(doc_id) -> bool:
-    return doc_id is not None and doc_id is not pd.NA and zlib.crc32(str(doc_id).encode()) % 4 == 2
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 class Model:
@@ -139,11 +141,12 @@ def _lexicon(sample: DataFrame, folds: tuple[int, ...], counts: dict[tuple[int,
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the labelled rows outside the held-out remainder."""
     docs = columns(docs, doc_id="long", text="string")
-    known = columns(labels, doc_id="long", toxic="int").where("toxic in (0, 1) and doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2")
+    known = columns(labels, doc_id="long", toxic="int").where("toxic in (0, 1) and doc_id is not null")
+    known = known.where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     # The sample is at most SAMPLE small rows, whatever the input.
-    sample = docs.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -152,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
             for text in frame["text"]:
                 units = hashes.array((text or "").encode("utf-8", "surrogatepass").translate(LOWER).split())
                 keys.append(int(run_hashes(units, min(5, len(units))).min().view(np.int64)) if len(units) else 0)
-                seen = Counter(e for t, k in Counter((text or "").split()).items() for e in entries_of(plain(t)[0]) * min(k, MOST_TIMES) if len(e) <= 40)
+                seen = Counter(e for t, k in Counter((text or "").split()).items() for e in entries_of(plain(t)[0]) * min(k, MOST_TIMES))
                 entries.append(sorted(f"{e} {min(k, MOST_TIMES)}" for e, k in seen.items() if e))
             # Likely copies share their key, so they share their fold too.
             yield frame.assign(key=keys, fold=np.array(keys, np.int64) >> 8 & 1, entries=entries)
@@ -169,12 +172,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         infos = [WordInfo(lexicons[0]), WordInfo(lexicons[1])]
-        for frame in frames:
+        for frame in batches(frames, "text", 2 << 20):
             if len(frame):
                 x = [features(infos[f], t).tolist() for t, f in zip(frame["text"], frame["fold"], strict=True)]
                 yield pd.DataFrame({"doc_id": frame["doc_id"], "toxic": frame["toxic"], "fold": frame["fold"], "x": x})
 
-    rows = held.mapInPandas(measure, "doc_id long, toxic int, fold int, x array<double>").orderBy("doc_id").collect()
+    rows = held.select("doc_id", "text", "toxic", "fold").mapInPandas(measure, "doc_id long, toxic int, fold int, x array<double>").orderBy("doc_id").collect()
     y = np.array([r["toxic"] for r in rows], np.float64)
     mean = float(y.mean()) if len(y) else 0.0
     if len(y) < 20 or mean in (0.0, 1.0):
@@ -187,30 +190,28 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(lexicons[2], Boosted().fit(x, y), Isotonic().fit(outside, y), mean)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+def score_of(text: Column, model: Model) -> Column:
+    """The model's score of a text column."""
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         info = WordInfo(model.lexicon)
-        for frame in frames:
-            value = model.scores(info, frame["text"].tolist())
-            ids = frame["doc_id"].astype("Int64")
-            out = pd.DataFrame({"held_out": [held_out(d) for d in ids], "score": value, "predicted": (value >= THRESHOLD).astype(np.int32)})
-            out.insert(0, "doc_id", ids.to_numpy())
-            yield out.astype({"doc_id": "Int64", "held_out": bool})
+        for part in series:
+            yield pd.Series(model.scores(info, part.tolist()), dtype=np.float64)
 
-    return columns(docs, doc_id="long", text="string").mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")
+    return score(text)
 
 
-def clean(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows that the model predicts to be toxic; all columns stay."""
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    found = columns(docs, doc_id="long", text="string").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_of(F.col("text"), model).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        info = WordInfo(model.lexicon)
-        for frame in frames:
-            yield frame[model.scores(info, frame["text"].tolist()) < THRESHOLD]
 
-    return docs.mapInPandas(keep, docs.schema)
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows that the model predicts to be toxic; all columns stay."""
+    kept = small_batches(docs).withColumn("__score", score_of(F.col("text").cast("string"), model))
+    return kept.where(F.col("__score") < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
