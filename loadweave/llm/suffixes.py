@@ -117,11 +117,14 @@ def sort_search(length: int):
         run = np.repeat(np.arange(len(count)), count)
         relative = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
         at = held.begin[run] + relative
-        key = np.lexsort((place[run] - relative, anchor[run]))
-        offset, prefix = (place[run] - relative)[key], anchor[run][key]
-        group = np.cumsum(np.append(False, (offset[1:] != offset[:-1]) | (prefix[1:] != prefix[:-1])))
-        size = np.bincount(group)[group]
-        key, group = key[size > 1], group[size > 1]
+        offset, prefix = place[run] - relative, anchor[run]
+        # Equal windows of a prefix have equal hashes, so windows whose hash is alone need no sorting.
+        whole = mixed(held.hashes(at, relative, np.full(len(at), length)) ^ mixed(prefix + offset.astype(np.uint64)))
+        _, alike, count_of = np.unique(whole, return_inverse=True, return_counts=True)
+        key = np.flatnonzero(count_of[alike] > 1)
+        key = key[np.lexsort((offset[key], prefix[key]))]
+        offset, prefix = offset[key], prefix[key]
+        group = np.cumsum(np.append(False, (offset[1:] != offset[:-1]) | (prefix[1:] != prefix[:-1])))[: len(key)]
         hit = np.zeros(len(run), bool)
         if len(key):
             order = key[merge_sorted(held, at[key], relative[key], group)]
@@ -129,10 +132,10 @@ def sort_search(length: int):
             p, q = order[pair], order[pair + 1]
             alike = held.common(at[p], relative[p], at[q], relative[q]) >= length
             p, q = p[alike], q[alike]
-            for lo in range(0, len(p), 50_000):
-                reach = np.arange(length)
-                one, two = p[lo : lo + 50_000], q[lo : lo + 50_000]
-                equal = (held.bytes[at[one][:, None] + reach] == held.bytes[at[two][:, None] + reach]).all(axis=1)
+            windows = np.lib.stride_tricks.sliding_window_view(held.bytes, length)
+            for lo in range(0, len(p), 8192):
+                one, two = p[lo : lo + 8192], q[lo : lo + 8192]
+                equal = (windows[at[one]] == windows[at[two]]).all(axis=1)
                 hit[one[equal]] = True
                 hit[two[equal]] = True
         return hit & ~witness[run]
