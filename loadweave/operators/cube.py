@@ -16,13 +16,13 @@ def hour_cube(df: DataFrame, keys: list[str], kwh: str = "kwh", days: str = "day
 
 def attach_codes(cube: DataFrame, codes: DataFrame, on: str, code: str = "code") -> DataFrame:
     """The cube by code instead of by name; names without a code go, days take the largest value."""
-    keyed = cube.join(F.broadcast(codes.select(on, code).where(F.col(code).isNotNull())), on)
+    keyed = cube.join(codes.select(on, code).where(F.col(code).isNotNull()), on)
     return keyed.groupBy(code, "mi", "hour").agg(F.sum("kwh").alias("kwh"), F.max("n_days").alias("n_days"), F.sum("cust_sum").alias("cust_sum"), F.min("cust_min").alias("cust_min"))
 
 
 def merge_units(cube: DataFrame, heads: DataFrame, code: str = "code") -> DataFrame:
     """Small units counted with their head (heads: code, head); the least customers of the units add up, as their sums do."""
-    moved = cube.join(F.broadcast(heads), code, "left").withColumn(code, F.coalesce("head", code)).drop("head")
+    moved = cube.join(heads, code, "left").withColumn(code, F.coalesce("head", code)).drop("head")
     return moved.groupBy(code, "mi", "hour").agg(F.sum("kwh").alias("kwh"), F.max("n_days").alias("n_days"), F.sum("cust_sum").alias("cust_sum"), F.sum("cust_min").alias("cust_min"))
 
 

@@ -41,7 +41,7 @@ def region_stock(found: DataFrame, code: str = "code") -> DataFrame:
 def demand_points(places: DataFrame, registered: DataFrame) -> DataFrame:
     """Centroids with vehicles registered (not negative, summed by code; NULL where none are known)."""
     ev = registered.where(F.col("ev") >= 0).groupBy("code").agg(F.sum("ev").alias("ev"))
-    return places.join(F.broadcast(ev), "code", "left")
+    return places.join(ev, "code", "left")
 
 
 def ev_history(raw: DataFrame, fuel: str | None = None) -> DataFrame:
@@ -101,7 +101,7 @@ def population_bands(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Mean night (0-6), day (9-17) and evening (18-23) population by target code and date, dealt by weights (source, code, weight)."""
     band = F.when(F.col("hour") <= 6, "night").when(F.col("hour").between(9, 17), "day").when(F.col("hour") >= 18, "evening")
     means = rows.withColumn("band", band).where("band is not null").groupBy("source", "date").pivot("band", ["night", "day", "evening"]).agg(F.avg("people"))
-    split = means.join(F.broadcast(links), "source")
+    split = means.join(links, "source")
     return split.groupBy("code", "date").agg(*[F.sum(F.col(b) * F.col("weight")).alias(f"lp_{b}") for b in ("night", "day", "evening")])
 
 

@@ -22,7 +22,7 @@ def match_regions(facts: DataFrame, dim: DataFrame, names: dict[str, str] | None
     texts = facts.select(*parts).distinct().withColumns({"__raw": raw, "__norm": norm})
     exact = unique_lookup(dim, raw, code).select(F.col("key").alias("__raw"), F.col(code).alias("__c1"))
     loose = unique_lookup(dim, norm, code).select(F.col("key").alias("__norm"), F.col(code).alias("__c2"))
-    out = texts.join(F.broadcast(exact), "__raw", "left").join(F.broadcast(loose), "__norm", "left")
+    out = texts.join(exact, "__raw", "left").join(loose, "__norm", "left")
     method = F.when(F.col("__c1").isNotNull(), "exact").when(F.col("__c2").isNotNull(), "normalized").otherwise("none")
     return out.select(*parts, F.coalesce("__c1", "__c2").alias(code), method.alias("method"))
 
@@ -37,5 +37,5 @@ def match_rates(matched: DataFrame, weights: DataFrame | None = None, parts: tup
 
 def canonicalize(df: DataFrame, crosswalk: DataFrame, code: str = "code", fold_to: int | None = None) -> DataFrame:
     """Codes by the crosswalk (code, canonical), themselves where it has none, optionally folded to a prefix padded with zeros."""
-    mapped = df.join(F.broadcast(crosswalk.select(F.col("code").alias(code), "canonical")), code, "left").withColumn(code, F.coalesce("canonical", code)).drop("canonical")
+    mapped = df.join(crosswalk.select(F.col("code").alias(code), "canonical"), code, "left").withColumn(code, F.coalesce("canonical", code)).drop("canonical")
     return mapped.withColumn(code, F.rpad(F.substring(code, 1, fold_to), 10, "0")) if fold_to else mapped

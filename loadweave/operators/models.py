@@ -29,29 +29,36 @@ def usable_features(train: DataFrame, features: list[str]) -> list[str]:
     return [c for c in features if counts[c]]
 
 
-def median_model(train: DataFrame, target: str, features: list[str], depth: int = 4, rounds: int = 20, seed: int = 1):
+def median_model(train: DataFrame, target: str, features: list[str], depth: int = 4, rounds: int = 20, least: int = 1, seed: int = 1):
     """Boosted trees with absolute loss; missing values take the training median."""
     if train.where(F.col(target).isNotNull()).limit(LEAST_ROWS).count() < LEAST_ROWS:
         raise ValueError(f"at least {LEAST_ROWS} training rows are needed")
     kept = usable_features(train, features)
     filled = [f"__{c}" for c in kept]
-    stages = [Imputer(strategy="median", inputCols=kept, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features"), GBTRegressor(featuresCol="features", labelCol=target, lossType="absolute", maxDepth=depth, maxIter=rounds, seed=seed)]
+    stages = [Imputer(strategy="median", inputCols=kept, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features"), GBTRegressor(featuresCol="features", labelCol=target, lossType="absolute", maxDepth=depth, maxIter=rounds, minInstancesPerNode=least, seed=seed)]
     return Pipeline(stages=stages).fit(train.where(F.col(target).isNotNull()).withColumns({c: F.col(c).cast("double") for c in kept}))
 
 
-def choose_depth(train: DataFrame, target: str, features: list[str], date: str, depths: tuple[int, ...] = (3, 5), folds: int = 2) -> int:
-    """Tree depth with the least absolute error on later blocks of days (expanding window)."""
-    days = [r[0] for r in train.select(date).distinct().orderBy(date).collect()]
-    scores = {}
-    for depth in depths:
+def choose_options(train: DataFrame, target: str, features: list[str], date: str, grid: list[dict] | None = None, folds: int = 2, tau: float = 0.5) -> dict:
+    """The options of ``median_model`` with the least pinball loss on later blocks of days (expanding window).
+
+    grid: by default two depths, numbers of rounds and leaf sizes each, eight in all.  Blocks are cut at
+    quantiles of the day, so no list of days is read; the first of equal options wins.
+    """
+    grid = grid or [{"depth": d, "rounds": r, "least": n} for d in (3, 5) for r in (10, 20) for n in (1, 20)]
+    known = train.where(F.col(target).isNotNull()).withColumns({c: F.col(c).cast("double") for c in features}).withColumn("__day", F.datediff(date, F.lit("1970-01-01").cast("date")))
+    cuts = known.agg(F.percentile("__day", F.array(*[F.lit(k / (folds + 1)) for k in range(1, folds + 1)])).alias("q"), F.max("__day").alias("last")).first()
+    ends = [*cuts["q"][1:], cuts["last"] + 1]
+    losses = []
+    for options in grid:
         total = 0.0
-        for k in range(1, folds + 1):
-            cut, end = days[len(days) * k // (folds + 1)], days[min(len(days) * (k + 1) // (folds + 1), len(days) - 1)]
-            model = median_model(train.where(F.col(date) < F.lit(cut)), target, features, depth, 10)
-            block = train.where((F.col(date) >= F.lit(cut)) & (F.col(date) <= F.lit(end)) & F.col(target).isNotNull())
-            total += model.transform(block.withColumns({c: F.col(c).cast("double") for c in features})).agg(F.avg(F.abs(F.col("prediction") - F.col(target)))).first()[0] or 0.0
-        scores[depth] = total
-    return min(scores, key=lambda d: (scores[d], d))
+        for cut, end in zip(cuts["q"], ends, strict=True):
+            model = median_model(known.where(F.col("__day") < cut), target, features, **options)
+            block = known.where((F.col("__day") >= cut) & (F.col("__day") < end))
+            gap = F.col(target) - F.greatest("prediction", F.lit(0.0))
+            total += model.transform(block).agg(F.avg(F.greatest(tau * gap, (tau - 1) * gap))).first()[0] or 0.0
+        losses.append(total)
+    return grid[min(range(len(grid)), key=lambda i: (losses[i], i))]
 
 
 def quantile_forecast(panel: DataFrame, features: list[str], train_to: str, calibrate_to: str, code: str = "code", target: str = "kw", coverage: float = 0.9, **options) -> DataFrame:
@@ -65,7 +72,7 @@ def quantile_forecast(panel: DataFrame, features: list[str], train_to: str, cali
     scored = model.transform(rest).withColumn("q50", F.greatest("prediction", F.lit(0.0)))
     residuals = scored.where(day <= F.lit(calibrate_to).cast("date")).select(code, (F.col(target) - F.col("q50")).alias("residual"))
     offsets = conformal_offset(residuals, coverage, [code]).select(code, "offset")
-    out = scored.where(day > F.lit(calibrate_to).cast("date")).join(F.broadcast(offsets), code, "left")
+    out = scored.where(day > F.lit(calibrate_to).cast("date")).join(offsets, code, "left")
     return out.select(*panel.columns, "q50", F.greatest("q50", F.col("q50") + F.coalesce("offset", F.lit(0.0))).alias("q90"))
 
 
@@ -73,11 +80,29 @@ def scaled_target(panel: DataFrame, target: str = "kw", reference: str = "refere
     """(target - reference) / scale, where scale is the level if positive, else the region's training mean, else the overall median of those."""
     means = (panel if train is None else panel.where(train)).groupBy(code).agg(F.avg(target).alias("__mean"))
     overall = means.agg(F.median("__mean").alias("__all"))
-    held = panel.join(F.broadcast(means), code, "left").crossJoin(F.broadcast(overall))
+    held = panel.join(means, code, "left").crossJoin(F.broadcast(overall))
     scale = F.coalesce(F.when(F.col(level) > 0, F.col(level)), F.when(F.col("__mean") > 0, F.col("__mean")), F.col("__all"))
     return held.withColumns({"scale": scale}).withColumn("residual_target", ratio(F.col(target) - F.col(reference), "scale")).drop("__mean", "__all")
 
 
+def residual_forecast(panel: DataFrame, features: list[str], train_to: str, calibrate_to: str, code: str = "code", target: str = "kw", reference: str = "reference", level: str = "level", coverage: float = 0.9, **options) -> DataFrame:
+    """Rows after ``calibrate_to`` with q50 and q90 of a model of what the reference misses, in units of each region's level.
+
+    The model learns (target - reference) / scale (``scaled_target``), its median comes back to the
+    region's own size, and the upper quantile adds the scaled residuals' conformal offset.
+    """
+    day = F.col("date")
+    until = lambda text: F.lit(text).cast("date")
+    held = scaled_target(panel, target, reference, level, day <= until(train_to), code)
+    model = median_model(held.where(day <= until(train_to)), "residual_target", features, **options)
+    rest = held.where(day > until(train_to)).withColumns({c: F.col(c).cast("double") for c in features})
+    scored = model.transform(rest).withColumn("q50", F.greatest(F.col(reference) + F.col("prediction") * F.col("scale"), F.lit(0.0)))
+    residuals = scored.where(day <= until(calibrate_to)).select(code, ratio(F.col(target) - F.col("q50"), "scale").alias("residual"))
+    offsets = conformal_offset(residuals, coverage, [code]).select(code, "offset")
+    out = scored.where(day > until(calibrate_to)).join(offsets, code, "left")
+    return out.select(*panel.columns, "q50", F.greatest("q50", F.col("q50") + F.coalesce("offset", F.lit(0.0)) * F.col("scale")).alias("q90"))
+
+
 def permutation_importance(model, rows: DataFrame, target: str, features: list[str], repeats: int = 3) -> DataFrame:
     """Share of the increase in absolute error when a feature's values are dealt anew among rows, negative ones as 0.
 

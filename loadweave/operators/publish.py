@@ -42,7 +42,7 @@ def detail_rows(priority: DataFrame, groups: DataFrame | None = None, code: str
     status = F.when(F.col("status") == "assessed", "A").when(F.col("status") == "not_assessed_low_load", "L").otherwise("M")
     out = priority.withColumn("state", status)
     if groups is not None:
-        out = out.join(F.broadcast(groups.select(code, "head")), code, "left").withColumn("state", F.when(F.col("head").isNotNull(), "G").otherwise(F.col("state")))
+        out = out.join(groups.select(code, "head"), code, "left").withColumn("state", F.when(F.col("head").isNotNull(), "G").otherwise(F.col("state")))
     return out
 
 

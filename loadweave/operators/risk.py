@@ -17,7 +17,7 @@ def day_peaks(pred: DataFrame, code: str = "code") -> DataFrame:
 
 def surge_risk(peaks: DataFrame, calib: DataFrame, multipliers: DataFrame, least: float = 1.0, code: str = "code") -> DataFrame:
     """Per region and multiplier: share of all days with an alert (strictly above), and precision and recall on common days."""
-    grid = peaks.join(F.broadcast(calib.select(code, "calib_peak_kw")), code, "left").crossJoin(F.broadcast(multipliers.select("multiplier")))
+    grid = peaks.join(calib.select(code, "calib_peak_kw"), code, "left").crossJoin(F.broadcast(multipliers.select("multiplier")))
     target = F.col("calib_peak_kw") * F.col("multiplier")
     over = lambda c: F.coalesce(F.col(c) > target, F.lit(False))
     common = F.col("ai_peak").isNotNull() & F.col("base_peak").isNotNull() & F.col("actual_peak").isNotNull()
@@ -46,7 +46,7 @@ def risk_summary(risk: DataFrame) -> DataFrame:
 
 def alert_table(peaks: DataFrame, calib: DataFrame, multipliers: DataFrame, methods: dict[str, str], least: float = 1.0, code: str = "code") -> DataFrame:
     """Alerts, hits, precision and recall by multiplier and method, on rows where every method and the actual exist."""
-    rows = peaks.join(F.broadcast(calib.select(code, "calib_peak_kw")), code).where(F.col("calib_peak_kw") >= least)
+    rows = peaks.join(calib.select(code, "calib_peak_kw"), code).where(F.col("calib_peak_kw") >= least)
     rows = rows.dropna(subset=["actual_peak", *methods.values()]).crossJoin(F.broadcast(multipliers.select("multiplier")))
     cases = F.explode(F.array(*[F.struct(F.lit(n).alias("method"), F.col(c).alias("value")) for n, c in methods.items()]))
     target = F.col("calib_peak_kw") * F.col("multiplier")
@@ -60,7 +60,7 @@ def alert_table(peaks: DataFrame, calib: DataFrame, multipliers: DataFrame, meth
 def added_load_risk(pred: DataFrame, calib: DataFrame, multipliers: DataFrame, added: DataFrame, code: str = "code") -> DataFrame:
     """Share of days whose forecast plus an assumed load (n_new, hour, delta_kw) exceeds the target."""
     loaded = pred.join(F.broadcast(added), "hour").groupBy(code, "date", "n_new").agg(F.max(F.col("q90") + F.col("delta_kw")).alias("peak"))
-    grid = loaded.join(F.broadcast(calib.select(code, "calib_peak_kw")), code).crossJoin(F.broadcast(multipliers.select("multiplier")))
+    grid = loaded.join(calib.select(code, "calib_peak_kw"), code).crossJoin(F.broadcast(multipliers.select("multiplier")))
     return grid.groupBy(code, "multiplier", "n_new").agg(F.avg(F.coalesce(F.col("peak") > F.col("calib_peak_kw") * F.col("multiplier"), F.lit(False)).cast("int")).alias("surge_risk_with_new"))
 
 

@@ -67,7 +67,7 @@ def scenario_grid(growth: DataFrame, peaks: DataFrame, base: int, years: list[in
 
 def scenario_summary(grid: DataFrame, limits: DataFrame, mid: str, high: str, code: str = "code") -> DataFrame:
     """By year, scenario and beta: regions, those over their limit, those over it only in the high scenario, median peak."""
-    held = grid.join(F.broadcast(limits.select(code, "limit_kw")), code).withColumn("over", F.col("peak_kw") > F.col("limit_kw"))
+    held = grid.join(limits.select(code, "limit_kw"), code).withColumn("over", F.col("peak_kw") > F.col("limit_kw"))
     middle = held.where(F.col("scenario") == mid).select(code, "year", "beta", F.col("over").alias("mid_over"))
     rows = held.join(middle, [code, "year", "beta"], "left")
     only = (F.col("scenario") == high) & F.col("over") & ~F.coalesce("mid_over", F.lit(False))

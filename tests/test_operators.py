@@ -436,3 +436,25 @@ def test_stories_and_seasons(spark):
     full = axis.withColumns({"multiplier": F.lit(1.2), "peak_ratio": F.col("code") / 10})
     table = priority.priority_table(full, known)
     assert [r["code"] for r in table.where("rank <= 2").orderBy("rank").collect()] and table.where("robust_top is null").count() == 0
+
+
+def test_learned_forecasts(spark):
+    from loadweave.operators import models
+
+    rng = np.random.default_rng(3)
+    start = dt.date(2025, 1, 1)
+    data = []
+    for c in range(6):
+        for day in range(60):
+            x, noise = float(rng.normal()), float(rng.normal() * 0.1)
+            data.append((c, start + dt.timedelta(days=day), x, float(rng.normal()), 10.0 * (c + 1) + 3 * x * (c + 1) + noise, 10.0 * (c + 1), 10.0 * (c + 1)))
+    panel = spark.createDataFrame(data, "code int, date date, x double, z double, kw double, reference double, level double")
+    out = models.residual_forecast(panel, ["x", "z"], "2025-02-10", "2025-02-20", rounds=15).toPandas()
+    assert len(out) == 6 * 9 and (out["q90"] >= out["q50"]).all() and (out["kw"] <= out["q90"]).mean() >= 0.7
+    assert (out["kw"] - out["q50"]).abs().mean() < (out["kw"] - out["reference"]).abs().mean() / 2
+    train = panel.withColumn("kw", F.col("kw") - F.col("reference"))
+    best = models.choose_options(train, "kw", ["x", "z"], "date", [{"depth": 1, "rounds": 1}, {"depth": 4, "rounds": 15}])
+    assert best == {"depth": 4, "rounds": 15}
+    model = models.median_model(train, "kw", ["x", "z"], rounds=10)
+    importance = {r["feature"]: r["share"] for r in models.permutation_importance(model, train, "kw", ["x", "z"], 2).collect()}
+    assert importance["x"] > 0.9
