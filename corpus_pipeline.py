@@ -24,10 +24,8 @@ NEAR = (80, 100)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a doc_id stay; of rows equal in doc_id and text one stays."""
-    kept = neardup.near_duplicates(docs, threshold=NEAR).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each component one row stays, that of its smallest doc_id; rows without words stay."""
+    return neardup.deduplicated(docs, NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
