@@ -69,12 +69,6 @@ def pair_speeds(spark, d):
     return rounded(pairs.groupBy("v").agg(F.count("*").alias("n"), F.avg("minutes").alias("minutes"), F.max("kmh").alias("kmh")), 4)
 
 
-@query("key_verdict")
-def key_verdict(spark, d):
-    log = _log(spark, d)
-    return rounded(sessions.key_verdict(sessions.pair_speeds(log, "v", max_minutes=600), "v", log.select("v").distinct().count()))
-
-
 @query("vehicle_sample")
 def vehicle_sample(spark, d):
     log = _log(spark, d)
@@ -111,13 +105,6 @@ def shape_correlation(spark, d):
     return rounded(sessions.shape_correlation(sessions.occupancy(_found(spark, d, False)), two), 4)
 
 
-@query("away_charging")
-def away_charging(spark, d):
-    found = _found(spark, d, False).withColumn("region", F.col("v") % 10)
-    homes = table(spark, d, "customer").select(F.col("c_custkey").alias("v"), F.lit(37.404).alias("lat"), F.lit(126.804).alias("lon"))
-    return rounded(sessions.away_charging(found, homes, "v", "region", 0.3, 3))
-
-
 @query("soc_bands", f"""WITH {_sessions_sql(False, 360, 0, 100000)}, m AS (SELECT max(soc_start) AS t FROM sx), bb AS (SELECT CAST(least(floor(soc_start * CASE WHEN t <= 1 THEN 100 ELSE 1 END / 20), 4) AS INTEGER) AS band FROM sx, m WHERE soc_start IS NOT NULL)
 SELECT CAST(i AS INTEGER) AS band, CASE WHEN count(bb.band) >= 5 THEN CAST(count(bb.band) AS BIGINT) END AS n FROM range(5) t(i) LEFT JOIN bb ON bb.band = i GROUP BY i""")
 def soc_bands(spark, d):
@@ -262,12 +249,6 @@ def unit_outcomes(spark, d):
     return rounded(causal.unit_outcomes(*_panel(spark, d), 3))
 
 
-@query("cell_effects")
-def cell_effects(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("code"), "s_acctbal", (F.col("s_suppkey") % 7).alias("f"))
-    return rounded(causal.cell_effects(causal.unit_outcomes(*_panel(spark, d), 3).join(s, "code"), "s_acctbal", "f"))
-
-
 _STOCK = "st AS (SELECT c_nationkey AS code, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INTEGER) AS mi, CAST(count(*) AS BIGINT) AS stock FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1, 2)"
 
 
@@ -282,12 +263,6 @@ def stock_rates(spark, d):
     return rounded(causal.stock_rates(_stocks(spark, d)))
 
 
-@query("contamination")
-def contamination(spark, d):
-    u = table(spark, d, "nation").select(F.col("n_nationkey").alias("code"), F.when(F.col("n_nationkey") % 3 == 0, 23976 + (F.col("n_nationkey") % 4).cast("int") * 3).alias("g"))
-    return rounded(causal.contamination(causal.stock_rates(_stocks(spark, d)), u))
-
-
 _CELLS = """ce AS (SELECT l_suppkey AS code, l_linestatus AS origin, l_returnflag AS grp, coalesce(sum(CASE WHEN l_partkey % 4 <> 0 THEN l_quantity END), 0) AS S, count(CASE WHEN l_partkey % 4 <> 0 THEN 1 END) AS nv, count(*) AS nr, count(CASE WHEN l_partkey % 4 = 0 THEN 1 END) AS nm FROM lineitem WHERE l_suppkey % 9 <> 0 OR l_returnflag <> 'A' GROUP BY 1, 2, 3)"""
 
 

@@ -61,23 +61,6 @@ def bottom_with_ties(spark, d):
     return rounded(spatial.bottom_with_ties(spatial.catchment(stations(spark, d), points(spark, d), 2.0), "access", 0.1), 9)
 
 
-@query("intervention_gap")
-def intervention_gap(spark, d):
-    p = points(spark, d).withColumn("code", F.col("code").cast("string"))
-    s = stations(spark, d).withColumn("station", F.col("station").cast("string"))
-    low = spatial.bottom_with_ties(spatial.catchment(s, p, 2.0), "access", 0.1)
-    first = {"lowest": low.orderBy("access", "code").limit(5), "largest": p.orderBy(F.desc("ev"), "code").limit(5)}
-    return rounded(spatial.access_gap(spatial.added_chargers(s, p, first, 3.0, 2.0), low))
-
-
-@query("slope_access", None)
-def slope_access(spark, d):
-    p = points(spark, d).withColumn("elev", (F.col("code") % 40).cast("double"))
-    s = stations(spark, d).withColumn("elev_station", (F.col("station") % 60).cast("double"))
-    flat = spatial.catchment(s.drop("elev_station"), points(spark, d), 2.0).withColumnRenamed("access", "access_flat")
-    return rounded(spatial.catchment(s, p, 2.0, spatial.slope_distance()).join(flat, "code"), 9)
-
-
 @query("decile_ratio", """WITH v AS (SELECT c_acctbal AS x, row_number() OVER (ORDER BY c_acctbal) AS up, row_number() OVER (ORDER BY c_acctbal DESC) AS dn, count(*) OVER () AS n FROM customer WHERE c_acctbal > 0)
 SELECT round(avg(CASE WHEN dn <= ceil(n * 0.1::DOUBLE) THEN x END), 6) AS top_mean, round(avg(CASE WHEN up <= ceil(n * 0.1::DOUBLE) THEN x END), 6) AS bottom_mean, CAST(max(n) AS BIGINT) AS n, round(avg(CASE WHEN dn <= ceil(n * 0.1::DOUBLE) THEN x END) / avg(CASE WHEN up <= ceil(n * 0.1::DOUBLE) THEN x END), 6) AS multiple FROM v""")
 def decile_ratio(spark, d):
@@ -134,13 +117,6 @@ def priority_two_axis(spark, d):
     return risk.ranked(scored).select("code", "status", F.round("risk_norm", 6).alias("risk_norm"), F.round("equity_norm", 6).alias("equity_norm"), "score", "axes_present", "missing_reason", "missing_axes", "eligible", "rank")
 
 
-@query("priority_sensitivity")
-def priority_sensitivity(spark, d):
-    r, e = _priority(spark, d)
-    grid = r.crossJoin(spark.createDataFrame([(1.0,), (1.1,), (1.2,)], "multiplier double")).withColumn("surge", F.round(F.col("surge") / F.col("multiplier") + F.col("code") % 7, 6))
-    return rounded(risk.sensitivity(grid, e, "surge"))
-
-
 @query("recommendations", f"""WITH {_PRI}, {_SCORED} SELECT j.code, CASE WHEN rn IS NULL OR en IS NULL THEN NULL WHEN rn >= 0.5 AND en >= 0.5 THEN 'both' WHEN rn >= 0.5 THEN 'grid' WHEN en >= 0.5 THEN 'chargers' ELSE 'watch' END AS advice FROM j LEFT JOIN rk USING (code) LEFT JOIN ek USING (code)""")
 def recommendations(spark, d):
     scored = risk.two_axes(*_priority(spark, d), F.lit(0.5), "surge")
