@@ -176,12 +176,15 @@ def window_argmin(hashes: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & low).astype(np.int64)
 
 
-def _trim():
-    """malloc_trim of the C library, where it has one."""
+def give_back() -> None:
+    """Returns memory that this worker has freed to the system: its room is that of one batch, not of all it has seen."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
     try:
-        return ctypes.CDLL("libc.so.6").malloc_trim
-    except (OSError, AttributeError):
-        return lambda _: None
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def gathered(frames, text: str, most: int):
@@ -205,9 +208,8 @@ def batches(frames, text: str, most: int):
 
     Freed memory goes back to the system between frames, so that a worker's room is that of a batch.
     """
-    trim = _trim()
     for frame in frames:
-        trim(0)
+        give_back()
         sizes = frame[text].str.len().fillna(0).to_numpy()
         first, held = 0, 0
         for i, size in enumerate(sizes):

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_FOLD, WordHashes, columns, input_bytes, run_hashes, spread, table, written
+from .common import ALNUM_FOLD, WordHashes, columns, give_back, input_bytes, run_hashes, spread, table, written
 
 ORDER, ALPHA, CUTOFF = 3, 0.4, 2
 BATCH_BYTES = 5 << 20
@@ -34,7 +34,7 @@ HASH_BITS = 56
 
 
 def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
-    hashes = WordHashes()
+    hashes = WordHashes(100_000)
     units = [hashes.array(t.encode("utf-8", "surrogatepass").translate(ALNUM_FOLD).split() if t else []) for t in texts]
     return np.concatenate(units) if units else np.zeros(0, np.uint64), np.array([len(u) for u in units], np.int64)
 
@@ -65,11 +65,12 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, cutoff: in
     """doc_id, n_words, n_top (words scored at the longest order), log10_score, mean_log10."""
     docs = columns(docs, doc_id="long", text="string")
     count = max(1, -(-input_bytes(docs) // BATCH_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.withColumn("batch", F.expr(f"cast(pmod(xxhash64(doc_id, length(text)), {count}) as int)"))
+    docs = docs.withColumn("batch", F.expr(f"cast(pmod(xxhash64(doc_id, text), {count}) as int)"))
     groups = spread(docs, 4 << 20, 32)
     shift = np.uint64(HASH_BITS - groups.bit_length() + 1)
 
     def list_grams(frame: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         tokens, lengths = _tokens(frame["text"])
         doc = np.repeat(np.arange(len(lengths)), lengths)
         rows = []
@@ -83,6 +84,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, cutoff: in
         return pd.DataFrame(rows, columns=["n", "bucket", "batch", "grams", "counts"])
 
     def sum_counts(frame: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         frame = frame.sort_values("batch")
         lists = [_unpacked(g) for g in frame["grams"]]
         counts = np.concatenate([np.frombuffer(zlib.decompress(c), "<u4") for c in frame["counts"]])
@@ -95,23 +97,18 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, cutoff: in
         totals = np.empty(len(grams), np.int64)
         totals[sequence] = np.bincount(group, counts[sequence]).astype(np.int64)[group]
         parts = np.split(totals, np.cumsum([len(x) for x in lists])[:-1])
-        return pd.DataFrame({"n": frame["n"], "bucket": frame["bucket"], "batch": frame["batch"], "totals": [zlib.compress(p.astype("<u8").tobytes(), 1) for p in parts]})
+        words = [int(np.frombuffer(zlib.decompress(c), "<u4").sum()) if n == 1 else 0 for n, c in zip(frame["n"], frame["counts"], strict=True)]
+        return pd.DataFrame({"n": frame["n"], "bucket": frame["bucket"], "batch": frame["batch"], "words": words, "totals": [zlib.compress(p.astype("<u8").tobytes(), 1) for p in parts]})
 
     lists = docs.groupBy("batch").applyInPandas(list_grams, "n int, bucket int, batch int, grams binary, counts binary")
-    answers = lists.groupBy("n", "bucket").applyInPandas(sum_counts, "n int, bucket int, batch int, totals binary")
+    answers = lists.groupBy("n", "bucket").applyInPandas(sum_counts, "n int, bucket int, batch int, words long, totals binary")
     answers = written(answers, "counts")
 
-    def words_of(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"words": [sum(len(t.encode("utf-8", "surrogatepass").translate(ALNUM_FOLD).split()) for t in frame["text"] if t)]})
-
-    def count_words(frames):
-        for frame in frames:
-            yield words_of(frame)
-
-    total = docs.select("text").mapInPandas(count_words, "words long").agg(F.sum("words")).first()[0] or 0
+    total = answers.agg(F.sum("words")).first()[0] or 0
     log_alpha = float(np.log10(alpha))
 
     def score(frame: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         tokens, lengths = _tokens(frame["text"])
         doc = np.repeat(np.arange(len(lengths)), lengths)
         place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -142,7 +139,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, cutoff: in
         out["mean_log10"] = [s / k if k else None for s, k in zip(summed, lengths, strict=True)]
         return out.astype({"doc_id": "Int64", "mean_log10": "float64"})
 
-    scored = docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, "doc_id long, n_words long, n_top long, log10_score double, mean_log10 double")
+    scored = docs.groupBy("batch").cogroup(answers.drop("words").groupBy("batch")).applyInPandas(score, "doc_id long, n_words long, n_top long, log10_score double, mean_log10 double")
     return scored.withColumn("mean_log10", F.when(F.col("n_words") > 0, F.col("mean_log10")))
 
 
