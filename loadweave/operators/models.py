@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -167,3 +167,46 @@ def effect_groups(outcomes: DataFrame, predicted: str, groups: int = 4, tie: str
     order = Window.orderBy(predicted, *([tie] if tie else []))
     held = outcomes.where(F.col(predicted).isNotNull()).withColumn("group", F.ntile(groups).over(order))
     return held.groupBy("group").agg((F.avg(F.when(F.col("treated"), F.col("delta"))) - F.avg(F.when(~F.col("treated"), F.col("delta")))).alias("effect"), F.count("*").alias("n"))
+
+
+def stratified_folds(outcomes: DataFrame, folds: int, seed: int = 0, code: str = "code") -> DataFrame:
+    """outcomes with fold (from 0): treated and control units are dealt in turn, each in the order of a hash."""
+    from functools import reduce
+
+    parts = [numbered(outcomes.where(F.col("treated") == F.lit(t)), [code], "__n", seed).withColumn("fold", (F.col("__n") % folds).cast("int")).drop("__n") for t in (True, False)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cross_fitted_effects(outcomes: DataFrame, features: list[str], folds: int = 2, trees: int = 50, depth: int = 4, seed: int = 1, code: str = "code") -> DataFrame:
+    """code, treated, delta and predicted: each unit's effect as forests of the other folds predict it, one for the treated and one for the controls.
+
+    Features without any value go, missing values take the median; too few units of a kind outside a
+    fold (under 10) leave that fold's predictions NULL.
+    """
+    held = stratified_folds(outcomes.where("delta is not null"), folds, seed, code)
+    filled = imputed_features(held, features, code)
+    names = [c for c in filled.columns if c != code]
+    rows = held.select(code, "treated", "delta", "fold").join(filled, code)
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows.withColumns({c: F.col(c).cast("double") for c in names})).select(code, "treated", "delta", "fold", "features")
+    out = None
+    for fold in range(folds):
+        rest, own = vectors.where(F.col("fold") != fold), vectors.where(F.col("fold") == fold)
+        predicted = own
+        for t, name in ((True, "__one"), (False, "__none")):
+            kind = rest.where(F.col("treated") == F.lit(t))
+            if kind.limit(10).count() < 10:
+                predicted = predicted.withColumn(name, F.lit(None).cast("double"))
+                continue
+            forest = RandomForestRegressor(featuresCol="features", labelCol="delta", predictionCol=name, numTrees=trees, maxDepth=depth, seed=seed).fit(kind)
+            predicted = forest.transform(predicted)
+        part = predicted.select(code, "treated", "delta", (F.col("__one") - F.col("__none")).alias("predicted"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def heterogeneity(outcomes: DataFrame, features: list[str], groups: int = 4, least_z: float = 1.96, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(effects by unit, calibration slope, effects by group): the unit's effects are NULL where the slope isn't clearly above 0."""
+    fitted = cross_fitted_effects(outcomes, features, **options)
+    slope = blp_slope(fitted, "predicted").withColumn("reportable", F.coalesce(F.col("slope") / F.nullif("se", F.lit(0.0)) >= least_z, F.lit(False)))
+    shown = fitted.crossJoin(F.broadcast(slope.select("reportable"))).withColumn("effect", F.when(F.col("reportable"), F.col("predicted"))).drop("reportable")
+    return shown, slope, effect_groups(fitted, "predicted", groups)

@@ -152,3 +152,10 @@ def cross_checked(public: DataFrame, printed: DataFrame, value: str, digits: int
     both = public.select(code, F.col(value).alias("x")).join(printed.select(code, F.col(value).alias("y")), code)
     agree = F.abs(F.col("x") - F.col("y")) <= 0.5 * 10**-digits + 1e-12
     return both.agg(F.count("*").alias("n_both"), F.count_if(agree | (F.col("x").isNull() & F.col("y").isNull())).alias("n_agree")).crossJoin(correlations(both, "x", "y").select("spearman"))
+
+
+def period_customers(cube: DataFrame, count: str, basis: str, by: list[str] | None = None) -> DataFrame:
+    """Customers of a region over its period, by the largest or the smallest month."""
+    if basis not in ("max", "min"):
+        raise ValueError(f"a basis is max or min, not {basis!r}")
+    return cube.groupBy(*(by or ["code"])).agg((F.max if basis == "max" else F.min)(count).alias("n"))

@@ -198,3 +198,9 @@ def peak_hours(cube: DataFrame | None, n: int = 4) -> list[int]:
     """The n hours with the largest energy (smaller hour on ties), ascending; the evening where there is no cube."""
     rows = [] if cube is None else cube.groupBy("hour").agg(F.sum("kwh").alias("v")).where("v is not null").orderBy(F.desc("v"), "hour").limit(n).collect()
     return sorted(r["hour"] for r in rows) or [18, 19, 20, 21]
+
+
+def regional_sessions(found: DataFrame, key: str, region: str, days: int, least: int = 1) -> DataFrame:
+    """By region: sessions, distinct vehicles, share at base places and sessions a day, where there are enough vehicles."""
+    out = found.groupBy(region).agg(F.count("*").alias("n_sessions"), F.countDistinct(key).alias("n_vehicles"), F.avg(F.col("is_base").cast("int")).alias("base_share"))
+    return out.where(F.col("n_vehicles") >= least).withColumn("per_day", F.col("n_sessions") / days)

@@ -171,3 +171,16 @@ def access_gap(access: DataFrame, low: DataFrame) -> DataFrame:
     """By strategy: codes without access, mean access of the low set and of the rest."""
     marked = access.join(low.select("code").withColumn("low", F.lit(True)), "code", "left")
     return marked.groupBy("strategy").agg(F.count_if(F.col("access") == 0).alias("n_zero"), F.avg(F.when(F.col("low"), F.col("access"))).alias("mean_low"), F.avg(F.when(F.col("low").isNull(), F.col("access"))).alias("mean_rest"))
+
+
+def with_elevation(points: DataFrame, known: DataFrame, digits: int = 3, low: float = -100.0, high: float = 3000.0) -> tuple[DataFrame, DataFrame]:
+    """(points with elev, places to look up): elevations of a table of known places, met on rounded coordinates.
+
+    known: lat, lon, elev; several at one rounded place count by their mean; values out of range are none.
+    """
+    at = [F.round("lat", digits).alias("__lat"), F.round("lon", digits).alias("__lon")]
+    usable = known.where(F.col("elev").between(low, high)).groupBy(*at).agg(F.avg("elev").alias("elev"))
+    keyed = points.withColumns({"__lat": F.round("lat", digits), "__lon": F.round("lon", digits)})
+    held = keyed.join(usable, ["__lat", "__lon"], "left")
+    absent = keyed.where("lat is not null and lon is not null").select("__lat", "__lon").distinct().join(known.select(*at).distinct(), ["__lat", "__lon"], "left_anti")
+    return held.drop("__lat", "__lon"), absent.select(F.col("__lat").alias("lat"), F.col("__lon").alias("lon"))

@@ -555,3 +555,30 @@ SELECT user_id, epoch_us(until) AS until, round(avg(value), 6) AS mean, max(valu
 def sliding_week(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return twins.sliding_week(e).select("user_id", F.unix_micros("until").alias("until"), F.round("mean", 6).alias("mean"), "peak", "n")
+
+
+@query("known_elevations", """WITH p AS (SELECT c_custkey AS code, round(37 + (c_custkey % 50) / 1000.0, 3) AS lat, round(127 + (c_custkey % 7) / 1000.0, 3) AS lon FROM customer), k AS (SELECT round(37 + (s_suppkey % 60) / 1000.0, 3) AS lat, round(127 + (s_suppkey % 5) / 1000.0, 3) AS lon, avg(CASE WHEN s_acctbal BETWEEN -100 AND 3000 THEN s_acctbal END) AS e FROM supplier GROUP BY 1, 2)
+SELECT code, round(e, 6) AS elev FROM p LEFT JOIN k ON abs(p.lat - k.lat) < 1e-6 AND abs(p.lon - k.lon) < 1e-6""")
+def known_elevations(spark, d):
+    p = table(spark, d, "customer").select(F.col("c_custkey").alias("code"), (F.lit(37) + (F.col("c_custkey") % 50) / 1000.0 + 0.0001).alias("lat"), (F.lit(127) + (F.col("c_custkey") % 7) / 1000.0).alias("lon"))
+    k = table(spark, d, "supplier").select((F.lit(37) + (F.col("s_suppkey") % 60) / 1000.0).alias("lat"), (F.lit(127) + (F.col("s_suppkey") % 5) / 1000.0 - 0.0001).alias("lon"), F.col("s_acctbal").alias("elev"))
+    return rounded(spatial.with_elevation(p, k)[0].select("code", "elev"))
+
+
+@query("competition_ranks", "SELECT s_suppkey AS code, CASE WHEN s_suppkey % 4 <> 0 THEN CAST(rank() OVER (PARTITION BY s_suppkey % 4 <> 0 ORDER BY s_nationkey) AS INTEGER) END AS place FROM supplier")
+def competition_ranks(spark, d):
+    s = table(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").alias("code"), expr.competition_rank("s_nationkey", F.col("s_suppkey") % 4 != 0).alias("place"))
+
+
+@query("customer_counts", "SELECT c_nationkey AS code, CAST(max(n) AS BIGINT) AS most, CAST(min(n) AS BIGINT) AS least FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1")
+def customer_counts(spark, d):
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("code"), "c_mktsegment").agg(F.count("*").alias("n"))
+    most, least = (publish.period_customers(c, "n", how) for how in ("max", "min"))
+    return most.select("code", F.col("n").alias("most")).join(least.select("code", F.col("n").alias("least")), "code")
+
+
+@query("log_regions", """SELECT user_id % 10 AS region, CAST(count(*) AS BIGINT) AS n_sessions, CAST(count(DISTINCT user_id) AS BIGINT) AS n_vehicles, round(avg(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END), 6) AS base_share, round(count(*) / 30.0, 6) AS per_day FROM events GROUP BY 1 HAVING count(DISTINCT user_id) >= 2""")
+def log_regions(spark, d):
+    e = table(spark, d, "events").select((F.col("user_id") % 10).alias("region"), "user_id", (F.col("event_id") % 3 == 0).alias("is_base"))
+    return rounded(sessions.regional_sessions(e, "user_id", "region", 30, 2))

@@ -145,3 +145,9 @@ def write_table(df: DataFrame, folder: str, name: str, title: str, note: str = "
 
 def _rounded(name: str, kind: str, digits: int) -> Column:
     return F.round(F.col(f"`{name}`"), digits).alias(name) if kind in ("double", "float") else F.col(f"`{name}`")
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """name, title, note and columns of every table that ``write_table`` wrote below a folder's inside."""
+    about = spark.read.text(f"{folder.rstrip('/')}/inside/*.about").select(F.from_json("value", "name string, title string, note string, columns array<string>").alias("a"))
+    return about.select("a.*")

@@ -414,6 +414,7 @@ def test_files(spark, tmp_path):
     table = spark.createDataFrame([("a", 1.23456789, 5.0)], "code string, score double, kwh double")
     inside, out = files.write_table(table, f"{tmp_path}/out", "t", "A table", digits=3)
     assert spark.read.csv(inside, header=True).columns == ["code", "score", "kwh"] and rows(spark.read.csv(out, header=True)) == [("a", "1.235")]
+    assert rows(files.manifest(spark, f"{tmp_path}/out").select("name", "title")) == [("t", "A table")]
     with pytest.raises(ValueError):
         files.write_table(table.withColumn("gps_lat", F.lit(1.0)), f"{tmp_path}/out", "t", "A table")
 
@@ -458,3 +459,29 @@ def test_learned_forecasts(spark):
     model = models.median_model(train, "kw", ["x", "z"], rounds=10)
     importance = {r["feature"]: r["share"] for r in models.permutation_importance(model, train, "kw", ["x", "z"], 2).collect()}
     assert importance["x"] > 0.9
+
+
+def test_heterogeneous_effects(spark):
+    from loadweave.operators import models
+
+    rng = np.random.default_rng(8)
+    data = []
+    for u in range(400):
+        x, treated = float(rng.normal()), u % 3 == 0
+        data.append((u, treated, (2.0 if x > 0 else 0.0) * treated + float(rng.normal() * 0.2), x, None))
+    units = spark.createDataFrame(data, "code int, treated boolean, delta double, x double, none double")
+    shown, slope, groups = models.heterogeneity(units, ["x", "none"], trees=15)
+    s = slope.first()
+    assert s["reportable"] and 0.6 < s["slope"] < 2.0 and shown.where("effect is null").count() == 0
+    by = {r["group"]: r["effect"] for r in groups.collect()}
+    assert by[4] > 1.5 and by[1] < 0.5
+    folds = models.stratified_folds(units, 2).groupBy("fold", "treated").count().collect()
+    assert {(r["treated"], r["count"]) for r in folds} == {(True, 67), (False, 133)}
+    assert models.cross_fitted_effects(units.limit(12), ["x"]).where("predicted is not null").count() == 0
+
+
+def test_elevations(spark):
+    points = spark.createDataFrame([(1, 37.0001, 127.0), (2, 37.5, 127.5), (3, None, 127.0), (4, 37.2, 127.0)], "code int, lat double, lon double")
+    known = spark.createDataFrame([(37.0, 127.0, 10.0), (37.0002, 127.0, 20.0), (37.2, 127.0, 9999.0)], "lat double, lon double, elev double")
+    held, absent = spatial.with_elevation(points, known)
+    assert dict(rows(held.select("code", "elev"))) == {1: 15.0, 2: None, 3: None, 4: None} and rows(absent) == [(37.5, 127.5)]
