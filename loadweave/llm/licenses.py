@@ -8,12 +8,13 @@ Two kinds of evidence, both found in whole texts:
 
 Blocks are found by a prefix-filtered join.  The templates' words are ordered by their
 document frequency over the whole corpus, rarest first.  A block that contains at least
-ceil(t * |T|) of |T| words holds one of the rarest |T| - ceil(t * |T|) + 1 (the prefix), so a
-text without any of these is left at once (prefix filter), as is a text with too few of the
-template's words in all (length filter).  Only windows that start where a template word
-stands and reach enough others are counted (positional filter), exactly, by two pointers.
+ceil(t * |T|) of |T| words holds one of the rarest |T| - ceil(t * |T|) + 1 (the prefix).  An
+index leads from prefix words to their templates, so a text meets only templates that one of
+its words calls up (prefix filter); those with too few of their words in the text go (length
+filter).  Only windows that start where a template word stands and reach enough others are
+counted (positional filter), exactly, by two pointers.
 
-The templates are a fixed parameter of a few hundred words, so each task holds them all;
+The templates are a parameter of some hundred words, so each task holds them and their index;
 texts never move, and the only shuffle is of the template words' counts.
 
 Defined results: null and empty texts have no words, no labels and score 0; every row gives
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_FOLD, columns, table
+from .common import ALNUM_FOLD, batches, columns, table
 
 #: The base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -42,11 +43,26 @@ TEMPLATES = {
     "gpl-3": "is licensed under the gnu general public license version 3",
     "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
     "lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license",
+    "agpl-3": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "fdl": "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license",
     "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "epl-2": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "cddl": "the contents of this file are subject to the terms of the common development and distribution license",
     "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-sa": "this work is licensed under the creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc": "this work is licensed under the creative commons attribution noncommercial 4 0 international license",
+    "cc-by-nd": "this work is licensed under the creative commons attribution noderivatives 4 0 international license",
     "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
     "unlicense": "this is free and unencumbered software released into the public domain",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+    "bsl-1": "boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software",
+    "ofl-1": "this font software is licensed under the sil open font license version 1 1",
+    "artistic-2": "this is free software you may redistribute it and or modify it under the terms of the artistic license 2 0",
+    "wtfpl": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    "postgresql": "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted",
+    "ms-pl": "this license governs use of the accompanying software if you use the software you accept this license if you do not accept the license do not use the software",
+    "all-rights": "no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher",
 }
 THRESHOLD = 0.8
 
@@ -80,13 +96,13 @@ class Template:
         self.words = frozenset(distinct)
         self.prefix = frozenset(distinct[: self.size - self.need + 1])
 
-    def best(self, text_words: list[bytes], present: set[bytes]) -> float:
-        """Largest containment over all blocks of the text; 0 where none meets the threshold."""
-        if not self.prefix & present or len(self.words & present) < self.need:
-            return 0.0
+    def best(self, text_words: list[bytes], present: set[bytes]) -> tuple[float, int]:
+        """Largest containment over all blocks of the text and the first word of the first such block; 0 where none meets the threshold."""
+        if len(self.words & present) < self.need:
+            return 0.0, 0
         at = [(i, w) for i, w in enumerate(text_words) if w in self.words]
         held: dict[bytes, int] = {}
-        most = left = 0
+        most = left = first = 0
         for place, word in at:
             held[word] = held.get(word, 0) + 1
             while at[left][0] <= place - self.span:
@@ -95,51 +111,66 @@ class Template:
                 if not held[gone]:
                     del held[gone]
                 left += 1
-            most = max(most, len(held))
-        return most / self.size if most >= self.need else 0.0
+            if len(held) > most:
+                most, first = len(held), at[left][0]
+        return (most / self.size, first) if most >= self.need else (0.0, 0)
+
+
+def phrase_places(found: list[bytes], phrase: bytes) -> list[int]:
+    """Numbers of the words at which a phrase (blanks around it) begins."""
+    joined, out, at, word, seen = b" " + b" ".join(found) + b" ", [], 0, 0, 0
+    while (at := joined.find(phrase, at)) >= 0:
+        word += joined.count(b" ", seen, at)
+        seen = at
+        out.append(word)
+        at += 1
+    return out
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: words, phrase places, first and last starts, labels and the best score.
+    """Per document: words, phrase places, first and last starts, labels, the best score, and the blocks found.
 
-    ``score`` is 1 where a phrase stands, else the largest containment of a template.
+    ``score`` is 1 where a phrase stands, else the largest containment of a template; ``blocks`` has
+    the best block of each template that meets the threshold: label, first word, words, score.
     """
     frequency = word_frequencies(docs, {w for t in templates.values() for w in words(t)})
-    held = [Template(label, text, frequency, threshold) for label, text in templates.items()]
+    index: dict[bytes, list[Template]] = {}
+    for label, text in templates.items():
+        template = Template(label, text, frequency, threshold)
+        for word in template.prefix:
+            index.setdefault(word, []).append(template)
     sought = [(b" " + b" ".join(words(p)) + b" ", label) for p, label in phrases.items()]
 
     def one(text: str | None) -> tuple:
         found = words(text)
         present = set(found)
-        starts, base, labels, score = [], set(), set(), 0.0
-        joined = b" " + b" ".join(found) + b" "
+        starts, base, blocks = [], set(), []
         for phrase, label in sought:
-            at = joined.find(phrase)
-            while at >= 0:
-                starts.append(joined.count(b" ", 0, at))
+            if places := phrase_places(found, phrase):
+                starts += places
                 base.add(label)
-                at = joined.find(phrase, at + 1)
-        if starts:
-            score = 1.0
-        for template in held:
-            if value := template.best(found, present):
-                labels.add(template.label)
-                score = max(score, value)
+        called = {t.label: t for word in index.keys() & present for t in index[word]}
+        for label in sorted(called):
+            value, first = called[label].best(found, present)
+            if value:
+                blocks.append((label, first, called[label].span, value))
+        score = 1.0 if starts else max((b[3] for b in blocks), default=0.0)
         return (
             len(found), len(starts), min(starts) if starts else None, max(starts) if starts else None,
-            ",".join(sorted(base)), ",".join(sorted(base | labels)), score,
+            ",".join(sorted(base)), ",".join(sorted(base | {b[0] for b in blocks})), score, blocks,
         )
 
     def scanned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-        for frame in frames:
+        names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
+        for frame in batches(frames, "text", 4 << 20):
             out = pd.DataFrame([one(t) for t in frame["text"]], columns=names)
+            out["blocks"] = [[{"label": a, "first_word": b, "n_words": c, "score": d} for a, b, c, d in found] for found in out["blocks"]]
             out.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
             yield out.astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
 
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label: string, first_word: long, n_words: long, score: double>>"
     return columns(docs, doc_id="long", text="string").mapInPandas(scanned, schema)
 
 
 def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents")).drop("blocks")
