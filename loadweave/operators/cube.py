@@ -85,6 +85,13 @@ def concentration(cube: DataFrame, code: str = "code", period: tuple[int, int] |
     return out
 
 
+def cut_of(regions: DataFrame, value: str, rule: str | float = "median") -> float | None:
+    """Where an axis is cut: at the median, at zero, or at a number."""
+    if rule == "median":
+        return regions.agg(F.median(value)).first()[0]
+    return 0.0 if rule == "zero" else float(rule)
+
+
 def classify_load(regions: DataFrame, value: str = "concentration", cut: float | None = None) -> DataFrame:
     """'high' strictly above the median (or a given cut), else 'low'; NULL stays NULL."""
     if cut is not None:

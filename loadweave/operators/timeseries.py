@@ -208,7 +208,7 @@ def group_mean(panel: DataFrame, value: str, group: str = "group") -> DataFrame:
     return panel.withColumn(f"group_{value}", F.avg(value).over(Window.partitionBy(group, "date", "hour")))
 
 
-def temperature_features(weather: DataFrame, places: DataFrame, mode: str, cutoff_hour: int = 18, code: str = "code") -> DataFrame:
+def temperature_features(weather: DataFrame, places: DataFrame, mode: str, clock: str = "18:00", code: str = "code") -> DataFrame:
     """code, date, hour, temp, issued_at for each hour of the station that a region belongs to.
 
     weather: station, ts, observed, forecast, issued_at; places: station, code.  Forecast mode takes
@@ -216,8 +216,7 @@ def temperature_features(weather: DataFrame, places: DataFrame, mode: str, cutof
     observed mode takes the observation and has no issue time.
     """
     if mode == "forecast":
-        cutoff = F.date_trunc("day", F.col("ts").cast("timestamp")) - F.make_dt_interval(F.lit(0), F.lit(24 - cutoff_hour))
-        usable = weather.where(F.col("forecast").isNotNull() & (F.col("issued_at").cast("timestamp") <= cutoff))
+        usable = weather.where(F.col("forecast").isNotNull() & (F.col("issued_at").cast("timestamp") <= issue_cutoff(F.col("ts"), clock)))
         temps = usable.groupBy("station", "ts").agg(F.max_by("forecast", F.struct("issued_at", "forecast")).alias("temp"), F.max("issued_at").alias("issued_at"))
     elif mode == "observed":
         temps = weather.where("observed is not null").groupBy("station", "ts").agg(F.max("observed").alias("temp")).withColumn("issued_at", F.lit(None).cast(dict(weather.dtypes)["issued_at"]))
@@ -226,6 +225,12 @@ def temperature_features(weather: DataFrame, places: DataFrame, mode: str, cutof
     return temps.join(places.select("station", code), "station").select(code, F.to_date("ts").alias("date"), F.hour("ts").alias("hour"), "temp", "issued_at")
 
 
+def issue_cutoff(ts: Column, clock: str = "18:00") -> Column:
+    """Until when a forecast for a time may have been issued: a clock time on the day before."""
+    hours, minutes = (int(x) for x in clock.split(":"))
+    return F.date_trunc("day", ts.cast("timestamp")) - F.make_dt_interval(F.lit(1), F.lit(-hours), F.lit(-minutes))
+
+
 def assert_issued_in_time(df: DataFrame, cutoff: Column, issued: str = "issued_at") -> None:
     """An error if any issue lies after its cutoff: one aggregate."""
     bad = df.agg(F.count_if(F.col(issued) > cutoff)).first()[0]

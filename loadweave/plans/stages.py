@@ -72,8 +72,9 @@ def preregistered(skill: float | None) -> str:
     return "not_computed" if skill is None else "keep" if skill >= 0.05 else "support" if skill >= 0 else "withdraw"
 
 
-def calendar_warnings(start: str, end: str, holidays: int) -> list[str]:
-    """Warnings only: no calendar, or a window that touches the turn of the year."""
+def calendar_warnings(start: str, end: str, holidays: int, lunar: tuple[str, ...] = ()) -> list[str]:
+    """Warnings only: no calendar, a window that touches the turn of the year, or one that touches a
+    lunar new year's day of the calendar or lies beside it."""
     import datetime as dt
 
     a, b = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
@@ -81,4 +82,16 @@ def calendar_warnings(start: str, end: str, holidays: int) -> list[str]:
     days = {(a + dt.timedelta(days=i)) for i in range((b - a).days + 1)}
     if any((d.month, d.day) >= (12, 24) or (d.month, d.day) == (1, 1) for d in days):
         out.append("the window touches the turn of the year")
+    if any((a - dt.date.fromisoformat(d)).days <= 1 and (dt.date.fromisoformat(d) - b).days <= 1 for d in lunar):
+        out.append("the window touches the lunar new year")
     return out
+
+
+def missing_months(last: int, window: tuple[int, int], r: int) -> int:
+    """Months of an activation window that a source, whose last month index is given, can't follow for r months."""
+    return len([m for m in range(window[0], window[1] + 1) if m + r - 1 > last])
+
+
+def clipped_window(window: tuple[int, int], last: int) -> tuple[int, int]:
+    """The window up to the last month there is."""
+    return window[0], min(window[1], last)

@@ -39,3 +39,5 @@ def test_stages():
     assert stages.energy_window(90, 28, 4, 120) == 146 and stages.evaluation_window("2025-12-31") == ("2025-12-04", "2025-12-31")
     assert [stages.preregistered(s) for s in (0.06, 0.01, -0.1, None)] == ["keep", "support", "withdraw", "not_computed"]
     assert stages.calendar_warnings("2025-12-20", "2025-12-30", 3) == ["the window touches the turn of the year"]
+    assert stages.calendar_warnings("2025-01-30", "2025-02-10", 3, ("2025-01-29",)) == ["the window touches the lunar new year"] and not stages.calendar_warnings("2025-01-31", "2025-02-10", 3, ("2025-01-29",))
+    assert stages.missing_months(20, (10, 21), 3) == 3 and stages.missing_months(30, (10, 21), 3) == 0 and stages.clipped_window((10, 21), 20) == (10, 20)

@@ -485,3 +485,14 @@ def test_elevations(spark):
     known = spark.createDataFrame([(37.0, 127.0, 10.0), (37.0002, 127.0, 20.0), (37.2, 127.0, 9999.0)], "lat double, lon double, elev double")
     held, absent = spatial.with_elevation(points, known)
     assert dict(rows(held.select("code", "elev"))) == {1: 15.0, 2: None, 3: None, 4: None} and rows(absent) == [(37.5, 127.5)]
+
+
+def test_cutoffs(spark):
+    one = spark.createDataFrame([(dt.datetime(2025, 3, 2, 7, 15),)], "ts timestamp")
+    assert one.select(timeseries.issue_cutoff(F.col("ts")), timeseries.issue_cutoff(F.col("ts"), "09:30")).first()[:] == (dt.datetime(2025, 3, 1, 18), dt.datetime(2025, 3, 1, 9, 30))
+    regions = spark.createDataFrame([(1.0,), (3.0,), (8.0,), (None,)], "x double")
+    assert [cube.cut_of(regions, "x", r) for r in ("median", "zero", "2.5")] == [3.0, 0.0, 2.5]
+    issued = spark.createDataFrame([(dt.datetime(2025, 3, 1, 18), dt.datetime(2025, 3, 2, 7))], "issued_at timestamp, ts timestamp")
+    timeseries.assert_issued_in_time(issued, timeseries.issue_cutoff(F.col("ts")))
+    with pytest.raises(ValueError):
+        timeseries.assert_issued_in_time(issued, timeseries.issue_cutoff(F.col("ts"), "17:59"))
