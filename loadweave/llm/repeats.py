@@ -14,9 +14,13 @@ The two substring operators share this exchange; they differ in how a group is s
    1 in 100 000) would be taken for copies; nothing else rests on hashes alone.
 3. *Searched groups.*  Where contexts with one prefix differ, one run for each context (the
    rest is settled) fetches its units from its document, and ``search`` finds the windows
-   that repeat.  A prefix with more than ``wide`` contexts is made longer: each of its windows
-   then travels alone, grouped by all its L units, so that no group outgrows a task.
-4. Spans of repeated window starts return to their documents by a join on their keys.
+   that repeat.
+4. *Longer prefixes.*  A prefix must not outgrow a task.  One that turns out to have more than
+   ``WIDE`` contexts is extended to whole windows, each a group of its own.  Prefixes that a sample
+   of the rows (one in ``SAMPLE``, which decides on the way alone, never on a result) finds in more
+   than ``HOT`` runs never come to a group: their windows travel as rows of 128 hash bits, and
+   aggregations, which are partial before the shuffle, find those that repeat.
+5. Spans of repeated window starts return to their documents by a join on their keys.
 
 A row's key is its doc_id and a tag of 31 bits of a hash of its text, so rows that share a
 doc_id keep apart; a row without a doc_id has 64 more bits of its text instead.
@@ -37,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, columns, gathered, keyed, mixed, run_hashes, spread, window_argmin, written
+from .common import batches, columns, gathered, give_back, input_bytes, keyed, mixed, run_hashes, spread, window_argmin, written
 
 #: Characters of text in a batch within which equal contexts merge.
 BATCH_CHARS = 6 << 20
@@ -45,6 +49,8 @@ BATCH_CHARS = 6 << 20
 SLICE = 1 << 16
 #: Contexts of one prefix beyond which it is made longer.
 WIDE = 20_000
+#: Runs of one prefix, as a sample tells, beyond which it is made longer at once; at most ``MOST_HOT`` prefixes are.
+HOT, SAMPLE, MOST_HOT = 200_000, 64, 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 _INVERSE = np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
@@ -154,33 +160,62 @@ def _unpack(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, t) for x, (_, t) in zip(parts, _FIELDS, strict=True)]
 
 
-def _sampled(docs: DataFrame, rule: Rule, groups: int) -> DataFrame:
+def _merged(frame: pd.DataFrame, rule: Rule, state, hot: np.ndarray, want_hot: bool):
+    """Runs of a batch (in the order of ``_FIELDS``) with masks of those that go on and those that are settled.
+
+    Equal contexts merge.  Only runs whose prefix is hot come back, or only the others.
+    """
+    anchor, context, more, doc, start, count, place = _all_runs([rule.units(state, t) for t in frame["text"]], rule)
+    at = np.searchsorted(hot, anchor)
+    chosen = (at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == anchor) if len(hot) else np.zeros(len(anchor), bool)
+    chosen = chosen == want_hot
+    anchor, context, more, doc, start, count, place = (x[chosen] for x in (anchor, context, more, doc, start, count, place))
+    ids, tags = frame["id"].to_numpy(np.int64)[doc], frame["tag"].to_numpy(np.int64)[doc].astype(np.uint32)
+    order = np.lexsort((start, tags, ids, more, context))
+    anchor, context, more, ids, tags, start, count, place, doc = (x[order] for x in (anchor, context, more, ids, tags, start, count, place, doc))
+    head = np.ones(len(context), bool)
+    head[1:] = (context[1:] != context[:-1]) | (more[1:] != more[:-1])
+    group = np.cumsum(head) - 1
+    size = np.bincount(group)[group] if len(group) else group
+    if rule.earlier:  # all that the smallest document of a context has goes on, the rest is settled here
+        settled = ids > ids[head][group]
+        flag, keep = settled, ~settled
+    else:  # one run goes on for all, and says whether it is settled itself
+        settled = flag = size > 1
+        keep = head
+    return (anchor, context, more, ids, tags, start, count, place, flag), doc, keep, settled
+
+
+def _hot_prefixes(rows: DataFrame, rule: Rule) -> np.ndarray:
+    """Hashes of the prefixes that would be too large a group, by a sample of the rows; ascending."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = rule.state()
+        for frame in batches(gathered(frames, "text", BATCH_CHARS), "text", BATCH_CHARS):
+            anchors, n = np.unique(_all_runs([rule.units(state, t) for t in frame["text"]], rule)[0], return_counts=True)
+            if len(anchors):
+                yield pd.DataFrame({"anchor": anchors.view(np.int64), "n": n})
+
+    # No more than MOST_HOT prefixes can have more than that share of all runs; there is hardly a run for 16 bytes.
+    least = max(HOT, input_bytes(rows) // 16 // MOST_HOT)
+    sample = rows.where(F.pmod(F.xxhash64("id", "tag", F.lit(7)), F.lit(SAMPLE)) == 0)
+    counted = sample.mapInPandas(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") * SAMPLE > least).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in found], np.int64).view(np.uint64))
+
+
+def _sampled(docs: DataFrame, rule: Rule, groups: int, hot: np.ndarray) -> DataFrame:
     shift = np.uint64(64 - groups.bit_length() + 1)
 
     def sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = rule.state()
         for frame in batches(gathered(frames, "text", BATCH_CHARS), "text", BATCH_CHARS):
-            anchor, context, more, doc, start, count, place = _all_runs([rule.units(state, t) for t in frame["text"]], rule)
+            arrays, _, keep, settled = _merged(frame, rule, state, hot, False)
+            anchor, _, _, ids, tags, start, count, _, _ = arrays
             if not len(anchor):
                 continue
-            ids, tags = frame["id"].to_numpy(np.int64)[doc], frame["tag"].to_numpy(np.int64)[doc].astype(np.uint32)
-            order = np.lexsort((start, tags, ids, more, context))
-            anchor, context, more, ids, tags, start, count, place = (x[order] for x in (anchor, context, more, ids, tags, start, count, place))
-            head = np.ones(len(context), bool)
-            head[1:] = (context[1:] != context[:-1]) | (more[1:] != more[:-1])
-            group = np.cumsum(head) - 1
-            size = np.bincount(group)[group]
-            if rule.earlier:  # all that the smallest document of a context has goes on, the rest is settled here
-                settled = ids > ids[head][group]
-                flag = settled
-                keep = ~settled
-            else:  # one run goes on for all, and says whether it is settled itself
-                settled = flag = size > 1
-                keep = head
             bucket = (mixed(anchor) >> shift).astype(np.int64)
-            arrays = (anchor, context, more, ids, tags, start, count, place, flag)
-            chosen = keep | settled
-            order = np.flatnonzero(chosen)
+            order = np.flatnonzero(keep | settled)
             order = order[np.lexsort((start[order], ids[order], bucket[order]))]
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             rows = []
@@ -192,6 +227,65 @@ def _sampled(docs: DataFrame, rule: Rule, groups: int) -> DataFrame:
     return docs.mapInPandas(sample, "bucket int, runs binary, settled binary")
 
 
+#: Windows on their own: two hashes of all their units (none: a settled span), their row and place.
+_WINDOWS = "h1 long, h2 long, id long, tag long, place long, witness boolean"
+_SALT = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _windows_of(units: np.ndarray, start: int, count: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    part = units[start : start + count - 1 + rule.length].astype(np.uint64)
+    return run_hashes(part, rule.length).view(np.int64), run_hashes(mixed(part ^ _SALT), rule.length).view(np.int64)
+
+
+def _exploded(units: list[np.ndarray], runs: list[tuple[int, int, int, int, int, bool]], rule: Rule) -> Iterator[pd.DataFrame]:
+    """Rows of ``_WINDOWS`` for runs (document, id, tag, start, windows, witness)."""
+    out: list[tuple] = []
+    held = 0
+
+    def frame() -> pd.DataFrame:
+        first, second, ids, tags, places, witness = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"h1": pd.array(first, "Int64"), "h2": pd.array(second, "Int64"), "id": ids, "tag": tags, "place": places, "witness": witness})
+
+    for doc, key, tag, start, count, witness in runs:
+        first, second = _windows_of(units[doc], start, count, rule)
+        out.append((first, second, np.full(count, key), np.full(count, tag), (start + np.arange(count)) << 8 | 1, np.full(count, witness)))
+        held += count
+        if held >= 50_000:
+            yield frame()
+            out, held = [], 0
+    if out:
+        yield frame()
+
+
+def _hot_windows(docs: DataFrame, rule: Rule, hot: np.ndarray) -> DataFrame:
+    """The windows of runs whose prefix is hot, and what is settled of them within a batch."""
+
+    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = rule.state()
+        for frame in batches(gathered(frames, "text", BATCH_CHARS), "text", BATCH_CHARS):
+            (_, _, _, ids, tags, start, count, _, flag), doc, keep, settled = _merged(frame, rule, state, hot, True)
+            if settled.any():
+                n = int(settled.sum())
+                none = pd.array([None] * n, "Int64")
+                yield pd.DataFrame({"h1": none, "h2": none, "id": ids[settled], "tag": tags[settled].astype(np.int64), "place": start[settled] << 8 | count[settled], "witness": np.zeros(n, bool)})
+            texts_ = frame["text"].tolist()
+            units = {int(d): rule.units(state, texts_[d]) for d in np.unique(doc[keep])}
+            witness = flag & (not rule.earlier)
+            yield from _exploded(units, list(zip(*(x[keep].tolist() for x in (doc, ids, tags, start, count, witness)), strict=True)), rule)
+
+    return docs.mapInPandas(explode, _WINDOWS)
+
+
+def _repeated_rows(windows: DataFrame, rule: Rule) -> DataFrame:
+    """id, tag, place of the windows that repeat, by aggregations over their hashes."""
+    held = written(windows, "windows")
+    alone = held.where("h1 is not null")
+    sums = alone.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
+    sums = written(sums.where("least < most" if rule.earlier else "n > 1").drop("most"), "windows")
+    met = alone.join(sums, ["h1", "h2"]).where("id > least" if rule.earlier else "not witness")
+    return held.where("h1 is null").select("id", "tag", "place").unionByName(met.select("id", "tag", "place"))
+
+
 def _spans(ids: np.ndarray, tags: np.ndarray, start: np.ndarray, count: np.ndarray) -> bytes:
     return np.int64(len(ids)).tobytes() + ids.astype("<i8").tobytes() + tags.astype("<u4").tobytes() + start.astype("<i4").tobytes() + count.astype("u1").tobytes()
 
@@ -214,6 +308,7 @@ def _settled(sampled: DataFrame, rule: Rule) -> DataFrame:
         return pd.DataFrame({"kind": kind, "id": ids, "tag": tags.astype(np.int64), "place": start.astype(np.int64) << 8 | count, "anchor": anchor, "extra": extra})
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         known = rows(0, *_spans_of(frame["settled"].tolist()))
         a, c, e, d, t, s, n, r, f = _unpack(frame["runs"].tolist())
         if not len(a):
@@ -261,17 +356,16 @@ def _contexts(docs: DataFrame, found: DataFrame, rule: Rule, groups: int) -> Dat
             for key, tag, text, kinds, places, anchors, extras in zip(*(frame[c] for c in ("id", "tag", "text", "kinds", "places", "anchors", "extras")), strict=True):
                 units = rule.units(state, text)
                 plain = np.ascontiguousarray(units, rule.unit_dtype)
-                for kind, place, anchor, extra in zip(kinds, places, anchors, extras, strict=True):
+                buckets = (mixed(np.asarray(anchors, np.int64).view(np.uint64)) >> shift).tolist()
+                for bucket, kind, place, anchor, extra in zip(buckets, kinds, places, anchors, extras, strict=True):
                     start, count = int(place) >> 8, int(place) & 255
                     if kind == 1:
-                        bucket = int(mixed(np.array([anchor], np.int64).view(np.uint64))[0] >> shift)
                         rows.append((bucket, anchor, key, tag, place, extra, plain[start : start + count - 1 + rule.length].tobytes()))
-                    else:
-                        keys = mixed(run_hashes(units[start : start + count - 1 + rule.length].astype(np.uint64), rule.length) + _GOLD)
-                        for i in range(count):
-                            bucket = int(mixed(keys[i : i + 1])[0] >> shift)
-                            rows.append((bucket, int(keys[i].astype(np.int64)), key, tag, (start + i) << 8 | 1, extra & ~255, plain[start + i : start + i + rule.length].tobytes()))
-                    held += count + rule.length
+                    else:  # each window by all its units
+                        hashes = mixed(_windows_of(units, start, count, rule)[0].view(np.uint64) + _GOLD)
+                        for i, (h, b) in enumerate(zip(hashes.view(np.int64).tolist(), (mixed(hashes) >> shift).tolist(), strict=True)):
+                            rows.append((b, h, key, tag, (start + i) << 8 | 1, extra & ~255, plain[start + i : start + i + rule.length].tobytes()))
+                    held += (1 if kind == 1 else count) * rule.length + count
                     if held * np.dtype(rule.unit_dtype).itemsize > 4 << 20 or len(rows) >= 20_000:
                         yield pd.DataFrame(rows, columns=names)
                         rows, held = [], 0
@@ -289,9 +383,11 @@ def repeated_windows(docs: DataFrame, rule: Rule, search: Callable) -> DataFrame
     """
     groups = spread(docs, 4 << 20)
     rows = (docs.where("doc_id is not null") if rule.earlier else docs).select("id", "tag", "text")
-    found = written(_settled(_sampled(rows, rule, groups), rule), "repeats", "kind")
+    hot = _hot_prefixes(rows, rule)
+    found = written(_settled(_sampled(rows, rule, groups, hot), rule), "repeats", "kind")
 
     def look(frame: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         frame = frame.drop_duplicates(["anchor", "id", "tag", "place"])
         place, extra = frame["place"].to_numpy(np.int64), frame["extra"].to_numpy(np.int64)
         start, count, doc, tag = place >> 8, place & 255, frame["id"].to_numpy(np.int64), frame["tag"].to_numpy(np.int64)
@@ -307,6 +403,8 @@ def repeated_windows(docs: DataFrame, rule: Rule, search: Callable) -> DataFrame
 
     more = _contexts(rows, found, rule, groups).groupBy("bucket").applyInPandas(look, "id long, tag long, place long")
     spans = found.where("kind = 0").select("id", "tag", "place").unionByName(more)
+    if len(hot):
+        spans = spans.unionByName(_repeated_rows(_hot_windows(rows, rule, hot), rule))
     return spans.groupBy("id", "tag").agg(F.collect_list("place").alias("places"))
 
 
