@@ -2,7 +2,7 @@
 
 toxicity drops what the classifier rejects; near_duplicates keeps one document of each group;
 decontamination drops documents that hold a benchmark window; secrets replaces secrets in the
-texts that stay; packing returns the pieces and places of what is left.  All stages but the
+texts that stay; packing returns the pieces of what is left with their token ids and places.  All stages but the
 last return the columns of documents; each works on all its predecessor kept.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadweave.llm import decontaminate, neardup, packing, secret_scan, toxicity
-from loadweave.llm.common import row_key, table, written
+from loadweave.llm.common import row_key, standing, sweep, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [
@@ -58,7 +58,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), standing()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        sweep(spark, before | {docs._written_to})  # the stage's result stands, so nothing reads what it was made of
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, partitions, table, written
+from .common import batches, columns, table, written
 
 END_ID = 1
 RANK_BLOCK = 1024
@@ -198,37 +198,40 @@ def _insert(rooms: list[int], room: int) -> None:
     insort(rooms, room)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = END_ID) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32, and its place within its task and length."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids_crc32, its place within its task and length, and its
+    ids (little-endian unsigned 32-bit) where they are asked for."""
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, task = encoder_of(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for frame in frames:
+        for part in batches(frames, "text", 1 << 20):
             out: list[tuple] = []
-            for lo in range(0, len(frame), 256):
-                part = frame.iloc[lo : lo + 256]
+            if len(part):
                 texts = part["text"].where(part["text"].notna(), "").tolist()
                 for doc_id, ids in zip(part["doc_id"].tolist(), encoder.encode(texts), strict=True):
                     ids += end
                     total = len(ids) // 4
                     for piece, start in enumerate(range(0, total, capacity)):
                         length = min(capacity, total - start)
-                        crc = zlib.crc32(ids) if total <= capacity else zlib.crc32(ids[4 * start : 4 * (start + length)])
-                        out.append((doc_id, piece, start, length, crc, task, int(seen[length])))
+                        own = ids if total <= capacity else ids[4 * start : 4 * (start + length)]
+                        out.append((doc_id, piece, start, length, zlib.crc32(own), task, int(seen[length]), *((own,) if with_ids else ())))
                         seen[length] += 1
-            made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "local"])
+            made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "local", *(("ids",) if with_ids else ())])
             yield made.astype({"doc_id": "Int64"})
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long" + ", ids binary" * with_ids
     return columns(docs, doc_id="long", text="string").mapInPandas(encode, schema)
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = END_ID) -> DataFrame:
-    """Pieces with their sequence_id and offset; see the module's text for the method."""
+def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """Pieces with their sequence_id and offset, and their ids where asked for; see the module's text for the method.
+
+    Ids stay out of the ranking; they meet the places of their pieces in one join at the end.
+    """
     spark = docs.sparkSession
-    made = written(pieces(docs, tokenizer, capacity, end_id), "pieces")
+    made = written(pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
     shorter = made.where(F.col("length") < capacity)
     counts = written(shorter.groupBy("length", "task").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -239,14 +242,25 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     ranges = ranges.withColumn("block", F.explode(F.expr(f"sequence(lo div {RANK_BLOCK}, (lo + ranks - 1) div {RANK_BLOCK})")))
 
     # Ranks of a task's rows of a length start where those of earlier tasks end: a window over (tasks x lengths) rows.
+    # These grow with the tasks, so they meet the pieces by a shuffle, never by a broadcast.
     bases = counts.selectExpr("length", "task", "sum(n) over (partition by length order by task) - n as base")
-    ranked = shorter.join(bases, ["length", "task"]).selectExpr("*", "base + local as rank", f"(base + local) div {RANK_BLOCK} as block")
+    ranked = shorter.join(bases.hint("merge"), ["length", "task"]).selectExpr("*", "base + local as rank", f"(base + local) div {RANK_BLOCK} as block")
     placed = ranked.join(ranges, ["length", "block"]).where("rank >= lo and rank < lo + ranks")
-    result = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    result = ["doc_id", "piece", "start", "length", "ids_crc32", *(("task", "local") if with_ids else ())]
     placed = placed.selectExpr(*result, "2 * (sequence + rank - lo) as sequence_id", "offset")
     # Full pieces fill a sequence each; odd numbers, unique by (task, place in the task).
     full = made.where(F.col("length") == capacity).selectExpr(*result, "2 * (cast(task as bigint) * 4294967296 + local) + 1 as sequence_id", "0L as offset")
-    return placed.unionByName(full)
+    places = placed.unionByName(full)
+    if not with_ids:
+        return places
+    tokens = made.select("length", "task", "local", "ids")
+    return places.join(tokens.hint("merge"), ["length", "task", "local"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
+
+
+def sequences(places: DataFrame) -> DataFrame:
+    """sequence_id, n_tokens and ids of the packed sequences of ``packed`` rows with ids: at most the capacity each."""
+    one = places.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+    return one.select("sequence_id", "n_tokens", F.aggregate("parts", F.lit(b""), lambda held, part: F.concat(held, part["ids"])).alias("ids"))
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
