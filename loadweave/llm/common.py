@@ -65,31 +65,60 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset (local runs)."""
+    """spark.checkpoint.dir of the session.  Where it is unset a local master gets a temporary folder; a cluster is an error."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors of {master} share")
         found = tempfile.mkdtemp(prefix="loadweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Paths of the tables that ``written`` made and nothing has discarded yet.
+_HELD: set[str] = set()
+
+
 def written(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """df as Parquet in the shared folder, read again: later reads survive the loss of any executor."""
+    """df as Parquet in the shared folder, read again: later reads survive the loss of any executor.
+
+    Results read such tables when they are computed, so those that a result needs stay until ``sweep``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*by) if by else df.write
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    _HELD.add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _HELD.discard(path)
+
+
+def standing() -> set[str]:
+    """Paths of all tables that stand."""
+    return set(_HELD)
+
+
+def sweep(spark: SparkSession, but: set[str] | frozenset[str] = frozenset()) -> int:
+    """Deletes the tables that this process wrote for its operators, once their results are stored, but some; how many."""
+    gone = sorted(_HELD - but)
+    for path in gone:
+        _delete(spark, path)
+    return len(gone)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` that nothing still to be computed reads."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._written_to)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -106,11 +135,6 @@ def spread(df: DataFrame, bytes_each: int, least: int = 64) -> int:
     return groups
 
 
-def partitions(df: DataFrame, bytes_each: int = 16 << 20) -> int:
-    """At least the session's shuffle partitions, more where the input asks for it."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // bytes_each))
-
-
 class WordHashes(dict):
     """64-bit hashes of words, kept up to ``most`` words at a time (then begun anew)."""
 

@@ -141,9 +141,9 @@ def measured(found: DataFrame) -> DataFrame:
     )
 
 
-def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 4000, first: int = 0) -> DataFrame:
     """Findings with their label (1: a secret), from hashes of their number; both labels alternate."""
-    base = spark.range(0, rows, 1, 2).selectExpr(
+    base = spark.range(first, first + rows, 1, 2).selectExpr(
         "id", "sha2(cast(id as string), 256) as h", "sha2(concat('b', id), 256) as g", "translate(base64(unhex(sha2(concat('c', id), 512))), '=', '') as k",
         "id % 2 as label", "cast(id / 2 as int) % 10 as kind", "element_at(array('token', 'secret', 'password', 'api_key', 'access_key', 'auth_token', 'API_SECRET'), cast(id / 20 as int) % 7 + 1) as name",
     )
