@@ -110,30 +110,36 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, cutoff: in
     def score(frame: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         give_back()
         tokens, lengths = _tokens(frame["text"])
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        value, done = np.zeros(len(tokens)), np.zeros(len(tokens), bool)
-        longest = np.minimum(place + 1, order)
-        seen: dict[int, np.ndarray] = {0: np.zeros(0)}
-        for n in range(1, order + 1):
-            seen[n] = np.zeros(len(tokens), np.int64)
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        begin = np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+        longest = np.minimum(np.arange(len(tokens), dtype=np.int32) - begin + 1, order).astype(np.int8)
+        del begin
+
+        def corpus_counts(n: int) -> np.ndarray:
+            """Corpus count of the n-gram that ends at each word; 0 where it would begin before the document."""
+            seen = np.zeros(len(tokens), np.int64)
             grams, last = _grams(tokens, doc, n)
             if len(grams):
                 totals = np.concatenate([np.frombuffer(zlib.decompress(b), "<u8") for b in answer[answer["n"] == n].sort_values("bucket")["totals"]])
-                seen[n][last] = totals.astype(np.int64)[np.unique(grams, return_inverse=True)[1]]
-        top = np.zeros(len(tokens), bool)
+                seen[last] = totals.view(np.int64)[np.unique(grams, return_inverse=True)[1]]
+            return seen
+
+        value, done = np.zeros(len(tokens)), np.zeros(len(tokens), bool)
+        top, seen = np.zeros(len(tokens), bool), corpus_counts(order)
         for n in range(order, 0, -1):
             if n > 1:
-                use = ~done & (seen[n] >= cutoff)
-                at = np.flatnonzero(use)
-                value[at] = np.log10(seen[n][at] / seen[n - 1][at - 1])
+                context = corpus_counts(n - 1)
+                at = np.flatnonzero(~done & (seen >= cutoff))
+                value[at] = np.log10(seen[at] / context[at - 1])
             else:
                 at = np.flatnonzero(~done)
-                value[at] = np.log10(seen[1][at] / max(total, 1))
-            value[at] += (longest[at] - n) * log_alpha
+                value[at] = np.log10(seen[at] / max(total, 1))
+            value[at] += (longest[at] - np.int8(n)) * log_alpha
             done[at] = True
             if n == order:
                 top[at] = True
+            if n > 1:
+                seen = context
         summed = np.bincount(doc, value, len(lengths))
         out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64").to_numpy(), "n_words": lengths, "n_top": np.bincount(doc, top, len(lengths)).astype(np.int64), "log10_score": summed})
         out["mean_log10"] = [s / k if k else None for s, k in zip(summed, lengths, strict=True)]
