@@ -14,6 +14,7 @@ on its own; an empty table gives no rows; longer documents are cut into full pie
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -47,7 +48,7 @@ class ChunkEncoder:
 
     _PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -114,13 +115,25 @@ class ChunkEncoder:
         return extra
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned 32-bit ids of each text.
+
+        What is made here holds no cycles, and looking for some among a million pieces takes a fifth of the time.
+        """
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encoded(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
             self.known.clear()
             self.known[""] = b""
         split = [None if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        extra = self._learn({c for chunks in split if chunks for c in chunks if c not in known})
+        extra = self._learn(set().union(*[chunks for chunks in split if chunks]).difference(known))
         out: list[bytes] = []
         for text, chunks in zip(texts, split, strict=True):
             if chunks is None:
