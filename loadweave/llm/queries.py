@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_model, licenses, neardup, neighbours, packing, secret_scan, substring, suffixes, toxicity
+from . import decontaminate, language_model, licenses, neardup, neighbours, packing, secret_scan, simhash, substring, suffixes, toxicity
 from .sql import ORACLE_SQL as ORACLE_SQL
 
 QUERIES = {
@@ -16,4 +16,5 @@ QUERIES = {
     "op8_minhash": neardup.op8_minhash,
     "op9_secrets": secret_scan.op9_secrets,
     "op10_permutation": neighbours.op10_permutation,
+    "op11_simhash": simhash.op11_simhash,
 }
