@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_model, licenses, neardup, neighbours, packing, secret_scan, simhash, substring, suffixes, toxicity
+from . import decontaminate, language_model, licenses, neardup, neighbours, packing, prefix_trie, search, secret_scan, simhash, substring, suffixes, toxicity
 from .sql import ORACLE_SQL as ORACLE_SQL
 
 QUERIES = {
@@ -17,4 +17,6 @@ QUERIES = {
     "op9_secrets": secret_scan.op9_secrets,
     "op10_permutation": neighbours.op10_permutation,
     "op11_simhash": simhash.op11_simhash,
+    "op12_search": search.op12_search,
+    "op13_trie": prefix_trie.op13_trie,
 }

@@ -87,9 +87,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, "text", 4 << 20):
             found = np.fromiter((fingerprint(t) for t in frame["text"]), np.uint64, len(frame))
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64").to_numpy(), "fp": found.view(np.int64)}).astype({"doc_id": "Int64"})
+            yield pd.DataFrame({"id": frame["id"], "none": frame["none"], "fp": found.view(np.int64)})
 
-    return columns(docs, doc_id="long", text="string").mapInPandas(of, "doc_id long, fp long")
+    # A null among them would make pandas read ids as doubles, which hold 53 bits.
+    known = columns(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "text")
+    return known.mapInPandas(of, "id long, none boolean, fp long").select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "fp")
 
 
 def postings(prints: DataFrame) -> DataFrame:

@@ -72,10 +72,44 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.comp
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = c.doc_id
 """
 
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array({_ASCII_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array({_ASCII_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+it AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(w) AS term FROM b)),
+s AS (SELECT count(*) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM d WHERE len(w) > 0),
+m AS (SELECT r, 100 - 50 + ((50 * len(w) * N) // L) AS m FROM d, s WHERE len(w) > 0),
+t AS (SELECT r, doc_id, term, count(*) AS tf FROM (SELECT r, doc_id, unnest(w) AS term FROM d) SEMI JOIN it USING (term) GROUP BY 1, 2, 3),
+wt AS (SELECT term, CAST(floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM t, s GROUP BY term, N),
+sc AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+       FROM it JOIN t USING (term) JOIN wt USING (term) JOIN m USING (r) GROUP BY 1, 2, 3),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
+_CRC32 = "xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda acc, b: list_reduce(range(8), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)), xor(acc, b)), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+OP13_SQL = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({{'k': md5(concat(length(role), ':', role, text)), 'n': length(text)}} ORDER BY pos) AS w FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, w, {_CRC32} % 6 AS h FROM c),
+re AS (SELECT h.conv_id, list_concat(coalesce(b.w[1:h.h], []), h.w[h.h + 1:]) AS s FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, d, array_to_string(list_transform(s[1:d], lambda x: x.k), '') AS k, len(s) = d AS ended, CASE WHEN d > 0 THEN s[d].n ELSE 0 END AS chars
+      FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM re)),
+n AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ended) AS ends FROM p GROUP BY k, d),
+ch AS (SELECT left(k, (d - 1) * 32) AS k, count(*) AS n FROM n WHERE d > 0 GROUP BY 1),
+below AS (SELECT left(n.k, e * 32) AS k, (n.n - 1) * chars AS saved, CASE WHEN ch.n IS NULL THEN 1 ELSE 0 END AS leaf FROM (SELECT n.*, unnest(range(0, d + 1)) AS e FROM n) n LEFT JOIN ch ON n.k = ch.k),
+sub AS (SELECT k, sum(saved) AS saved, sum(leaf) AS leaves FROM below GROUP BY k)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(ch.n, 0) AS n_children, CAST(sub.leaves AS BIGINT) AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN sub ON n.k = sub.k LEFT JOIN ch ON n.k = ch.k LEFT JOIN n up ON n.d > 0 AND up.k = left(n.k, (n.d - 1) * 32)
+"""
+
 ORACLE_SQL = {
     "op1_license": OP1_SQL,
     "op3_substring": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
     "op6_language_model": OP6_SQL,
     "op8_minhash": OP8_SQL,
+    "op12_search": OP12_SQL,
+    "op13_trie": OP13_SQL,
 }

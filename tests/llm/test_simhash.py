@@ -54,7 +54,7 @@ def test_fingerprints_of_whole_texts_in_pieces(monkeypatch):
 
 
 def test_components(spark):
-    rows = [(i, t) for i, t in enumerate(texts())] + [(3, "one"), (None, "one"), (None, "alone among all these words"), (900, None)]
+    rows = [(i, t) for i, t in enumerate(texts())] + [(3, "one"), (None, "one"), (None, "alone among all these words"), (900, None), (2**60 + 1, "a word of a row with a long id")]
     df = spark.createDataFrame([(i, t, "f", 1, "r", "c") for i, t in rows], SCHEMA).repartition(3)
     prints = [plain_fingerprint(t) for _, t in rows]
     root = plain_components(prints)
