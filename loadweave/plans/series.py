@@ -201,3 +201,65 @@ def scaled_target(spark, d):
 
     rows = hourly(spark, d, 3).withColumns({"reference": F.lit(50.0), "level": F.when(F.col("hour") % 3 == 0, 0.0).otherwise(F.col("hour") * 10.0)})
     return rounded(models.scaled_target(rows).select("code", "date", "hour", "scale", "residual_target"), 9)
+
+
+_AGREE = f"""{_PRED}, pq AS (SELECT code, date, CASE WHEN count(lag1) = 24 THEN max(lag1) END AS p50, CASE WHEN count(baseline_kw) = 24 THEN max(baseline_kw) * 1.05::DOUBLE END AS p90,
+CASE WHEN count(q50) = 24 THEN max(q50) END AS h50, CASE WHEN count(q90) = 24 THEN max(q90) END AS h90 FROM pd GROUP BY 1, 2),
+ag AS (SELECT code, date, greatest(p50, h50) AS q50, greatest(p90, h90, greatest(p50, h50)) AS q90, coalesce(CAST(h50 > p50 AS INTEGER), 0) + coalesce(CAST(h90 > p90 AS INTEGER), 0) AS raised FROM pq)"""
+
+
+def _agreed(spark, d):
+    from ..operators import two_level
+
+    hours = _predictions(spark, d)
+    whole = lambda c: F.when(F.count(c) == 24, F.max(c))
+    peaks = hours.groupBy("code", "date").agg(whole("lag1").alias("q50"), (whole("baseline_kw") * 1.05).alias("q90"))
+    return two_level.agreed(hours.select("code", "date", "hour", "q50", "q90"), peaks)
+
+
+@query("agreed_peaks", f"WITH {_AGREE} SELECT code, CAST(date AS VARCHAR) AS date, round(q50, 6) AS q50, round(q90, 6) AS q90, raised FROM ag")
+def agreed_peaks(spark, d):
+    return rounded(_agreed(spark, d))
+
+
+@query("predicted_peak_ratios", f"""WITH {_AGREE}, cp AS (SELECT code, max(kw) AS c FROM h WHERE date <= DATE '2024-01-12' GROUP BY 1)
+SELECT code, round(max(q90) / max(c), 6) AS ai_peak_ratio, round(max(q50) / max(c), 6) AS ai_peak_ratio_p50, count(*) AS ai_days FROM ag JOIN cp USING (code) WHERE date > DATE '2024-01-12' AND q50 IS NOT NULL AND q90 IS NOT NULL AND c >= 1 GROUP BY code""")
+def predicted_peak_ratios(spark, d):
+    from ..operators import two_level
+
+    calib = hourly(spark, d, 3).where("date <= date'2024-01-12'").groupBy("code").agg(F.max("kw").alias("calib_peak_kw"))
+    return rounded(two_level.predicted_ratios(_agreed(spark, d).where("date > date'2024-01-12'"), calib))
+
+
+@query("quantile_models")
+def quantile_models(spark, d):
+    """Medians and upper quantiles by trees of their own, of days that they haven't seen."""
+    from ..operators import quantile_trees
+
+    panel = ts.panel_features(hourly(spark, d, 3)).withColumn("dow", F.weekday("date"))
+    features = ["lag1", "lag7", "roll7", "level", "trend", "hour", "dow"]
+    m50, m90 = quantile_trees.fit_many(panel.where("date <= date'2024-01-20'"), "kw", features, [quantile_trees.Options(tau=tau, rounds=5) for tau in (0.5, 0.9)])
+    out = panel.where("date > date'2024-01-20'").withColumn("q50", F.greatest(m50.prediction(), F.lit(0.0)))
+    return rounded(out.select("code", "date", "hour", "kw", "q50", F.greatest(m90.prediction(), "q50").alias("q90")))
+
+
+_FULL = H3.replace("h AS (", "h0 AS (", 1) + ", h AS (SELECT code, date, hour, coalesce(kw, 0.0) AS kw FROM (SELECT * FROM (SELECT DISTINCT code FROM h0), (SELECT DISTINCT date FROM h0), (SELECT CAST(unnest(range(24)) AS INTEGER) AS hour)) LEFT JOIN h0 USING (code, date, hour))"
+_FULL_BASE = _BASE.replace(H3, _FULL).replace("[1, 2]", "[1, 2, 3, 4]").replace("= 2)", "= 4)")
+
+
+@query("two_level_forecast", f"""WITH {_FULL_BASE}, r AS (SELECT code, date, hour, {_roll('kw', 'code, hour', 7, 1, 3)} AS roll7 FROM h),
+x AS (SELECT b.code, b.date, b.hour, b.kw, coalesce(a.kw, roll7, baseline_kw) IS NOT NULL AS known FROM bl b JOIN r USING (code, date, hour) LEFT JOIN h a ON a.code = b.code AND a.hour = b.hour AND a.date = b.date - INTERVAL 1 DAY)
+SELECT CASE WHEN date <= DATE '2024-01-20' THEN 'train' WHEN date <= DATE '2024-01-25' THEN 'valid' ELSE 'eval' END AS period, count(*) AS n_hours, count(CASE WHEN known THEN 1 END) AS n_forecast, 0::BIGINT AS n_crossed, 0::BIGINT AS n_negative, 0::BIGINT AS n_peaks_below FROM x GROUP BY 1""")
+def two_level_forecast(spark, d):
+    """What must hold of a forecast on both levels, whatever its models learn: which hours have one, and in what order quantiles stand."""
+    from ..operators import two_level
+
+    own = hourly(spark, d, 3)
+    hours = spark.range(24).select(F.col("id").cast("int").alias("hour"))
+    full = own.select("code").distinct().crossJoin(own.select("date").distinct()).crossJoin(hours).join(own, ["code", "date", "hour"], "left").fillna(0.0, ["kw"])  # 3 areas
+    panel = two_level.hourly_panel(full.withColumn("code", F.col("code").cast("string"))).cache()
+    found = two_level.forecast(panel, two_level.Periods("2024-01-20", "2024-01-25", "2024-12-31"), store=lambda df: df.cache(), at_least=20, rounds=2, depth=2, least=5)
+    tops = found.hours.groupBy("code", "date").agg(*[F.when(F.count(q) == 24, F.max(q)).alias(f"top_{q}") for q in ("q50", "q90c")])
+    below = found.peaks.join(tops, ["code", "date"]).groupBy("period").agg(F.count_if((F.col("q50") < F.col("top_q50")) | (F.col("q90c") < F.col("top_q90c"))).alias("n_peaks_below"))
+    held = found.hours.groupBy("period").agg(F.count("*").alias("n_hours"), F.count("q50").alias("n_forecast"), F.count_if((F.col("q90") < F.col("q50")) | (F.col("q90c") < F.col("q50"))).alias("n_crossed"), F.count_if(F.col("q50") < 0).alias("n_negative"))
+    return held.join(below, "period")
