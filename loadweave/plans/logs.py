@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import expr
-from ..operators import battery, causal, keys, publish, scenario, sessions
+from ..operators import battery, causal, keys, priority, publish, scenario, sessions
 from .load import query
 from .standins import POINTS_SQL, hourly, hourly_sql, points, rounded, table
 
@@ -301,7 +302,55 @@ def battery_schedules(spark, d):
     days = h.select("code", F.col("date").cast("string").alias("date"), F.transform(loads, lambda x: x / 20).alias("actual"))
     days = days.withColumns({"plan": F.when(F.substring("date", 10, 1) != "3", F.col("actual")), "target": F.array_max("actual") * 0.8, "price": F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.pmod(i * 7, F.lit(24)).cast("double"))})
     out = battery.schedules(days, battery.Battery(power_kw=4.0, energy_kwh=20.0), ["code", "date"])
-    return rounded(out.drop("charge", "discharge"), 4)
+    return rounded(out.drop("plan_charge", "plan_discharge", "plan_energy", "grid", "charge", "discharge"), 4)
+
+
+# a battery's whole chain on full days of three areas: sizing on past days, plans and outcomes, axes and order of review
+_DAYS = f"""{hourly_sql(3).replace('h AS (', 'h0 AS (', 1)}, h AS (SELECT code, date, hour, coalesce(kw, 0.0) AS kw FROM (SELECT * FROM (SELECT DISTINCT code FROM h0), (SELECT DISTINCT date FROM h0), (SELECT CAST(unnest(range(24)) AS INTEGER) AS hour)) LEFT JOIN h0 USING (code, date, hour)),
+l AS (SELECT *, lag(kw) OVER (PARTITION BY code, hour ORDER BY date) AS lag1, lag(kw, 7) OVER (PARTITION BY code, hour ORDER BY date) AS lag7 FROM h),
+cal AS (SELECT code, max(kw) AS peak, avg(kw) AS mean_kw, avg(abs(kw - lag7)) AS mae, avg(abs(kw - lag1)) AS mae_yesterday, avg(kw - lag7) AS bias FROM l WHERE date <= DATE '2024-01-20' GROUP BY 1),
+rl AS (SELECT code, coalesce(mae <= mae_yesterday * 1.1::DOUBLE AND abs(bias) <= 0.2::DOUBLE * mean_kw, false) AS reliable FROM cal),
+sc AS (SELECT code, m AS multiplier, n AS n_new, peak * m AS target, n * 0.1::DOUBLE AS more FROM cal, (SELECT unnest([1.0, 1.2])::DOUBLE AS m), (SELECT unnest([0, 3]) AS n)),
+dy AS (SELECT code, date, max(kw) AS top, max(lag1) * 1.1::DOUBLE AS planned, count(lag1) = 24 AS has FROM l GROUP BY 1, 2),
+sz AS (SELECT code, multiplier, n_new, bool_and(top + more <= target + 1e-6) AS sized, max(over) / (0.95::DOUBLE * 0.8::DOUBLE) AS reference_kwh, count(*) AS n_days
+       FROM (SELECT sc.*, l.date, max(l.kw) AS top, sum(greatest(l.kw + more - target, 0)) AS over FROM sc JOIN l USING (code) WHERE l.date <= DATE '2024-01-20' GROUP BY ALL) GROUP BY 1, 2, 3),
+ov AS (SELECT sc.*, l.date, sum(greatest(l.kw + more - target, 0)) AS over FROM sc JOIN l USING (code) WHERE l.date > DATE '2024-01-20' GROUP BY ALL),
+oc AS (SELECT code, ov.date, multiplier, n_new, sized AND has AND planned + more <= target + 1e-6 AS plan_feasible, reliable AND has AS forecast_reliable, over FROM ov JOIN sz USING (code, multiplier, n_new) JOIN dy USING (code, date) JOIN rl USING (code))"""
+
+
+def _chain(spark, d):
+    own = hourly(spark, d, 3)
+    full = own.select("code").distinct().crossJoin(own.select("date").distinct()).crossJoin(spark.range(24).select(F.col("id").cast("int").alias("hour")))  # 3 areas
+    over = Window.partitionBy("code", "hour").orderBy("date")
+    rows = full.join(own, ["code", "date", "hour"], "left").fillna(0.0, ["kw"]).withColumns({"lag1": F.lag("kw").over(over), "lag7": F.lag("kw", 7).over(over)})
+    series = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("hour", c))), lambda x: x[c])
+    days = rows.groupBy("code", "date").agg(series("kw").alias("actual"), F.when(F.count("lag1") == 24, series("lag1")).alias("base"))  # 24 values
+    days = days.withColumns({"p50": F.col("base"), "p90": F.transform("base", lambda x: x * 1.1), "price": F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: i.cast("double"))})
+    past = F.col("date") <= F.lit("2024-01-20").cast("date")
+    calibration = rows.where(past).groupBy("code").agg(F.max("kw").alias("peak"), F.avg("kw").alias("mean_kw"), F.avg(F.abs(F.col("kw") - F.col("lag7"))).alias("mae"), F.avg(F.abs(F.col("kw") - F.col("lag1"))).alias("y"), F.avg(F.col("kw") - F.col("lag7")).alias("bias"))
+    reliable = battery.reliable_regions(calibration.select("code", F.lit(20).alias("n_days"), "mae", (F.col("y") * 1.1).alias("mae_yesterday"), "bias"), calibration, 14, 0.2)
+    added = {n: battery.added_load([0.1] * 24, n, 1.0) for n in (0, 3)}
+    sizes = battery.scenario_sizes(days.where(past).select("code", F.col("actual").alias("load")), calibration, [1.0, 1.2], added, [(0, 0)])
+    runs = battery.scenario_days(days.where(~past), calibration, [1.0, 1.2], added)
+    return sizes, battery.run_scenarios(runs, sizes, battery.Battery(), reliable)
+
+
+@query("battery_sizes", f"WITH {_DAYS} SELECT code, multiplier, n_new, CASE WHEN sized THEN 0.0::DOUBLE END AS power_kw, CASE WHEN sized THEN 0.0::DOUBLE END AS energy_kwh, round(reference_kwh, 6) AS reference_kwh, n_days FROM sz")
+def battery_sizes(spark, d):
+    """No battery at all, the first candidate, where past days keep to the target without one."""
+    return rounded(_chain(spark, d)[0])
+
+
+@query("scenario_axes", f"WITH {_DAYS} SELECT code, round(avg(over), 6) AS safety_raw, 0.0::DOUBLE AS economy_raw, round(avg(CASE WHEN forecast_reliable THEN 1 ELSE 0 END), 6) AS forecast_confidence, round(avg(CASE WHEN plan_feasible THEN 1 ELSE 0 END), 6) AS plan_confidence FROM oc WHERE multiplier = 1.0 AND n_new = 0 GROUP BY 1")
+def scenario_axes(spark, d):
+    return rounded(priority.energy_axes(_chain(spark, d)[1], 1.0, 0))
+
+
+@query("scenario_review", f"""WITH {_DAYS}, v AS (SELECT code, bool_and(plan_feasible AND forecast_reliable) AS valid, avg(over) AS over FROM oc WHERE multiplier = 1.2 AND n_new = 0 GROUP BY 1)
+SELECT code, valid, round(over, 6) AS excess_kwh, round(over, 6) AS left_kwh, 0.0::DOUBLE AS peak_reduction_kw, code < 2 AS confirmed, CASE WHEN NOT valid OR code >= 2 THEN 'more_data_first' WHEN over > 1e-6 THEN 'on_site_first' ELSE 'no_excess_here' END AS review_group, CAST(row_number() OVER (ORDER BY over DESC, code) AS INTEGER) AS place FROM v""")
+def scenario_review(spark, d):
+    confirmed = hourly(spark, d, 3).select("code").distinct().where("code < 2")
+    return rounded(priority.review_order(_chain(spark, d)[1], confirmed, 1.2))
 
 
 # publishing

@@ -171,7 +171,10 @@ def test_battery_physics_and_optimum():
     assert not small["feasible"] and small["method"] == "greedy" and small["reason"]
     with pytest.raises(ValueError):
         battery.schedule(load[:5], 5.0, b)
-    assert battery.size([load], 5.0, [4.0], [8.0, 20.0, 40.0]).energy_kwh == 20.0
+    tried = np.array([8.0, 20.0, 40.0])
+    assert battery.enough(np.tile(load, (3, 1)), np.full(3, 5.0), battery.Battery(power_kw=np.full(3, 4.0), energy_kwh=tried)).tolist() == [False, True, True]
+    none = battery.Battery(power_kw=0.0, energy_kwh=0.0)
+    assert battery.schedule(load, 9.0, none)["feasible"] and not battery.schedule(load, 8.0, none)["feasible"]
 
 
 def test_battery_brute_force():
@@ -191,11 +194,11 @@ def test_battery_brute_force():
             if held.min() >= 0 and held.max() <= 4 and held[-1] == 2:
                 cost = float(np.dot(choice, price[:6]))
                 best = cost if best is None else min(best, cost)
-        found = battery.exact(load, 2.0, b, price)
-        assert (found is None) == (best is None)
-        if found:
+        charge, _, found = battery.exact(load[None, :], np.array([2.0]), b, price[None, :])
+        assert found[0] == (best is not None)
+        if found[0]:
             seen += 1
-            assert np.dot(found[0], price) == pytest.approx(best)
+            assert np.dot(charge[0], price) == pytest.approx(best)
     assert seen > 20
 
 
@@ -325,13 +328,28 @@ def test_battery_scenarios(spark):
     added = {0: battery.added_load(battery.utilization([1.0] * 24, 0.1), 0), 3: battery.added_load(battery.utilization([1.0] * 24, 0.1), 3, 1.0)}
     rows_ = battery.scenario_days(days, calibration, [0.9, 1.1], added)
     assert rows_.count() == 2 * 2 * (2 + 4)
-    sizes = battery.scenario_sizes(spark.createDataFrame([("a", [load, load])], "code string, loads array<array<double>>"), calibration, [0.9, 1.1], added, [1.0, 4.0], [4.0, 20.0], battery.Battery())
-    assert {(r["multiplier"], r["n_new"]): r["energy_kwh"] for r in sizes.collect()}[1.1, 0] == 4.0
-    out = battery.run_scenarios(rows_, sizes, battery.Battery())
+    history = spark.createDataFrame([("a", load), ("a", [1.0] * 24)], "code string, load array<double>")
+    pairs = [(1.0, 4.0), (4.0, 4.0), (1.0, 20.0), (4.0, 20.0), (0.0, 0.0)]
+    sizes = battery.scenario_sizes(history, calibration, [0.9, 1.1], added, pairs, battery.Battery())
+    chosen = {(r["multiplier"], r["n_new"]): (r["power_kw"], r["energy_kwh"], r["n_days"]) for r in sizes.collect()}
+    assert chosen[1.1, 0] == (0.0, 0.0, 2) and chosen[0.9, 0] == (1.0, 4.0, 2)
+    # Any candidate that is as small is not enough on some past day.
+    for (m, n), (power, energy, _) in chosen.items():
+        days_ = np.array([load, [1.0] * 24]) + np.array(added[n])
+        for p, e in pairs:
+            fine = all(battery.schedule(d, 6.0 * m, battery.Battery(power_kw=p, energy_kwh=e))["feasible"] for d in days_)
+            assert fine == (power is not None and (p, e) == (power, energy)) or (fine and (e, p) > (energy, power)) or (not fine and (p, e) != (power, energy))
+    out = battery.run_scenarios(rows_, sizes, battery.Battery(), spark.createDataFrame([("a", True)], "code string, reliable boolean"))
     got = {(r["date"], r["multiplier"], r["n_new"], r["mode"], r["input"]): r for r in out.collect()}
     assert len(got) == 24 and got["d1", 0.9, 0, "oracle", "actual"]["over_kwh"] == pytest.approx(0, abs=1e-4)
     assert got["d2", 0.9, 3, "compare", "p50"]["method"] == "unavailable" and got["d1", 0.9, 0, "forecast", "p90"]["baseline_over_kwh"] == pytest.approx(2 * 0.6)
     assert battery.compared_runs(out).count() == 2 * (2 + 4)
+    assert got["d1", 0.9, 0, "oracle", "actual"]["over_hours"] == 0 and abs(got["d1", 0.9, 0, "oracle", "actual"]["end_error_kwh"]) < 1e-6 and got["d1", 1.1, 0, "forecast", "p90"]["power_kw"] == 0
+    assert all(r["forecast_reliable"] and r["cost_difference"] is None for r in got.values())
+    effects = {(r["multiplier"], r["n_new"]): r for r in battery.ai_effects(out).collect()}
+    assert set(effects) == {(0.9, 3), (1.1, 3)} and effects[0.9, 3]["n_common_days"] == 1 and battery.ai_effect_summary(battery.ai_effects(out)).count() == 2
+    hours = battery.hourly_schedules(out, ["date", "multiplier", "n_new", "mode"])
+    assert hours.count() == 24 * 2 * 2 * 4 and hours.where("mode = 'compare'").isEmpty()
     with pytest.raises(ValueError):
         battery.utilization([1.0] * 24, 1.5)
 
