@@ -5,6 +5,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import xxhash
@@ -77,8 +80,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Paths of the tables that ``written`` made and nothing has discarded yet.
-_HELD: set[str] = set()
+#: Paths of the tables that ``written`` made and nothing has discarded yet: the process's, or a run's own.
+_HELD: ContextVar[set[str]] = ContextVar("held", default=set())
+
+
+@contextmanager
+def own_tables() -> Iterator[set[str]]:
+    """Within it ``written``, ``standing`` and ``sweep`` know the tables of this run alone, whatever else the process does."""
+    token = _HELD.set(set())
+    try:
+        yield _HELD.get()
+    finally:
+        _HELD.reset(token)
 
 
 def written(df: DataFrame, name: str, *by: str) -> DataFrame:
@@ -92,24 +105,24 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
-    _HELD.add(path)
+    _HELD.get().add(path)
     return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    _HELD.discard(path)
+    _HELD.get().discard(path)
 
 
 def standing() -> set[str]:
-    """Paths of all tables that stand."""
-    return set(_HELD)
+    """Paths of the run's tables that stand."""
+    return set(_HELD.get())
 
 
 def sweep(spark: SparkSession, but: set[str] | frozenset[str] = frozenset()) -> int:
-    """Deletes the tables that this process wrote for its operators, once their results are stored, but some; how many."""
-    gone = sorted(_HELD - but)
+    """Deletes the tables that this run wrote for its operators, once their results are stored, but some; how many."""
+    gone = sorted(_HELD.get() - but)
     for path in gone:
         _delete(spark, path)
     return len(gone)

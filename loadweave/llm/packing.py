@@ -258,7 +258,8 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     # These grow with the tasks, so they meet the pieces by a shuffle, never by a broadcast.
     bases = counts.selectExpr("length", "task", "sum(n) over (partition by length order by task) - n as base")
     ranked = shorter.join(bases.hint("merge"), ["length", "task"]).selectExpr("*", "base + local as rank", f"(base + local) div {RANK_BLOCK} as block")
-    placed = ranked.join(ranges, ["length", "block"]).where("rank >= lo and rank < lo + ranks")
+    # A range more for each RANK_BLOCK documents: neither side may be broadcast, whatever a local plan's size says.
+    placed = ranked.join(ranges.hint("merge"), ["length", "block"]).where("rank >= lo and rank < lo + ranks")
     result = ["doc_id", "piece", "start", "length", "ids_crc32", *(("task", "local") if with_ids else ())]
     placed = placed.selectExpr(*result, "2 * (sequence + rank - lo) as sequence_id", "offset")
     # Full pieces fill a sequence each; odd numbers, unique by (task, place in the task).

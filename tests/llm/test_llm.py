@@ -676,3 +676,14 @@ def test_tables_are_swept(spark, tmp_path):
     held = common.written(spark.range(10), "some")
     path = held._written_to
     assert held.count() == 10 and os.path.isdir(path) and common.sweep(spark) == 1 and not os.path.isdir(path) and common.sweep(spark) == 0
+
+
+def test_runs_sweep_their_own_tables(spark):
+    from loadweave.llm import common
+
+    outer = common.written(spark.range(5), "outer")
+    with common.own_tables():
+        inner = common.written(spark.range(3), "inner")
+        assert common.standing() == {inner._written_to} and common.sweep(spark) == 1
+    assert outer.count() == 5 and outer._written_to in common.standing()
+    common.discard(outer)
