@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadweave.llm import decontaminate, neardup, packing, secret_scan, toxicity
-from loadweave.llm.common import row_key, standing, sweep, table, written
+from loadweave.llm.common import own_tables, row_key, sweep, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = table(spark, sf_dir, "documents"), standing()
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        sweep(spark, before | {docs._written_to})  # the stage's result stands, so nothing reads what it was made of
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    with own_tables():
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            sweep(spark, {docs._written_to})  # the stage's result stands, so nothing reads what it was made of
+        return STAGES[-1][1](spark, docs, sf_dir)
