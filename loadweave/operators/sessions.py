@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import average_rank, geo_cell, haversine_km, ratio
+from ..functions.stored import components, stored
 
 SECONDS = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
 
@@ -143,51 +143,87 @@ def low_access_contrast(regions: DataFrame, value: str = "away_ratio", access: s
     return ranked.agg(F.count("*").alias("n"), F.avg(F.when(F.col("low"), F.col(value))).alias("mean_low"), F.avg(F.when(~F.col("low"), F.col(value))).alias("mean_rest"), F.when(fine, F.corr("rv", "ra")).alias("spearman"))
 
 
+#: A cell's side as a share of the distance: its points are all within that distance of one another.
+_SIDE = 0.999 / 3**0.5
+#: Micro cells along a cell's side.
+_MICRO = 16
+
+
+def _sphere_points(found: DataFrame, key: str, chord: float) -> DataFrame:
+    """key, session, day, x, y, z (on the unit sphere), cell and micro cell of every session with a place."""
+    lat, lon = F.radians("lat"), F.radians("lon")
+    out = found.where("lat is not null and lon is not null").select(key, "session", F.to_date("start").alias("day"), (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"))
+    side = chord * _SIDE
+    at = lambda width: F.struct(*[F.floor(F.col(c) / F.lit(width)).alias(c) for c in "xyz"])
+    return out.withColumns({"cell": at(side), "micro": at(side / _MICRO)})
+
+
+def _square(one: str, two: str) -> Column:
+    return sum(((F.col(f"{one}.{c}") - F.col(f"{two}.{c}")) ** 2 for c in "xyz"), F.lit(0.0))
+
+
 def base_sessions(found: DataFrame, key: str, eps_m: float = 150.0, least: int = 3, days: int = 3) -> DataFrame:
     """Density clusters of a vehicle's sessions (within eps, at least so many, the point included); a cluster seen on enough days is a base.
 
-    Within a vehicle points meet those of their own and the neighbouring cells of a grid on the unit
-    sphere whose cells are eps wide, so memory and work follow the points that lie close.
+    key, session, cluster (its first core session; -1: none) and is_base.  A session near several clusters
+    belongs to the one whose first core session is the smallest.
+
+    Cells are so small that their points are all within eps of one another: where a cell has enough of them, all
+    are core without a look at any pair, and all core points of a cell are of one cluster.  Only the few
+    points of emptier cells are compared with those of neighbouring cells.  Neighbouring cells are joined if their
+    micro cells show that some pair of core points is, or none can be, within eps, and only else by the points of
+    the micro cells in doubt.  Cells form clusters as connected components; no vehicle is one task.
     """
-    cols = [key, "session", "lat", "lon", "start"]
-    chord = 2 * np.sin(min(eps_m / 6371008.8, np.pi) / 2)
-    around = [np.array((x, y, z)) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
-
-    def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("session").reset_index(drop=True)
-        lat, lon = np.radians(frame["lat"].to_numpy(float)), np.radians(frame["lon"].to_numpy(float))
-        place = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=1)
-        cell = np.floor(place / max(chord * 1.001, 1e-12)).astype(np.int64)
-        found_in: dict[tuple, list[int]] = {}
-        for i, c in enumerate(map(tuple, cell.tolist())):
-            found_in.setdefault(c, []).append(i)
-        held = {c: np.array(rows) for c, rows in found_in.items()}
-        beside = {c: np.concatenate([held[n] for d in around if (n := tuple((np.array(c) + d).tolist())) in held]) for c in held}
-
-        def near(i: int) -> np.ndarray:
-            others = beside[tuple(cell[i].tolist())]
-            a = np.sin((lat[others] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[others]) * np.sin((lon[others] - lon[i]) / 2) ** 2
-            return np.sort(others[2 * 6371008.8 * np.arcsin(np.sqrt(np.clip(a, 0, 1))) <= eps_m])
-
-        core = np.array([len(near(i)) >= least for i in range(len(frame))], bool)
-        label = np.full(len(frame), -1)
-        for i in np.flatnonzero(core):
-            if label[i] >= 0:
-                continue
-            stack, label[i] = [i], i
-            while stack:
-                j = stack.pop()
-                for k in near(j):
-                    if label[k] < 0:
-                        label[k] = i
-                        if core[k]:
-                            stack.append(k)
-        seen = pd.to_datetime(frame["start"]).dt.date.groupby(label).nunique()
-        base = [c >= 0 and seen[c] >= days for c in label]
-        return pd.DataFrame({key: frame[key], "session": frame["session"], "cluster": label, "is_base": base})
-
-    schema = f"{key} {dict(found.dtypes)[key]}, session long, cluster long, is_base boolean"
-    return found.select(*cols).where("lat is not null and lon is not null").groupBy(key).applyInPandas(cluster, schema)
+    eps = 2 * float(np.sin(min(eps_m / 6371008.8, np.pi) / 2))
+    points = stored(_sphere_points(found, key, eps), "places")
+    counts = points.groupBy(key, "cell").agg(F.count("*").alias("n"))
+    steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", d, strict=True)]) for d in np.ndindex(5, 5, 5)]))
+    moved = counts.select(key, "cell", "n", steps.alias("d")).select(key, "cell", "n", F.struct(*[(F.col(f"cell.{c}") + F.col(f"d.{c}") - 2).alias(c) for c in "xyz"]).alias("beside"))
+    beside = stored(moved.where("cell <> beside").join(counts.select(key, F.col("cell").alias("beside"), F.col("n").alias("n_beside")), [key, "beside"]), "beside")
+
+    def near(some: DataFrame, others: DataFrame) -> DataFrame:
+        """Pairs of some points and those of neighbouring cells within eps of them."""
+        own = some.select(key, "cell", F.col("session").alias("own"), F.struct("x", "y", "z").alias("p"))
+        other = others.select(key, F.col("cell").alias("beside"), F.struct("x", "y", "z").alias("q"), *[c for c in ("cluster",) if c in others.columns])
+        return own.join(beside.select(key, "cell", "beside"), [key, "cell"]).join(other, [key, "beside"]).where(_square("p", "q") <= eps**2)
+
+    dense = counts.where(F.col("n") >= least).select(key, "cell")
+    few = points.join(counts.where(F.col("n") < least), [key, "cell"])
+    met = near(few, points).groupBy(key, F.col("own").alias("session")).agg(F.count("*").alias("m"))
+    enough = few.join(met, [key, "session"]).where(F.col("n") + F.col("m") >= least)
+    core = stored(points.join(dense, [key, "cell"], "left_semi").unionByName(enough.select(*points.columns)), "core")
+
+    # Which neighbouring cells with core points are joined.
+    firsts = core.groupBy(key, "cell").agg(F.min("session").alias("first"))
+    pairs = beside.where("cell < beside").select(key, "cell", "beside").join(firsts.select(key, "cell"), [key, "cell"], "left_semi").join(firsts.select(key, F.col("cell").alias("beside")), [key, "beside"], "left_semi")
+    small = core.select(key, "cell", "micro").distinct()
+    both = pairs.join(small.withColumnRenamed("micro", "a"), [key, "cell"]).join(small.select(key, F.col("cell").alias("beside"), F.col("micro").alias("b")), [key, "beside"])
+    width = eps * _SIDE / _MICRO
+    apart, reach = F.sqrt(_square("a", "b")) * width, width * 3**0.5
+    both = stored(both.select(key, "cell", "beside", "a", "b", (apart + reach < eps * (1 - 1e-9)).alias("sure"), (apart - reach <= eps * (1 + 1e-9)).alias("maybe")).where("maybe"), "micro")
+    told = both.groupBy(key, "cell", "beside").agg(F.bool_or("sure").alias("sure"))
+    sure = told.where("sure").select(key, "cell", "beside")
+    doubt = both.join(told.where("not sure").select(key, "cell", "beside"), [key, "cell", "beside"], "left_semi")
+    spot = F.struct("x", "y", "z")
+    one, two = core.select(key, "cell", F.col("micro").alias("a"), spot.alias("p")).distinct(), core.select(key, F.col("cell").alias("beside"), F.col("micro").alias("b"), spot.alias("q")).distinct()
+    exact = doubt.join(one, [key, "cell", "a"]).join(two, [key, "beside", "b"])
+    joined = sure.unionByName(exact.where(_square("p", "q") <= eps**2).select(key, "cell", "beside").distinct())
+    place = lambda c: F.struct(key, *[F.col(f"{c}.{x}").alias(x) for x in "xyz"])
+    parts = components(joined.select(place("cell").alias("a"), place("beside").alias("b")))
+    named = firsts.withColumn("node", place("cell")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = named.groupBy("component").agg(F.min("first").alias("cluster"))
+    cells = stored(named.join(labels, "component").select(key, "cell", "cluster"), "clusters")
+
+    # Other points take the cluster of a core point within eps: one of their own cell, or else the least of those beside.
+    clustered = core.join(cells, [key, "cell"])
+    rest = points.join(core.select(key, "session"), [key, "session"], "left_anti")
+    by_cell = rest.join(cells, [key, "cell"]).select(key, "session", "cluster")
+    by_pair = near(rest, clustered).select(key, F.col("own").alias("session"), "cluster")
+    border = by_cell.unionByName(by_pair).groupBy(key, "session").agg(F.min("cluster").alias("cluster"))
+    all_ = clustered.select(key, "session", "day", "cluster").unionByName(rest.join(border, [key, "session"], "left").select(key, "session", "day", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster")))
+    seen = all_.where("cluster >= 0").groupBy(key, "cluster").agg(F.countDistinct("day").alias("seen"))
+    out = all_.join(seen, [key, "cluster"], "left")
+    return out.select(key, "session", "cluster", F.coalesce(F.col("seen") >= days, F.lit(False)).alias("is_base"))
 
 
 def with_cell(log: DataFrame, metres: float) -> DataFrame:

@@ -112,7 +112,15 @@ def soc_bands(spark, d):
     return sessions.soc_bands(_found(spark, d, False), 5)
 
 
-@query("base_sessions")
+@query("base_sessions", f"""WITH RECURSIVE {_sessions_sql(False, 360, 0, 100000)},
+pt AS (SELECT v, session, CAST(make_timestamp(CAST(a * 1000000 AS BIGINT)) AS DATE) AS day, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM sx WHERE lat IS NOT NULL AND lon IS NOT NULL),
+nb AS (SELECT p.v, p.session AS s, q.session AS t FROM pt p JOIN pt q ON p.v = q.v AND sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2)) <= 2 * sin(500.0::DOUBLE / 6371008.8::DOUBLE / 2)),
+co AS (SELECT v, s FROM nb GROUP BY 1, 2 HAVING count(*) >= 3),
+r AS (SELECT v, s, s AS t FROM co UNION SELECT r.v, r.s, nb.t FROM r JOIN nb ON r.v = nb.v AND r.t = nb.s JOIN co ON co.v = nb.v AND co.s = nb.t),
+cl AS (SELECT v, s, min(t) AS cluster FROM r GROUP BY 1, 2),
+al AS (SELECT pt.v, pt.session, any_value(pt.day) AS day, coalesce(any_value(own.cluster), min(cl.cluster), -1) AS cluster FROM pt JOIN nb ON nb.v = pt.v AND nb.s = pt.session LEFT JOIN cl own ON own.v = pt.v AND own.s = pt.session LEFT JOIN cl ON cl.v = nb.v AND cl.s = nb.t GROUP BY 1, 2),
+sn AS (SELECT v, cluster, count(DISTINCT day) >= 3 AS many FROM al WHERE cluster >= 0 GROUP BY 1, 2)
+SELECT al.v, session, cluster, coalesce(many, false) AS is_base FROM al LEFT JOIN sn USING (v, cluster)""")
 def base_sessions(spark, d):
     return sessions.base_sessions(_found(spark, d, False), "v", 500.0)
 

@@ -409,6 +409,40 @@ def test_base_places(spark):
     assert got == {0: True, 1: True, 2: True, 3: True, 4: True, 9: False}
 
 
+def test_density_clusters_of_dense_and_sparse_places(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for v, n, spread in (("a", 60, 0.004), ("b", 150, 0.006), ("home", 400, 0.0005)):
+        for i in range(n):
+            lat, lon = 37.5 + spread * rng.normal() + 0.004 * (i % 3), 127.0 + spread * rng.normal()
+            rows.append((v, i, float(lat), float(lon), dt.datetime(2025, 1, 1) + dt.timedelta(hours=int(rng.integers(0, 24 * 40)))))
+    rows += [("a", 900 + i, 37.7 + 0.00105 * i, 127.2, dt.datetime(2025, 1, 1 + i)) for i in range(6)]  # a chain
+    rows += [("a", 999, None, 127.0, dt.datetime(2025, 1, 1)), ("lone", 1, 10.0, 10.0, dt.datetime(2025, 1, 1))]
+    df = spark.createDataFrame(rows, "key string, session long, lat double, lon double, start timestamp").repartition(3)
+    got = {(r["key"], r["session"]): (r["cluster"], r["is_base"]) for r in sessions.base_sessions(df, "key", 150.0, 4).collect()}
+    want = {}
+    for v in ("a", "b", "home", "lone"):
+        own = sorted(r for r in rows if r[0] == v and r[2] is not None)
+        lat, lon = np.radians([r[2] for r in own]), np.radians([r[3] for r in own])
+        a = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+        near = 2 * 6371008.8 * np.arcsin(np.sqrt(a)) <= 150.0
+        core, label = near.sum(axis=1) >= 4, [None] * len(own)
+        for i in np.flatnonzero(core):  # clusters in the order of their first core session
+            stack = [i] if label[i] is None else []
+            while stack:
+                j = stack.pop()
+                for k in np.flatnonzero(near[j]):
+                    if label[k] is None:
+                        label[k] = own[i][1]
+                        if core[k]:
+                            stack.append(k)
+        for r, c in zip(own, label, strict=True):
+            days = {x[4].date() for x, other in zip(own, label, strict=True) if other == c}
+            want[r[0], r[1]] = (-1 if c is None else c, c is not None and len(days) >= 3)
+    assert got == want and len({c for (v, _), (c, _) in got.items() if v == "b"}) > 3
+    assert sessions.base_sessions(df.limit(0), "key").collect() == []
+
+
 def test_files(spark, tmp_path):
     from loadweave.sources import files
 
