@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import expr
-from ..operators import battery, causal, cube, inputs, models, priority, publish, risk, sessions, spatial
+from ..functions import expr, projection
+from ..operators import battery, causal, cube, inputs, models, priority, publish, risk, sales, sessions, spatial
 from ..operators import timeseries as ts
 from ..sources import csv, files
 from ..streaming import twins
@@ -582,3 +582,50 @@ def customer_counts(spark, d):
 def log_regions(spark, d):
     e = table(spark, d, "events").select((F.col("user_id") % 10).alias("region"), "user_id", (F.col("event_id") % 3 == 0).alias("is_base"))
     return rounded(sessions.regional_sessions(e, "user_id", "region", 30, 2))
+
+
+# sales in one scan: suppliers stand for towns, flags for groups and origins
+@query("sales_scan", """WITH r AS (SELECT CASE WHEN l_suppkey % 20 <> 3 THEN '11000' || lpad(CAST(l_suppkey % 20 AS VARCHAR), 5, '0') END AS code, CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1 AS INTEGER) AS mi,
+CASE WHEN l_returnflag = 'A' THEN 'wait' WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'placebo' WHEN l_returnflag = 'N' THEN 'control_ref' ELSE 'other' END AS grp, CASE WHEN l_linenumber = 1 THEN 'resident' WHEN l_linenumber = 7 THEN 'unknown' ELSE 'outsider' END AS origin,
+CASE WHEN l_partkey % 10 <> 0 THEN l_quantity END AS value, l_partkey % 10 = 0 AS masked, l_linestatus AS sex, CAST(l_linenumber AS VARCHAR) AS dist FROM lineitem),
+u AS (SELECT 'cells' AS set, code, mi, grp AS label, origin AS label2, coalesce(sum(value), 0) AS s, count(value) AS n_valid, count(*) AS n_rows, count(CASE WHEN masked THEN 1 END) AS n_masked FROM r WHERE code IS NOT NULL AND mi IS NOT NULL AND grp <> 'other' AND origin <> 'unknown' GROUP BY 2, 3, 4, 5
+UNION ALL SELECT 'by_group', code, mi, grp, NULL, coalesce(sum(value), 0), NULL, count(*), NULL FROM r WHERE code IS NOT NULL AND mi IN (23953, 23954) GROUP BY 2, 3, 4
+UNION ALL SELECT 'by_sex', code, mi, sex, NULL, coalesce(sum(value), 0), NULL, count(*), NULL FROM r WHERE code IS NOT NULL AND mi IN (23953, 23954) GROUP BY 2, 3, 4
+UNION ALL SELECT 'distances', NULL, NULL, dist, NULL, NULL, NULL, count(*), count(CASE WHEN masked THEN 1 END) FROM r GROUP BY 4
+UNION ALL SELECT 'all', NULL, NULL, NULL, NULL, NULL, count(CASE WHEN code IS NULL THEN 1 END), count(*), count(CASE WHEN masked THEN 1 END) FROM r)
+SELECT set, code, mi, label, label2, round(CAST(s AS DOUBLE), 4) AS s, n_valid, n_rows, n_masked FROM u""")
+def sales_scan(spark, d):
+    """Cells, snapshots by group and attribute, labels seen and totals, all from one read."""
+    i = table(spark, d, "lineitem")
+    code = F.when(F.col("l_suppkey") % 20 != 3, F.lpad((F.col("l_suppkey") % 20).cast("string"), 5, "0"))
+    raw = i.select(
+        F.col("l_shipdate").cast("string").alias("ym"), F.lit("11").alias("sido"), F.lit("11000").alias("sgg"), F.concat(F.lit("11000"), code).alias("umd"), F.col("l_returnflag").alias("bidvs"), F.col("l_linestatus").alias("medvs"), F.col("l_linenumber").cast("string").alias("dist"),
+        F.when(F.col("l_partkey") % 10 == 0, "*").otherwise(F.col("l_quantity").cast("string")).alias("metric"), F.col("l_linestatus").alias("sex"),
+    )
+    found = sales.scanned(sales.typed_sales(raw, ["A"], ["N"], ["N:O"], unknown=["7"]), [23953, 23954])
+    shot, whole = F.col("set").startswith("by_"), F.col("set").isin("distances", "all")
+    label = F.coalesce(F.when(F.col("set") == "by_sex", F.col("sex")), F.when(F.col("set") == "distances", F.col("dist")), F.when(F.col("set").isin("cells", "by_group"), F.col("group")))
+    value = F.when(F.col("set") == "cells", F.coalesce("use_s", F.lit(0.0))).when(shot, F.coalesce("shot_s", F.lit(0.0)))
+    out = found.where("set in ('cells', 'by_group', 'by_sex', 'distances', 'all')").select(
+        "set", "code", "mi", label.alias("label"), F.when(F.col("set") == "cells", F.col("origin")).alias("label2"), F.round(value.cast("double"), 4).alias("s"),
+        F.when(F.col("set") == "cells", F.col("use_valid")).when(F.col("set") == "all", F.col("bad_region_rows")).alias("n_valid"), F.when(F.col("set") == "cells", F.col("use_rows")).when(shot, F.col("shot_rows")).otherwise(F.col("rows")).alias("n_rows"),
+        F.when(F.col("set") == "cells", F.col("use_masked")).when(whole, F.col("masked_rows")).alias("n_masked"),
+    )
+    return out
+
+
+_BELT = 'PROJCS["Central belt",GEOGCS["Korea 2000",DATUM["Korea",SPHEROID["GRS 1980",6378137,298.257222101]],UNIT["degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",38],PARAMETER["central_meridian",127],PARAMETER["scale_factor",1],PARAMETER["false_easting",200000],PARAMETER["false_northing",600000],UNIT["metre",1]]'
+
+
+@query("grid_tiles", f"""WITH {POINTS_SQL}, k AS (SELECT 6378137.0::DOUBLE AS a, 1 / 298.257222101::DOUBLE AS f), e AS (SELECT a, f * (2 - f) AS e2 FROM k),
+g AS (SELECT code, ev, radians(lat) AS p, (radians(lon) - radians(127.0::DOUBLE)) * cos(radians(lat)) AS w, a, e2, e2 / (1 - e2) AS ep, a / sqrt(1 - e2 * pow(sin(radians(lat)), 2)) AS n, pow(tan(radians(lat)), 2) AS t, e2 / (1 - e2) * pow(cos(radians(lat)), 2) AS c FROM p, e),
+m AS (SELECT *, a * ((1 - e2 / 4 - 3 * pow(e2, 2) / 64 - 5 * pow(e2, 3) / 256) * p - (3 * e2 / 8 + 3 * pow(e2, 2) / 32 + 45 * pow(e2, 3) / 1024) * sin(2 * p) + (15 * pow(e2, 2) / 256 + 45 * pow(e2, 3) / 1024) * sin(4 * p) - 35 * pow(e2, 3) / 3072 * sin(6 * p)) AS arc,
+a * ((1 - e2 / 4 - 3 * pow(e2, 2) / 64 - 5 * pow(e2, 3) / 256) * radians(38.0::DOUBLE) - (3 * e2 / 8 + 3 * pow(e2, 2) / 32 + 45 * pow(e2, 3) / 1024) * sin(2 * radians(38.0::DOUBLE)) + (15 * pow(e2, 2) / 256 + 45 * pow(e2, 3) / 1024) * sin(4 * radians(38.0::DOUBLE)) - 35 * pow(e2, 3) / 3072 * sin(6 * radians(38.0::DOUBLE))) AS arc0 FROM g),
+xy AS (SELECT ev, 200000 + n * (w + (1 - t + c) * pow(w, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * pow(w, 5) / 120) AS x,
+600000 + arc - arc0 + n * tan(p) * (w * w / 2 + (5 - t + 9 * c + 4 * c * c) * pow(w, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * pow(w, 6) / 720) AS y FROM m)
+SELECT CAST(floor(x / 5000) AS BIGINT) AS east, CAST(floor(y / 5000) AS BIGINT) AS north, count(*) AS n, round(sum(ev), 2) AS ev FROM xy GROUP BY 1, 2""")
+def grid_tiles(spark, d):
+    """Places counted by tiles of 5 km of a grid that well-known text describes."""
+    x, y = projection.grid_of(_BELT).forward("lat", "lon")
+    tiles = points(spark, d).select(F.floor(x / 5000).alias("east"), F.floor(y / 5000).alias("north"), "ev")
+    return rounded(tiles.groupBy("east", "north").agg(F.count("*").alias("n"), F.sum("ev").alias("ev")), 2)
