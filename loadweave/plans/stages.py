@@ -1,14 +1,18 @@
-"""Running named stages: isolation, timing, configuration."""
+"""Stages with declared inputs: stored once, resumed, isolated and timed; settings and windows."""
 
 from __future__ import annotations
 
 import copy
+import hashlib
 import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
 
 def merged(base: dict, over: dict) -> dict:
     """Nested settings, the second ones first; keys that begin with _ are comments."""
@@ -25,29 +29,100 @@ def load_settings(path: str, defaults: dict) -> dict:
         return merged(defaults, json.load(f))
 
 
+@dataclass(frozen=True)
+class Stage:
+    """A step: what it needs given, which tables it is made of, and whether the run ends where it fails.
+
+    needs: names of input paths; after: tables without which it is left out; beside: tables it takes where they exist (else
+    None).  make takes the tables of after and beside in that order and returns a table, or several by name.
+    """
+
+    name: str
+    make: Callable[..., Any]
+    needs: tuple[str, ...] = ()
+    after: tuple[str, ...] = ()
+    beside: tuple[str, ...] = ()
+    critical: bool = False
+    title: str | None = None
+
+
+@dataclass
+class Store:
+    """Tables of stages as Parquet in one folder, under a name that tells what they were made of."""
+
+    spark: SparkSession
+    folder: str
+
+    def path(self, name: str, mark: str) -> str:
+        return f"{self.folder.rstrip('/')}/{name}-{mark}"
+
+    def has(self, path: str) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+
+    def keep(self, table: DataFrame, path: str) -> DataFrame:
+        table.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(table.schema).parquet(path)
+
+
 @dataclass
 class Stages:
-    """Runs stages in order.  A critical one raises; another's failure is noted, without its message, and the rest goes on."""
+    """Runs stages in order; a stage is done once its tables are stored, so what fails when it is computed fails there.
+
+    A critical one raises; another's failure is noted, without its message, and the rest goes on.  With ``resume`` a
+    stage whose tables stand, made of the same inputs by the same settings, is read and not made again.
+    """
 
+    store: Store | None = None
+    resume: bool = False
     log: list[dict[str, Any]] = field(default_factory=list)
     results: dict[str, Any] = field(default_factory=dict)
+    marks: dict[str, str] = field(default_factory=dict)
 
-    def run(self, name: str, stage: Callable[[], Any], critical: bool = False) -> Any:
+    def left_out(self, stage: Stage) -> None:
+        self.log.append({"stage": stage.name, "critical": stage.critical, "status": "left out", "seconds": 0.0})
+
+    def run(self, stage: Stage, given: Any = None) -> Any:
+        """given: what the stage depends on besides its tables (settings, states of its files)."""
         began = time.time()
-        entry: dict[str, Any] = {"stage": name, "critical": critical}
+        entry: dict[str, Any] = {"stage": stage.name, "critical": stage.critical}
         try:
-            self.results[name] = stage()
-            entry["status"] = "done"
-            return self.results[name]
+            tables = [self.results.get(n) for n in (*stage.after, *stage.beside)]
+            made_of = [stage.name, given, *[self.marks.get(n) for n in (*stage.after, *stage.beside)]]
+            mark = hashlib.sha256(json.dumps(made_of, sort_keys=True, default=str).encode()).hexdigest()[:16]
+            known = self._known(stage.name, mark)
+            entry["status"] = "kept" if known is not None else "done"
+            for name, table in (known if known is not None else self._made(stage, tables, mark)).items():
+                self.results[name], self.marks[name] = table, mark
+            return self.results.get(stage.name)
         except Exception as error:
-            entry |= {"status": "failed" if critical else "skipped", "error": type(error).__name__}
-            if critical:
+            entry |= {"status": "failed" if stage.critical else "skipped", "error": type(error).__name__}
+            if stage.critical:
                 raise
             return None
         finally:
             entry["seconds"] = round(time.time() - began, 3)
             self.log.append(entry)
 
+    def _made(self, stage: Stage, tables: list[Any], mark: str) -> dict[str, Any]:
+        found = stage.make(*tables)
+        found = found if isinstance(found, dict) else {stage.name: found}
+        if self.store is None:
+            return found
+        stored = {n: self.store.keep(t, self.store.path(n, mark)) for n, t in found.items()}
+        listed = self.store.spark.createDataFrame([(n, t.schema.json()) for n, t in stored.items()], "name string, schema string")
+        self.store.keep(listed.coalesce(1), self.store.path(stage.name, mark) + ".tables")
+        return stored
+
+    def _known(self, name: str, mark: str) -> dict[str, Any] | None:
+        if not self.resume or self.store is None or not self.store.has(listed := self.store.path(name, mark) + ".tables"):
+            return None
+        rows = self.store.spark.read.parquet(listed).collect()  # a row a table
+        paths = {r["name"]: self.store.path(r["name"], mark) for r in rows}
+        if not all(map(self.store.has, paths.values())):
+            return None
+        return {r["name"]: self.store.spark.read.schema(StructType.fromJson(json.loads(r["schema"]))).parquet(paths[r["name"]]) for r in rows}
+
     def summary(self, spark):
         """One row for each stage, exported without error messages."""
         rows = [(e["stage"], e["critical"], e["status"], e.get("error"), e["seconds"]) for e in self.log]

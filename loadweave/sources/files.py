@@ -144,7 +144,12 @@ def write_table(df: DataFrame, folder: str, name: str, title: str, note: str = "
 
 
 def _rounded(name: str, kind: str, digits: int) -> Column:
-    return F.round(F.col(f"`{name}`"), digits).alias(name) if kind in ("double", "float") else F.col(f"`{name}`")
+    column = F.col(f"`{name}`")
+    if kind in ("double", "float"):
+        return F.round(column, digits).alias(name)
+    if kind == "array":  # a CSV field holds no list
+        return F.array_join(column.cast("array<string>"), ";").alias(name)
+    return F.to_json(column).alias(name) if kind in ("struct", "map") else column
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:

@@ -31,9 +31,9 @@ def test_linear():
 
 def test_stages():
     run = stages.Stages()
-    assert run.run("a", lambda: 1, critical=True) == 1 and run.run("b", lambda: 1 / 0) is None
+    assert run.run(stages.Stage("a", lambda: 1, critical=True)) == 1 and run.run(stages.Stage("b", lambda: 1 / 0)) is None
     with pytest.raises(ZeroDivisionError):
-        run.run("c", lambda: 1 / 0, critical=True)
+        run.run(stages.Stage("c", lambda: 1 / 0, critical=True))
     assert [(e["stage"], e["status"], e.get("error")) for e in run.log] == [("a", "done", None), ("b", "skipped", "ZeroDivisionError"), ("c", "failed", "ZeroDivisionError")]
     assert stages.merged({"a": {"x": 1, "y": 2}, "_note": 0}, {"a": {"y": 3}, "b": 4}) == {"a": {"x": 1, "y": 3}, "b": 4}
     assert stages.energy_window(90, 28, 4, 120) == 146 and stages.evaluation_window("2025-12-31") == ("2025-12-04", "2025-12-31")
