@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import ratio
+from ..functions.inference import normal_two_sided
 from ..functions.numbering import numbered
+from ..functions.stored import stored
 
 
 def sales_cells(rows: DataFrame, by: list[str], value: Column, masked: Column) -> DataFrame:
@@ -149,13 +151,11 @@ def placebo_samples(units: DataFrame, repetitions: int, seed: int = 0, code: str
     return drawn.join(never, "__u").join(months, "__m", "left").select("run", "unit", code, "g")
 
 
-def least_detectable(panel: DataFrame, units: DataFrame, repetitions: int = 50, seed: int = 0, k_max: int = 6, factor: float = 2.8, code: str = "code") -> DataFrame:
-    """One row: repetitions that gave an effect, their mean, spread and ``factor`` times that, the least effect that would show.
+def placebo_posts(panel: DataFrame, sample: DataFrame, k_max: int = 6, code: str = "code") -> DataFrame:
+    """run, post: the mean effect from adoption on of each placebo sample (``placebo_samples``).
 
-    A repetition estimates the mean effect from adoption on, on a placebo sample.  Repetitions are
-    a key of one plan, not a loop.
+    Repetitions are a key of one plan, not a loop.
     """
-    sample = placebo_samples(units, repetitions, seed, code)
     obs = panel.where("y is not null").select(code, "mi", "y").join(sample, code)
     cohorts = sample.where("g is not null").select("run", F.col("g").alias("cohort")).distinct()
     base = obs.select("unit", F.col("mi").alias("__b"), F.col("y").alias("y0"))
@@ -164,10 +164,46 @@ def least_detectable(panel: DataFrame, units: DataFrame, repetitions: int = 50,
     own, change = F.col("g").isNotNull(), F.col("y") - F.col("y0")
     cells = met.groupBy("run", "cohort", "k").agg((F.avg(F.when(own, change)) - F.avg(F.when(~own, change))).alias("att"), F.count_if(own).alias("n"))
     taus = cells.where("att is not null").groupBy("run", "k").agg((F.sum(F.col("att") * F.col("n")) / F.sum("n")).alias("tau"))
-    posts = post_mean(taus, ["run"], k_max)
+    return post_mean(taus, ["run"], k_max)
+
+
+def least_detectable(panel: DataFrame, units: DataFrame, repetitions: int = 50, seed: int = 0, k_max: int = 6, factor: float = 2.8, code: str = "code") -> DataFrame:
+    """One row: repetitions that gave an effect, their mean, spread and ``factor`` times that, the least effect that would show."""
+    posts = placebo_posts(panel, placebo_samples(units, repetitions, seed, code), k_max, code)
     return posts.agg(F.count("post").alias("n_runs"), F.avg("post").alias("mean"), F.stddev_samp("post").alias("se"), (factor * F.stddev_samp("post")).alias("mde"))
 
 
+def least_detectable_of_all(main: DataFrame, placebo: DataFrame, units: DataFrame, repetitions: int = 50, seed: int = 0, k_max: int = 6, factor: float = 2.8, most_bias: float = 2.0, code: str = "code") -> DataFrame:
+    """outcome (main, placebo, discounted), n_runs, mean, se, mde, biased: the same samples for the main outcome, the placebo's and their difference.
+
+    biased: the mean of what should be no effect is more than ``most_bias`` spreads from 0.
+    """
+    if repetitions < 2:
+        raise ValueError("at least 2 repetitions are needed")
+    sample = placebo_samples(units, repetitions, seed, code)
+    both = placebo_posts(main, sample, k_max, code).withColumnRenamed("post", "a").join(placebo_posts(placebo, sample, k_max, code).withColumnRenamed("post", "b"), "run", "full_outer")
+    rows = both.select(F.explode(F.array(*[F.struct(F.lit(name).alias("outcome"), c.alias("post")) for name, c in (("main", F.col("a")), ("placebo", F.col("b")), ("discounted", F.col("a") - F.col("b")))])).alias("r")).select("r.*")
+    out = rows.groupBy("outcome").agg(F.count("post").alias("n_runs"), F.avg("post").alias("mean"), F.stddev_samp("post").alias("se"))
+    return out.withColumns({"mde": factor * F.col("se"), "biased": F.abs("mean") > most_bias * F.col("se")})
+
+
+def placebo_verdict(real: DataFrame, placebo: DataFrame, k_max: int = 6, level: float = 0.05) -> DataFrame:
+    """outcome (main, placebo, discounted), post, se, p, low, high, differs: the mean effects from adoption on and whether they differ from 0.
+
+    real, placebo: draw, k, tau with draw 0 the whole sample, both of the same draws.  Bounds are percentiles of the draws.
+    A placebo that differs from 0 casts doubt on the main outcome; the discounted one is for information.
+    """
+    both = post_mean(real, ["draw"], k_max).withColumnRenamed("post", "a").join(post_mean(placebo, ["draw"], k_max).withColumnRenamed("post", "b"), "draw", "full_outer")
+    found = []
+    for name, c in (("main", F.col("a")), ("placebo", F.col("b")), ("discounted", F.col("a") - F.col("b"))):
+        drawn = F.when(F.col("draw") > 0, c)
+        r = both.agg(F.max(F.when(F.col("draw") == 0, c)).alias("post"), F.stddev_samp(drawn).alias("se"), F.percentile(drawn, F.array(F.lit(0.025), F.lit(0.975))).alias("q")).first()
+        p = normal_two_sided(r["post"] / r["se"]) if r["post"] is not None and r["se"] else None
+        low, high = r["q"] or (None, None)
+        found.append((name, r["post"], r["se"], p, low, high, p is not None and p < level))
+    return real.sparkSession.createDataFrame(found, "outcome string, post double, se double, p double, low double, high double, differs boolean")
+
+
 def binned_event_study(panel: DataFrame, units: DataFrame, k_min: int = -6, k_max: int = 6, rounds: int = 50, code: str = "code") -> DataFrame:
     """k, tau, se: two-way fixed-effects regression on distances from adoption, both ends binned, -1 the reference.
 
@@ -331,7 +367,7 @@ def demeaned(rows: DataFrame, values: list[str], rounds: int = 50, code: str = "
     the tolerance (relative to the largest one), ``rounds`` at most.
 
     A round aggregates to one row a unit or month and joins it back; every few rounds the table is
-    written to the checkpoint folder, which cuts the lineage, and the largest move is read.
+    stored in the shared folder, which cuts the lineage, and the largest move is read.
     """
     out, every = rows, 4
     scale = max([abs(v) for v in rows.agg(*[F.max(F.abs(c)) for c in values]).first() if v is not None] or [0.0]) or 1.0
@@ -342,7 +378,7 @@ def demeaned(rows: DataFrame, values: list[str], rounds: int = 50, code: str = "
             means = out.groupBy(key).agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(values)])
             out = out.join(means, key).withColumns({c: F.col(c) - F.col(f"__m{i}") for i, c in enumerate(values)}).drop(*[f"__m{i}" for i in range(len(values))])
         if done % every == 0 or done == rounds:
-            out = out.checkpoint() if out.sparkSession.sparkContext.getCheckpointDir() else out
+            out = stored(out, "demeaned")
             moved = max(v or 0.0 for v in out.agg(*[F.max(F.abs(F.col(c) - F.col(b))) for c, b in before.items()]).first())
             if moved <= tolerance * scale:
                 out = out.drop(*before.values())

@@ -7,6 +7,8 @@ its coverage is controlled on the calibration days whatever the learner does.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -21,6 +23,22 @@ from ..functions.numbering import numbered
 from .timeseries import conformal_offset
 
 LEAST_ROWS = 100
+#: Names that tell of load, by which effects must not be explained.
+LOAD_NAMES = r"(?i)(집중도|피크|부하|전력|kwh|kw$|_kw|peak|concentration|load)"
+
+
+def refuse_load_features(names) -> None:
+    """An error if a feature of effects is named like a load: the load axis would be explained by itself."""
+    found = [n for n in names if re.search(LOAD_NAMES, str(n))]
+    if found:
+        raise ValueError(f"effects can't be explained by load: {found}")
+
+
+def refuse_late_snapshots(months, start: int) -> None:
+    """An error if a snapshot's month isn't before the window: a feature may not follow what it explains."""
+    late = [m for m in months if m >= start]
+    if late:
+        raise ValueError(f"snapshots in or after the window: {late}")
 
 
 def usable_features(train: DataFrame, features: list[str]) -> list[str]:

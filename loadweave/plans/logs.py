@@ -297,7 +297,10 @@ def activations(spark, d):
     return rounded(causal.activations(p.withColumnRenamed("y", "daily_kwh"), (1997 * 12, 1997 * 12 + 11), 1995 * 12 + 6))
 
 
-@query("two_way_demeaned")
+_ROUNDS = ", ".join(f"a{k} AS (SELECT code, mi, y, r - avg(r) OVER (PARTITION BY code) AS r FROM b{k - 1}), b{k} AS (SELECT code, mi, y, r - avg(r) OVER (PARTITION BY mi) AS r FROM a{k})" for k in range(1, 5))
+
+
+@query("two_way_demeaned", f"WITH {_PANEL}, b0 AS (SELECT code, mi, y, y AS r FROM pn), {_ROUNDS} SELECT code, mi, round(y, 4) AS y, round(r, 4) AS resid FROM b4")
 def two_way_demeaned(spark, d):
     return rounded(causal.two_way_demeaned(_panel(spark, d)[0], rounds=4), 4)
 

@@ -168,8 +168,9 @@ class Run:
     def sales(self) -> dict[str, DataFrame]:
         i, window = self.settings["industries"], self.window()
         typed = sales.typed_sales(self.source("sales", ("ym", "umd", "metric")), i["wait"], i["control"], i["placebo"])
-        scan = sales.scanned(typed, [window[0][0] - 1] if window else [])
-        return {"sales": scan}
+        months = [window[0][0] - 1] if window else []
+        models.refuse_late_snapshots(months, window[0][0] if window else 0)
+        return {"sales": sales.scanned(typed, months)}
 
     def units(self, found: DataFrame) -> DataFrame:
         """code, g (NULL: never adopted) of the regions that enter the comparison."""
@@ -187,20 +188,25 @@ class Run:
         draws = self.settings["draws"]
         none = self.panel(scan, units, "placebo")
         real, placebo = (causal.event_study_draws(p, units, draws) for p in (panel, none))
-        return {"placebo": causal.event_study_bootstrap(none, units, draws), "discounted": causal.discounted(real, placebo)}
+        return {"placebo": causal.event_study_bootstrap(none, units, draws), "discounted": causal.discounted(real, placebo), "placebo_verdict": causal.placebo_verdict(real, placebo)}
+
+    def least_effect(self, panel: DataFrame, scan: DataFrame, units: DataFrame) -> DataFrame:
+        return causal.least_detectable_of_all(panel, self.panel(scan, units, "placebo"), units, self.settings["draws"])
 
     def stocks(self, units: DataFrame) -> DataFrame:
         raw = self.source("stocks", ("code", "mi", "stock"))
         rates = causal.stock_rates(raw.select(expr.clean_code("code", 10).alias("code"), F.col("mi").try_cast("int").alias("mi"), expr.to_number("stock").alias("stock")))
         return causal.contamination(rates, units)
 
-    def unit_features(self, changes: DataFrame, scan: DataFrame, loads: DataFrame) -> DataFrame:
-        """Changes of units with the shares of waiting and outside sales before the window, and the load's concentration."""
+    def unit_features(self, changes: DataFrame, scan: DataFrame) -> DataFrame:
+        """Changes of units with the shares of waiting and outside sales before the window; nothing of their load."""
         share = lambda by, label, name: inputs.shares_within(sales.snapshot(scan, by), "code", by, "value").where(F.col(by) == label).select("code", F.col("share").alias(name))
-        return priority.attached(changes, [share("group", "wait", "wait_share"), share("origin", "outsider", "outsider_share"), loads.select("code", "concentration")])
+        return priority.attached(changes, [share("group", "wait", "wait_share"), share("origin", "outsider", "outsider_share")])
 
     def heterogeneity(self, rows: DataFrame) -> dict[str, DataFrame]:
-        shown, slope, groups = models.heterogeneity(rows.select("code", "treated", "delta", "wait_share", "outsider_share", "concentration"), ["wait_share", "outsider_share", "concentration"], groups=2, trees=20)
+        features = [c for c in rows.columns if c not in ("code", "treated", "delta")]
+        models.refuse_load_features(features)
+        shown, slope, groups = models.heterogeneity(rows, features, groups=2, trees=20)
         return {"heterogeneity": shown, "heterogeneity_slope": slope, "heterogeneity_groups": groups}
 
     def quadrants(self, loads: DataFrame, changes: DataFrame) -> DataFrame:
@@ -407,13 +413,13 @@ class Run:
             Stage("sales", self.sales, ("sales",)),
             Stage("sales_quality", sales.quality, after=("sales",), title="Quality of sales data"),
             Stage("outcomes", self.panel, after=("sales", "units")),
-            Stage("least_effect", lambda p, u: causal.least_detectable(p, u, s["draws"]), after=("outcomes", "units"), title="Least detectable effect"),
+            Stage("least_effect", self.least_effect, after=("outcomes", "sales", "units"), title="Least detectable effects"),
             Stage("effects", self.effects, after=("outcomes", "units"), title="Effects by distance from adoption"),
             Stage("regression", lambda p, u: causal.binned_event_study(p, u), after=("outcomes", "units"), title="Effects by regression"),
             Stage("placebo", self.placebo, after=("outcomes", "sales", "units"), title="Placebo effects"),
             Stage("contamination", self.stocks, ("stocks",), ("units",), title="Openings around adoption"),
             Stage("unit_changes", lambda p, u: causal.unit_outcomes(p, u, 6), after=("outcomes", "units")),
-            Stage("unit_features", self.unit_features, after=("unit_changes", "sales", "load_types")),
+            Stage("unit_features", self.unit_features, after=("unit_changes", "sales")),
             Stage("effects_by_cell", lambda f: causal.cell_effects(f, "wait_share", "outsider_share"), after=("unit_features",), title="Effects by cell of two shares"),
             Stage("heterogeneity", self.heterogeneity, after=("unit_features",)),
             Stage("quadrants", self.quadrants, after=("load_types", "unit_changes"), title="Load and effect"),
@@ -532,7 +538,7 @@ def measured(held: Run) -> dict[str, float | None]:
         row = found["vehicle_ids"].first().asDict()
         out["individual_ids"] = float("individual" in map(str, row.values()))
     out["solver_works"] = float(battery.schedule([1.0] * 18 + [3.0, 3.0] + [1.0] * 4, 2.0, battery.Battery())["feasible"])
-    out["mde"] = one("least_effect", F.max("mde"))
+    out["mde"] = one("least_effect", F.max(F.when(F.col("outcome") == "main", F.col("mde"))))
     out["access_matched"] = one("access", F.avg(F.col("access_known").cast("int")))
     out["seasons_covered"] = one("seasons", F.count_if("covered"))
     out["weight_error"] = max(0.0, -s["w_risk"], s["w_risk"] - 1)  # the other axis has the rest of 1

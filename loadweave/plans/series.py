@@ -78,8 +78,8 @@ def asof_latest_issue(spark, d):
     return found.select("event_id", "user_id", "value", F.unix_micros(F.col("issued_at").cast("timestamp")).alias("issued_us"))
 
 
-@query("holiday_runs", """WITH c AS (SELECT CAST(unnest(range(DATE '2025-09-20', DATE '2025-11-01', INTERVAL 1 DAY)) AS DATE) AS date),
-l AS (SELECT unnest([DATE '2025-10-03', DATE '2025-10-06', DATE '2025-10-07', DATE '2025-10-08', DATE '2025-10-09']) AS date),
+@query("holiday_runs", """WITH sp AS (SELECT min(CAST(o_orderdate AS DATE)) AS f, max(CAST(o_orderdate AS DATE)) AS t FROM orders), c AS (SELECT CAST(unnest(range(f, t + 1, INTERVAL 1 DAY)) AS DATE) AS date FROM sp),
+l AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE day(o_orderdate) % 9 IN (3, 4) AND o_custkey % 3 = 0),
 o AS (SELECT c.date, l.date IS NOT NULL AS listed FROM c LEFT JOIN l ON c.date = l.date WHERE isodow(c.date) >= 6 OR l.date IS NOT NULL),
 i AS (SELECT *, date - CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS island FROM o),
 r AS (SELECT *, count(*) OVER w AS n, bool_or(listed) OVER w AS anyl, min(date) OVER w AS f, max(date) OVER w AS t FROM i WINDOW w AS (PARTITION BY island)),
@@ -87,8 +87,11 @@ k AS (SELECT date, 'long_holiday' AS type, 1 AS p FROM r WHERE n >= 3 AND anyl U
  UNION ALL SELECT f - 1, 'pre_post_holiday', 3 FROM r WHERE n >= 3 AND anyl UNION ALL SELECT t + 1, 'pre_post_holiday', 3 FROM r WHERE n >= 3 AND anyl)
 SELECT CAST(CAST(date AS DATE) AS VARCHAR) AS date, arg_min(type, p) AS type FROM k GROUP BY CAST(date AS DATE)""")
 def holiday_runs(spark, d):
-    listed = spark.sql("select explode(array(date'2025-10-03', date'2025-10-06', date'2025-10-07', date'2025-10-08', date'2025-10-09')) as date")
-    return rounded(ts.holiday_types(listed, "2025-09-20", "2025-10-31"))
+    """Days off among the days of orders: some of those on which orders were placed are listed."""
+    days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"), "o_custkey")
+    listed = days.where("day(date) % 9 in (3, 4) and o_custkey % 3 = 0").select("date").distinct()
+    span = days.agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
+    return rounded(ts.holiday_types(listed, *span))
 
 
 def _predictions(spark, d):

@@ -36,14 +36,14 @@ def deduplicated(events: DataFrame, keys: list[str], late: str = "1 hour") -> Da
 def transition_sessions(events: DataFrame, key: str, gap_minutes: float = 15.0, late: str = "1 hour") -> DataFrame:
     """Sessions that begin where charging turns on or after a gap, held as state per key.
 
-    events: key (long), ts, charging.  Rows wait until the watermark has passed them, so those that
+    events: key, ts, charging.  Rows wait until the watermark has passed them, so those that
     come late within it still stand in their order.  A session is emitted once it is closed: by a
     row that doesn't charge, by a later start, or by the watermark passing its end by the gap;
     then nothing is held for the key any longer.
     """
     import pandas as pd
 
-    gap = int(gap_minutes * 60_000_000)
+    gap, kind = int(gap_minutes * 60_000_000), dict(events.dtypes)[key]
 
     def step(found, frames, state):
         start, last, n, on, waiting, flags = state.get if state.exists else (0, 0, 0, False, [], [])
@@ -76,4 +76,53 @@ def transition_sessions(events: DataFrame, key: str, gap_minutes: float = 15.0,
         yield pd.DataFrame(done, columns=[key, "start", "end", "n"])
 
     held = events.select(key, F.col("ts").cast("timestamp").alias("ts"), "charging").withWatermark("ts", late)
-    return held.groupBy(key).applyInPandasWithState(step, f"{key} long, start timestamp, end timestamp, n int", "start long, last long, n int, on boolean, waiting array<long>, flags array<boolean>", "append", "EventTimeTimeout")
+    return held.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, start timestamp, end timestamp, n int", "start long, last long, n int, on boolean, waiting array<long>, flags array<boolean>", "append", "EventTimeTimeout")
+
+
+def latest_issues(rows: DataFrame, issues: DataFrame, key: str, late: str = "1 hour", cutoff: str = "cutoff", issued: str = "issued_at", value: str = "value", row: str = "row") -> DataFrame:
+    """For each row the value issued last at or before its cutoff, once the watermark has passed that cutoff (else NULL).
+
+    rows: key, row (long), cutoff; issues: key, issued_at, value (double).  Both streams share one event time: a row waits as
+    state of its key until no earlier issue can come any more, and of the issues that the watermark has passed a
+    key keeps the last one alone.  Of issues at one time the larger value counts, as in the batch join.  Rows and
+    issues that come later than the watermark allows are dropped.
+    """
+    import pandas as pd
+
+    kind = dict(rows.dtypes)[key]
+    asked = rows.select(key, F.col(cutoff).cast("timestamp").alias("at"), F.lit(True).alias("asks"), F.col(row).cast("long").alias("id"), F.lit(None).cast("double").alias("v"))
+    told = issues.where(F.col(value).isNotNull()).select(key, F.col(issued).cast("timestamp").alias("at"), F.lit(False).alias("asks"), F.lit(None).cast("long").alias("id"), F.col(value).cast("double").alias("v"))
+
+    def step(found, frames, state):
+        known, last, last_value, times, ids, issue_times, values = state.get if state.exists else (False, 0, 0.0, [], [], [], [])
+        waiting, told = list(zip(times, ids, strict=True)), list(zip(issue_times, values, strict=True))
+        for frame in frames:
+            at = frame["at"].astype("datetime64[us]").astype("int64")
+            asks = frame["asks"].to_numpy(bool)
+            waiting += zip(at[asks].tolist(), frame["id"][asks].astype("int64").tolist(), strict=True)
+            told += zip(at[~asks].tolist(), frame["v"][~asks].tolist(), strict=True)
+        passed, out = state.getCurrentWatermarkMs() * 1000, []
+        waiting.sort()
+        told.sort()
+        begun = 0
+        while waiting and waiting[0][0] <= passed:
+            at, one = waiting.pop(0)
+            while begun < len(told) and told[begun][0] <= at:
+                known, (last, last_value) = True, told[begun]
+                begun += 1
+            out.append((found[0], one, last_value if known else None, pd.Timestamp(last, unit="us") if known else pd.NaT))
+        # The last issue that the watermark has passed stands for all before it, but rows that still wait may be older than it.
+        oldest = min([passed, *[at for at, _ in waiting[:1]]])
+        while begun < len(told) and told[begun][0] <= oldest:
+            known, (last, last_value) = True, told[begun]
+            begun += 1
+        told = told[begun:]
+        state.update((bool(known), int(last), float(last_value), [int(a) for a, _ in waiting], [int(i) for _, i in waiting], [int(a) for a, _ in told], [float(v) for _, v in told]))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, row, value, issued]).astype({row: "int64", value: "float64", issued: "datetime64[us]"})
+
+    both = asked.unionByName(told).where(F.col("at").isNotNull() & F.col(key).isNotNull()).withWatermark("at", late)
+    held = "known boolean, last long, last_value double, times array<long>, ids array<long>, issue_times array<long>, issue_values array<double>"
+    out = both.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {row} long, {value} double, {issued} timestamp", held, "append", "EventTimeTimeout")
+    return out.withColumn(value, F.when(~F.isnan(value), F.col(value)))

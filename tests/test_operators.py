@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadweave.functions import expr
-from loadweave.operators import battery, causal, cube, keys, publish, risk, scenario, sessions, spatial, timeseries
+from loadweave.operators import battery, causal, cube, keys, models, publish, risk, scenario, sessions, spatial, timeseries
 from loadweave.sources import csv
 from loadweave.streaming import twins
 
@@ -267,6 +267,29 @@ def test_streams(spark, tmp_path):
     assert [(r["user_id"], r["n"], r["start"], r["end"]) for r in last] == [(1, 2, at(590), at(600))]
 
 
+def test_stream_of_latest_issues_equals_the_batch(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    at = lambda m: dt.datetime(2025, 1, 1) + dt.timedelta(minutes=int(m))
+    rows_ = [(f"k{k}", i, at(m)) for i, (k, m) in enumerate(zip(rng.integers(0, 3, 60), rng.integers(0, 600, 60), strict=True))]
+    told = [(f"k{k}", at(m), float(v)) for k, m, v in zip(rng.integers(0, 2, 80), rng.integers(0, 60, 80) * 10, rng.integers(0, 9, 80), strict=True)]
+    schemas = "key string, row long, cutoff timestamp", "key string, issued_at timestamp, value double"
+    asked, issues = spark.createDataFrame(rows_, schemas[0]), spark.createDataFrame(told, schemas[1])
+    want = {r["row"]: (r["value"], r["issued_at"]) for r in timeseries.asof_latest(asked, issues, ["key"], F.col("cutoff")).collect()}
+    streams = [spark.readStream.schema(s).parquet(f"{tmp_path}/{n}") for s, n in zip(schemas, ("rows", "issues"), strict=True) if (tmp_path / n).mkdir() is None]
+    q = twins.latest_issues(*streams, "key", "12 hours").writeStream.format("memory").queryName("latest").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").start()
+    # Out of order in parts, all within the watermark; a last row far ahead moves it past all of them.
+    for part in (issues.where("value > 4"), asked.where("row % 2 = 0"), issues.where("value <= 4"), asked.where("row % 2 = 1")):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{'rows' if 'row' in part.columns else 'issues'}")
+        q.processAllAvailable()
+    assert spark.table("latest").count() == 0
+    spark.createDataFrame([("k0", 999, at(9000))], schemas[0]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/rows")
+    q.processAllAvailable()
+    q.processAllAvailable()
+    q.stop()
+    got = {r["row"]: (r["value"], r["issued_at"]) for r in spark.table("latest").collect()}
+    assert got == want and sum(v is None for v, _ in got.values()) > 3
+
+
 def test_missing_coordinates(spark):
     one = spark.createDataFrame([(37.5, 127.0, None, 127.0)], "a double, b double, c double, d double")
     assert one.select(expr.haversine_km("a", "b", "c", "d")).first()[0] is None
@@ -375,6 +398,17 @@ def test_placebo_and_least_effect(spark):
     assert causal.resampled(who, 3).groupBy("draw").agg(F.sum("w").alias("n")).where("n = 60").count() == 4
     mde = causal.least_detectable(panel, who, 20).first()
     assert mde["n_runs"] == 20 and abs(mde["mean"]) < 3 * mde["se"] and 0.005 < mde["mde"] < 0.3
+    every = {r["outcome"]: r for r in causal.least_detectable_of_all(panel, placebo, who, 8).collect()}
+    assert set(every) == {"main", "placebo", "discounted"} and every["main"]["mde"] == pytest.approx(causal.least_detectable(panel, who, 8).first()["mde"]) and not every["placebo"]["biased"] and every["discounted"]["mde"] == pytest.approx(0, abs=1e-9)
+    with pytest.raises(ValueError, match="2 repetitions"):
+        causal.least_detectable_of_all(panel, placebo, who, 1)
+    verdict = {r["outcome"]: r for r in causal.placebo_verdict(real, none).collect()}
+    assert verdict["main"]["differs"] and verdict["main"]["low"] < 0.5 < verdict["main"]["high"] + 0.1 and not verdict["placebo"]["differs"] and verdict["discounted"]["post"] == pytest.approx(0.5, abs=1e-9)
+    models.refuse_load_features(["wait_share", "population"])
+    models.refuse_late_snapshots([10, 11], 12)
+    for refuse in (lambda: models.refuse_load_features(["peak_kw"]), lambda: models.refuse_late_snapshots([12], 12)):
+        with pytest.raises(ValueError):
+            refuse()
     study = {r["k"]: r for r in causal.binned_event_study(panel, who, -4, 4).collect()}
     assert study[2]["tau"] == pytest.approx(0.5, abs=0.06) and abs(study[-3]["tau"]) < 0.06 and 0 < study[2]["se"] < 0.05
     later = spark.createDataFrame([(u, 12 if u < 15 else 20 if u < 30 else None) for u in range(60)], "code int, g int")
