@@ -72,6 +72,10 @@ DEFAULTS: dict[str, Any] = {
 }
 
 
+#: Raised when what a stage makes of the same inputs changes, so that tables of earlier code aren't taken for its own.
+FORM = 1
+
+
 class Run:
     """Stages over one set of settings; every stage's tables are in ``results``."""
 
@@ -106,7 +110,7 @@ class Run:
             self.runner.left_out(stage)
             return None
         settings = {k: v for k, v in self.settings.items() if k != "paths"}
-        table = self.runner.run(stage, [settings, {n: self.state(n) for n in stage.needs}])
+        table = self.runner.run(stage, [FORM, settings, {n: self.state(n) for n in stage.needs}])
         if table is not None and self.out is not None and stage.title:
             try:
                 files.write_table(table, self.out, stage.name, stage.title, digits=self.settings["digits"], exported=self.exported(table))
