@@ -11,14 +11,15 @@ document frequency over the whole corpus, rarest first.  A block that contains a
 ceil(t * |T|) of |T| words holds one of the rarest |T| - ceil(t * |T|) + 1 (the prefix).  An
 index leads from prefix words to their templates, so a text meets only templates that one of
 its words calls up (prefix filter); those with too few of their words in the text go (length
-filter).  Only windows that start where a template word stands and reach enough others are
-counted (positional filter), exactly, by two pointers.
+filter).  Only windows that begin or end at a template word are counted (positional filter), exactly,
+by two pointers; every window between two such places holds the same words.
 
 The templates are a parameter of some hundred words, so each task holds them and their index;
 texts never move, and the only shuffle is of the template words' counts.
 
-Defined results: null and empty texts have no words, no labels and score 0; every row gives
-one row, repeated rows too.
+Defined results: null and empty texts have no words, no labels, no blocks and score 0; every row
+gives one row, repeated rows too.  Every block that meets the threshold is found; blocks that start at
+consecutive words are one stretch, with its best block.  A block near a text's end may be shorter.
 """
 
 from __future__ import annotations
@@ -65,6 +66,8 @@ TEMPLATES = {
     "all-rights": "no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher",
 }
 THRESHOLD = 0.8
+#: Fields of a stretch of blocks.
+BLOCK = ("label", "first_word", "n_words", "score", "start", "n_starts")
 
 
 def words(text: str | None) -> list[bytes]:
@@ -96,24 +99,44 @@ class Template:
         self.words = frozenset(distinct)
         self.prefix = frozenset(distinct[: self.size - self.need + 1])
 
-    def best(self, text_words: list[bytes], present: set[bytes]) -> tuple[float, int]:
-        """Largest containment over all blocks of the text and the first word of the first such block; 0 where none meets the threshold."""
+    def blocks(self, text_words: list[bytes], present: set[bytes]) -> list[tuple[int, float, int, int]]:
+        """Every block that meets the threshold, as stretches of consecutive starts: first word and containment of a
+        stretch's best block (its first template word; the first of equals), the first start and how many there are.
+
+        What a block holds changes only where a template word enters or leaves it, so the starts between are one step.
+        """
         if len(self.words & present) < self.need:
-            return 0.0, 0
+            return []
         at = [(i, w) for i, w in enumerate(text_words) if w in self.words]
         held: dict[bytes, int] = {}
-        most = left = first = 0
-        for place, word in at:
-            held[word] = held.get(word, 0) + 1
-            while at[left][0] <= place - self.span:
-                gone = at[left][1]
+        found: list[tuple[int, float, int, int]] = []
+        enter = leave = start = 0
+        most = first = begin = end = -1
+        while leave < len(at):
+            while enter < len(at) and at[enter][0] < start + self.span:
+                held[at[enter][1]] = held.get(at[enter][1], 0) + 1
+                enter += 1
+            after = at[leave][0] + 1
+            if enter < len(at):
+                after = min(after, at[enter][0] - self.span + 1)
+            if len(held) >= self.need:
+                if start > end:  # apart from the stretch before
+                    if most > 0:
+                        found.append((first, most / self.size, begin, end - begin))
+                    most, begin = 0, start
+                if len(held) > most:
+                    most, first = len(held), at[leave][0]
+                end = after
+            start = after
+            while leave < enter and at[leave][0] < start:
+                gone = at[leave][1]
                 held[gone] -= 1
                 if not held[gone]:
                     del held[gone]
-                left += 1
-            if len(held) > most:
-                most, first = len(held), at[left][0]
-        return (most / self.size, first) if most >= self.need else (0.0, 0)
+                leave += 1
+        if most > 0:
+            found.append((first, most / self.size, begin, end - begin))
+        return found
 
 
 def phrase_places(found: list[bytes], phrase: bytes) -> list[int]:
@@ -130,8 +153,9 @@ def phrase_places(found: list[bytes], phrase: bytes) -> list[int]:
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: words, phrase places, first and last starts, labels, the best score, and the blocks found.
 
-    ``score`` is 1 where a phrase stands, else the largest containment of a template; ``blocks`` has
-    the best block of each template that meets the threshold: label, first word, words, score.
+    ``score`` is 1 where a phrase stands, else the largest containment of a template.  ``blocks`` holds all
+    blocks that meet the threshold, by label and place, a row for each stretch of consecutive starts: label, the
+    best block's first template word, words and score, the first block's start, and the number of starts.
     """
     frequency = word_frequencies(docs, {w for t in templates.values() for w in words(t)})
     index: dict[bytes, list[Template]] = {}
@@ -151,9 +175,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
                 base.add(label)
         called = {t.label: t for word in index.keys() & present for t in index[word]}
         for label in sorted(called):
-            value, first = called[label].best(found, present)
-            if value:
-                blocks.append((label, first, called[label].span, value))
+            blocks += [(label, first, called[label].span, value, begin, n) for first, value, begin, n in called[label].blocks(found, present)]
         score = 1.0 if starts else max((b[3] for b in blocks), default=0.0)
         return (
             len(found), len(starts), min(starts) if starts else None, max(starts) if starts else None,
@@ -164,11 +186,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
         names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
         for frame in batches(frames, "text", 4 << 20):
             out = pd.DataFrame([one(t) for t in frame["text"]], columns=names)
-            out["blocks"] = [[{"label": a, "first_word": b, "n_words": c, "score": d} for a, b, c, d in found] for found in out["blocks"]]
+            out["blocks"] = [[dict(zip(BLOCK, b, strict=True)) for b in found] for found in out["blocks"]]
             out.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
             yield out.astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
 
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label: string, first_word: long, n_words: long, score: double>>"
+    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label: string, first_word: long, n_words: long, score: double, start: long, n_starts: long>>"
     return columns(docs, doc_id="long", text="string").mapInPandas(scanned, schema)
 
 

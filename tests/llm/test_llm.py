@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -95,6 +96,25 @@ def test_license_scan(docs, rows, none):
     assert licenses.phrase_places([b"a", b"b", b"a", b"b", b"a"], b" a b ") == [0, 2] and licenses.phrase_places([b"x"] * 5, b" x x ") == [0, 1, 2, 3]
 
 
+def test_license_blocks_are_all_found():
+    rng = random.Random(5)
+    for round_ in range(300):
+        template = licenses.Template("t", " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))), {}, 0.8)
+        words = [rng.choice("abcdefghijkl").encode() for _ in range(rng.randint(0, 60))]
+        good = [i for i in range(len(words)) if len(template.words.intersection(words[i : i + template.span])) >= template.need]
+        got = template.blocks(words, set(words))
+        assert [i for _, _, begin, n in got for i in range(begin, begin + n)] == good, round_
+        assert all(b[2] > a[2] + a[3] for a, b in zip(got, got[1:], strict=False))
+        for first, score, begin, n in got:
+            held = [len(template.words.intersection(words[i : i + template.span])) for i in range(begin, begin + n)]
+            assert score == max(held) / template.size and words[first] in template.words
+            assert first - (begin + held.index(max(held))) < template.span
+    twice = (licenses.TEMPLATES["mit"] + " and some words of another kind stand here between the notices so that they are far apart " * 2 + licenses.TEMPLATES["mit"]).split()
+    mit = licenses.Template("mit", licenses.TEMPLATES["mit"], {}, 0.8)
+    words = [w.encode() for w in twice]
+    assert [b[:2] for b in mit.blocks(words, set(words))] == [(0, 1.0), (len(words) - mit.span, 1.0)]
+
+
 # op2
 def test_best_fit_keeps_every_piece_once():
     for seed in range(5):
