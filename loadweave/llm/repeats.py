@@ -11,15 +11,17 @@ The two substring operators share this exchange; they differ in how a group is s
    contexts repeat are settled at once; equal contexts of one batch are merged before the
    shuffle, so a passage that a third of all documents share arrives once for each batch.
    Unequal contexts with equal hashes (1e12 contexts hold such a pair with a chance of about
-   1 in 100 000) would be taken for copies; nothing else rests on hashes alone.
+   1 in 100 000) would be taken for copies.  So would words with one 64-bit hash, which is what a word's
+   unit is, and rows of one doc_id that share their 31 bits.  Bytes are compared as they are.
 3. *Searched groups.*  Where contexts with one prefix differ, one run for each context (the
    rest is settled) fetches its units from its document, and ``search`` finds the windows
    that repeat.
-4. *Longer prefixes.*  A prefix must not outgrow a task.  One that turns out to have more than
-   ``WIDE`` contexts is extended to whole windows, each a group of its own.  Prefixes that a sample
-   of the rows (one in ``SAMPLE``, which decides on the way alone, never on a result) finds in more
-   than ``HOT`` runs never come to a group: their windows travel as rows of 128 hash bits, and
-   aggregations, which are partial before the shuffle, find those that repeat.
+4. *Longer prefixes.*  A prefix must not outgrow a task, so its length varies.  One that turns out to have
+   more than ``WIDE`` contexts is extended to whole windows, each a group of its own, searched like any other.  One
+   of which more than ``HOT`` runs would travel is extended before they do: each window of its runs travels
+   as a run of one window, with the window as its prefix.  What travels is counted over all documents, in one
+   of ``SAMPLE`` runs by a hash of their place, so a prefix crowded into few documents is counted like one spread
+   over many; the count decides on a prefix's length alone, never on a result.
 5. Spans of repeated window starts return to their documents by a join on their keys.
 
 A row's key is its doc_id and a tag of 31 bits of a hash of its text, so rows that share a
@@ -47,9 +49,11 @@ from .common import batches, columns, gathered, give_back, input_bytes, keyed, m
 BATCH_CHARS = 6 << 20
 #: Units whose windows are hashed at once (so much that the arrays stay in a cache); longer texts are cut with an overlap, which only cuts runs.
 SLICE = 1 << 16
+#: Windows of extended prefixes within which equal ones merge, and units hashed at once for them.
+PIECE, STRETCH = 1 << 19, 1 << 18
 #: Contexts of one prefix beyond which it is made longer.
 WIDE = 20_000
-#: Runs of one prefix, as a sample tells, beyond which it is made longer at once; at most ``MOST_HOT`` prefixes are.
+#: Runs of one prefix beyond which it is made longer before they travel, by one in ``SAMPLE``; at most ``MOST_HOT`` prefixes are.
 HOT, SAMPLE, MOST_HOT = 200_000, 64, 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x2545F4914F6CDD1D)
@@ -160,19 +164,60 @@ def _unpack(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, t) for x, (_, t) in zip(parts, _FIELDS, strict=True)]
 
 
-def _merged(frame: pd.DataFrame, rule: Rule, state, hot: np.ndarray, want_hot: bool):
-    """Runs of a batch (in the order of ``_FIELDS``) with masks of those that go on and those that are settled.
-
-    Equal contexts merge.  Only runs whose prefix is hot come back, or only the others.
-    """
-    anchor, context, more, doc, start, count, place = _all_runs([rule.units(state, t) for t in frame["text"]], rule)
+def _runs(frame: pd.DataFrame, rule: Rule, state, hot: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Runs of a batch (the ``_FIELDS`` without the last), then those of extended prefixes, some ``PIECE`` windows at a time."""
+    units = [rule.units(state, t) for t in frame["text"]]
+    anchor, context, more, doc, start, count, place = _all_runs(units, rule)
+    ids, tags = frame["id"].to_numpy(np.int64), frame["tag"].to_numpy(np.int64).astype(np.uint32)
     at = np.searchsorted(hot, anchor)
-    chosen = (at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == anchor) if len(hot) else np.zeros(len(anchor), bool)
-    chosen = chosen == want_hot
-    anchor, context, more, doc, start, count, place = (x[chosen] for x in (anchor, context, more, doc, start, count, place))
-    ids, tags = frame["id"].to_numpy(np.int64)[doc], frame["tag"].to_numpy(np.int64)[doc].astype(np.uint32)
+    long = (at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == anchor) if len(hot) else np.zeros(len(anchor), bool)
+    yield [x[~long] for x in (anchor, context, more, ids[doc], tags[doc], start, count, place)]
+    held, size = [], 0
+    for piece in _windows(units, doc[long], start[long], count[long], rule):
+        held.append(piece)
+        size += len(piece[0])
+        if size >= PIECE:
+            yield _one_by_one(held, ids, tags)
+            held, size = [], 0
+    if held:
+        yield _one_by_one(held, ids, tags)
+
+
+#: Another hash of a window's units.
+_SALT = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _windows(units: list[np.ndarray], doc: np.ndarray, start: np.ndarray, count: np.ndarray, rule: Rule) -> Iterator[tuple]:
+    """(prefix, other hash, document, place) of every window of runs, from about ``STRETCH`` units at a time."""
+    span = count + rule.length - 1
+    part = np.cumsum(span) // STRETCH
+    for first in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(part)) + 1):
+        if not len(first):
+            continue
+        joined = np.concatenate([units[d][s : s + n] for d, s, n in zip(doc[first].tolist(), start[first].tolist(), span[first].tolist(), strict=True)]).astype(np.uint64)
+        begin, n = np.cumsum(span[first]) - span[first], count[first]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(begin, n) + inner
+        prefix = _long_prefix(run_hashes(joined, rule.length)[at])
+        yield prefix, run_hashes(mixed(joined ^ _SALT), rule.length)[at], np.repeat(doc[first], n), np.repeat(start[first], n) + inner
+
+
+def _long_prefix(windows: np.ndarray) -> np.ndarray:
+    """Hashes of prefixes that are whole windows, from the windows'."""
+    return mixed(windows + _GOLD)
+
+
+def _one_by_one(pieces: list[tuple], ids: np.ndarray, tags: np.ndarray) -> list[np.ndarray]:
+    prefix, other, doc, start = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    more = (mixed(prefix ^ (other * _GOLD)) >> np.uint64(32)).astype(np.uint32)
+    return [prefix, other, more, ids[doc], tags[doc], start, np.ones(len(start), np.int64), np.zeros(len(start), np.int64)]
+
+
+def _merged(runs: list[np.ndarray], rule: Rule):
+    """Runs in the order of ``_FIELDS``, with masks of those that go on and those that are settled; equal contexts merge."""
+    anchor, context, more, ids, tags, start, count, place = runs
     order = np.lexsort((start, tags, ids, more, context))
-    anchor, context, more, ids, tags, start, count, place, doc = (x[order] for x in (anchor, context, more, ids, tags, start, count, place, doc))
+    anchor, context, more, ids, tags, start, count, place = (x[order] for x in runs)
     head = np.ones(len(context), bool)
     head[1:] = (context[1:] != context[:-1]) | (more[1:] != more[:-1])
     group = np.cumsum(head) - 1
@@ -183,23 +228,30 @@ def _merged(frame: pd.DataFrame, rule: Rule, state, hot: np.ndarray, want_hot: b
     else:  # one run goes on for all, and says whether it is settled itself
         settled = flag = size > 1
         keep = head
-    return (anchor, context, more, ids, tags, start, count, place, flag), doc, keep, settled
+    return (anchor, context, more, ids, tags, start, count, place, flag), keep, settled
 
 
 def _hot_prefixes(rows: DataFrame, rule: Rule) -> np.ndarray:
-    """Hashes of the prefixes that would be too large a group, by a sample of the rows; ascending."""
+    """Hashes of the prefixes that would be too large a group, counted over all documents; ascending.
+
+    Of the runs that a batch would send (equal contexts as one) those whose place has a hash of
+    one in ``SAMPLE`` count.
+    """
+    none = np.zeros(0, np.uint64)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = rule.state()
         for frame in batches(gathered(frames, "text", BATCH_CHARS), "text", BATCH_CHARS):
-            anchors, n = np.unique(_all_runs([rule.units(state, t) for t in frame["text"]], rule)[0], return_counts=True)
-            if len(anchors):
-                yield pd.DataFrame({"anchor": anchors.view(np.int64), "n": n})
+            for runs in _runs(frame, rule, state, none):
+                (anchor, _, _, ids, tags, start, *_), keep, _ = _merged(runs, rule)
+                drawn = keep & (mixed(mixed(ids.view(np.uint64) + tags.astype(np.uint64) * _GOLD) + start.astype(np.uint64)) % np.uint64(SAMPLE) == 0)
+                anchors, n = np.unique(anchor[drawn], return_counts=True)
+                if len(anchors):
+                    yield pd.DataFrame({"anchor": anchors.view(np.int64), "n": n})
 
     # No more than MOST_HOT prefixes can have more than that share of all runs; there is hardly a run for 16 bytes.
     least = max(HOT, input_bytes(rows) // 16 // MOST_HOT)
-    sample = rows.where(F.pmod(F.xxhash64("id", "tag", F.lit(7)), F.lit(SAMPLE)) == 0)
-    counted = sample.mapInPandas(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    counted = rows.mapInPandas(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     found = counted.where(F.col("n") * SAMPLE > least).select("anchor").collect()
     return np.sort(np.array([r["anchor"] for r in found], np.int64).view(np.uint64))
 
@@ -207,85 +259,29 @@ def _hot_prefixes(rows: DataFrame, rule: Rule) -> np.ndarray:
 def _sampled(docs: DataFrame, rule: Rule, groups: int, hot: np.ndarray) -> DataFrame:
     shift = np.uint64(64 - groups.bit_length() + 1)
 
+    def dealt(runs: list[np.ndarray]) -> pd.DataFrame:
+        arrays, keep, settled = _merged(runs, rule)
+        anchor, _, _, ids, tags, start, count, _, _ = arrays
+        bucket = (mixed(anchor) >> shift).astype(np.int64)
+        order = np.flatnonzero(keep | settled)
+        order = order[np.lexsort((start[order], ids[order], bucket[order]))]
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        rows = []
+        for part in np.split(order, cuts):
+            kept, done = part[keep[part]], part[settled[part]]
+            rows.append((int(bucket[part[0]]), _pack([x[kept] for x in arrays]), _spans(ids[done], tags[done], start[done], count[done])))
+        return pd.DataFrame(rows, columns=["bucket", "runs", "settled"])
+
     def sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = rule.state()
         for frame in batches(gathered(frames, "text", BATCH_CHARS), "text", BATCH_CHARS):
-            arrays, _, keep, settled = _merged(frame, rule, state, hot, False)
-            anchor, _, _, ids, tags, start, count, _, _ = arrays
-            if not len(anchor):
-                continue
-            bucket = (mixed(anchor) >> shift).astype(np.int64)
-            order = np.flatnonzero(keep | settled)
-            order = order[np.lexsort((start[order], ids[order], bucket[order]))]
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            rows = []
-            for part in np.split(order, cuts):
-                kept, done = part[keep[part]], part[settled[part]]
-                rows.append((int(bucket[part[0]]), _pack([x[kept] for x in arrays]), _spans(ids[done], tags[done], start[done], count[done])))
-            yield pd.DataFrame(rows, columns=["bucket", "runs", "settled"])
+            for runs in _runs(frame, rule, state, hot):
+                if len(runs[0]):
+                    yield dealt(runs)
 
     return docs.mapInPandas(sample, "bucket int, runs binary, settled binary")
 
 
-#: Windows on their own: two hashes of all their units (none: a settled span), their row and place.
-_WINDOWS = "h1 long, h2 long, id long, tag long, place long, witness boolean"
-_SALT = np.uint64(0xD6E8FEB86659FD93)
-
-
-def _windows_of(units: np.ndarray, start: int, count: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    part = units[start : start + count - 1 + rule.length].astype(np.uint64)
-    return run_hashes(part, rule.length).view(np.int64), run_hashes(mixed(part ^ _SALT), rule.length).view(np.int64)
-
-
-def _exploded(units: list[np.ndarray], runs: list[tuple[int, int, int, int, int, bool]], rule: Rule) -> Iterator[pd.DataFrame]:
-    """Rows of ``_WINDOWS`` for runs (document, id, tag, start, windows, witness)."""
-    out: list[tuple] = []
-    held = 0
-
-    def frame() -> pd.DataFrame:
-        first, second, ids, tags, places, witness = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame({"h1": pd.array(first, "Int64"), "h2": pd.array(second, "Int64"), "id": ids, "tag": tags, "place": places, "witness": witness})
-
-    for doc, key, tag, start, count, witness in runs:
-        first, second = _windows_of(units[doc], start, count, rule)
-        out.append((first, second, np.full(count, key), np.full(count, tag), (start + np.arange(count)) << 8 | 1, np.full(count, witness)))
-        held += count
-        if held >= 50_000:
-            yield frame()
-            out, held = [], 0
-    if out:
-        yield frame()
-
-
-def _hot_windows(docs: DataFrame, rule: Rule, hot: np.ndarray) -> DataFrame:
-    """The windows of runs whose prefix is hot, and what is settled of them within a batch."""
-
-    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = rule.state()
-        for frame in batches(gathered(frames, "text", BATCH_CHARS), "text", BATCH_CHARS):
-            (_, _, _, ids, tags, start, count, _, flag), doc, keep, settled = _merged(frame, rule, state, hot, True)
-            if settled.any():
-                n = int(settled.sum())
-                none = pd.array([None] * n, "Int64")
-                yield pd.DataFrame({"h1": none, "h2": none, "id": ids[settled], "tag": tags[settled].astype(np.int64), "place": start[settled] << 8 | count[settled], "witness": np.zeros(n, bool)})
-            texts_ = frame["text"].tolist()
-            units = {int(d): rule.units(state, texts_[d]) for d in np.unique(doc[keep])}
-            witness = flag & (not rule.earlier)
-            yield from _exploded(units, list(zip(*(x[keep].tolist() for x in (doc, ids, tags, start, count, witness)), strict=True)), rule)
-
-    return docs.mapInPandas(explode, _WINDOWS)
-
-
-def _repeated_rows(windows: DataFrame, rule: Rule) -> DataFrame:
-    """id, tag, place of the windows that repeat, by aggregations over their hashes."""
-    held = written(windows, "windows")
-    alone = held.where("h1 is not null")
-    sums = alone.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
-    sums = written(sums.where("least < most" if rule.earlier else "n > 1").drop("most"), "windows")
-    met = alone.join(sums, ["h1", "h2"]).where("id > least" if rule.earlier else "not witness")
-    return held.where("h1 is null").select("id", "tag", "place").unionByName(met.select("id", "tag", "place"))
-
-
 def _spans(ids: np.ndarray, tags: np.ndarray, start: np.ndarray, count: np.ndarray) -> bytes:
     return np.int64(len(ids)).tobytes() + ids.astype("<i8").tobytes() + tags.astype("<u4").tobytes() + start.astype("<i4").tobytes() + count.astype("u1").tobytes()
 
@@ -362,7 +358,7 @@ def _contexts(docs: DataFrame, found: DataFrame, rule: Rule, groups: int) -> Dat
                     if kind == 1:
                         rows.append((bucket, anchor, key, tag, place, extra, plain[start : start + count - 1 + rule.length].tobytes()))
                     else:  # each window by all its units
-                        hashes = mixed(_windows_of(units, start, count, rule)[0].view(np.uint64) + _GOLD)
+                        hashes = _long_prefix(run_hashes(plain[start : start + count - 1 + rule.length].astype(np.uint64), rule.length))
                         for i, (h, b) in enumerate(zip(hashes.view(np.int64).tolist(), (mixed(hashes) >> shift).tolist(), strict=True)):
                             rows.append((b, h, key, tag, (start + i) << 8 | 1, extra & ~255, plain[start + i : start + i + rule.length].tobytes()))
                     held += (1 if kind == 1 else count) * rule.length + count
@@ -403,8 +399,6 @@ def repeated_windows(docs: DataFrame, rule: Rule, search: Callable) -> DataFrame
 
     more = _contexts(rows, found, rule, groups).groupBy("bucket").applyInPandas(look, "id long, tag long, place long")
     spans = found.where("kind = 0").select("id", "tag", "place").unionByName(more)
-    if len(hot):
-        spans = spans.unionByName(_repeated_rows(_hot_windows(rows, rule, hot), rule))
     return spans.groupBy("id", "tag").agg(F.collect_list("place").alias("places"))
 
 

@@ -232,6 +232,45 @@ def test_substring_dedup_by_longer_prefixes(docs, name, monkeypatch):
     assert collections.Counter(tuple(r) for r in substring.dedup(docs).collect()) == want
 
 
+def test_prefix_crowded_into_one_document_is_made_longer(spark, monkeypatch):
+    import loadweave.llm.repeats as repeats
+
+    rng = random.Random(11)
+    rule = substring.word_rule()
+    phrases = ([f"k{i}{c}" for c in "abcde"] for i in range(100_000))
+    low = next(p for p in phrases if run_hashes(rule.units(rule.state(), " ".join(p)), 5)[0] >> np.uint64(53) == 0)
+    word = lambda: rng.choice(["ba", "be", "bi", "bo", "bu"])
+    pieces = [[word() for _ in range(9)] for _ in range(1200)]
+    crowded = [w for piece in pieces for w in low + piece]
+    other = [w for piece in rng.sample(pieces, 60) for w in low + piece + ["x" + word()]]
+    rows = [(10, " ".join(crowded)), (5, " ".join(other)), (12, " ".join(crowded[700:1200])), (13, "too short"), (14, None)] + [(20 + i, " ".join(word() for _ in range(40))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(repeats, "HOT", 300)
+    monkeypatch.setattr(repeats, "SAMPLE", 4)
+    hot = repeats._hot_prefixes(repeats.texts(docs), rule)
+    assert run_hashes(rule.units(rule.state(), " ".join(low)), 5)[0] in hot and len(hot) < 20
+    first = {}
+    for doc_id, text in sorted(rows, key=lambda r: r[0]):
+        words = (text or "").split()
+        for i in range(len(words) - 12):
+            first.setdefault(tuple(words[i : i + 13]), doc_id)
+    got = by_id(substring.dedup(docs))
+    for doc_id, text in rows:
+        words = (text or "").split()
+        gone = set()
+        for i in range(len(words) - 12):
+            if first[tuple(words[i : i + 13])] < doc_id:
+                gone.update(range(i, i + 13))
+        assert (got[doc_id]["n_words"], got[doc_id]["n_removed"]) == (len(words), len(gone))
+        assert got[doc_id]["kept"] == " ".join(w for i, w in enumerate(words) if i not in gone)
+    want = byte_truth(rows, 200)
+    for piece in (repeats.PIECE, 1000):  # windows merge within pieces, results don't depend on them
+        monkeypatch.setattr(repeats, "PIECE", piece)
+        monkeypatch.setattr(repeats, "STRETCH", piece)
+        for r in suffixes.dedup(docs).collect():
+            assert (*tuple(r)[1:5], bytes(r["kept"])) == want[r["doc_id"]]
+
+
 def test_merge_sort_orders_suffixes():
     rng = np.random.default_rng(3)
     contexts = [rng.integers(97, 99, 24).astype(np.uint8) for _ in range(40)]
