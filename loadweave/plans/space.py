@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.expr import minmax_score, percentile_score
-from ..operators import risk, spatial
+from ..operators import polygons, risk, spatial
 from .load import query
 from .standins import POINTS_SQL, STATIONS_SQL, km_sql, points, rounded, stations, table
 
@@ -121,3 +122,29 @@ def priority_two_axis(spark, d):
 def recommendations(spark, d):
     scored = risk.two_axes(*_priority(spark, d), F.lit(0.5), "surge")
     return scored.select("code", risk.recommendation("risk_norm", "equity_norm").alias("advice"))
+
+
+_CORNERS = """v AS (SELECT code, ring, x, y, row_number() OVER (PARTITION BY code, ring ORDER BY l, x, y) AS n FROM (SELECT l_orderkey AS code, CASE WHEN l_linenumber <= 4 THEN 0 ELSE 1 END AS ring, l_linenumber AS l, floor(l_quantity)::DOUBLE AS x, (CAST(floor(l_extendedprice) AS BIGINT) % 1000)::DOUBLE AS y FROM lineitem)),
+e AS (SELECT code, ring, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x1, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y1 FROM v WINDOW w AS (PARTITION BY code, ring ORDER BY n) QUALIFY count(*) OVER (PARTITION BY code, ring) >= 3),
+r AS (SELECT code, ring, sum(x * y1 - x1 * y) / 2 AS a, sum((x + x1) * (x * y1 - x1 * y)) / 6 AS mx, sum((y + y1) * (x * y1 - x1 * y)) / 6 AS my, (min(y) + max(y)) / 2 AS half FROM e GROUP BY 1, 2),
+c AS (SELECT code, sum(CASE WHEN a <> 0 THEN mx ELSE 0 END) / sum(a) AS cx, sum(CASE WHEN a <> 0 THEN my ELSE 0 END) / sum(a) AS cy FROM r GROUP BY 1 HAVING sum(a) <> 0),
+h AS (SELECT code, half FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY abs(a) DESC, ring) AS k FROM r) WHERE k = 1)"""
+_CUT = "SELECT e.code, x + ({line} - y) * (x1 - x) / (y1 - y) AS px FROM e JOIN {of} USING (code) WHERE (y > {line}) <> (y1 > {line})"
+_GAP = "SELECT code, arg_max((px + z) / 2, ROW(z - px, -k)) AS mid, max(z - px) AS wide FROM (SELECT code, px, lead(px) OVER (PARTITION BY code ORDER BY px) AS z, row_number() OVER (PARTITION BY code ORDER BY px) AS k FROM {cut}) WHERE k % 2 = 1 AND z IS NOT NULL GROUP BY 1"
+
+
+def _corners(spark, d):
+    """Orders as polygons: up to two rings each, with lines as their corners (whole numbers, so that areas are exact)."""
+    x, y = F.floor("l_quantity").cast("double"), (F.floor("l_extendedprice") % 1000).cast("double")
+    v = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("code"), F.when(F.col("l_linenumber") <= 4, 0).otherwise(1).alias("ring"), F.col("l_linenumber").alias("l"), x.alias("x"), y.alias("y"))
+    return v.select("code", "ring", "x", "y", F.row_number().over(Window.partitionBy("code", "ring").orderBy("l", "x", "y")).alias("n"))
+
+
+@query("polygon_points", f"""WITH {_CORNERS}, k1 AS ({_CUT.format(line='cy', of='c')}), k2 AS ({_CUT.format(line='half', of='h')}), g1 AS ({_GAP.format(cut='k1')}), g2 AS ({_GAP.format(cut='k2')}),
+i AS (SELECT code, sum(CASE WHEN px > cx THEN 1 ELSE 0 END) % 2 = 1 AS within FROM k1 JOIN c USING (code) GROUP BY 1), m AS (SELECT code, avg(x) AS vx, avg(y) AS vy FROM v GROUP BY 1),
+s AS (SELECT m.code, vx, vy, cx, cy, half, g1.mid AS m1, g2.mid AS m2, CASE WHEN cx IS NULL THEN 0 WHEN within THEN 1 WHEN wide1 > 0 THEN 2 WHEN g2.mid IS NOT NULL THEN 3 ELSE 4 END AS w
+FROM m LEFT JOIN c USING (code) LEFT JOIN h USING (code) LEFT JOIN i USING (code) LEFT JOIN (SELECT code, mid, wide AS wide1 FROM g1) g1 USING (code) LEFT JOIN g2 USING (code))
+SELECT code, round(CASE w WHEN 0 THEN vx WHEN 1 THEN cx WHEN 2 THEN m1 WHEN 3 THEN m2 ELSE cx END, 6) AS x, round(CASE w WHEN 0 THEN vy WHEN 3 THEN half ELSE cy END, 6) AS y,
+CASE w WHEN 0 THEN '{polygons.MEAN}' WHEN 1 THEN '{polygons.CENTROID}' WHEN 4 THEN '{polygons.FAILED}' ELSE '{polygons.INSIDE}' END AS how FROM s""")
+def polygon_points(spark, d):
+    return rounded(polygons.polygon_points(_corners(spark, d)))
