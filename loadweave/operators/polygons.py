@@ -84,3 +84,49 @@ def polygon_points(vertices: DataFrame) -> DataFrame:
         pick(F.col("vy"), F.col("cy"), F.col("cy"), F.col("half"), F.col("cy")).alias("y"),
         pick(F.lit(MEAN), F.lit(CENTROID), F.lit(INSIDE), F.lit(INSIDE), F.lit(FAILED)).alias("how"),
     )
+
+
+def _boxes(sides: DataFrame, side: float, name: str) -> DataFrame:
+    """Bounding boxes with the grid cells that they reach, a row for each cell."""
+    box = sides.groupBy(F.col("code").alias(name)).agg(*[f(c).alias(f"{name}_{c}{k}") for c in ("x", "y") for f, k in ((F.min, 0), (F.max, 1))])
+    for c in ("x", "y"):
+        box = box.withColumn(f"__{c}", F.explode(F.sequence(F.floor(F.col(f"{name}_{c}0") / side), F.floor(F.col(f"{name}_{c}1") / side))))
+    return box
+
+
+def _in_strips(sides: DataFrame, side: float, name: str) -> DataFrame:
+    """Edges cut at the borders of vertical strips: their direction, ends a < b and heights there; vertical ones bound no area."""
+    low, high = F.least("x", "x1"), F.greatest("x", "x1")
+    cut = sides.where("x <> x1").withColumn("strip", F.explode(F.sequence(F.floor(low / side), F.floor(high / side))))
+    cut = cut.withColumns({"a": F.greatest(low, F.col("strip") * F.lit(side)), "b": F.least(high, (F.col("strip") + 1) * F.lit(side))}).where("a < b")
+    height = lambda at: F.col("y") + (F.col(at) - F.col("x")) * (F.col("y1") - F.col("y")) / (F.col("x1") - F.col("x"))
+    return cut.select(F.col("code").alias(name), "strip", *[e.alias(f"{name}_{k}") for k, e in {"s": F.signum(F.col("x1") - F.col("x")), "a": F.col("a"), "b": F.col("b"), "ya": height("a"), "yb": height("b")}.items()])
+
+
+def overlaps(left: DataFrame, right: DataFrame, side: float) -> DataFrame:
+    """code, other and the area that the two polygons share, for pairs that share any.
+
+    Polygons whose boxes meet in a cell of a grid are candidates; their edges meet strip by strip.  The
+    area under both of two edges, with the sign of their directions, summed over all pairs of edges
+    is the area shared, whatever the shapes; rings must not cross themselves, holes run the other way.
+    side: width of cells and strips, near a polygon's usual width.
+    """
+    one, two = edges(left), edges(right)
+    met = _boxes(one, side, "p").join(_boxes(two, side, "q"), ["__x", "__y"])
+    met = met.where("p_x0 < q_x1 and q_x0 < p_x1 and p_y0 < q_y1 and q_y0 < p_y1").select("p", "q", F.col("p_y0").alias("floor")).distinct()
+    pairs = met.join(_in_strips(one, side, "p"), "p").join(_in_strips(two, side, "q"), ["q", "strip"])
+    pairs = pairs.withColumns({"a": F.greatest("p_a", "q_a"), "b": F.least("p_b", "q_b")}).where("a < b")
+    at = lambda k, x: F.col(f"{k}_ya") + (F.col(x) - F.col(f"{k}_a")) * (F.col(f"{k}_yb") - F.col(f"{k}_ya")) / (F.col(f"{k}_b") - F.col(f"{k}_a"))
+    pairs = pairs.select("p", "q", "floor", (F.col("p_s") * F.col("q_s")).alias("s"), (F.col("b") - F.col("a")).alias("w"), at("q", "a").alias("qa"), at("q", "b").alias("qb"), (at("p", "a") - at("q", "a")).alias("da"), (at("p", "b") - at("q", "b")).alias("db"))
+    # The mean height of the lower edge: the other's, less what this one lies below it.
+    below = F.when((F.col("da") <= 0) & (F.col("db") <= 0), (F.col("da") + F.col("db")) / 2).when((F.col("da") >= 0) & (F.col("db") >= 0), 0.0)
+    crossed = -F.pow(F.least("da", "db"), F.lit(2)) / (2 * (F.abs("da") + F.abs("db")))
+    area = F.abs(F.sum(F.col("s") * F.col("w") * ((F.col("qa") + F.col("qb")) / 2 - F.col("floor") + below.otherwise(crossed))))
+    return pairs.groupBy(F.col("p").alias("code"), F.col("q").alias("other")).agg(area.alias("area")).where("area > 0")
+
+
+def overlay_weights(left: DataFrame, right: DataFrame, side: float, least: float = 0.01, digits: int = 4) -> DataFrame:
+    """code, other and weight: shares of each polygon's overlaps, those under ``least`` left out and the rest scaled to 1."""
+    whole = Window.partitionBy("code")
+    share = overlaps(left, right, side).withColumn("share", F.col("area") / F.sum("area").over(whole)).where(F.col("share") >= least)
+    return share.select("code", "other", F.round(F.col("share") / F.sum("share").over(whole), digits).alias("weight"))

@@ -148,3 +148,21 @@ SELECT code, round(CASE w WHEN 0 THEN vx WHEN 1 THEN cx WHEN 2 THEN m1 WHEN 3 TH
 CASE w WHEN 0 THEN '{polygons.MEAN}' WHEN 1 THEN '{polygons.CENTROID}' WHEN 4 THEN '{polygons.FAILED}' ELSE '{polygons.INSIDE}' END AS how FROM s""")
 def polygon_points(spark, d):
     return rounded(polygons.polygon_points(_corners(spark, d)))
+
+
+_BOX = "SELECT {key} AS code, ({key} * 7919 % 1000)::DOUBLE AS x0, ({key} * 104729 % 997)::DOUBLE AS y0, ({key} * 7919 % 1000 + {w} + {key} % 30)::DOUBLE AS x1, ({key} * 104729 % 997 + {w} + {key} % 17)::DOUBLE AS y1 FROM {table}"
+
+
+def _rectangles(spark, d, name, key, width):
+    k = F.col(key)
+    x, y = k * 7919 % 1000, k * 104729 % 997
+    far_x, far_y = x + width + k % 30, y + width + k % 17
+    corners = F.array(*[F.struct(a.cast("double").alias("x"), b.cast("double").alias("y")) for a, b in ((x, y), (far_x, y), (far_x, far_y), (x, far_y))])
+    return table(spark, d, name).select(k.alias("code"), F.lit(0).alias("ring"), F.posexplode(corners).alias("n", "c")).select("code", "ring", "n", "c.x", "c.y")
+
+
+@query("overlay_weights", f"""WITH p AS ({_BOX.format(key='c_custkey', w=15, table='customer')}), q AS ({_BOX.format(key='s_suppkey', w=70, table='supplier')}),
+o AS (SELECT p.code, q.code AS other, (least(p.x1, q.x1) - greatest(p.x0, q.x0)) * (least(p.y1, q.y1) - greatest(p.y0, q.y0)) AS area FROM p JOIN q ON p.x0 < q.x1 AND q.x0 < p.x1 AND p.y0 < q.y1 AND q.y0 < p.y1),
+s AS (SELECT code, other, area / sum(area) OVER (PARTITION BY code) AS share FROM o) SELECT code, other, round(share / sum(share) OVER (PARTITION BY code), 4) AS weight FROM s WHERE share >= 0.01::DOUBLE""")
+def overlay_weights(spark, d):
+    return polygons.overlay_weights(_rectangles(spark, d, "customer", "c_custkey", 15), _rectangles(spark, d, "supplier", "s_suppkey", 70), 50.0)

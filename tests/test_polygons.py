@@ -59,3 +59,41 @@ def test_points_of_random_polygons_lie_inside(spark):
                 assert (r["x"], r["y"]) == pytest.approx((mx / area, my / area))
             elif r["how"] == polygons.INSIDE:
                 assert inside(r["x"], r["y"], rings)
+
+
+def clipped(one, two):
+    """Area that two convex polygons (counterclockwise) share."""
+    for (ax, ay), (bx, by) in zip(two, two[1:] + two[:1], strict=True):
+        side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in one]
+        out = []
+        for i, (p, s) in enumerate(zip(one, side, strict=True)):
+            before, t = one[i - 1], side[i - 1]
+            if (s >= 0) != (t >= 0):
+                out.append(tuple(b + (a - b) * t / (t - s) for a, b in zip(p, before, strict=True)))
+            if s >= 0:
+                out.append(p)
+        one = out
+        if not one:
+            return 0.0
+    return abs(sum(ax * by - bx * ay for (ax, ay), (bx, by) in zip(one, one[1:] + one[:1], strict=True))) / 2
+
+
+def test_overlaps_of_slanted_shapes(spark):
+    rng = random.Random(8)
+
+    def triangle():
+        a, b, c = ((rng.uniform(0, 60), rng.uniform(-20, 20)) for _ in range(3))
+        return [a, b, c] if (b[0] - a[0]) * (c[1] - a[1]) > (b[1] - a[1]) * (c[0] - a[0]) else [a, c, b]
+
+    one, two = ({c: [triangle()] for c in range(25)} for _ in range(2))
+    turned = {c: [ring[::-1] if c % 2 else ring for ring in rings] for c, rings in two.items()}
+    got = {(r["code"], r["other"]): r["area"] for r in polygons.overlaps(table(spark, one), table(spark, turned), 7.0).collect()}
+    for a, (p,) in one.items():
+        for b, (q,) in two.items():
+            assert got.get((a, b), 0.0) == pytest.approx(clipped(p, q), abs=1e-8)
+    square, hole = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], [(3.0, 1.0), (1.0, 1.0), (1.0, 3.0), (3.0, 3.0)]
+    held = table(spark, {1: [square, hole], 2: [square]})
+    right = table(spark, {7: [[(0.0, 0.0), (2.0, 0.0), (2.0, 4.0), (0.0, 4.0)]], 8: [[(2.0, 0.0), (9.0, 0.0), (9.0, 4.0), (2.0, 4.0)]], 9: [[(4.0, 0.0), (5.0, 0.0), (5.0, 4.0)]]})
+    assert {tuple(r) for r in polygons.overlaps(held, right, 3.0).collect()} == {(1, 7, 6.0), (1, 8, 6.0), (2, 7, 8.0), (2, 8, 8.0)}
+    assert {tuple(r) for r in polygons.overlay_weights(held, right, 3.0).collect()} == {(1, 7, 0.5), (1, 8, 0.5), (2, 7, 0.5), (2, 8, 0.5)}
+    assert polygons.overlay_weights(held.limit(0), right, 3.0).count() == 0
