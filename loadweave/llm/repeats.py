@@ -12,7 +12,7 @@ The two substring operators share this exchange; they differ in how a group is s
    shuffle, so a passage that a third of all documents share arrives once for each batch.
    Unequal contexts with equal hashes (1e12 contexts hold such a pair with a chance of about
    1 in 100 000) would be taken for copies.  So would words with one 64-bit hash, which is what a word's
-   unit is, and rows of one doc_id that share their 31 bits.  Bytes are compared as they are.
+   unit is, and rows of one doc_id that share their 30 bits.  Bytes are compared as they are.
 3. *Searched groups.*  Where contexts with one prefix differ, one run for each context (the
    rest is settled) fetches its units from its document, and ``search`` finds the windows
    that repeat.
@@ -24,7 +24,7 @@ The two substring operators share this exchange; they differ in how a group is s
    over many; the count decides on a prefix's length alone, never on a result.
 5. Spans of repeated window starts return to their documents by a join on their keys.
 
-A row's key is its doc_id and a tag of 31 bits of a hash of its text, so rows that share a
+A row's key is its doc_id and a tag with 30 bits of a hash of its text, so rows that share a
 doc_id keep apart; a row without a doc_id has 64 more bits of its text instead.
 
 The rule ``anywhere`` calls a window repeated if its units also start anywhere else; the rule
