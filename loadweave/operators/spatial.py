@@ -16,6 +16,8 @@ from ..functions.expr import EARTH_KM, haversine_km, ratio, slope_factor
 
 #: Places up to which a dimension is sent to every task, once counted.
 SMALL = 20_000
+#: Rows of one spot that travel as one.
+BLOCK = 1000
 
 
 def _sphere(lat: Column, lon: Column) -> list[Column]:
@@ -33,13 +35,8 @@ def _cells(lat: Column, lon: Column, side: float) -> list[Column]:
     return [F.floor(x / side).cast("long") for x in _sphere(lat, lon)]
 
 
-def radius_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
-    """left x right within km (closed): columns of both, and dist_km.
-
-    left has lat, lon; right has lat2, lon2; rows without coordinates go.  Cells are cubes around the
-    unit sphere, a chord of the radius wide, so they serve any latitude and the date line alike;
-    of the neighbours only those that the sphere cuts are met.
-    """
+def _met(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """left x right within km, row by row: for spots, of which each side holds few copies."""
     side = max(_chord(km * 1.001), 1e-9)
     names = ["__x", "__y", "__z"]
     one = left.where("lat is not null and lon is not null").withColumns(dict(zip(names, _cells(F.col("lat"), F.col("lon"), side), strict=True)))
@@ -52,9 +49,49 @@ def radius_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     return joined.where(F.col("dist_km") <= km).drop(*names)
 
 
-def _best(near: DataFrame, key: str, code: str) -> DataFrame:
-    best = near.groupBy(key).agg(F.min(F.struct("dist_km", "__code")).alias("b"))
-    return best.select(key, F.col("b.__code").alias(code), F.col("b.dist_km").alias("dist_km"))
+def _blocks(df: DataFrame, at: list[str], name: str) -> DataFrame:
+    """Spots with their rows as arrays of about ``BLOCK``, dealt by a hash (equal rows stay together)."""
+    placed = df.where(" and ".join(f"{c} is not null" for c in at))
+    sizes = placed.groupBy(*at).agg((F.floor(F.count("*") / BLOCK) + 1).alias("__k"))
+    dealt = placed.join(sizes, at).withColumn("__b", F.pmod(F.xxhash64(*df.columns), F.col("__k")))
+    return dealt.groupBy(*at, F.col("__b").alias(f"{name}_b")).agg(F.collect_list(F.struct(*df.columns)).alias(name))
+
+
+def radius_join(left: DataFrame, right: DataFrame, km: float, digits: int | None = None) -> DataFrame:
+    """left x right within km (closed): columns of both, and dist_km (rounded, if digits are given).
+
+    left has lat, lon; right has lat2, lon2; rows without coordinates go.  Cells are cubes around the
+    unit sphere, a chord of the radius wide, so they serve any latitude and the date line alike;
+    of the neighbours only those that the sphere cuts are met.  Distances are those of distinct
+    spots; rows travel in blocks of one spot and form their pairs where these arrive.
+    """
+    spots = _met(_spots(left), right.select("lat2", "lon2").distinct(), km)
+    spots = spots if digits is None else spots.withColumn("dist_km", F.round("dist_km", digits))
+    met = _blocks(left, ["lat", "lon"], "__l").join(spots, ["lat", "lon"]).join(_blocks(right, ["lat2", "lon2"], "__r"), ["lat2", "lon2"])
+    met = met.repartition("lat", "lon", "lat2", "lon2", "__l_b", "__r_b").select("dist_km", F.explode("__l").alias("__l"), "__r")
+    return met.select("dist_km", "__l", F.explode("__r").alias("__r")).select("__l.*", "__r.*", "dist_km")
+
+
+def _spots(points: DataFrame) -> DataFrame:
+    return points.select("lat", "lon").where("lat is not null and lon is not null").distinct()
+
+
+def _best(near: DataFrame, code: str) -> DataFrame:
+    best = near.groupBy("lat", "lon").agg(F.min(F.struct("dist_km", "__code")).alias("b"))
+    return best.select("lat", "lon", F.col("b.__code").alias(code), F.col("b.dist_km").alias("dist_km"))
+
+
+def _first_at(places: DataFrame, code: str) -> DataFrame:
+    """lat2, lon2 and the smallest code of every spot with places."""
+    known = places.select(F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.struct(F.col(code).alias("__code")).alias("__s")).where("lat2 is not null and lon2 is not null")
+    return known.groupBy("lat2", "lon2").agg(F.min("__s").alias("__s")).select("lat2", "lon2", "__s.__code")
+
+
+def _told(points: DataFrame, found: DataFrame, key: str, code: str, max_km: float | None) -> DataFrame:
+    """What was found for a spot as each of its points' own; beyond max_km without the code."""
+    own = points.select(key, "lat", "lon").join(found, ["lat", "lon"]).groupBy(key).agg(F.min(F.struct("dist_km", code)).alias("b"))
+    out = points.select(key).join(own, key, "left").select(key, F.col(f"b.{code}").alias(code), F.col("b.dist_km").alias("dist_km"))
+    return out.withColumn(code, F.when(F.col("dist_km") <= max_km, F.col(code))) if max_km is not None else out
 
 
 def _far(rest: DataFrame, right: DataFrame, cell_km: float = 500.0) -> DataFrame:
@@ -78,38 +115,36 @@ def _far(rest: DataFrame, right: DataFrame, cell_km: float = 500.0) -> DataFrame
 def nearest(points: DataFrame, places: DataFrame, key: str, code: str, max_km: float | None = None, rings: tuple[float, ...] = (2.0, 20.0, 200.0)) -> DataFrame:
     """key, code and dist_km of each point's nearest place (smaller code on ties).
 
-    Points are searched within growing radii, each round only those without a find yet; what is
-    left meets the places of the cells that may hold its nearest.  Beyond max_km the code is
+    Spots of points are searched within growing radii, each round only those without a find yet; what is
+    left meets the places of the cells that may hold its nearest.  Points and places of one spot
+    count as one, so the search grows with distinct spots.  Beyond max_km the code is
     NULL, the distance stays.  Points without coordinates come back with NULLs; places without
     coordinates are never found.
     """
-    right = places.selectExpr(f"{code} as __code", "lat as lat2", "lon as lon2").where("lat2 is not null and lon2 is not null")
-    rest, found = points.select(key, "lat", "lon").where("lat is not null and lon is not null"), None
+    right = _first_at(places, code)
+    rest, found = _spots(points), None
     for km in rings:
-        best = _best(radius_join(rest, right, km), key, code)
+        best = _best(_met(rest, right, km), code)
         found = best if found is None else found.unionByName(best)
-        rest = rest.join(best.select(key), key, "left_anti")
-    last = _best(_far(rest, right).withColumn("dist_km", haversine_km("lat", "lon", "lat2", "lon2")), key, code)
-    found = last if found is None else found.unionByName(last)
-    out = points.select(key).join(found, key, "left")
-    return out.withColumn(code, F.when(F.col("dist_km") <= max_km, F.col(code))) if max_km is not None else out
+        rest = rest.join(best.select("lat", "lon"), ["lat", "lon"], "left_anti")
+    last = _best(_far(rest, right).withColumn("dist_km", haversine_km("lat", "lon", "lat2", "lon2")), code)
+    return _told(points, last if found is None else found.unionByName(last), key, code, max_km)
 
 
 def nearest_small(points: DataFrame, places: DataFrame, key: str, code: str, max_km: float | None = None) -> DataFrame:
-    """As ``nearest`` for a dimension of places (checked: at most ``SMALL`` rows), in one pass without rings."""
-    if places.count() > SMALL:
+    """As ``nearest`` for a dimension of places (checked: at most ``SMALL`` spots), in one pass without rings."""
+    right = _first_at(places, code)
+    if right.count() > SMALL:
         return nearest(points, places, key, code, max_km)
-    right = places.selectExpr(f"{code} as __code", "lat as lat2", "lon as lon2").where("lat2 is not null and lon2 is not null")
-    near = points.where("lat is not null and lon is not null").select(key, "lat", "lon").join(F.broadcast(right))
-    best = _best(near.withColumn("dist_km", haversine_km("lat", "lon", "lat2", "lon2")), key, code)
-    out = points.select(key).join(best, key, "left")
-    return out.withColumn(code, F.when(F.col("dist_km") <= max_km, F.col(code))) if max_km is not None else out
+    near = _spots(points).join(F.broadcast(right))
+    return _told(points, _best(near.withColumn("dist_km", haversine_km("lat", "lon", "lat2", "lon2")), code), key, code, max_km)
 
 
 def within_radius_share(points: DataFrame, places: DataFrame, key: str, km: float) -> DataFrame:
     """One row: points with coordinates, those with any place within km, and their share."""
     have = points.where("lat is not null and lon is not null").select(key, "lat", "lon")
-    hit = radius_join(have, places.selectExpr("lat as lat2", "lon as lon2"), km).select(key).distinct()
+    near = _met(_spots(have), places.selectExpr("lat as lat2", "lon as lon2").distinct(), km).select("lat", "lon").distinct()
+    hit = have.join(near, ["lat", "lon"]).select(key).distinct()
     flagged = have.join(hit.withColumn("hit", F.lit(1)), key, "left")
     return flagged.agg(F.count("*").alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_within"), F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
 
@@ -119,14 +154,25 @@ def catchment(stations: DataFrame, points: DataFrame, km: float, distance: Colum
 
     stations: station, lat, lon, chargers; points: code, lat, lon, ev (NULL counts 0).  Step 1:
     chargers over the demand within km, 0 where there is none; step 2: the sum of these.
+    distance: made of dist_km, elev and elev_station.  Both steps add up over pairs of spots (places of one
+    height, where a distance is given), so rows that share a spot form no pairs of their own.
     """
-    right = stations.selectExpr("station", "chargers", "lat as lat2", "lon as lon2", *[c for c in stations.columns if c == "elev_station"])
-    pairs = radius_join(points.withColumn("ev", F.coalesce("ev", F.lit(0.0))), right, km)
+    p_spot, q_spot = [F.col("lat"), F.col("lon")], [F.col("lat").alias("lat2"), F.col("lon").alias("lon2")]
+    if distance is not None:
+        p_spot += [F.col(c) for c in points.columns if c == "elev"]
+        q_spot += [F.col(c) for c in stations.columns if c == "elev_station"]
+    known = "lat is not null and lon is not null"
+    placed = points.where(known).select("code", F.coalesce("ev", F.lit(0.0)).alias("ev"), F.struct(*p_spot).alias("__p"))
+    sites = stations.where(known).select("station", "chargers", F.struct(*q_spot).alias("__q"))
+    left = placed.groupBy("__p").agg(F.sum("ev").alias("ev")).select("__p", "__p.*", "ev")
+    pairs = radius_join(left, sites.select("__q").distinct().select("__q", "__q.*"), km)
     if distance is not None:  # never shorter than the straight line, so the radius join holds all
         pairs = pairs.withColumn("dist_km", distance).where(F.col("dist_km") <= km)
-    demand = pairs.groupBy("station", "chargers").agg(F.sum("ev").alias("demand"))
+    demand = sites.join(pairs.groupBy("__q").agg(F.sum("ev").alias("demand")), "__q").groupBy("station", "chargers").agg(F.sum("demand").alias("demand"))
     supply = demand.select("station", F.when(F.col("demand") > 0, F.col("chargers") / F.col("demand")).otherwise(F.lit(0.0)).alias("r"))
-    access = pairs.select("code", "station").join(supply, "station").groupBy("code").agg(F.sum("r").alias("access"))
+    offered = sites.select("station", "__q").join(supply, "station").groupBy("__q").agg(F.sum("r").alias("r"))
+    reached = pairs.select("__p", "__q").join(offered, "__q").groupBy("__p").agg(F.sum("r").alias("access"))
+    access = placed.select("code", "__p").join(reached, "__p").groupBy("code").agg(F.sum("access").alias("access"))
     return points.select("code").join(access, "code", "left").select("code", F.coalesce("access", F.lit(0.0)).alias("access"))
 
 

@@ -28,7 +28,7 @@ def nearest_by_rings(spark, d):
 @query("radius_pairs", f"WITH {_NEAR} SELECT code, station, round(km, 6) AS dist_km FROM nr WHERE km <= 0.8")
 def radius_pairs(spark, d):
     right = stations(spark, d).selectExpr("station", "lat as lat2", "lon as lon2")
-    return rounded(spatial.radius_join(points(spark, d).select("code", "lat", "lon"), right, 0.8).select("code", "station", "dist_km"))
+    return spatial.radius_join(points(spark, d).select("code", "lat", "lon"), right, 0.8, 6).select("code", "station", "dist_km")
 
 
 @query("within_radius_share", f"WITH {_NEAR}, w AS (SELECT code, max(CASE WHEN km <= 0.8 THEN 1 ELSE 0 END) AS hit FROM nr GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(hit) AS BIGINT) AS n_within, round(avg(hit), 6) AS share FROM w")
