@@ -41,3 +41,8 @@ def test_catchment_with_slopes(spark):
     low = stations(spark).withColumn("elev_station", F.lit(0.0))
     got = spatial.catchment(low, high, 3.0, spatial.slope_distance())
     assert summary(got, "access") == (MANY, pytest.approx(0.5), pytest.approx(0.5))  # all are in reach of all: chargers over EVs
+
+
+def test_nearest_of_many_places(spark):
+    got = spatial.nearest_small(points(spark), stations(spark), "code", "station", 1.0)
+    assert summary(got.where("station = code % 2"), "dist_km") == (MANY, 0.0, 0.0)
