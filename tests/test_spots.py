@@ -46,3 +46,9 @@ def test_catchment_with_slopes(spark):
 def test_nearest_of_many_places(spark):
     got = spatial.nearest_small(points(spark), stations(spark), "code", "station", 1.0)
     assert summary(got.where("station = code % 2"), "dist_km") == (MANY, 0.0, 0.0)
+
+
+def test_access_indicators(spark):
+    got = spatial.access_indicators(stations(spark), points(spark))
+    assert summary(got.where("code > 1"), "chargers", "nearest_km") == (MANY - 2, 0.0, 0.0, 0.0, 0.0)
+    assert [tuple(r) for r in got.where("code <= 1").select("chargers", "ev_per_charger").collect()] == [(MANY / 2, 4.0 / MANY)] * 2
