@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import EARTH_KM, haversine_km, ratio, slope_factor
+from ..functions.stored import stored
 
 #: Places up to which a dimension is sent to every task, once counted.
 SMALL = 20_000
 #: Rows of one spot that travel as one.
 BLOCK = 1000
+#: Shares of rows below and above a quantile between which it is looked for exactly.
+_AROUND = 0.002
 
 
 def _sphere(lat: Column, lon: Column) -> list[Column]:
@@ -195,11 +198,25 @@ def access_indicators(stations: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def bottom_with_ties(df: DataFrame, value: str, share: float) -> DataFrame:
-    """Rows up to the value of the ceil(n * share)-th smallest, ties included."""
-    kept = df.where(F.col(value).isNotNull())
-    ranked = kept.withColumns({"__r": F.rank().over(Window.orderBy(value))})
-    n = kept.agg(F.count("*").alias("__n"))
-    return ranked.crossJoin(F.broadcast(n)).where(F.col("__r") <= F.greatest(F.lit(1), F.ceil(F.col("__n") * share))).drop("__r", "__n")
+    """Rows up to the value of the ceil(n * share)-th smallest, ties included.
+
+    Only the distinct values between two sketched quantiles around it are ordered, a few thousandths of
+    all; where these miss it (checked by counts), all distinct ones are.  Rows are stored before, as
+    a sum computed twice may differ in its last bit and lose the rows that tie with the limit.
+    """
+    kept = stored(df.where(F.col(value).isNotNull()), "ranked")
+    around = F.array(*[F.lit(min(max(share + d, 0.0), 1.0)) for d in (-_AROUND, _AROUND)])
+    sketch = kept.agg(F.count("*").alias("n"), F.percentile_approx(value, around, 10_000).alias("q")).select("n", F.get("q", F.lit(0)).alias("__low"), F.get("q", F.lit(1)).alias("__high"))
+    inside = F.col(value).between(F.col("__low"), F.col("__high"))
+    n, below, held = kept.crossJoin(F.broadcast(sketch)).agg(F.max("n"), F.count_if(F.col(value) < F.col("__low")), F.count_if(inside)).first()
+    wanted = max(1, math.ceil((n or 0) * share))
+    counts = kept.groupBy(value).agg(F.count("*").alias("__m"))
+    if below < wanted <= below + held:
+        counts = counts.crossJoin(F.broadcast(sketch)).where(inside).select(value, "__m")
+        wanted -= below
+    upto = counts.withColumn("__upto", F.sum("__m").over(Window.orderBy(value)))
+    limit = upto.where(F.col("__upto") >= wanted).agg(F.min(value).alias("__limit"))
+    return kept.crossJoin(F.broadcast(limit)).where(F.col(value) <= F.col("__limit")).drop("__limit")
 
 
 def added_chargers(stations: DataFrame, points: DataFrame, chosen: dict[str, DataFrame], chargers: float, km: float) -> DataFrame:

@@ -52,3 +52,16 @@ def test_access_indicators(spark):
     got = spatial.access_indicators(stations(spark), points(spark))
     assert summary(got.where("code > 1"), "chargers", "nearest_km") == (MANY - 2, 0.0, 0.0, 0.0, 0.0)
     assert [tuple(r) for r in got.where("code <= 1").select("chargers", "ev_per_charger").collect()] == [(MANY / 2, 4.0 / MANY)] * 2
+
+
+def test_bottom_with_ties_orders_few(spark):
+    ten = spark.range(10).select(F.col("id").alias("code"), F.when(F.col("id") > 0, F.floor(F.col("id") / 4).cast("double")).alias("v"))
+    assert {r["code"] for r in spatial.bottom_with_ties(ten, "v", 0.2).collect()} == {1, 2, 3} == {r["code"] for r in spatial.bottom_with_ties(ten, "v", 0.0).collect()}
+    assert spatial.bottom_with_ties(ten, "v", 1.0).count() == 9 and spatial.bottom_with_ties(ten.where("v is null"), "v", 0.5).count() == 0
+    each = spark.range(MANY).select(F.col("id").alias("code"), F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double").alias("v"))
+    wanted = sorted(r["v"] for r in each.collect())[: MANY // 10]
+    got = spatial.bottom_with_ties(each, "v", 0.1)
+    assert sorted(r["v"] for r in got.collect()) == wanted
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]  # rows aren't ranked, only values
+    access = spatial.catchment(stations(spark), points(spark), 0.5)
+    assert summary(spatial.bottom_with_ties(access, "access", 0.1), "access") == (MANY, pytest.approx(0.5), pytest.approx(0.5))
