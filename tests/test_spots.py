@@ -65,3 +65,9 @@ def test_bottom_with_ties_orders_few(spark):
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]  # rows aren't ranked, only values
     access = spatial.catchment(stations(spark), points(spark), 0.5)
     assert summary(spatial.bottom_with_ties(access, "access", 0.1), "access") == (MANY, pytest.approx(0.5), pytest.approx(0.5))
+
+
+def test_catchment(spark):
+    twice = stations(spark).withColumn("station", F.floor(F.col("station") / 2))  # a station with a row on either spot
+    assert summary(spatial.catchment(stations(spark), points(spark), 0.5), "access") == (MANY, pytest.approx(0.5), pytest.approx(0.5))
+    assert summary(spatial.catchment(twice, points(spark), 0.5), "access") == (MANY, pytest.approx(0.25), pytest.approx(0.25))
