@@ -71,3 +71,10 @@ def test_catchment(spark):
     twice = stations(spark).withColumn("station", F.floor(F.col("station") / 2))  # a station with a row on either spot
     assert summary(spatial.catchment(stations(spark), points(spark), 0.5), "access") == (MANY, pytest.approx(0.5), pytest.approx(0.5))
     assert summary(spatial.catchment(twice, points(spark), 0.5), "access") == (MANY, pytest.approx(0.25), pytest.approx(0.25))
+
+
+def test_nearest_by_rings(spark):
+    far = points(spark).withColumn("lat", F.col("lat") + F.when(F.col("code") < 10, 30.0).otherwise(0.0))
+    got = spatial.nearest(far, stations(spark), "code", "station")
+    assert summary(got.where("code >= 10 and station = code % 2"), "dist_km") == (MANY - 10, 0.0, 0.0)
+    assert got.where("code < 10 and station = 1 and dist_km > 3000").count() == 10
