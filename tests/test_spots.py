@@ -78,3 +78,16 @@ def test_nearest_by_rings(spark):
     got = spatial.nearest(far, stations(spark), "code", "station")
     assert summary(got.where("code >= 10 and station = code % 2"), "dist_km") == (MANY - 10, 0.0, 0.0)
     assert got.where("code < 10 and station = 1 and dist_km > 3000").count() == 10
+
+
+def test_pairs_of_one_spot_are_dealt(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        left, right = points(spark).where("code % 2 = 0 and code < 6000"), stations(spark).where("station % 2 = 0 and station < 6000").selectExpr("station", "lat as lat2", "lon as lon2")
+        got = spatial.radius_join(left, right, 0.8, 6)
+        held = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(held) == 9_000_000 and len(held) > 1 and max(held) < 6_000_000  # one spot, but more than one task
+        assert got.columns == ["code", "lat", "lon", "ev", "station", "lat2", "lon2", "dist_km"]
+        assert got.select("code", "station").distinct().count() == 9_000_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
