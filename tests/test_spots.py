@@ -91,3 +91,8 @@ def test_pairs_of_one_spot_are_dealt(spark):
         assert got.select("code", "station").distinct().count() == 9_000_000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_share_within_radius(spark):
+    odd = stations(spark).where("station % 2 = 1")
+    assert spatial.within_radius_share(points(spark), odd, "code", 0.8).first() == (MANY, MANY // 2, 0.5)
