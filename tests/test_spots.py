@@ -96,3 +96,10 @@ def test_pairs_of_one_spot_are_dealt(spark):
 def test_share_within_radius(spark):
     odd = stations(spark).where("station % 2 = 1")
     assert spatial.within_radius_share(points(spark), odd, "code", 0.8).first() == (MANY, MANY // 2, 0.5)
+
+
+def test_added_chargers(spark):
+    chosen = points(spark).where("code % 2 = 0").select("code")
+    got = spatial.added_chargers(stations(spark).withColumn("station", F.col("station").cast("string")), points(spark), {"chosen": chosen}, 3.0, 0.5)
+    held = {tuple(r) for r in got.groupBy("strategy", F.col("code") % 2, F.round("access", 9)).count().collect()}
+    assert held == {("before", 0, 0.5, MANY // 2), ("before", 1, 0.5, MANY // 2), ("chosen", 0, 2.0, MANY // 2), ("chosen", 1, 0.5, MANY // 2)}
