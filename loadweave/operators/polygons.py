@@ -113,7 +113,8 @@ def overlaps(left: DataFrame, right: DataFrame, side: float) -> DataFrame:
     """
     one, two = edges(left), edges(right)
     met = _boxes(one, side, "p").join(_boxes(two, side, "q"), ["__x", "__y"])
-    met = met.where("p_x0 < q_x1 and q_x0 < p_x1 and p_y0 < q_y1 and q_y0 < p_y1").select("p", "q", F.col("p_y0").alias("floor")).distinct()
+    corner = F.expr(f"__x = floor(greatest(p_x0, q_x0) / {side}D) and __y = floor(greatest(p_y0, q_y0) / {side}D)")  # of the cells that both reach one
+    met = met.where("p_x0 < q_x1 and q_x0 < p_x1 and p_y0 < q_y1 and q_y0 < p_y1").where(corner).select("p", "q", F.col("p_y0").alias("floor"))
     pairs = met.join(_in_strips(one, side, "p"), "p").join(_in_strips(two, side, "q"), ["q", "strip"])
     pairs = pairs.withColumns({"a": F.greatest("p_a", "q_a"), "b": F.least("p_b", "q_b")}).where("a < b")
     at = lambda k, x: F.col(f"{k}_ya") + (F.col(x) - F.col(f"{k}_a")) * (F.col(f"{k}_yb") - F.col(f"{k}_ya")) / (F.col(f"{k}_b") - F.col(f"{k}_a"))
@@ -125,8 +126,41 @@ def overlaps(left: DataFrame, right: DataFrame, side: float) -> DataFrame:
     return pairs.groupBy(F.col("p").alias("code"), F.col("q").alias("other")).agg(area.alias("area")).where("area > 0")
 
 
+def cell_areas(sides: DataFrame, side: float) -> DataFrame:
+    """p, strip, cy and the area that each polygon has in each cell of a grid that it reaches: of its edges, what lies below them in the cell."""
+    lowest = sides.groupBy(F.col("code").alias("p")).agg(F.min("y").alias("lowest"))
+    cut = _in_strips(sides, side, "p").join(lowest, "p")
+    cut = cut.withColumn("cy", F.explode(F.sequence(F.floor(F.col("lowest") / side), F.floor(F.greatest("p_ya", "p_yb") / side))))
+    cut = cut.withColumns({f"h{k}": F.col(f"p_y{k}") - F.col("cy") * F.lit(side) for k in "ab"})
+    within = lambda h: F.least(F.greatest(h, F.lit(0.0)), F.lit(side))
+    upto = lambda c: F.pow(within(F.col(c)), F.lit(2)) / 2 + side * F.greatest(F.col(c) - side, F.lit(0.0))
+    rise, same = F.col("hb") - F.col("ha"), within(F.col("ha")) == within(F.col("hb"))
+    flat = same | (F.abs(F.col("hb") - F.col("ha")) < side * 1e-9)
+    mean = F.when(flat, within((F.col("ha") + F.col("hb")) / 2)).otherwise((upto("hb") - upto("ha")) / F.nullif(rise, F.lit(0.0)))
+    return cut.groupBy("p", "strip", "cy").agg(F.abs(F.sum(F.col("p_s") * (F.col("p_b") - F.col("p_a")) * mean)).alias("area"))
+
+
+def _crowded(left: DataFrame, right: DataFrame, side: float, least: float) -> DataFrame:
+    """code of polygons on which so much lies that not even all of their own area is a share of ``least``.
+
+    What lies on a polygon is at least, cell by cell: all that the others have there, where it fills the cell, and
+    else its own area there for each of the others that fill the cell.  Nothing of a size of pairs is formed.
+    """
+    whole = side * side
+    fills, slack = F.col("area") >= whole * (1 - 1e-9), whole * 1e-6
+    cover = cell_areas(edges(right), side).groupBy("strip", "cy").agg(F.sum("area").alias("all"), F.count("*").alias("n"), F.count_if(fills).alias("n_full"))
+    lies = F.when(fills, F.col("all") - F.col("n") * slack).otherwise((F.col("area") - slack) * F.col("n_full"))
+    sums = cell_areas(edges(left), side).join(cover, ["strip", "cy"], "left").groupBy("p").agg(F.sum("area").alias("own"), F.sum(F.greatest(lies, F.lit(0.0))).alias("lies"))
+    return sums.where(F.col("own") * (1 + 1e-6) < F.col("lies") * least).select(F.col("p").alias("code"))
+
+
 def overlay_weights(left: DataFrame, right: DataFrame, side: float, least: float = 0.01, digits: int = 4) -> DataFrame:
-    """code, other and weight: shares of each polygon's overlaps, those under ``least`` left out and the rest scaled to 1."""
+    """code, other and weight: shares of each polygon's overlaps, those under ``least`` left out and the rest scaled to 1.
+
+    Polygons that can have no share of ``least`` are told before by sums over cells; others have pairs by the
+    area that lies on them, at most about 1 / least of their own.
+    """
     whole = Window.partitionBy("code")
-    share = overlaps(left, right, side).withColumn("share", F.col("area") / F.sum("area").over(whole)).where(F.col("share") >= least)
+    rest = left.join(_crowded(left, right, side / 4, least), "code", "left_anti") if least > 0 else left
+    share = overlaps(rest, right, side).withColumn("share", F.col("area") / F.sum("area").over(whole)).where(F.col("share") >= least)
     return share.select("code", "other", F.round(F.col("share") / F.sum("share").over(whole), digits).alias("weight"))

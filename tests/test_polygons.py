@@ -1,8 +1,10 @@
 """Points of polygons against cases by hand and a walk over each polygon."""
 
 import random
+import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from loadweave.operators import polygons
 
@@ -97,3 +99,42 @@ def test_overlaps_of_slanted_shapes(spark):
     assert {tuple(r) for r in polygons.overlaps(held, right, 3.0).collect()} == {(1, 7, 6.0), (1, 8, 6.0), (2, 7, 8.0), (2, 8, 8.0)}
     assert {tuple(r) for r in polygons.overlay_weights(held, right, 3.0).collect()} == {(1, 7, 0.5), (1, 8, 0.5), (2, 7, 0.5), (2, 8, 0.5)}
     assert polygons.overlay_weights(held.limit(0), right, 3.0).count() == 0
+
+
+def test_weights_below_a_crowd(spark):
+    rng = random.Random(11)
+
+    def shape(k, wide):
+        x, y = rng.uniform(-30, 30), rng.uniform(-30, 30)
+        ring = [(x, y), (x + rng.uniform(1, wide), y + rng.uniform(0, 3)), (x + rng.uniform(0, wide), y + rng.uniform(4, wide))]
+        return [ring[::-1] if k % 2 else ring]
+
+    one, two = table(spark, {k: shape(k, 25) for k in range(40)}), table(spark, {k: shape(k, 40) for k in range(400)})
+    areas = {}
+    for r in polygons.overlaps(one, two, 10.0).collect():
+        areas.setdefault(r["code"], {})[r["other"]] = r["area"]
+    want, told = {}, 0
+    for least in (0.01, 0.3):
+        want = {}
+        for code, held in areas.items():
+            kept = {o: a for o, a in held.items() if a >= least * sum(held.values())}
+            want |= {(code, o): a / sum(kept.values()) for o, a in kept.items()}
+        got = {(r["code"], r["other"]): r["weight"] for r in polygons.overlay_weights(one, two, 10.0, least, 9).collect()}
+        assert got == pytest.approx(want, abs=1e-6)
+        told += polygons._crowded(one, two, 2.5, least).count()
+    own = {r["p"]: r["own"] for r in polygons.cell_areas(polygons.edges(one), 2.5).groupBy("p").agg({"area": "sum"}).withColumnRenamed("sum(area)", "own").collect()}
+    moments = {r["code"]: abs(r["area"]) for r in polygons.ring_moments(polygons.edges(one)).collect()}
+    assert own == pytest.approx(moments) and told > 0
+
+
+def test_crowds_form_no_pairs(spark):
+    timer = threading.Timer(90, spark.sparkContext.cancelAllJobs)  # 9e8 pairs otherwise
+    timer.start()
+    try:
+        corner = F.expr("posexplode(array(struct(0D as x, 0D as y), struct(10D as x, 0D as y), struct(10D as x, 10D as y), struct(0D as x, 10D as y)))")
+        stack = spark.range(30_000).select(F.col("id").alias("code"), F.lit(0).alias("ring"), corner).select("code", "ring", F.col("pos").alias("n"), "col.x", "col.y")
+        beside = stack.where("code < 2").withColumns({"code": -1 - F.col("code"), "x": F.col("x") + 20})
+        got = polygons.overlay_weights(stack.unionByName(beside), stack.unionByName(beside), 10.0)
+        assert {tuple(r) for r in got.collect()} == {(a, b, 0.5) for a in (-1, -2) for b in (-1, -2)}
+    finally:
+        timer.cancel()
