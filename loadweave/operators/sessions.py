@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -147,26 +150,75 @@ def low_access_contrast(regions: DataFrame, value: str = "away_ratio", access: s
 _SIDE = 0.999 / 3**0.5
 #: Micro cells along a cell's side.
 _MICRO = 16
+#: Sessions up to which a vehicle is clustered as a whole.
+WHOLE = 256
+_NO_DAY = -(2**31)
 
 
-def _sphere_points(found: DataFrame, key: str, chord: float) -> DataFrame:
-    """key, session, day, x, y, z (on the unit sphere), cell and micro cell of every session with a place."""
+def _sphere_points(found: DataFrame, key: str) -> DataFrame:
+    """key, session, day, x, y, z (on the unit sphere) of every session with a place."""
     lat, lon = F.radians("lat"), F.radians("lon")
-    out = found.where("lat is not null and lon is not null").select(key, "session", F.to_date("start").alias("day"), (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"))
-    side = chord * _SIDE
-    at = lambda width: F.struct(*[F.floor(F.col(c) / F.lit(width)).alias(c) for c in "xyz"])
-    return out.withColumns({"cell": at(side), "micro": at(side / _MICRO)})
+    return found.where("lat is not null and lon is not null").select(key, "session", F.to_date("start").alias("day"), (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"))
+
+
+def _clusters(x: np.ndarray, y: np.ndarray, z: np.ndarray, eps: float, least: int) -> np.ndarray:
+    """Of each point the first core point of its cluster (-1: none)."""
+    near = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 + (z[:, None] - z) ** 2 <= eps**2
+    core = np.flatnonzero(near.sum(axis=1) >= least)
+    out, among, label, last = np.full(len(x), -1), near[np.ix_(core, core)], np.arange(len(core)), None
+    while len(core) and not np.array_equal(label, last):
+        last, label = label, np.where(among, label, len(core)).min(axis=1)
+        label = label[label]
+    if len(core):
+        of = np.where(near[:, core], core[label], len(x)).min(axis=1)
+        out = np.where(of < len(x), of, -1)
+        out[core] = core[label]  # a core point's core neighbours are all of its own cluster
+    return out
+
+
+def _whole_vehicles(points: DataFrame, key: str, eps: float, least: int, days: int) -> DataFrame:
+    """``base_sessions`` of vehicles with few sessions each, which come as one row."""
+
+    def run(batches):
+        for batch in batches:
+            parts = []
+            for k, *columns in batch.itertuples(index=False):
+                session, day, x, y, z = (np.asarray(c) for c in columns)
+                first = _clusters(x, y, z, eps, least)
+                seen = Counter(c for c, d in set(zip(first.tolist(), day.tolist(), strict=True)) if d != _NO_DAY)
+                base = [c >= 0 and seen[c] >= days for c in first.tolist()]
+                parts.append(pd.DataFrame({key: [k] * len(first), "session": session, "cluster": np.where(first < 0, -1, session[first]), "is_base": base}))
+            if parts:
+                yield pd.concat(parts)
+
+    day = F.coalesce(F.unix_date("day"), F.lit(_NO_DAY))
+    held = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("session", day.alias("day"), "x", "y", "z"))).alias("p"))
+    kind = points.schema[key].dataType.simpleString()
+    return held.select(key, *[f"p.{c}" for c in ("session", "day", "x", "y", "z")]).mapInPandas(run, f"`{key}` {kind}, session long, cluster long, is_base boolean")
 
 
 def _square(one: str, two: str) -> Column:
     return sum(((F.col(f"{one}.{c}") - F.col(f"{two}.{c}")) ** 2 for c in "xyz"), F.lit(0.0))
 
 
-def base_sessions(found: DataFrame, key: str, eps_m: float = 150.0, least: int = 3, days: int = 3) -> DataFrame:
+def base_sessions(found: DataFrame, key: str, eps_m: float = 150.0, least: int = 3, days: int = 3, whole: int = WHOLE) -> DataFrame:
     """Density clusters of a vehicle's sessions (within eps, at least so many, the point included); a cluster seen on enough days is a base.
 
     key, session, cluster (its first core session; -1: none) and is_base.  A session near several clusters
-    belongs to the one whose first core session is the smallest.
+    belongs to the one whose first core session is the smallest; sessions without a key or place go.
+
+    A vehicle of up to ``whole`` sessions is clustered in one piece, those of more by cells; results are the same.
+    """
+    eps = 2 * float(np.sin(min(eps_m / 6371008.8, np.pi) / 2))
+    points = stored(_sphere_points(found, key), "places")
+    sizes = stored(points.groupBy(key).agg(F.count("*").alias("__n")), "sizes")
+    out = _whole_vehicles(points.join(sizes.where(F.col("__n") <= whole).select(key), key), key, eps, least, days)
+    many = sizes.where(F.col("__n") > whole).select(key)
+    return out if many.isEmpty() else out.unionByName(_by_cells(points.join(many, key), key, eps, least, days))
+
+
+def _by_cells(placed: DataFrame, key: str, eps: float, least: int, days: int) -> DataFrame:
+    """``base_sessions`` of vehicles with any number of sessions.
 
     Cells are so small that their points are all within eps of one another: where a cell has enough of them, all
     are core without a look at any pair, and all core points of a cell are of one cluster.  Only the few
@@ -174,8 +226,9 @@ def base_sessions(found: DataFrame, key: str, eps_m: float = 150.0, least: int =
     micro cells show that some pair of core points is, or none can be, within eps, and only else by the points of
     the micro cells in doubt.  Cells form clusters as connected components; no vehicle is one task.
     """
-    eps = 2 * float(np.sin(min(eps_m / 6371008.8, np.pi) / 2))
-    points = stored(_sphere_points(found, key, eps), "places")
+    side = eps * _SIDE
+    at = lambda width: F.struct(*[F.floor(F.col(c) / F.lit(width)).alias(c) for c in "xyz"])
+    points = stored(placed.withColumns({"cell": at(side), "micro": at(side / _MICRO)}), "crowded")
     counts = points.groupBy(key, "cell").agg(F.count("*").alias("n"))
     steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", d, strict=True)]) for d in np.ndindex(5, 5, 5)]))
     moved = counts.select(key, "cell", "n", steps.alias("d")).select(key, "cell", "n", F.struct(*[(F.col(f"cell.{c}") + F.col(f"d.{c}") - 2).alias(c) for c in "xyz"]).alias("beside"))
