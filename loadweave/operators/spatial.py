@@ -71,7 +71,8 @@ def radius_join(left: DataFrame, right: DataFrame, km: float, digits: int | None
     spots = _met(_spots(left), right.select("lat2", "lon2").distinct(), km)
     spots = spots if digits is None else spots.withColumn("dist_km", F.round("dist_km", digits))
     met = _blocks(left, ["lat", "lon"], "__l").join(spots, ["lat", "lon"]).join(_blocks(right, ["lat2", "lon2"], "__r"), ["lat2", "lon2"])
-    met = met.repartition("lat", "lon", "lat2", "lon2", "__l_b", "__r_b").select("dist_km", F.explode("__l").alias("__l"), "__r")
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as tasks merged by their bytes would hold very many pairs
+    met = met.repartition(tasks, "lat", "lon", "lat2", "lon2", "__l_b", "__r_b").select("dist_km", F.explode("__l").alias("__l"), "__r")
     return met.select("dist_km", "__l", F.explode("__r").alias("__r")).select("__l.*", "__r.*", "dist_km")
 
 

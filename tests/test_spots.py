@@ -93,6 +93,12 @@ def test_pairs_of_one_spot_are_dealt(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_tasks_with_many_pairs_are_not_merged(spark):
+    left, right = points(spark).where("code % 2 = 0 and code < 6000"), stations(spark).where("station % 2 = 0 and station < 6000").selectExpr("station", "lat as lat2", "lon as lon2")
+    held = [r["count"] for r in spatial.radius_join(left, right, 0.8, 6).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 9_000_000 and len(held) > 1 and max(held) < 6_000_000
+
+
 def test_share_within_radius(spark):
     odd = stations(spark).where("station % 2 = 1")
     assert spatial.within_radius_share(points(spark), odd, "code", 0.8).first() == (MANY, MANY // 2, 0.5)
